@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontaminate as dec
 from . import langid, url_filter
 from .shared import table
 
@@ -15,11 +16,18 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, profiles, keep={"doc_id": F.col("doc_id"), "held_out": langid.held_out()})
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dec.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n = dec.n_hit()
+    digest = F.sha2(F.concat_ws(",", F.array_sort("items")), 256)
+    return found.select("doc_id", "n_words", n.alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (n > 0).alias("contaminated"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op5_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op5_url_filters)}
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 SQL: dict[str, str] = {
