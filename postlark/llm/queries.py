@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as dec
-from . import langid, substring_dedup, url_filter
-from .shared import table
+from . import langid, packing, substring_dedup, url_filter
+from .shared import table, tokenizer
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n.alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (n > 0).alias("contaminated"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pack(table(spark, sf_dir, "documents"), tokenizer())
+    return cut.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -31,7 +36,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op5_url_filters, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_best_fit_packing, op5_url_filters, op10_substring_dedup)}
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 SQL: dict[str, str] = {

@@ -41,3 +41,10 @@ def partitions(spark: SparkSession, at_least: int = 1) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
+    """The path of a public vocabulary file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
