@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as dec
-from . import langid, packing, substring_dedup, url_filter
+from . import langid, packing, substring_dedup, url_filter, warc
 from .shared import table, tokenizer
 
 
@@ -32,11 +32,15 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_best_fit_packing, op5_url_filters, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_best_fit_packing, op5_url_filters, op9_warc, op10_substring_dedup)}
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 SQL: dict[str, str] = {
@@ -61,5 +65,16 @@ hits AS (
   FROM p)
 SELECT p.page_id, host, path, rule, coalesce(action, CASE WHEN n_strict > 0 OR n_soft >= 2 THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft
 FROM p LEFT JOIN fit USING (page_id) JOIN hits USING (page_id)
+""",
+    "op9_warc": r"""
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+k AS (
+  SELECT page_id, octet_length(b) AS n, sha1(b) AS h, min(page_id) OVER (PARTITION BY b) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 10 * (i // 8) + 1, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT, 1) FOR i IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM k
 """,
 }
