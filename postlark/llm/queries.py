@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as dec
-from . import langid, neighbours, packing, substring_dedup, url_filter, warc
+from . import langid, neighbours, packing, quality, substring_dedup, url_filter, warc
 from .shared import table, tokenizer
 
 
@@ -32,6 +32,12 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ratios = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.resample(docs, ratios, keep={"doc_id": F.col("doc_id")})
+
+
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -44,7 +50,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_best_fit_packing, op5_url_filters, op8_nearest_neighbours, op9_warc, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_best_fit_packing, op5_url_filters, op6_quality_classifier, op8_nearest_neighbours, op9_warc, op10_substring_dedup)}
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 SQL: dict[str, str] = {
