@@ -13,6 +13,8 @@ number in earlier tasks, so no task ever sees all pieces of a length.
 
 from __future__ import annotations
 
+import struct
+import unicodedata
 import zlib
 from bisect import bisect_right
 from collections import Counter
@@ -32,20 +34,53 @@ CAPACITY = 4096
 END_ID = 1
 
 
+def _byte_letters() -> dict[int, int]:
+    """How byte-level vocabularies write bytes: printable Latin-1 as it is, the rest from 256 on."""
+    odd = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
+    return {b: 256 + i for i, b in enumerate(odd)}
+
+
 class Tokens:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     The vocabulary drops white space and never joins what it separates, so a
     text's ids are those of its white-space-separated parts one after another.
     Parts repeat; those of up to 64 bytes are kept, in a table of bounded size.
+    A part of letters, with full stops and commas behind, is two units for the
+    model at most and goes to it at once; any other goes through the tokenizer.
     """
 
     def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.model, self.most = Tokenizer.from_file(path), most
+        self.merge, self.letters = self.model.model, _byte_letters()
         self.held: dict[bytes, bytes] = {}
 
+    def unit(self, text: str) -> bytes:
+        """Ids of one run of letters or of symbols, in lower case."""
+        ids = [t.id for t in self.merge.tokenize(text)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def plain(self, part: bytes) -> bytes | None:
+        """Ids of letters with full stops and commas behind them; None for anything else.
+
+        Only scripts of up to U+0530 whose letters are composed and keep one code
+        point in lower case count as letters here.
+        """
+        core = part.rstrip(b".,")
+        text = core.decode("utf-8")
+        if not text.isalpha():
+            return None
+        if text.isascii():
+            text = text.lower()
+        else:
+            lower = "".join(c.lower() for c in text)
+            if max(text) > "\u052f" or len(lower) != len(text) or not unicodedata.is_normalized("NFC", text):
+                return None
+            text = lower.encode().decode("latin-1").translate(self.letters)
+        return self.unit(text) + (self.unit(part[len(core) :].decode()) if len(core) < len(part) else b"")
+
     def encode(self, parts: list[bytes]) -> list[bytes]:
         texts = [p.decode("utf-8") for p in parts]
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -53,11 +88,16 @@ class Tokens:
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         if len(self.held) > self.most:
             self.held.clear()
-        words = [t.split() for t in texts]
-        new = list({w for ws in words for w in ws} - self.held.keys())
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]  # special tokens are told by their case
         now: dict[bytes, bytes] = {}
-        for at in range(0, len(new), 4096):
-            for w, ids in zip(new[at : at + 4096], self.encode(new[at : at + 4096]), strict=True):
+        rest = []
+        for w in {w for ws in words for w in ws} - self.held.keys():
+            if len(w) <= 64 and (ids := self.plain(w)) is not None:
+                self.held[w] = ids
+            else:
+                rest.append(w)
+        for at in range(0, len(rest), 4096):
+            for w, ids in zip(rest[at : at + 4096], self.encode(rest[at : at + 4096]), strict=True):
                 (self.held if len(w) <= 64 else now)[w] = ids
         table = self.held | now if now else self.held
         for ws in words:

@@ -126,7 +126,7 @@ def score(docs: DataFrame, ratios: Ratios, *, keep: dict[str, Column], id_col: s
     """
     held = docs.sparkSession.sparkContext.broadcast(ratios)
     noise = F.xxhash64(F.lit(ratios.seed), F.col(id_col), F.col(text_col))
-    rows = docs.select(*(c.alias(k) for k, c in keep.items()), noise.alias("noise"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(*(c.alias(f"k{i}") for i, c in enumerate(keep.values())), noise.alias("noise"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType(rows.schema.fields[:-2] + [T.StructField("log_weight", T.DoubleType()), T.StructField("gumbel_key", T.DoubleType())])
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +139,7 @@ def score(docs: DataFrame, ratios: Ratios, *, keep: dict[str, Column], id_col: s
                 key = r.sharpness * w - np.log(-np.log(u / 2.0**53))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(w), pa.array(key)], names=schema.names)
 
-    return rows.mapInArrow(weigh, schema)
+    return rows.mapInArrow(weigh, schema).select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keep)), "log_weight", "gumbel_key")
 
 
 def _ordered(key: Column) -> Column:
