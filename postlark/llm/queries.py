@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as dec
-from . import langid, neighbours, ngram_join, packing, quality, substring_dedup, url_filter, warc
+from . import langid, neighbours, ngram_join, packing, quality, substring_dedup, toolcalls, url_filter, warc
 from .shared import table, tokenizer
 
 
@@ -28,6 +28,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = toolcalls.from_turns(table(spark, sf_dir, "conversations"))
+    return toolcalls.link(calls, results, toolcalls.TURN_SCHEMAS).withColumn("errors", F.array_join("errors", "; "))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -54,10 +59,28 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_best_fit_packing, op5_url_filters, op6_quality_classifier, op7_ngram_jaccard_join, op8_nearest_neighbours, op9_warc, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_best_fit_packing, op4_chat_formatting, op5_url_filters, op6_quality_classifier, op7_ngram_jaccard_join, op8_nearest_neighbours, op9_warc, op10_substring_dedup)}
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 SQL: dict[str, str] = {
+    "op4_chat_formatting": r"""
+WITH c AS (
+  SELECT conv_id, conv_id || ':' || turn AS call_id, turn, role AS name, text FROM conversations WHERE role IS DISTINCT FROM 'assistant'),
+cg AS (
+  SELECT conv_id, call_id, turn, count(*) AS n_calls, min(name) AS name, min(text) AS text, count(DISTINCT name || chr(0) || coalesce(text, chr(0))) > 1 AS cd FROM c GROUP BY ALL),
+r AS (
+  SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, turn, text AS content FROM conversations WHERE role = 'assistant'),
+rg AS (
+  SELECT conv_id, call_id, min(turn) AS rturn, count(*) AS n_results, min(content) AS content, count(DISTINCT content) > 1 AS rd FROM r GROUP BY ALL)
+SELECT coalesce(cg.conv_id, rg.conv_id) AS conv_id, coalesce(cg.call_id, rg.call_id) AS call_id, coalesce(turn, rturn) AS turn, name, 0 AS level,
+       coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
+       CASE WHEN n_calls IS NULL THEN 'orphan' WHEN coalesce(cd, false) OR coalesce(rd, false) THEN 'ambiguous'
+            WHEN text IS NULL OR name NOT IN ('user', 'system') THEN 'invalid' WHEN n_results IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+       CASE WHEN n_calls IS NULL THEN '' WHEN name NOT IN ('user', 'system') THEN 'unknown tool' WHEN text IS NULL THEN 'missing text' ELSE '' END AS errors,
+       CASE WHEN n_calls IS NOT NULL THEN '{"arguments":{' || CASE WHEN text IS NULL THEN '' ELSE '"text":' || to_json(text) || ',' END || '"turn":' || turn || '},"id":"' || cg.call_id || '","name":' || to_json(name)
+         || CASE WHEN content IS NULL THEN '' ELSE ',"result":' || to_json(content) END || '}' END AS json
+FROM cg FULL JOIN rg ON cg.conv_id = rg.conv_id AND cg.call_id = rg.call_id
+""",
     "op5_url_filters": r"""
 WITH u AS (
   SELECT page_id, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
