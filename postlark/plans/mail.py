@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlark.functions import text as T
+from postlark.functions.embed import hash_embed
 from postlark.operators import archive, search
 from postlark.plans import corpus
 from postlark.plans.corpus import TOK, C, M
+from postlark.sources.mail_files import html_to_text, read_mail
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -219,10 +221,10 @@ _bm25_query("bm25_and", "thon ther", [["thon"], ["ther"]])
 _bm25_query("bm25_phrase", "of-the", [["of", "the"]])
 _bm25_query("bm25_floor", "a", [["a"]])
 for _n, _f, _w in (
-    ("account", search.Filters(account=""), "m.account_id = ''"),
+    ("account", search.Filters(account="src3"), "m.account_id = 'src3'"),
     ("mailbox", search.Filters(mailbox="en"), "m.mailbox = 'en'"),
     ("from", search.Filters(sender="EN@example.com"), "from_address = 'en@example.com'"),
-    ("to", search.Filters(to="@example.com"), "list_contains(to_addresses, '@example.com')"),
+    ("to", search.Filters(to="SRC3@example.com"), "list_contains(to_addresses, 'src3@example.com')"),
     ("dates", search.Filters(after="2024-01-01T01", before="2024-01-01T09"), "date >= '2024-01-01T01' AND date <= '2024-01-01T09'"),
 ):
     _bm25_query(f"bm25_filtered_{_n}", "thon", [["thon"]], _f, _w)
@@ -326,3 +328,52 @@ def status_counts(spark, d):
 def events_incremental(spark, d):
     e = corpus.read(spark, d, "events")
     return e.groupBy("user_id").agg(F.max("ts").alias("ts"), F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"))
+
+
+@query()
+def hash_embeddings(spark, d):
+    return corpus.read(spark, d, "documents").select("doc_id", hash_embed("text").alias("vector"))
+
+
+@query()
+def html_pages_text(spark, d):
+    return corpus.read(spark, d, "pages").select("page_id", html_to_text("html").alias("text"))
+
+
+#: The first chunks of each document stand for the embeddings with the same id.
+@query(
+    "WITH "
+    + _bm25_sql([["thon"]], 20)
+    + ", "
+    + _COS % "true"
+    + r""", near AS (SELECT vec_id, row_number() OVER (ORDER BY round(score, 9) DESC, vec_id) AS rank FROM v QUALIFY rank <= 20),
+lists AS (SELECT chunk_id, rank FROM best UNION ALL SELECT c.chunk_id, near.rank FROM near JOIN m ON m.doc_id = near.vec_id JOIN c ON c.message_id = m.message_id WHERE ordinal = 0),
+f AS (SELECT chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM lists GROUP BY chunk_id)
+SELECT chunk_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM f QUALIFY rank <= 10"""
+)
+def hybrid_rrf(spark, d):
+    near = _cosine(spark, d, 20)
+    firsts = corpus.chunks(spark, d).where("ordinal = 0").select("chunk_id", "message_id")
+    owner = corpus.messages(spark, d).join(F.broadcast(near), F.col("doc_id") == F.col("vec_id")).select("message_id", "rank")  # near is 20 rows
+    semantic = firsts.join(owner, "message_id").select("chunk_id", "rank")
+    return search.fuse([_bm25(spark, d, "thon", 20), semantic], 10).select("chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+_LIST = "CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END"
+
+
+@query(f"WITH {M} SELECT message_id || ':' || i AS attachment_id, message_id, 'file' || i AS name FROM m, LATERAL (SELECT unnest(range({_LIST})) AS i) WHERE mailbox = 'en'")
+def attachments_list(spark, d):
+    m = corpus.messages(spark, d).where("mailbox = 'en'")
+    files = F.transform(F.sequence(F.lit(0), F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)), lambda i: F.concat(F.lit("file"), i))
+    return m.select("message_id", F.posexplode(files).alias("i", "name")).select(F.concat_ws(":", "message_id", "i").alias("attachment_id"), "message_id", "name").orderBy("attachment_id")
+
+
+#: A mailbox with a quoted separator and a label list, and one without a separator.
+MBOX = b"From a@example.com Wed Aug 26 10:00:00 2026\nMessage-ID: <1@example.com>\nFrom: A <a@example.com>\nTo: b@example.com\nSubject: One\nX-Gmail-Labels: Inbox,Category updates\n\nHello\n>From here\n\nFrom b@example.com Wed Aug 26 11:00:00 2026\nSubject: Two\n\nBye\n"
+
+
+@query()
+def mbox_split(spark, d):
+    rows = [("x/one.mbox", bytearray(MBOX)), ("x/bad.mbox", bytearray(b"junk\n")), ("x/a.eml", bytearray(b"Subject: Solo\n\nBody\n"))]
+    return read_mail(spark.createDataFrame(rows, "path string, content binary"))
