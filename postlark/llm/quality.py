@@ -134,7 +134,7 @@ def score(docs: DataFrame, ratios: Ratios, *, keep: dict[str, Column], id_col: s
         for b in batches:
             for part in slices(b, "text"):
                 of, bucket = _features(part.column("text"), len(r.log))
-                w = np.bincount(of, r.log[bucket].astype(np.float64), minlength=part.num_rows)
+                w = np.bincount(of, r.log[bucket].astype(np.float64), minlength=part.num_rows).astype(np.float64)  # integers where none has an n-gram
                 u = (mix(part.column("noise").to_numpy().view(U64)) >> U64(11)).astype(np.float64) + 0.5
                 key = r.sharpness * w - np.log(-np.log(u / 2.0**53))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(w), pa.array(key)], names=schema.names)
