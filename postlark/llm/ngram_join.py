@@ -224,8 +224,8 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     seen = stored(_info(rows, k), "shingles")
     info = seen.where("b IS NULL").drop("b")
     counts = np.zeros(BUCKETS, np.uint32)
-    got = seen.where("b IS NOT NULL").groupBy("b").agg(F.least(F.sum("n"), F.lit(0xFFFFFFFF)).alias("n")).toPandas()  # BUCKETS rows at most
-    counts[got["b"].to_numpy(int)] = got["n"].to_numpy(np.uint32)
+    got = seen.where("b IS NOT NULL").groupBy("b").agg(F.least(F.sum("n"), F.lit(0xFFFFFFFF)).alias("n")).toArrow()  # BUCKETS rows at most, in columns
+    counts[got["b"].to_numpy()] = got["n"].to_numpy()
     held = spark.sparkContext.broadcast(counts.tobytes())
     total = info.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
     n_buckets = max(partitions(spark), int(total) // bucket_rows + 1)
