@@ -88,8 +88,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, good: str = GOOD, id_col: str = "
     Without a good label every document weighs the same.
     """
     rows = labels.select(F.col(label_id).cast("long").alias("id"), F.coalesce(F.expr(good), F.lit(False)).alias("good")).where("id IS NOT NULL")
-    drawn = rows.groupBy("id").agg(F.min("good").alias("good")).orderBy(F.xxhash64("id"), "id").limit(most_labels).toPandas().sort_values("id")
-    held = docs.sparkSession.sparkContext.broadcast((drawn["id"].to_numpy(np.int64), drawn["good"].to_numpy(bool)))
+    drawn = rows.groupBy("id").agg(F.min("good").alias("good")).orderBy(F.xxhash64("id"), "id").limit(most_labels).toArrow().sort_by("id")
+    held = docs.sparkSession.sparkContext.broadcast((drawn["id"].to_numpy(), drawn["good"].to_numpy()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, is_good = held.value
@@ -108,11 +108,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, good: str = GOOD, id_col: str = "
         yield from _pack(n, 3)
 
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sums = texts.mapInArrow(count, "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    sums = texts.mapInArrow(count, "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
     raw, target, bad, n = (np.zeros(k) for k in (buckets, buckets, buckets, 3))
     for kind, to in enumerate((raw, target, bad, n)):
-        part = sums[sums["kind"] == kind]
-        to[part["bucket"].to_numpy(int)] = part["n"].to_numpy(float)
+        here = sums["kind"].to_numpy() == kind
+        to[sums["bucket"].to_numpy()[here]] = sums["n"].to_numpy()[here]
     log = np.log((target + prior) / (raw * (n[1] / max(n[0], 1.0)) + prior)) if n[1] else np.zeros(buckets)
     log = np.sign(log) * np.maximum(np.abs(log) - shrink, 0)
     log[(log < 0) & (bad < support)] = 0
