@@ -84,7 +84,7 @@ def split_mbox(data: bytes) -> list[tuple[str, bytes]] | None:
     at = list(_SEPARATOR.finditer(data))
     if data[: at[0].start() if at else None].strip(b"\r\n"):
         return None
-    ends = [m.start() for m in at[1:]] + [len(data)]
+    ends = [m.start() for m in at[1:]] + [len(data)] if at else []
     out = []
     for m, end in zip(at, ends, strict=True):
         raw = _ESCAPED.sub(b"", data[m.end() : end])
