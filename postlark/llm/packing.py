@@ -13,9 +13,10 @@ number in earlier tasks, so no task ever sees all pieces of a length.
 
 from __future__ import annotations
 
-import struct
+import re
 import unicodedata
 import zlib
+from array import array
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -40,27 +41,34 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(odd)}
 
 
+#: Lower-case letters that are one code point, composed, and no longer in lower case.
+_LETTERS = re.compile(r"[a-zß-öø-ÿа-яё]+")
+
+
 class Tokens:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     The vocabulary drops white space and never joins what it separates, so a
     text's ids are those of its white-space-separated parts one after another.
-    Parts repeat; those of up to 64 bytes are kept, in a table of bounded size.
-    A part of letters, with full stops and commas behind, is two units for the
-    model at most and goes to it at once; any other goes through the tokenizer.
+    Parts repeat; those of up to 64 bytes are kept in two tables of at most `most`
+    parts: when one is full it becomes the old one, and what is still met there
+    moves on to the new one. A part of letters, with full stops and commas behind,
+    is two units for the model at most and goes to it at once; any other goes
+    through the tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.model, self.most = Tokenizer.from_file(path), most
         self.merge, self.letters = self.model.model, _byte_letters()
         self.held: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {b"": b""}
 
     def unit(self, text: str) -> bytes:
         """Ids of one run of letters or of symbols, in lower case."""
-        ids = [t.id for t in self.merge.tokenize(text)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return array("I", [t.id for t in self.merge.tokenize(text)]).tobytes()
 
     def plain(self, part: bytes) -> bytes | None:
         """Ids of letters with full stops and commas behind them; None for anything else.
@@ -69,17 +77,26 @@ class Tokens:
         point in lower case count as letters here.
         """
         core = part.rstrip(b".,")
-        text = core.decode("utf-8")
-        if not text.isalpha():
-            return None
-        if text.isascii():
-            text = text.lower()
+        if core.isalpha():  # of ASCII
+            ids = self.unit(core.decode().lower())
         else:
-            lower = "".join(c.lower() for c in text)
-            if max(text) > "\u052f" or len(lower) != len(text) or not unicodedata.is_normalized("NFC", text):
-                return None
-            text = lower.encode().decode("latin-1").translate(self.letters)
-        return self.unit(text) + (self.unit(part[len(core) :].decode()) if len(core) < len(part) else b"")
+            text = core.decode("utf-8")
+            if not _LETTERS.fullmatch(text):
+                if not text.isalpha():
+                    return None
+                lower = "".join(c.lower() for c in text)
+                if max(text) > "\u052f" or len(lower) != len(text) or not unicodedata.is_normalized("NFC", text):
+                    return None
+                text = lower
+            ids = self.unit(text.encode().decode("latin-1").translate(self.letters))
+        if len(core) == len(part):
+            return ids
+        tail = part[len(core) :]
+        if tail not in self.tails:
+            if len(self.tails) > 1000:
+                self.tails = {b"": b""}
+            self.tails[tail] = self.unit(tail.decode())
+        return ids + self.tails[tail]
 
     def encode(self, parts: list[bytes]) -> list[bytes]:
         texts = [p.decode("utf-8") for p in parts]
@@ -87,12 +104,14 @@ class Tokens:
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         if len(self.held) > self.most:
-            self.held.clear()
+            self.held, self.old = {}, self.held
         words = [(t if b"<|" in t else t.lower()).split() for t in texts]  # special tokens are told by their case
         now: dict[bytes, bytes] = {}
         rest = []
-        for w in {w for ws in words for w in ws} - self.held.keys():
-            if len(w) <= 64 and (ids := self.plain(w)) is not None:
+        for w in set().union(*words).difference(self.held):
+            if (ids := self.old.get(w)) is not None:
+                self.held[w] = ids
+            elif len(w) <= 64 and (ids := self.plain(w)) is not None:
                 self.held[w] = ids
             else:
                 rest.append(w)
@@ -175,10 +194,10 @@ def pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
         tokens = _TOKENS[path]
         task, ranks = TaskContext.get().partitionId(), Counter()
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
+            for at in range(0, b.num_rows, 256):
+                texts = b.column(1).slice(at, 256).cast(pa.large_binary()).to_pylist()
                 of, rows = [], []
-                for i, ids in enumerate(tokens.of([(t or "").encode() for t in texts[at : at + 256]]), at):
+                for i, ids in enumerate(tokens.of([t or b"" for t in texts]), at):
                     ids += end
                     for k in range(0, len(ids), step):
                         part = ids[k : k + step]
@@ -187,8 +206,8 @@ def pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
                         rows.append((k // step, k // 4, n, zlib.crc32(part), task, ranks[n], part))
                         ranks[n] += 1
                 kinds = pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), *cols[: len(schema) - 1]], names=schema.names)
+                cols = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True))[: len(schema) - 1], kinds, strict=False)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), *cols], names=schema.names)
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
