@@ -97,6 +97,15 @@ def tokens_arabic(c: Column) -> Column:
     return F.filter(both, lambda w: w != "")
 
 
+def tokens_cjk(c: Column) -> Column:
+    """Runs of letters and digits as they are, without segmentation."""
+    return F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+
+
+#: Analyzers by language; without dictionaries, Korean is folded and Japanese and Chinese are not segmented.
+ANALYZERS = {"ko": lambda c: tokens_cjk(F.lower(c)), "ja": tokens_cjk, "zh": tokens_cjk, "ar": tokens_arabic}
+
+
 #: What diagnostics must not show.
 REDACTIONS = (
     (r"(?iu)([?&](?:token|password|secret|key)=)[^&\s]+", "$1[REDACTED]"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +12,7 @@ from postlark.functions import text as T
 
 K1, B, IDF_FLOOR, RRF = 1.2, 0.75, 1e-6, 60
 _GAP = 1 << 40  # between positions of two columns, so that no phrase spans them
+Analyzer = Callable[[Column], Column]
 
 
 @dataclass(frozen=True)
@@ -41,26 +42,26 @@ class Filters:
         return out
 
 
-def _placed(column: str, base: int) -> Column:
-    return F.transform(T.tokens(F.coalesce(F.col(column), F.lit(""))), lambda t, i: F.struct(t.alias("term"), (i.cast("long") + base).alias("pos")))
+def _placed(column: str, base: int, analyze: Analyzer) -> Column:
+    return F.transform(analyze(F.coalesce(F.col(column), F.lit(""))), lambda t, i: F.struct(t.alias("term"), (i.cast("long") + base).alias("pos")))
 
 
-def postings(docs: DataFrame, columns: Sequence[str] = ("text",), key: str = "chunk_id") -> DataFrame:
+def postings(docs: DataFrame, columns: Sequence[str] = ("text",), key: str = "chunk_id", analyze: Analyzer = T.tokens) -> DataFrame:
     """term, key, tf, dl and positions; one shuffle, by row and term."""
-    all_tokens = F.concat(*(_placed(c, n * _GAP) for n, c in enumerate(columns)))
+    all_tokens = F.concat(*(_placed(c, n * _GAP, analyze) for n, c in enumerate(columns)))
     held = docs.select(key, all_tokens.alias("ts")).withColumn("dl", F.size("ts"))
     each = held.select(key, "dl", F.explode("ts").alias("t")).groupBy(key, "dl", F.col("t.term").alias("term"))
     return each.agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("t.pos")).alias("positions"))
 
 
-def lengths(docs: DataFrame, columns: Sequence[str] = ("text",), key: str = "chunk_id") -> DataFrame:
-    n = sum((F.size(T.tokens(F.coalesce(F.col(c), F.lit("")))) for c in columns), F.lit(0))
+def lengths(docs: DataFrame, columns: Sequence[str] = ("text",), key: str = "chunk_id", analyze: Analyzer = T.tokens) -> DataFrame:
+    n = sum((F.size(analyze(F.coalesce(F.col(c), F.lit("")))) for c in columns), F.lit(0))
     return docs.select(key, n.alias("dl"))
 
 
-def corpus(docs: DataFrame, columns: Sequence[str] = ("text",), key: str = "chunk_id") -> DataFrame:
+def corpus(docs: DataFrame, columns: Sequence[str] = ("text",), key: str = "chunk_id", analyze: Analyzer = T.tokens) -> DataFrame:
     """One row: n documents and their average length."""
-    return lengths(docs, columns, key).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return lengths(docs, columns, key, analyze).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def _phrases(spark: SparkSession, query: str) -> DataFrame:
@@ -114,3 +115,26 @@ def fuse(lists: Sequence[DataFrame], k: int, key: str = "chunk_id") -> DataFrame
     for more in lists[1:]:
         both = both.unionByName(more.select(key, "rank"))
     return top(both.groupBy(key).agg(F.sum(1 / (RRF + F.col("rank"))).alias("score")), k, key)
+
+
+def _analyzed(query: str, language: str, spark: SparkSession) -> list[str]:
+    """The query's tokens by a language's analyzer."""
+    return spark.range(1).select(T.ANALYZERS[language](F.lit(query)).alias("ts")).first()[0]
+
+
+def search(docs: DataFrame, query: str, k: int, columns: Sequence[str] = ("text",), key: str = "chunk_id") -> DataFrame:
+    """Fused rank of the list for all scripts and one for each language of the query.
+
+    A language's list holds the rows with its script, analyzed as its analyzer
+    does, and has its own statistics.
+    """
+    spark = docs.sparkSession
+    lists = [top(bm25(postings(docs, columns, key), corpus(docs, columns, key), query, key), 2 * k, key)]
+    whole = F.concat_ws(" ", *columns)
+    for language in spark.range(1).select(T.languages(F.lit(query)).alias("ls")).first()[0]:
+        words = _analyzed(query, language, spark)
+        if words:
+            held = docs.where(F.array_contains(T.languages(whole), language))
+            analyze = T.ANALYZERS[language]
+            lists.append(top(bm25(postings(held, columns, key, analyze), corpus(held, columns, key, analyze), " ".join(words), key), 2 * k, key))
+    return fuse(lists, k, key)

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from postlark.functions import text as T
 from postlark.functions.embed import hash_embed
-from postlark.operators import archive, search
+from postlark.operators import archive, search, semantic
 from postlark.plans import corpus
 from postlark.plans.corpus import TOK, C, M
+from postlark.sources import envelopes
 from postlark.sources.mail_files import html_to_text, read_mail
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -324,6 +325,51 @@ def status_counts(spark, d):
     return counts[0].join(counts[1]).join(counts[2])  # one row each
 
 
+@query(f"""WITH {_V}, n AS (SELECT (SELECT count(*) FROM vec) AS stored, (SELECT count(*) FROM c SEMI JOIN vec USING (chunk_id, content_hash)) AS complete, (SELECT count(*) FROM c) AS chunks)
+SELECT 'no identity' AS kind, 'rebuild-required' AS status, stored, complete, chunks - complete AS backlog FROM n
+UNION ALL SELECT 'other embedder', 'rebuild-required', stored, complete, chunks - complete FROM n
+UNION ALL SELECT 'some', CASE WHEN chunks > complete THEN 'interrupted' WHEN stored <> complete THEN 'corrupt' ELSE 'healthy' END, stored, complete, chunks - complete FROM n
+UNION ALL SELECT 'all, and one more', 'corrupt', chunks + 1, chunks, 0 FROM n
+UNION ALL SELECT 'all', 'healthy', chunks, chunks, 0 FROM n
+UNION ALL SELECT 'all, older revision', 'stale', chunks, chunks, 0 FROM n""")
+def semantic_health(spark, d):
+    c = corpus.chunks(spark, d)
+    some, every = _vectors(c), c.select("chunk_id", "content_hash")
+    mine, other = semantic.Identity("mock", "hash", 128, "r1"), semantic.Identity("mock", "hash", 64)
+    cases = {
+        "no identity": (some, None, "r1"), "other embedder": (some, other, "r1"), "some": (some, mine, "r1"),
+        "all, and one more": (every.unionByName(some.where("chunk_id = 'gone'")), mine, "r1"), "all": (every, mine, "r1"), "all, older revision": (every, mine, "r2"),
+    }
+    rows = [semantic.health(c, v, held, mine, revision).withColumn("kind", F.lit(kind)) for kind, (v, held, revision) in cases.items()]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@query(f"WITH {M}, {C} SELECT chunk_id, thread_id, len(content_hash) AS n FROM c WHERE ordinal % 2 = 0 AND mailbox <> 'fr'")
+def import_vectors(spark, d):
+    """Older vectors: those of odd ordinals are of other content, those of one mailbox are no JSON."""
+    c = corpus.chunks(spark, d)
+    older = c.select("chunk_id", F.when(F.col("ordinal") % 2 == 0, F.col("content_hash")).otherwise("old").alias("content_hash"), F.when(F.col("mailbox") == "fr", "[1,").otherwise("[0.5, 1]").alias("vector"))
+    return semantic.import_vectors(older, c).select("chunk_id", "thread_id", F.length("content_hash").alias("n"))
+
+
+@query("SELECT 'ko' AS chunk_id, round(2.0 / 61, 6)::DOUBLE AS score, 1 AS rank")
+def multilingual_rrf(spark, d):
+    """Two lists find the Korean text, the one for all scripts and the Korean one."""
+    held = spark.createDataFrame(SCRIPTS, "chunk_id string, text string")
+    return search.search(held, "계약", 10).select("chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("""SELECT event_id, user_id::VARCHAR AS provider_key FROM events WHERE event_id % 3 <> 0""")
+def envelopes_to_read(spark, d):
+    """Events as a provider's envelopes; every third was read before, under the same policy."""
+    e = corpus.read(spark, d, "events")
+    listed = envelopes.messages(e.select("event_id", F.to_json(F.struct(F.col("user_id").alias("id"), "event_id")).alias("value")), "a", "INBOX")
+    return envelopes.to_read(listed, listed.where("event_id % 3 = 0").withColumn("policy", F.lit("spam")), "spam").select("event_id", "provider_key")
+
+
 @query("SELECT user_id, max(ts) AS ts, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
 def events_incremental(spark, d):
     e = corpus.read(spark, d, "events")

@@ -6,8 +6,9 @@ import duckdb
 import pytest
 
 from postlark.functions.embed import hash_vector
-from postlark.operators import archive, search
+from postlark.operators import archive, search, semantic
 from postlark.plans import mail
+from postlark.sources import envelopes
 from postlark.sources.mail_files import html_text, read_mail, scan, split_mbox
 from postlark.streaming.ingest import Snapshots, stream
 
@@ -28,7 +29,7 @@ def held(rows):
     return sorted(repr(tuple(round(v, 6) if isinstance(v, float) else v for v in r)) for r in rows)
 
 
-FAST = ["ids_make_id", "quoted_split", "chunk_split", "sync_merge_snapshot", "dedup_first_wins", "reconcile_released", "identity_violations", "archive_revision", "bm25_phrase", "vector_topk"]
+FAST = ["ids_make_id", "quoted_split", "chunk_split", "sync_merge_snapshot", "dedup_first_wins", "reconcile_released", "identity_violations", "archive_revision", "bm25_phrase", "vector_topk", "semantic_health", "import_vectors", "multilingual_rrf", "envelopes_to_read"]
 
 
 @pytest.mark.parametrize("name", FAST)
@@ -78,6 +79,48 @@ def test_mail_files(spark, tmp_path):
     assert sum(r.error is not None for r in rows) == 1
 
 
+def test_envelopes_to_messages(spark):
+    rows = [
+        ('{"id":7,"message-id":"m1","from":{"email":"a@x.com"},"to":["b@x.com",{"email":"c@x.com"},{}],"subject":"S","in-reply-to":["p","q"],"labels":["l",1],"date":"2024-01-01"}',),
+        ('{"uid":"u2","from":["d@x.com","e@x.com"],"to":"f@x.com","cc":{"email":"g@x.com"},"snippet":"short"}',),
+        ('{"message-id":"m3","from":5,"to":null,"body":"long","snippet":"short"}',),
+        ("no json",),
+        (None,),
+    ]
+    got = envelopes.messages(spark.createDataFrame(rows, "value string"), "a", "INBOX").collect()
+    assert [(r.provider_key, r.message_id, r.in_reply_to, r.from_address, r.to_addresses, r.cc_addresses, r.text, r.labels) for r in got[:3]] == [
+        ("7", "m1", "p", "a@x.com", ["b@x.com", "c@x.com"], [], "", ["l", "1"]),
+        ("u2", None, None, "d@x.com", ["f@x.com"], ["g@x.com"], "short", []),
+        ("m3", "m3", None, "", [], [], "long", []),
+    ]
+    assert [r.date for r in got[:2]] == ["2024-01-01", envelopes.EPOCH]
+    assert [r.provider_key for r in got[3:]] == [None, None]
+
+
+def test_fixture_files(spark, tmp_path):
+    (tmp_path / "f.json").write_text('[{"accountId":"a","providerKey":"k","to":["x"],\n"attachments":[{"name":"n","mimeType":"text/plain"}]},{}]')
+    got = envelopes.read_fixtures(spark, str(tmp_path / "f.json")).collect()
+    assert [(r.providerKey, r.to, r.attachments and r.attachments[0].name) for r in got] == [("k", ["x"], "n"), (None, None, None)]
+
+
+def test_vector_snapshot(spark):
+    old = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0, 1.0])], "chunk_id string, vector array<double>")
+    new = spark.createDataFrame([("b", [3.0, 4.0])], "chunk_id string, vector array<double>")
+    assert sorted((r.chunk_id, r.vector) for r in semantic.upsert(old, new, 2).collect()) == [("a", [1.0, 2.0]), ("b", [3.0, 4.0])]
+    with pytest.raises(Exception, match="wrong dimension: b"):
+        semantic.upsert(old, new, 3).collect()
+    with pytest.raises(ValueError, match="rebuild"):
+        semantic.Identity("p", "m", 2).require(semantic.Identity("p", "m", 3))
+
+
+def test_health_of_nothing(spark):
+    none = spark.createDataFrame([], "chunk_id string, content_hash string")
+    one = spark.createDataFrame([("a", "h")], "chunk_id string, content_hash string")
+    me = semantic.Identity("p", "m", 2)
+    assert semantic.health(none, none, None, me).first().status == "missing"
+    assert semantic.health(one, none, None, me).first().status == "never-completed"
+
+
 def test_html_text():
     assert html_text("<p>a <b>b</b></p><script>x</script><p>&amp;c") == "a b\n&c"
     assert html_text(None) == ""
