@@ -132,26 +132,28 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     Ranks first, first + 1, ... of a length go to as many sequences from the first
     one on, at that offset.
     """
-    left = {n: c for n, c in histogram.items() if c > 0}
     used: Counter[int] = Counter()
-    lengths = np.array(sorted(left), np.int64)
-    counts = np.array([left[n] for n in lengths.tolist()], np.int64)
+    lengths = np.array(sorted(n for n, c in histogram.items() if c > 0), np.int64)
+    counts = np.array([histogram[n] for n in lengths.tolist()], np.int64)
+    listed = lengths.tolist()
     runs, sequence = [], 0
-    while len(lengths):
-        listed = lengths.tolist()
-        greedy: Counter[int] = Counter()
+    while listed:
+        greedy: Counter[int] = Counter()  # by place among the lengths
         gap, at = capacity, len(listed) - 1
         while at >= 0:
             n = listed[at]
             if take := min(gap // n, int(counts[at])):
-                greedy[n] += take
+                greedy[at] += take
                 gap -= take * n
             at = min(at, bisect_right(listed, gap)) - 1
         final = Counter(greedy)
         if gap:
-            small = min(greedy)
-            free = counts - np.array([greedy[n] - (n == small) for n in listed], np.int64)
-            ok = free > 0
+            least = min(greedy)
+            small = listed[least]
+            free = counts.copy()
+            for i, n in greedy.items():
+                free[i] -= n - (i == least)
+            ok = np.flatnonzero(free > 0)
             pool, many = lengths[ok], free[ok] > 1
             a = pool[pool < gap + small]
             b = np.searchsorted(pool, np.minimum(a, gap + small - a), side="right") - 1
@@ -159,22 +161,24 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
             sums = np.where(b >= 0, a + pool[np.maximum(b, 0)], 0)
             if len(a) and sums.max() > small:
                 best = int(np.argmax(sums))
-                final[small] -= 1
-                final[int(a[best])] += 1
-                final[int(pool[b[best]])] += 1
+                final[least] -= 1
+                final[int(ok[best])] += 1
+                final[int(ok[b[best]])] += 1
                 final = +final
-        need = np.array([[final[n], max(greedy[n], final[n])] for n in listed], np.int64)
-        here = need[:, 0] > 0
-        times = int(((counts[here] - need[here, 1]) // need[here, 0]).min()) + 1
+        times = min((int(counts[i]) - max(greedy[i], n)) // n for i, n in final.items()) + 1
         offset = 0
-        for n in sorted(final, reverse=True):
-            for _ in range(final[n]):
+        for i in sorted(final, reverse=True):
+            n = listed[i]
+            for _ in range(final[i]):
                 runs.append((n, used[n], times, sequence, offset))
                 used[n] += times
                 offset += n
         sequence += times
-        counts = counts - need[:, 0] * times
-        lengths, counts = lengths[counts > 0], counts[counts > 0]
+        for i, n in final.items():
+            counts[i] -= n * times
+        if any(not counts[i] for i in final):
+            lengths, counts = lengths[counts > 0], counts[counts > 0]
+            listed = lengths.tolist()
     return runs
 
 
