@@ -3,11 +3,15 @@
 Two generative models give the rate at which documents contain a hashed n-gram:
 one of target text (documents labelled good), one of raw text (all documents).
 A document's importance weight is the ratio of both over its distinct n-grams.
-N-grams are the first four and five bytes of words (A-Z lower-cased), runs of
-symbols, and marks of how long words keep repeating.
-
-Log ratios are smoothed by `prior` documents and shrunk towards 0 by `shrink`, so
-the many n-grams that both models agree on do not add up with length. A ratio
+N-grams are all words of the whole text (A-Z lower-cased), all pairs of words that
+follow each other, and the sliding pairs and triples of characters of each word
+that has one outside ASCII, as scripts without blanks make one word of a sentence.
+Runs of symbols and marks of how long words keep repeating are added to them.
+
+N-grams are counted in two tables with independent hashes. One counts with the
+smaller of its two log ratios, so what shares a bucket with it in one table does not
+weigh. Log ratios are smoothed by `prior` documents and shrunk towards 0 by `shrink`,
+so the many n-grams that both models agree on do not add up with length. A ratio
 under 1 counts only for n-grams of at least `support` documents labelled bad:
 what no label covers, such as a group of unlabelled copies, says nothing. A
 document's log weight is the sum; documents are drawn without replacement by
@@ -28,31 +32,54 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import stored
-from .wordhash import LOWER, NON_ALNUM, SPACE, U64, mix, slices, split
+from .wordhash import LOWER, NON_ALNUM, SPACE, U64, Words, mix, slices, split
 
-BUCKETS = 1 << 18
+#: Of each of two tables.
+BUCKETS = 1 << 20
+_CHUNK = 1024
 #: Which labels are of target text, as SQL.
 GOOD = "quality = 1 AND coalesce(toxic, 0) = 0"
 #: Everything but symbols of ASCII.
 _NOT_SYMBOL = ~NON_ALNUM | SPACE
 _NOT_SYMBOL[[*range(0x00, 0x20), 0x7F]] = True
-_PREFIXES = (4, 5)
+_CHARS = (2, 3)
 _STREAKS = (4, 8, 16)
+#: The bytes of a character by its first one.
+_OF_LEAD = np.repeat(np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32), (0xC0, 0x20, 0x10, 0x10))
+
 
+def _characters(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The characters, as their bytes, of words with one outside ASCII, and the word of each."""
+    wide = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(words.data >= 0x80)])[np.stack([words.starts, words.ends])], axis=0)[0])
+    lens = words.ends[wide] - words.starts[wide]
+    at = np.arange(lens.sum()) + np.repeat(words.starts[wide] - np.cumsum(lens) + lens, lens)
+    of = np.repeat(wide, lens)
+    lead = (words.data[at] & 0xC0) != 0x80
+    at, of = at[lead], of[lead]
+    held = np.concatenate([LOWER[words.data], np.zeros(3, np.uint8)])
+    four = np.ndarray((len(held) - 3,), np.dtype("<u4"), held, strides=(1,))[at]
+    return (four & _OF_LEAD[words.data[at]]).astype(U64), of
 
-def _features(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, bucket) pairs, sorted."""
+
+def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The text and the hash of each n-gram, repeated ones too."""
     words, symbols = split(column, NON_ALNUM, LOWER), split(column, _NOT_SYMBOL)
     of_word, of_symbol = words.text_of(), symbols.text_of()
     ofs, grams = [of_symbol], [mix(symbols.hashes)]
-    held = np.concatenate([LOWER[words.data], np.zeros(8, np.uint8)])
-    eight = np.ndarray((len(held) - 7,), np.dtype("<u8"), held, strides=(1,))
-    lens = words.ends - words.starts
-    for k in _PREFIXES:
-        long = np.flatnonzero(lens >= k)
-        ofs.append(of_word[long])
-        grams.append(mix((eight[words.starts[long]] & U64((1 << 8 * k) - 1)) ^ U64(k << 60)))
     h = words.hashes
+    ofs.append(of_word)
+    grams.append(h)
+    near = np.flatnonzero(of_word[1:] == of_word[:-1])
+    ofs.append(of_word[near])
+    grams.append(mix(h[near] + mix(h[near + 1])))
+    chars, of_char = _characters(words)
+    for k in _CHARS:
+        at = np.flatnonzero(of_char[k - 1 :] == of_char[: len(of_char) - k + 1])
+        g = np.full(len(at), k, U64)
+        for i in range(k):
+            g = mix(g + chars[at + i])
+        ofs.append(of_word[of_char[at]])
+        grams.append(g)
     again = np.zeros(len(h), bool)
     for back in (1, 2):
         again[back:] |= (h[back:] == h[:-back]) & (of_word[back:] == of_word[:-back])
@@ -61,62 +88,93 @@ def _features(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(streak == k)
         ofs.append(of_word[at])
         grams.append(np.full(len(at), k, U64))
-    both = np.unique(np.concatenate(ofs).astype(np.int64) * buckets + (mix(np.concatenate(grams)) % U64(buckets)).astype(np.int64))
-    return both // buckets, both % buckets
+    return np.concatenate(ofs), mix(np.concatenate(grams))
+
+
+def _distinct(of: np.ndarray, grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's buckets in both tables (2 rows), once for an n-gram."""
+    square = buckets * buckets
+    both = np.sort(of.astype(np.int64) * square + (grams % U64(square)).astype(np.int64))
+    both = both[np.diff(both, prepend=-1) != 0]
+    pair = both % square
+    return both // square, np.stack([pair % buckets, pair // buckets])
 
 
 @dataclass(frozen=True)
 class Ratios:
-    """Log ratio of each bucket, target over raw."""
+    """Log ratio of each bucket, target over raw; a row for each table."""
 
     log: np.ndarray
     sharpness: float
     seed: int
 
 
-def _pack(counts: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
-    here = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(here), kind, np.int32)), pa.array(here.astype(np.int32)), pa.array(counts[here])], names=["kind", "bucket", "n"])
+def _contrast(counts: np.ndarray, n: np.ndarray, prior: float, shrink: float, support: int) -> np.ndarray:
+    """Log ratios by counts of all, good and bad texts."""
+    raw, target, bad = counts
+    log = np.log((target + prior) / (raw * (n[1] / max(n[0], 1.0)) + prior)) if n[1] else np.zeros(len(raw))
+    log = np.sign(log) * np.maximum(np.abs(log) - shrink, 0)
+    log[(log < 0) & (bad < support)] = 0
+    return log
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, good: str = GOOD, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", most_labels: int = 400_000, buckets: int = BUCKETS, prior: float = 2.0, shrink: float = 2.0, support: int = 2, sharpness: float = 12.0, seed: int = 5) -> Ratios:
     """Fits both models: raw text on all documents, target text on good labelled ones.
 
     At most most_labels labels are used, those with the smallest hash of their id,
-    so what is broadcast is bounded. Three counts for each bucket reach the driver.
+    so what is broadcast is bounded. Counts are summed by chunks of buckets on the
+    executors; only log ratios other than 0 reach the driver.
     Labels with null ids are left out; an id with different labels counts as bad.
     Without a good label every document weighs the same.
     """
     rows = labels.select(F.col(label_id).cast("long").alias("id"), F.coalesce(F.expr(good), F.lit(False)).alias("good")).where("id IS NOT NULL")
     drawn = rows.groupBy("id").agg(F.min("good").alias("good")).orderBy(F.xxhash64("id"), "id").limit(most_labels).toArrow().sort_by("id")
+    size = min(_CHUNK, 2 * buckets)
     held = docs.sparkSession.sparkContext.broadcast((drawn["id"].to_numpy(), drawn["good"].to_numpy()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, is_good = held.value
-        counts, n = np.zeros((3, buckets), np.int64), np.zeros(3, np.int64)
+        counts, n = np.zeros((3, 2 * buckets), np.int32), np.zeros(3, np.int64)
         for b in batches:
             for part in slices(b, "text"):
                 ids = part.column("id").to_numpy(zero_copy_only=False)
                 at = np.minimum(np.searchsorted(known, ids), max(len(known) - 1, 0))
                 label = np.where(known[at] == ids, np.where(is_good[at], 1, 2), 0) if len(known) else np.zeros(len(ids), int)
-                of, bucket = _features(part.column("text"), buckets)
+                of, bucket = _distinct(*_grams(part.column("text")), buckets)
                 for kind in range(3):  # all, good, bad
-                    counts[kind] += np.bincount(bucket if kind == 0 else bucket[label[of] == kind], minlength=buckets)
                     n[kind] += len(ids) if kind == 0 else int((label == kind).sum())
-        for kind in range(3):
-            yield from _pack(counts[kind], kind)
-        yield from _pack(n, 3)
+                    mine = bucket if kind == 0 else bucket[:, label[of] == kind]
+                    for t in range(2):
+                        counts[kind, t * buckets : (t + 1) * buckets] += np.bincount(mine[t], minlength=buckets).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([n.tobytes()], pa.binary())], names=["chunk", "counts"])
+        for a in range(0, 2 * buckets, size):
+            if counts[0, a : a + size].any():
+                yield pa.RecordBatch.from_arrays([pa.array([a // size], pa.int32()), pa.array([counts[:, a : a + size].tobytes()], pa.binary())], names=["chunk", "counts"])
 
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sums = texts.mapInArrow(count, "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    raw, target, bad, n = (np.zeros(k) for k in (buckets, buckets, buckets, 3))
-    for kind, to in enumerate((raw, target, bad, n)):
-        here = sums["kind"].to_numpy() == kind
-        to[sums["bucket"].to_numpy()[here]] = sums["n"].to_numpy()[here]
-    log = np.log((target + prior) / (raw * (n[1] / max(n[0], 1.0)) + prior)) if n[1] else np.zeros(buckets)
-    log = np.sign(log) * np.maximum(np.abs(log) - shrink, 0)
-    log[(log < 0) & (bad < support)] = 0
-    return Ratios(log.astype(np.float32), sharpness, seed)
+    sums = stored(texts.mapInArrow(count, "chunk int, counts binary"), "counts")
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_task = np.zeros(3, np.int64)
+        for b in batches:
+            of_task += sum((np.frombuffer(x.as_buffer(), np.int64) for x in b.column(0)), np.zeros(3, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in of_task], names=["a", "g", "b"])
+
+    n = np.array(sums.where("chunk = -1").select("counts").mapInArrow(total, "a long, g long, b long").agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in "agb")).first(), float)
+
+    def contrast(key: tuple[pa.Scalar], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = np.zeros((3, size), np.int64)
+        for b in batches:
+            for x in b.column("counts"):
+                got += np.frombuffer(x.as_buffer(), np.int32).reshape(3, size)
+        log = _contrast(got.astype(float), n, prior, shrink, support)
+        at = np.flatnonzero(log)
+        yield pa.RecordBatch.from_arrays([pa.array((key[0].as_py() * size + at).astype(np.int32)), pa.array(log[at])], names=["bucket", "log"])
+
+    found = sums.where("chunk >= 0").groupBy("chunk").applyInArrow(contrast, "bucket int, log double").toArrow()
+    log = np.zeros(2 * buckets)
+    log[found["bucket"].to_numpy()] = found["log"].to_numpy()
+    return Ratios(log.astype(np.float32).reshape(2, buckets), sharpness, seed)
 
 
 def score(docs: DataFrame, ratios: Ratios, *, keep: dict[str, Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,8 +191,13 @@ def score(docs: DataFrame, ratios: Ratios, *, keep: dict[str, Column], id_col: s
         r = held.value
         for b in batches:
             for part in slices(b, "text"):
-                of, bucket = _features(part.column("text"), len(r.log))
-                w = np.bincount(of, r.log[bucket].astype(np.float64), minlength=part.num_rows).astype(np.float64)  # integers where none has an n-gram
+                of, grams = _grams(part.column("text"))
+                n_buckets = r.log.shape[1]
+                some = np.flatnonzero(r.log[0][(grams % U64(n_buckets)).astype(np.int64)])
+                of, (first, second) = _distinct(of[some], grams[some], n_buckets)
+                x, y = r.log[0][first], r.log[1][second]
+                of_both = np.where(x * y > 0, np.where(np.abs(x) < np.abs(y), x, y), 0)
+                w = np.bincount(of, of_both.astype(np.float64), minlength=part.num_rows).astype(np.float64)  # integers where none has an n-gram
                 u = (mix(part.column("noise").to_numpy().view(U64)) >> U64(11)).astype(np.float64) + 0.5
                 key = r.sharpness * w - np.log(-np.log(u / 2.0**53))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(w), pa.array(key)], names=schema.names)
@@ -171,8 +234,8 @@ def resample(docs: DataFrame, ratios: Ratios, *, k: int | None = None, keep: dic
 
     Rows whose key ties with the k-th are all selected. An empty table gives no rows.
     """
-    scored = score(docs, ratios, keep=keep, **columns)
-    keys = stored(scored.select("log_weight", "gumbel_key"), "keys")
+    scored = stored(score(docs, ratios, keep=keep, **columns), "scored")
+    keys = scored.select("log_weight", "gumbel_key")
     if k is None:
         k = round(keys.agg(F.sum(F.least(F.lit(1.0), F.exp(F.col("log_weight") * ratios.sharpness)))).first()[0] or 0)
     cut = threshold(keys, k) if k > 0 else None
