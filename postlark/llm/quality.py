@@ -10,10 +10,12 @@ Runs of symbols and marks of how long words keep repeating are added to them.
 
 N-grams are counted in two tables with independent hashes. One counts with the
 smaller of its two log ratios, so what shares a bucket with it in one table does not
-weigh. Log ratios are smoothed by `prior` documents and shrunk towards 0 by `shrink`,
-so the many n-grams that both models agree on do not add up with length. A ratio
-under 1 counts only for n-grams of at least `support` documents labelled bad:
-what no label covers, such as a group of unlabelled copies, says nothing. A
+weigh. Log ratios compare rates, so they are alike at every size: they are smoothed
+by `prior` documents, are 0 unless the counts differ by `least` standard deviations
+(a likelihood-ratio test), and are shrunk towards 0 by `margin`, so the many n-grams
+that both models agree on do not add up with length. What is rarer in target text is held against documents
+labelled bad, if there are any: what no label covers, such as a group of unlabelled
+copies, says nothing, and few labels among many documents do not weaken it. A
 document's log weight is the sum; documents are drawn without replacement by
 Gumbel top-k: log weight times `sharpness` plus Gumbel noise from a hash of id
 and text. k is the effective size of the sample, the sum of the weights cut at
@@ -109,16 +111,29 @@ class Ratios:
     seed: int
 
 
-def _contrast(counts: np.ndarray, n: np.ndarray, prior: float, shrink: float, support: int) -> np.ndarray:
-    """Log ratios by counts of all, good and bad texts."""
+def _shrunk(a: np.ndarray, n_a: float, b: np.ndarray, n_b: float, prior: float, least: float, margin: float) -> np.ndarray:
+    """The log ratio of the rates a / n_a and b / n_b, 0 where chance explains it."""
+    log = np.log((a + prior) / (n_a + 2 * prior)) - np.log((b + prior) / (n_b + 2 * prior))
+    rate = (a + b) / (n_a + n_b)
+
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.where(seen > 0, seen, 1) / np.where(seen > 0, expected, 1)), 0)
+
+    test = 2 * (part(a, n_a * rate) + part(b, n_b * rate) + part(n_a - a, n_a * (1 - rate)) + part(n_b - b, n_b * (1 - rate)))
+    return np.where(test >= least * least, np.sign(log) * np.maximum(np.abs(log) - margin, 0), 0)
+
+
+def _contrast(counts: np.ndarray, n: np.ndarray, prior: float, least: float, margin: float) -> np.ndarray:
+    """Log ratios by counts of all, good and bad texts: over 0 of good to all, under 0 of good to bad."""
     raw, target, bad = counts
-    log = np.log((target + prior) / (raw * (n[1] / max(n[0], 1.0)) + prior)) if n[1] else np.zeros(len(raw))
-    log = np.sign(log) * np.maximum(np.abs(log) - shrink, 0)
-    log[(log < 0) & (bad < support)] = 0
-    return log
+    if not n[1]:
+        return np.zeros(len(raw))
+    over = _shrunk(target, n[1], raw, n[0], prior, least, margin)
+    under = _shrunk(target, n[1], bad, n[2], prior, least, margin) if n[2] else over
+    return np.maximum(over, 0) + np.minimum(under, 0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, good: str = GOOD, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", most_labels: int = 400_000, buckets: int = BUCKETS, prior: float = 2.0, shrink: float = 2.0, support: int = 2, sharpness: float = 12.0, seed: int = 5) -> Ratios:
+def fit(docs: DataFrame, labels: DataFrame, *, good: str = GOOD, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", most_labels: int = 400_000, buckets: int = BUCKETS, prior: float = 0.5, least: float = 4.0, margin: float = 2.0, sharpness: float = 12.0, seed: int = 5) -> Ratios:
     """Fits both models: raw text on all documents, target text on good labelled ones.
 
     At most most_labels labels are used, those with the smallest hash of their id,
@@ -167,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, good: str = GOOD, id_col: str = "
         for b in batches:
             for x in b.column("counts"):
                 got += np.frombuffer(x.as_buffer(), np.int32).reshape(3, size)
-        log = _contrast(got.astype(float), n, prior, shrink, support)
+        log = _contrast(got.astype(float), n, prior, least, margin)
         at = np.flatnonzero(log)
         yield pa.RecordBatch.from_arrays([pa.array((key[0].as_py() * size + at).astype(np.int32)), pa.array(log[at])], names=["bucket", "log"])
 
