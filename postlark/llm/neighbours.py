@@ -12,8 +12,9 @@ The tree is fitted on a bounded sample; every row is indexed. Each query first
 searches its own cell, then all cells within the radius at which it would stop.
 Cells over `cell_rows` rows are split by a hash of the id, and queries of a cell
 go in blocks of `query_rows`, so no task holds more, wherever the rows crowd.
-Of equal vectors in a batch only the k + 1 smallest ids can be a result; the
-others are dropped while indexing, which is exact.
+Of equal vectors in a batch only the k + 1 smallest distinct ids can be a result;
+the others, and rows that repeat an id and its vector, are dropped while indexing,
+which is exact.
 """
 
 from __future__ import annotations
@@ -184,6 +185,9 @@ def neighbours(df: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_c
             order = np.lexsort((ids, *x.T[::-1]))
             new = np.ones(len(order), bool)
             new[1:] = (x[order[1:]] != x[order[:-1]]).any(1)
+            again = np.zeros(len(order), bool)
+            again[1:] = ~new[1:] & (ids[order[1:]] == ids[order[:-1]])
+            order, new = order[~again], new[~again]
             first = np.flatnonzero(new)
             nth = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
             keep = np.sort(order[nth <= k])
