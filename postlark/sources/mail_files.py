@@ -150,8 +150,13 @@ def read_mail(files: DataFrame) -> DataFrame:
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """path, modificationTime, length, content of every mail file below a folder."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{eml,mbox,mbx,EML,MBOX,MBX}").load(path)
+    """path, modificationTime, length, content of every mail file below a folder.
+
+    Mail files end in .eml, .mbox or .mbx in any case, or are the `mbox` of a bundle `X.mbox`.
+    """
+    names = "{*.[eE][mM][lL],*.[mM][bB][oO][xX],*.[mM][bB][xX],mbox}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(path)
+    return files.where(~F.col("path").endswith("/mbox") | F.col("path").rlike(r"(?i)[^/]\.mbox/mbox$"))
 
 
 def changed(scanned: DataFrame, known: DataFrame) -> DataFrame:
