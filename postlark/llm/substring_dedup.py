@@ -11,12 +11,15 @@ Before anything travels:
 * texts with the same words are one class; all but the copy with the smallest
   id are covered completely, so only that one goes on;
 * a minimiser that occurs in one class alone cannot have a repeated window. This
-  is found on pairs of (minimiser, class) without any text.
-
-A minimiser in more than `hot` classes would make an unbounded bucket. Its
-windows are dealt out one by one by their 128-bit hash instead, aggregated
-before and after the shuffle, and joined back by hash and class, which Spark can
-split where it is skewed.
+  is found on the smallest and largest class of each minimiser, which tasks
+  combine before the shuffle, without any text.
+
+A minimiser with more than `hot` super-k-mers has its bucket split by a hash of
+class and place. Each part sorts and compares its windows in the same way; what
+loses there has lost, and of the others each different window goes on once for
+each part, to be compared as text with those of the other parts. So neither a
+passage that a third of all documents share nor a text that repeats one passage
+makes a large bucket, and no window is left out.
 """
 
 from __future__ import annotations
@@ -27,10 +30,9 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import partitions, stored
+from .shared import discard, fresh, partitions, row_key, stored
 from .wordhash import U64, Words, fold_all, mix, shingles, signed, slices, sliding_min, split, windows
 
 _CUT = 64  # windows in a super-k-mer at most; equal windows still share a bucket
@@ -52,139 +54,158 @@ def _minimisers(h: np.ndarray, window: int, k: int) -> np.ndarray:
 
 
 def _class(h: np.ndarray) -> tuple[int, int]:
-    """A 128-bit hash of a word sequence as two signed longs."""
+    """A 128-bit hash of a word sequence as two signed longs; the first alone goes with minimisers."""
     a, b = fold_all(h, 1), fold_all(h, 2)
     return a - (1 << 64) * (a >> 63), b - (1 << 64) * (b >> 63)
 
 
+def _runs(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each run of windows with one minimiser."""
+    cut = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]])) if len(m) else np.zeros(0, np.int64)
+    return cut, np.append(cut[1:], len(m))
+
+
 def _info(df: DataFrame) -> DataFrame:
     """Each row's number of words, class and digest of its words."""
+    names = ["doc_id", "r1", "r2", "n_words", "c1", "c2", "sha"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b, "text"):
                 w = split(part.column("text"))
                 cls, sha = [], []
-                for i in range(part.num_rows):
-                    a, z = w.first[i], w.first[i + 1]
+                for a, z in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
                     cls.append(_class(w.hashes[a:z]))
                     sha.append(sha256(_joined(w, a, z)).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(w.counts(), pa.int64()), pa.array([x[0] for x in cls], pa.int64()), pa.array([x[1] for x in cls], pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "row", "n_words", "c1", "c2", "sha"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:3]), pa.array(w.counts(), pa.int64()), *(pa.array([x[i] for x in cls], pa.int64()) for i in (0, 1)), pa.array(sha, pa.string())], names=names)
 
-    return df.mapInArrow(run, "doc_id long, row long, n_words long, c1 long, c2 long, sha string")
+    return df.mapInArrow(run, "doc_id long, r1 long, r2 long, n_words long, c1 long, c2 long, sha string")
 
 
 def _grams(df: DataFrame, window: int, k: int) -> DataFrame:
-    """Pairs of (minimiser, class), distinct in a text."""
+    """For each text its distinct minimisers, its class and how many super-k-mers each one makes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             for part in slices(b, "text"):
                 w = split(part.column("text"))
-                out, cls = [], []
-                for i in range(part.num_rows):
-                    h = w.hashes[w.first[i] : w.first[i + 1]]
-                    if len(h) >= window:
-                        m = np.unique(_minimisers(h, window, k))
-                        out.append(m)
-                        cls.append(np.full(len(m), _class(h)[0], np.int64))
-                m, c = (np.concatenate(out), np.concatenate(cls)) if out else (np.zeros(0, U64), np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(m)), pa.array(c)], names=["m", "c1"])
+                out, cls, n = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for a, z in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+                    if z - a < window or (c := _class(w.hashes[a:z]))[0] in seen:
+                        continue
+                    if len(seen) < 1 << 20:  # copies that it misses are combined later
+                        seen.add(c[0])
+                    m = _minimisers(w.hashes[a:z], window, k)
+                    begin, end = _runs(m)
+                    of, at = np.unique(m[begin], return_inverse=True)
+                    out.append(of)
+                    n.append(np.bincount(at, -(-(end - begin) // _CUT), minlength=len(of)).astype(np.int64))
+                    cls.append(np.full(len(of), c[0], np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(out))), pa.array(np.concatenate(cls)), pa.array(np.concatenate(n).astype(np.int32))], names=["m", "c1", "n"])
+
+    return df.select("text").mapInArrow(run, "m long, c1 long, n int")
 
-    return df.select("text").mapInArrow(run, "m long, c1 long")
+
+_PACKED = "m long, s int, parts int, packed binary, doc_id long, c1 long, c2 long, start int, n int"
 
 
 def _super(df: DataFrame, window: int, k: int) -> DataFrame:
-    """The super-k-mers of texts with minimisers in `cold`, single windows for those in `hot`."""
+    """The super-k-mers of texts with minimisers in `flags`."""
+    names = [x.split()[0] for x in _PACKED.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["m", "w2", "packed", "doc_id", "c1", "c2", "start", "n"]
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         for b in batches:
             for part in slices(b, "text", 1 << 20):
                 w = split(part.column("text"))
-                cold, hot, ids, c1, c2 = (part.column(x).to_pylist() for x in ("cold", "hot", "doc_id", "c1", "c2"))
+                flags, ids, c1, c2 = (part.column(x).to_pylist() for x in ("flags", "doc_id", "c1", "c2"))
                 rows: list[tuple] = []
                 for i in range(part.num_rows):
                     a = int(w.first[i])
-                    h = w.hashes[a : w.first[i + 1]]
-                    m = signed(_minimisers(h, window, k))
-                    at = np.flatnonzero(np.diff(m, prepend=m[0] - 1 if len(m) else 0))
-                    ends = np.append(at[1:], len(m))
-                    for kind, mine in ((0, cold[i]), (1, hot[i])):
-                        if not mine:
-                            continue
-                        for p, z in zip(*(x[np.isin(m[at], np.array(mine, np.int64))].tolist() for x in (at, ends)), strict=True):
-                            if kind:
-                                x, y = windows(h[p : z + window - 1], window), windows(mix(h[p : z + window - 1]), window)
-                                rows += [(u, v, None, ids[i], c1[i], c2[i], p + j, 1) for j, (u, v) in enumerate(zip(signed(x).tolist(), signed(y).tolist(), strict=True))]
-                            else:
-                                rows += [(int(m[q]), None, _joined(w, a + q, a + min(q + _CUT, z) + window - 1), ids[i], c1[i], c2[i], q, min(q + _CUT, z) - q) for q in range(p, z, _CUT)]
+                    m = signed(_minimisers(w.hashes[a : w.first[i + 1]], window, k))
+                    wanted = {f["m"]: f["parts"] for f in flags[i]}
+                    keys = np.array(sorted(wanted), np.int64)
+                    begin, end = _runs(m)
+                    mine = np.isin(m[begin], keys)
+                    begin, end = begin[mine], end[mine]
+                    times = -(-(end - begin) // _CUT)
+                    q = np.repeat(begin, times) + _CUT * (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
+                    n = np.minimum(np.repeat(end, times) - q, _CUT)
+                    parts = np.array([wanted[x] for x in m[q].tolist()], np.int64)
+                    s = (mix(q.astype(U64) + U64(c1[i] & 0xFFFFFFFFFFFFFFFF)) % parts.astype(U64)).tolist()
+                    rows += [(x, y, z, _joined(w, a + p, a + p + g + window - 1), ids[i], c1[i], c2[i], p, g) for x, y, z, p, g in zip(m[q].tolist(), s, parts.tolist(), q.tolist(), n.tolist(), strict=True)]
                     if len(rows) > 20_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                         rows = []
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return df.mapInArrow(run, "m long, w2 long, packed binary, doc_id long, c1 long, c2 long, start int, n int")
-
-
-def _sorted_out(bucket: list[tuple], window: int) -> Iterator[tuple[int, int, int, int]]:
-    """Of one bucket's super-k-mers: word ranges whose windows a smaller document has."""
-    of, at, text = [], [], []
-    for i, (packed, _, _, _, _, n) in enumerate(bucket):
-        ends = np.append(np.flatnonzero(np.frombuffer(packed, np.uint8) == 32), len(packed)).tolist()
-        begins = [0, *(e + 1 for e in ends)]
-        for j in range(n):
-            of.append(i)
-            at.append(j)
-            text.append(packed[begins[j] : ends[j + window - 1]])
-    order = sorted(range(len(text)), key=text.__getitem__)
-    gone, a = [], 0
-    while a < len(order):
-        z = a + 1
-        while z < len(order) and text[order[z]] == text[order[a]]:
-            z += 1
-        if z - a > 1:
-            least = min(bucket[of[x]][1] for x in order[a:z])
-            gone += [x for x in order[a:z] if bucket[of[x]][1] > least]
-        a = z
-    gone.sort()
-    a = 0
-    while a < len(gone):  # neighbours of one super-k-mer as one range
-        z = a + 1
-        while z < len(gone) and gone[z] == gone[z - 1] + 1 and of[gone[z]] == of[gone[a]]:
-            z += 1
-        _, _, c1, c2, start, _ = bucket[of[gone[a]]]
-        yield c1, c2, start + at[gone[a]], start + at[gone[z - 1]] + window
-        a = z
-
-
-def _buckets(df: DataFrame, window: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, bucket, out = None, [], []
-
-        def done() -> None:
-            if len(bucket) > 1:
-                out.extend(_sorted_out(bucket, window))
-
-        def flush() -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["c1", "c2", "from", "to"])
+    return df.mapInArrow(run, _PACKED)
+
+
+def _sorted_out(rows: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
+    """Of whole buckets: word ranges whose windows a smaller document has, and the other windows of split ones."""
+    packed = rows.column("packed").combine_chunks()
+    m, s, parts, doc, c1, c2, start, n = (rows.column(x).to_numpy() for x in ("m", "s", "parts", "doc_id", "c1", "c2", "start", "n"))
+    w = split(packed.cast(pa.string()))
+    raw = w.data.tobytes()
+    of = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    word = w.first[of] + at
+    key = windows(w.hashes, window)[word]
+    order = np.lexsort((at, doc[of], key, s[of], m[of]))
+    of, at, word, key = of[order], at[order], word[order], key[order]
+    begins, ends = w.starts[word], w.ends[word + window - 1]
+    new = np.ones(len(of), bool)
+    new[1:] = (key[1:] != key[:-1]) | (m[of[1:]] != m[of[:-1]]) | (s[of[1:]] != s[of[:-1]])
+    cut = np.flatnonzero(new)
+    size = np.diff(np.append(cut, len(of)))
+    lost = np.zeros(len(of), bool)
+    for a, many in zip(cut[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+        first: dict[bytes, int] = {}  # compared as text; hashes only put them in order
+        for i, x, y, d in zip(range(a, a + many), begins[a : a + many].tolist(), ends[a : a + many].tolist(), doc[of[a : a + many]].tolist(), strict=True):
+            least = first.setdefault(raw[x:y], d)
+            lost[i] = d > least
+    gone = np.flatnonzero(lost)
+    gone = gone[np.lexsort((at[gone], of[gone]))]
+    joins = np.zeros(len(gone), bool)
+    joins[1:] = (of[gone[1:]] == of[gone[:-1]]) & (at[gone[1:]] == at[gone[:-1]] + 1)
+    begin = np.flatnonzero(~joins)
+    end = np.append(begin[1:], len(gone)) - 1
+    i, z = gone[begin], gone[end] if len(gone) else gone
+    none = len(i)
+    yield pa.RecordBatch.from_arrays([pa.array(c1[of[i]]), pa.array(c2[of[i]]), pa.array((start[of[i]] + at[i]).astype(np.int32)), pa.array((start[of[z]] + at[z] + window).astype(np.int32)), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary())], names=_FOUND)
+    left = np.flatnonzero(~lost & (parts[of] > 1))
+    for x in range(0, len(left), 20_000):
+        i = left[x : x + 20_000]
+        texts = [raw[y:z] for y, z in zip(begins[i].tolist(), ends[i].tolist(), strict=True)]
+        begin = (start[of[i]] + at[i]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(c1[of[i]]), pa.array(c2[of[i]]), pa.array(begin), pa.array(begin + np.int32(window)), pa.array(doc[of[i]]), pa.array(texts, pa.binary())], names=_FOUND)
+
+
+_FOUND = ["c1", "c2", "from", "to", "doc_id", "win"]
+
+
+def _buckets(df: DataFrame, window: int, rows: int = 5000) -> DataFrame:
+    """Rows (c1, c2, from, to) that are lost, and with win and doc_id the windows of split buckets that are not."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            for m, *rest in zip(*(b.column(c).to_pylist() for c in ("m", "packed", "doc_id", "c1", "c2", "start", "n")), strict=True):
-                if m != key:
-                    done()
-                    key, bucket = m, []
-                bucket.append(tuple(rest))
-            if len(out) > 50_000:
-                yield flush()
-                out = []
-        done()
-        yield flush()
+            for x in range(0, b.num_rows, rows):
+                part = b.slice(x, rows)
+                m, s = (part.column(c).to_numpy() for c in ("m", "s"))
+                last = int(np.flatnonzero((m != m[-1]) | (s != s[-1]))[-1]) + 1 if ((m != m[-1]) | (s != s[-1])).any() else 0
+                done = held and (held[-1].column("m")[-1].as_py(), held[-1].column("s")[-1].as_py()) != (int(m[-1]), int(s[-1]))
+                if last or done:
+                    yield from _sorted_out(pa.Table.from_batches([*held, *([part.slice(0, last)] if last else [])]), window)
+                    held = []
+                held.append(part.slice(last))
+        if held:
+            yield from _sorted_out(pa.Table.from_batches(held), window)
 
-    return df.mapInArrow(run, "c1 long, c2 long, from int, to int")
+    return df.mapInArrow(run, "c1 long, c2 long, from int, to int, doc_id long, win binary")
 
 
 def _merge(ranges: F.Column) -> F.Column:
@@ -202,11 +223,12 @@ def _merge(ranges: F.Column) -> F.Column:
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50, k: int = 12, hot: int = 2000) -> tuple[DataFrame, DataFrame]:
     """What each row loses: (info, ranges).
 
-    info has a row for each row of docs: doc_id, row (a hash of id and text),
-    n_words, sha (of its words), c1 and c2 (its class), first_id (the smallest id
-    of its class). ranges has for classes whose first copy loses words: c1, c2 and
-    `gone`, the sorted, merged word ranges that are removed from that copy; every
-    other copy with a larger id and at least `window` words loses all words.
+    info has a row for each row of docs: doc_id, r1 and r2 (a 128-bit hash of id
+    and text), n_words, sha (of its words), c1 and c2 (its class), first (doc_id,
+    r1 and r2 of its class's row with the smallest id). ranges has for classes
+    whose first copy loses words: c1, c2 and `gone`, the sorted, merged word ranges
+    that are removed from that copy; every other copy with a larger id and at least
+    `window` words loses all words.
 
     Null texts have no words. Rows with a null id neither lose words nor count as
     a source. Rows with equal ids are one document: none of them takes from the
@@ -214,27 +236,32 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     n_parts = partitions(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
+    r1, r2 = row_key(id_col, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), r1.alias("r1"), r2.alias("r2"))
     info = stored(_info(rows), "words")
-    classes = info.groupBy("c1", "c2").agg(F.min("doc_id").alias("first_id"), F.max("n_words").alias("n_words"))
-    firsts = info.join(classes.select("c1", "c2", "first_id"), ["c1", "c2"]).where("doc_id = first_id AND n_words >= 0").groupBy("c1", "c2").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id"))
-
-    by = W.partitionBy("m")
-    pairs = _grams(rows.where("doc_id IS NOT NULL"), window, k).repartition(n_parts, "m")
-    pairs = pairs.withColumn("before", F.lag("c1").over(by.orderBy("c1"))).where("before IS NULL OR before != c1")
-    shared = pairs.withColumn("n", F.count("*").over(by)).where("n > 1")
-    flags = shared.groupBy("c1").agg(F.collect_list(F.when(F.col("n") <= hot, F.col("m"))).alias("cold"), F.collect_list(F.when(F.col("n") > hot, F.col("m"))).alias("hot"))
-    flagged = firsts.join(flags, "c1").select("row", "c1", "c2", "cold", "hot")
-    held = stored(rows.join(flagged, "row").select("doc_id", "text", "c1", "c2", "cold", "hot"), "flagged")
-
-    parts = _super(held.where("size(cold) > 0").withColumn("hot", F.array().cast("array<long>")), window, k)
-    cold = _buckets(parts.repartition(n_parts, "m").sortWithinPartitions("m"), window)
-    single = _super(held.where("size(hot) > 0").withColumn("cold", F.array().cast("array<long>")), window, k).select("m", "w2", "doc_id", "c1", "c2", "start")
-    least = single.groupBy("m", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    ranges = single.join(least, ["m", "w2"]).where("doc_id > least").select("c1", "c2", F.col("start").alias("from"), (F.col("start") + window).alias("to"))
-    gone = cold.unionByName(ranges).groupBy("c1", "c2").agg(_merge(F.collect_list(F.struct("from", "to"))).alias("gone"))
-    return info.join(classes.select("c1", "c2", "first_id"), ["c1", "c2"], "left"), stored(gone, "ranges")
+    classes = info.where("doc_id IS NOT NULL").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "r1", "r2")).alias("first"), F.max("n_words").alias("n"))
+
+    pairs = stored(_grams(rows.where("doc_id IS NOT NULL"), window, k), "minimisers")
+    total = pairs.groupBy("m").agg(F.min("c1").alias("a"), F.max("c1").alias("b"), F.sum("n").alias("n"))
+    shared = total.where("a < b").select("m", F.ceil(F.col("n") / hot).cast("int").alias("parts"))
+    doubtful = classes.groupBy("c1").count().where("count > 1").select("c1")  # one first long for several classes
+    every = pairs.join(doubtful, "c1", "left_semi").select("m").distinct().join(total, "m").select("m", F.ceil(F.col("n") / hot).cast("int").alias("parts"))
+    flags = pairs.join(shared.union(every).distinct(), "m").groupBy("c1").agg(F.collect_set(F.struct("m", "parts")).alias("flags"))
+    flagged = classes.where(F.col("n") >= window).join(flags, "c1").select("c1", "c2", "first.r1", "first.r2", "flags")
+    texts = stored(rows.join(flagged, ["r1", "r2"]).select("doc_id", "text", "c1", "c2", "flags"), "flagged")
+    discard(pairs)
+
+    found = stored(_buckets(_super(texts, window, k).repartition(n_parts, "m", "s").sortWithinPartitions("m", "s"), window), "sorted")
+    discard(texts)
+    winners = found.where("win IS NOT NULL").withColumns({"h1": F.xxhash64("win"), "h2": F.xxhash64(F.lit(7), "win")})
+    met = winners.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h1", "h2")
+    again = winners.join(met, ["h1", "h2"], "left_semi")
+    least = again.groupBy("win").agg(F.min("doc_id").alias("least"))
+    more = again.join(least, "win").where("doc_id > least").select("c1", "c2", "from", "to")
+    lost = found.where("win IS NULL").select("c1", "c2", "from", "to").union(more)
+    gone = stored(lost.groupBy("c1", "c2").agg(_merge(F.collect_set(F.struct("from", "to"))).alias("gone")), "ranges")
+    discard(found)
+    return info.join(classes.select("c1", "c2", "first"), ["c1", "c2"], "left"), gone
 
 
 def _kept(w: Words, i: int, gone: list[dict]) -> tuple[int, bytes]:
@@ -265,15 +292,24 @@ def _cut_texts(df: DataFrame) -> DataFrame:
     return df.select(*rest, "text", "gone").mapInArrow(run, f"{kinds}, n_removed long, kept string")
 
 
+def _loses_all(window: int) -> F.Column:
+    return F.coalesce((F.col("doc_id") > F.col("first.doc_id")) & (F.col("n_words") >= window), F.lit(False))
+
+
 def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50, **options) -> DataFrame:
-    """For each row: doc_id, n_words, n_removed, kept_sha256 (of the words kept)."""
+    """For each row: doc_id, n_words, n_removed, kept_sha256 (of the words kept).
+
+    Nulls, ties, repeated rows and empty tables are as repeats() says; other columns
+    are not read, so their names cannot clash.
+    """
     info, gone = repeats(docs, id_col=id_col, text_col=text_col, window=window, **options)
-    texts = docs.select(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("row"), F.col(text_col).cast("string").alias("text"))
+    r1, r2 = row_key(id_col, text_col)
+    texts = docs.select(r1.alias("r1"), r2.alias("r2"), F.col(text_col).cast("string").alias("text"))
     # Only the first copies that lose words are read again.
-    owners = info.where("doc_id = first_id").join(gone, ["c1", "c2"]).groupBy("c1", "c2").agg(F.min("row").alias("row"), F.first("gone").alias("gone"))
-    cut = _cut_texts(texts.join(owners, "row").select("c1", "c2", "text", "gone")).select("c1", "c2", "n_removed", F.sha2("kept", 256).alias("cut_sha")).dropDuplicates(["c1", "c2"])
-    whole = (F.col("doc_id") > F.col("first_id")) & (F.col("n_words") >= window)
-    mine = F.coalesce((F.col("doc_id") == F.col("first_id")) & F.col("n_removed").isNotNull(), F.lit(False))
+    owners = info.where("doc_id = first.doc_id").select("c1", "c2", "first.r1", "first.r2").distinct().join(gone, ["c1", "c2"])
+    cut = _cut_texts(texts.join(owners, ["r1", "r2"]).select("c1", "c2", "text", "gone")).select("c1", "c2", "n_removed", F.sha2("kept", 256).alias("cut_sha")).dropDuplicates(["c1", "c2"])
+    whole = _loses_all(window)
+    mine = F.coalesce((F.col("doc_id") == F.col("first.doc_id")) & F.col("n_removed").isNotNull(), F.lit(False))
     return info.join(cut, ["c1", "c2"], "left").select(
         "doc_id",
         "n_words",
@@ -286,16 +322,17 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     """docs without repeated windows: a row's text is what is left of it.
 
     Rows that lose no word stay as they are; the others' words are joined by one
-    space. Rows that lose every word go.
+    space. Rows that lose every word go. Columns may have any names.
     """
     info, gone = repeats(docs, id_col=id_col, text_col=text_col, window=window, **options)
-    whole = (F.col("doc_id") > F.col("first_id")) & (F.col("n_words") >= window)
-    state = info.where(F.coalesce(whole, F.lit(False)) | F.coalesce(F.col("doc_id") == F.col("first_id"), F.lit(False))).join(gone, ["c1", "c2"], "left")
-    state = state.select("row", whole.alias("whole"), F.when(~whole, F.col("gone")).alias("gone")).where("whole OR gone IS NOT NULL").groupBy("row").agg(F.max("whole").alias("whole"), F.first("gone", True).alias("gone"))
-    key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    left = docs.withColumn("__row", key).join(state.withColumnRenamed("row", "__row"), "__row", "left").where("NOT coalesce(whole, false)").drop("whole")
+    whole = _loses_all(window)
+    mine = F.coalesce(F.col("doc_id") == F.col("first.doc_id"), F.lit(False))
+    state = info.where(whole | mine).join(gone, ["c1", "c2"], "left").select("r1", "r2", whole.alias("whole"), F.when(~whole, F.col("gone")).alias("gone")).where("whole OR gone IS NOT NULL").dropDuplicates(["r1", "r2"])
+    k1, k2, all_of_it, ranges = fresh(docs.columns, "r1", "r2", "whole", "gone")
+    keys = row_key(id_col, text_col)
+    left = docs.withColumns({k1: keys[0], k2: keys[1]}).join(state.toDF(k1, k2, all_of_it, ranges), [k1, k2], "left").where(~F.coalesce(F.col(all_of_it), F.lit(False)))
     columns = docs.columns
-    as_is = left.where("gone IS NULL").select(*columns)
-    renamed = left.where("gone IS NOT NULL").select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(columns) if c != text_col), F.col(text_col).cast("string").alias("text"), "gone")
+    as_is = left.where(F.col(ranges).isNull()).select(*columns)
+    renamed = left.where(F.col(ranges).isNotNull()).select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(columns) if c != text_col), F.col(text_col).cast("string").alias("text"), F.col(ranges).alias("gone"))
     cut = _cut_texts(renamed).where("kept != ''")
     return as_is.unionByName(cut.select(*(F.col("kept" if c == text_col else f"k{i}").alias(c) for i, c in enumerate(columns))))
