@@ -29,7 +29,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = toolcalls.from_turns(table(spark, sf_dir, "conversations"))
+    calls, results = toolcalls.from_conversations(table(spark, sf_dir, "conversations"))
     return toolcalls.link(calls, results, toolcalls.TURN_SCHEMAS).withColumn("errors", F.array_join("errors", "; "))
 
 
@@ -70,16 +70,22 @@ cg AS (
   SELECT conv_id, call_id, turn, count(*) AS n_calls, min(name) AS name, min(text) AS text, count(DISTINCT name || chr(0) || coalesce(text, chr(0))) > 1 AS cd FROM c GROUP BY ALL),
 r AS (
   SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, turn, text AS content FROM conversations WHERE role = 'assistant'),
+g AS (
+  SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM (SELECT DISTINCT conv_id, turn FROM c)),
+i AS (
+  SELECT conv_id, turn, count(*) FILTER (before IS NULL OR turn - before > 2) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM g),
+lv AS (
+  SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id, island ORDER BY turn) - 1)::INT AS level FROM i),
 rg AS (
   SELECT conv_id, call_id, min(turn) AS rturn, count(*) AS n_results, min(content) AS content, count(DISTINCT content) > 1 AS rd FROM r GROUP BY ALL)
-SELECT coalesce(cg.conv_id, rg.conv_id) AS conv_id, coalesce(cg.call_id, rg.call_id) AS call_id, coalesce(turn, rturn) AS turn, name, 0 AS level,
+SELECT coalesce(cg.conv_id, rg.conv_id) AS conv_id, coalesce(cg.call_id, rg.call_id) AS call_id, coalesce(turn, rturn) AS turn, name, coalesce(level, 0) AS level,
        coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
        CASE WHEN n_calls IS NULL THEN 'orphan' WHEN coalesce(cd, false) OR coalesce(rd, false) THEN 'ambiguous'
             WHEN text IS NULL OR name NOT IN ('user', 'system') THEN 'invalid' WHEN n_results IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
        CASE WHEN n_calls IS NULL THEN '' WHEN name NOT IN ('user', 'system') THEN 'unknown tool' WHEN text IS NULL THEN 'missing text' ELSE '' END AS errors,
        CASE WHEN n_calls IS NOT NULL THEN '{"arguments":{' || CASE WHEN text IS NULL THEN '' ELSE '"text":' || to_json(text) || ',' END || '"turn":' || turn || '},"id":"' || cg.call_id || '","name":' || to_json(name)
          || CASE WHEN content IS NULL THEN '' ELSE ',"result":' || to_json(content) END || '}' END AS json
-FROM cg FULL JOIN rg ON cg.conv_id = rg.conv_id AND cg.call_id = rg.call_id
+FROM (SELECT cg.*, level FROM cg LEFT JOIN lv USING (conv_id, turn)) cg FULL JOIN rg ON cg.conv_id = rg.conv_id AND cg.call_id = rg.call_id
 """,
     "op5_url_filters": r"""
 WITH u AS (

@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import discard, stored
 
 #: Tool name -> argument -> (JSON type, whether it is required).
 Schemas = Mapping[str, Mapping[str, tuple[str, bool]]]
@@ -41,26 +41,47 @@ def _errors(schemas: Schemas) -> Column:
 
 
 def _levels(calls: DataFrame) -> DataFrame:
-    """Kahn's rounds over `after`: conv_id, call_id, level; calls on or behind a cycle have none.
+    """The longest path of `after` to each call: conv_id, call_id, level; calls on or behind a cycle have none.
 
     Only calls that name another one, or are named, take part; the rest have level 0.
+    A call that needs one other call alone follows it by pointer doubling, in rounds
+    that grow with the logarithm of a chain, to the first call that needs none or
+    several. Those that need several go by Kahn's rounds over what is left.
     """
-    keys = ["conv_id", "call_id"]
-    known = calls.select(*keys)
-    edges = calls.select(*keys, F.explode("after").alias("needs")).distinct()
-    edges = edges.join(known.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_semi")
-    edges, done, level = stored(edges, "needs"), None, 0
-    left = stored(edges.select(*keys).union(edges.select("conv_id", "needs")).distinct(), "calls")
-    while not left.isEmpty():
-        ready = stored(left.join(edges, keys, "left_anti").withColumn("level", F.lit(level)), "ready")
+    keys, node = ["conv_id", "call_id"], F.struct("conv_id", "call_id")
+    known = calls.select("conv_id", F.col("call_id").alias("needs")).distinct()
+    edges = calls.select(*keys, F.explode("after").alias("needs")).distinct().join(known, ["conv_id", "needs"], "left_semi")
+    edges = stored(edges.select(node.alias("x"), F.struct("conv_id", F.col("needs").alias("call_id")).alias("to")), "needs")
+    n = edges.groupBy("x").agg(F.count("*").alias("n"), F.min("to").alias("to"))
+    single = n.where("n = 1").select("x", "to")
+    ends = single.select(F.col("x").alias("to"), F.lit(False).alias("end"))
+    walk = stored(single.join(ends, "to", "left").select("x", "to", F.lit(1).alias("d"), F.coalesce("end", F.lit(True)).alias("end")), "walk")
+    left = before = None
+    while left != 0 and (before is None or left < before):
+        before, left = left, walk.where("NOT end").count()
+        if left:
+            step = walk.select(F.col("x").alias("to"), F.col("to").alias("to2"), F.col("d").alias("d2"), F.col("end").alias("end2"))
+            more = walk.where("NOT end").join(step, "to").select("x", F.col("to2").alias("to"), (F.col("d") + F.col("d2")).alias("d"), F.col("end2").alias("end"))
+            last, walk = walk, stored(walk.where("end").unionByName(more), "walk")
+            discard(last)
+    ended = walk.where("end").select("x", "to", "d")  # the others run in a circle
+    several = edges.join(n.where("n > 1").select("x"), "x", "left_semi")
+    several = stored(several.join(walk.select(F.col("x").alias("to"), F.col("to").alias("root"), "d", "end"), "to", "left").select("x", F.when(F.col("end"), F.col("root")).when(F.col("end").isNull(), F.col("to")).alias("root"), (F.coalesce("d", F.lit(0)) + 1).alias("d")), "merges")
+    roots = edges.select(F.col("to").alias("x")).distinct().join(n.select("x"), "x", "left_anti").withColumn("level", F.lit(0))
+    level = stored(roots, "levels")
+    waiting = stored(several.select("x").distinct(), "waiting")
+    while not waiting.isEmpty():
+        open_edges = several.join(waiting, "x", "left_semi").join(level.select(F.col("x").alias("root"), "level"), "root", "left")
+        ready = open_edges.groupBy("x").agg(F.max(F.col("level") + F.col("d")).alias("level"), F.count_if(F.col("level").isNull()).alias("open")).where("open = 0").select("x", "level")
+        ready = stored(ready, "ready")
         if ready.isEmpty():
-            left = left.withColumn("level", F.lit(None).cast("int"))
-            return left if done is None else done.union(left)
-        done = ready if done is None else done.union(ready)
-        left = stored(left.join(ready, keys, "left_anti"), "calls")
-        edges = stored(edges.join(ready.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_anti"), "needs")
-        level += 1
-    return left.withColumn("level", F.lit(0)) if done is None else done
+            break
+        last, waiting = waiting, stored(waiting.join(ready, "x", "left_anti"), "waiting")
+        discard(last)
+        level = level.unionByName(ready)
+    chained = ended.join(level.select(F.col("x").alias("to"), "level"), "to", "left").select("x", (F.col("level") + F.col("d")).alias("level"))
+    circles = walk.where("NOT end").select("x").union(waiting).withColumn("level", F.lit(None).cast("int"))
+    return level.unionByName(chained).unionByName(circles).select("x.conv_id", "x.call_id", "level")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
@@ -140,9 +161,22 @@ TURN_SCHEMAS: Schemas = {role: {"text": ("string", True), "turn": ("integer", Tr
 def from_turns(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Reads plain conversations as calls: each turn not by the assistant calls the tool named by its role.
 
-    The assistant's turn n answers the call of turn n - 1.
+    The assistant's turn n answers the call of turn n - 1. A call needs the one of the
+    turn before it or, if that one is no call, of the turn before that.
     """
     ident = lambda t: F.concat_ws(":", F.col("conv_id").cast("string"), t.cast("string"))
     answer = F.coalesce(F.col("role") == "assistant", F.lit(False))
-    calls = df.where(~answer).select("conv_id", ident(F.col("turn")).alias("call_id"), "turn", F.col("role").alias("name"), F.to_json(F.struct("text", "turn")).alias("arguments"))
+    asked = df.where(~answer)
+    last = asked.select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit(True).alias("follows")).distinct()
+    after = F.array(ident(F.when(F.col("follows"), F.col("turn") - 1).otherwise(F.col("turn") - 2)))
+    calls = asked.join(last, ["conv_id", "turn"], "left").select("conv_id", ident(F.col("turn")).alias("call_id"), "turn", F.col("role").alias("name"), F.to_json(F.struct("text", "turn")).alias("arguments"), after.alias("after"))
     return calls, df.where(answer).select("conv_id", ident(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+
+
+def from_conversations(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results of conversations: tool messages as from_messages() reads them, all other turns as from_turns() does."""
+    tool = F.when(F.col("role") == "assistant", F.from_json("text", "struct<tool_calls:array<string>>")["tool_calls"].isNotNull()).when(F.col("role") == "tool", F.from_json("text", "struct<tool_call_id:string>")["tool_call_id"].isNotNull())
+    marked = df.select("conv_id", "turn", "role", "text", F.coalesce(tool, F.lit(False)).alias("tool"))
+    calls, results = from_messages(marked.where("tool"))
+    more_calls, more_results = from_turns(marked.where("NOT tool"))
+    return more_calls.unionByName(calls), more_results.unionByName(results)

@@ -101,6 +101,21 @@ def _alnum(c: str) -> bool:
     return "a" <= c <= "z" or "0" <= c <= "9"
 
 
+def vocabulary(df: DataFrame, *, term_col: str = "term", strict_col: str = "strict", most: int = 2_000_000) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Strict and soft terms of a table, A-Z lower-cased, for filter_urls().
+
+    Every task holds the automaton, so more than `most` distinct terms are refused.
+    Null and empty terms count nothing; a term in both kinds is strict.
+    """
+    low = F.translate(F.col(term_col), "".join(map(chr, _LOWER)), "".join(map(chr, _LOWER.values())))
+    rows = df.select(low.alias("term"), F.coalesce(F.col(strict_col).cast("boolean"), F.lit(False)).alias("strict")).where("term != ''")
+    got = rows.groupBy("term").agg(F.max("strict").alias("strict")).limit(most + 1).toArrow().sort_by("term")
+    if got.num_rows > most:
+        raise ValueError(f"more than {most} terms")
+    pick = lambda wanted: tuple(t for t, s in zip(got["term"].to_pylist(), got["strict"].to_pylist(), strict=True) if s == wanted)
+    return pick(True), pick(False)
+
+
 def filter_urls(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: Iterable[Rule] = RULES, strict: Iterable[str] = STRICT, soft: Iterable[str] = SOFT, soft_limit: int = 2) -> DataFrame:
     """Judges each row's url: host, path, rule, verdict and counts of hits.
 

@@ -95,7 +95,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
     """The original records: id, type and the exact bytes of each record."""
-    whole = read_records(spark, path).join(read_payloads(spark, path, payload=F.col("payload")), ["key", "bytes"])
+    whole = read_records(spark, path).select("id", "type", "key", "bytes", "header").join(read_payloads(spark, path, payload=F.col("payload")), ["key", "bytes"])
     return whole.select("id", "type", F.concat("header", "payload", F.encode(F.lit(END * 2), "UTF-8")).alias("record"))
 
 
@@ -106,11 +106,11 @@ def header_field(name: str) -> Column:
 
 
 def parse_records(df: DataFrame, record_col: str = "record") -> DataFrame:
-    """Splits whole records into header and payload bytes, by Content-Length."""
-    text = F.decode(F.col(record_col), "ISO-8859-1")
-    cut = F.instr(text, END * 2)
-    n = F.regexp_extract(text, r"\r\nContent-Length: (\d+)\r\n", 1).cast("int")
-    return df.withColumns({"header": F.substring(F.col(record_col), F.lit(1), cut + 3), "payload": F.substring(F.col(record_col), cut + 4, n)})
+    """Splits whole records into header and payload bytes: at the first blank line, and by Content-Length."""
+    record = F.col(record_col)
+    cut = F.instr(F.decode(record, "ISO-8859-1"), END * 2) + 3  # a byte is a character there
+    split = df.withColumns({"header": F.substring(record, F.lit(1), cut), "_at": cut + 1})
+    return split.withColumn("payload", F.substring(record, F.col("_at"), header_field("Content-Length").cast("int"))).drop("_at")
 
 
 def write_files(spark: SparkSession, path: str, out: str) -> None:
@@ -118,15 +118,27 @@ def write_files(spark: SparkSession, path: str, out: str) -> None:
     reconstruct(spark, path).select(F.regexp_replace(F.decode("record", "UTF-8"), r"\r\n\r\n\z", "")).write.option("lineSep", END * 2).text(out)
 
 
-def round_trip(pages: DataFrame, **options) -> DataFrame:
-    """Writes an archive and reads it back; a row for each record.
+def round_trip(pages: DataFrame, *, prefix: str = "urn:page:", **options) -> DataFrame:
+    """Writes an archive, reconstructs its records and reads them; a row for each record.
 
-    Length and digest are of the payload bytes as stored, type and reference come
-    from the records table, and the header must agree with both.
+    Everything comes from the bytes of the reconstructed records: id, type and
+    reference from the header, length and digest from the payload, which must agree
+    with the header.
     """
     spark = pages.sparkSession
-    path = write_archive(pages, **options)
-    held = read_payloads(spark, path, n=F.octet_length("payload").cast("long"), sha1=base32_sha1(F.col("payload")))
-    rows = read_records(spark, path).join(held, ["key", "bytes"])
-    agrees = (header_field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), "sha1")) & (header_field("WARC-Type") == F.col("type")) & (header_field("Content-Length").cast("long") == F.col("n"))
-    return rows.select("id", F.col("n").alias("payload_bytes"), F.when(agrees, F.col("sha1")).otherwise(F.raise_error(F.lit("header and payload differ"))).alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+    path = write_archive(pages, prefix=prefix, **options)
+    kind = read_records(spark, path).schema["id"].dataType
+    parsed = parse_records(reconstruct(spark, path).select("record"))
+    ident = lambda name: F.regexp_extract(header_field(name), f"^<{prefix}(.*)>$", 1)
+    rows = parsed.select(
+        F.when(ident("WARC-Record-ID") != "null", ident("WARC-Record-ID").cast(kind)).alias("id"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        base32_sha1(F.col("payload")).alias("sha1"),
+        header_field("WARC-Type").alias("record_type"),
+        ident("WARC-Refers-To").cast(kind).alias("refers_to"),
+        header_field("Content-Length").cast("long").alias("n"),
+        header_field("WARC-Payload-Digest").alias("digest"),
+        (F.octet_length("record") - F.octet_length("header") - F.octet_length("payload")).alias("rest"),
+    )
+    agrees = (F.col("digest") == F.concat(F.lit("sha1:"), "sha1")) & (F.col("n") == F.col("payload_bytes")) & (F.col("rest") == len(END * 2)) & (F.col("refers_to").isNotNull() == (F.col("record_type") == "revisit"))
+    return rows.select("id", "payload_bytes", F.when(agrees, F.col("sha1")).otherwise(F.raise_error(F.lit("header and payload differ"))).alias("payload_digest"), "record_type", "refers_to")
