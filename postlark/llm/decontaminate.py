@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import stored
+from .shared import fresh, stored
 from .wordhash import LOWER, NON_ALNUM, U64, Words, shingles, signed, slices, split
 
 SHINGLE = 3  # words; windows of fewer are one shingle
@@ -155,7 +155,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     One row for each row of docs, whatever the ids. Null and empty texts have no
     words; items with a null id or no word have no window; an empty benchmark
     hits nothing. Long texts are read whole. Repeated items and windows count
-    once for each item id.
+    once for each item id. Where `keep` has one of the new names, the new one gets
+    underscores in front.
     """
     spark = docs.sparkSession
     wins = stored(item_windows(items, item_col=item_col, text_col=item_text_col, window=window), "windows")
@@ -199,7 +200,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
                     yield pa.RecordBatch.from_arrays([*part.columns[:-3], pa.array(w.counts(), pa.int64()), pa.array(spans, kinds[0]), pa.array(items, kinds[1])], names=schema.names)
 
         at = at.mapInArrow(match, schema)
-    return at.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(kept)), "n_words", "spans", "items")
+    return at.drop("text").toDF(*kept, *fresh(kept, "n_words", "spans", "items"))
+
+
+def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """The rows of docs without a window of an item, with their columns, whatever these are called."""
+    found = decontaminate(docs, items, keep=tuple(docs.columns), **options)
+    return found.where(F.size(F.col(found.columns[-1])) == 0).select(*docs.columns)
 
 
 def n_hit() -> F.Column:

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import fresh
 from .wordhash import U64, mix
 
 UNKNOWN = "und"
@@ -180,10 +181,12 @@ def predict(df: DataFrame, profiles: Profiles, *, keep: dict[str, Column], text_
 
     Whole texts are read. A null text, or one without a letter, is "und" with
     score 0; so is every text if nothing was learned. Of languages with equal
-    cosines the first in sorted order wins. One row for each row of df.
+    cosines the first in sorted order wins. One row for each row of df, whatever its
+    id. Where `keep` has one of the new names, the new one gets underscores in front.
     """
     held = df.sparkSession.sparkContext.broadcast(profiles)
-    kept = df.select(*(c.alias(k) for k, c in keep.items()), F.col(text_col).cast("string").alias("text"))
+    names_out = [*keep, *fresh(keep, "lang_pred", "score")]
+    kept = df.select(*(c.alias(f"k{i}") for i, c in enumerate(keep.values())), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType(kept.schema.fields[:-1] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +209,7 @@ def predict(df: DataFrame, profiles: Profiles, *, keep: dict[str, Column], text_
                         names[at + i], scores[at + i] = p.langs[best], min(1.0, max(0.0, cos[best]))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(scores)], names=schema.names)
 
-    return kept.mapInArrow(judged, schema)
+    return kept.mapInArrow(judged, schema).toDF(*names_out)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:

@@ -8,8 +8,10 @@ stops when the next projected distance would, by that law, almost surely
 (`confidence`) not belong to a vector nearer than the k-th best so far.
 
 The projected space is cut by a kd-tree whose cells are dealt over the cluster.
-The tree is fitted on a bounded sample; every row is indexed. Each query first
-searches its own cell, then all cells within the radius at which it would stop.
+The tree is fitted on a sample that grows with the rows up to `sample`; every row
+is indexed. Each query first searches its own cell, then all cells within the
+radius at which it would stop. Inside a cell a second tree, fitted there, gives
+leaves of some dozen rows, which a query takes by their distance to it.
 Cells over `cell_rows` rows are split by a hash of the id, and queries of a cell
 go in blocks of `query_rows`, so no task holds more, wherever the rows crowd.
 Of equal vectors in a batch only the k + 1 smallest distinct ids can be a result;
@@ -29,9 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import stored
 from .wordhash import mix
 
-SAMPLE = 20_000
+#: Of projected points at most; 64 MB at 8 dimensions.
+SAMPLE = 1 << 20
+#: Sampled points a cell, and rows of a leaf inside it.
+_A_CELL, _LEAF = 32, 64
 
 
 def chi2_quantile(p: float, dof: int) -> float:
@@ -88,10 +94,10 @@ def _weights(dim: int, m: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((dim, m))
 
 
-def fit_tree(points: np.ndarray, rows: int, cell_rows: int, weights: np.ndarray) -> Tree:
-    """Halves the sample at the median of its widest axis, to cells of about cell_rows rows."""
+def fit_tree(points: np.ndarray, rows: int, cell_rows: int, weights: np.ndarray, a_cell: int = _A_CELL) -> Tree:
+    """Halves the sample at the median of its widest axis, to cells of about cell_rows rows, with a_cell points each at least."""
     depth = 0
-    while rows > cell_rows << depth and len(points) >= 32 << depth:
+    while rows > cell_rows << depth and len(points) >= a_cell << depth:
         depth += 1
     axis, at = np.zeros(max((1 << depth) - 1, 1), np.int64), np.zeros(max((1 << depth) - 1, 1))
     parts = {0: points}
@@ -121,8 +127,16 @@ def usable(vec: Column) -> Column:
     return F.coalesce(vec.isNotNull() & (F.size(vec) > 0) & F.forall(vec, finite) & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
+def _leaves(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a cell in the order of their leaves, where leaves begin, and their boxes' corners."""
+    leaf = fit_tree(p, len(p), _LEAF, np.zeros((0, 0)), 1).cell(p)
+    order = np.argsort(leaf, kind="stable")
+    first = np.flatnonzero(np.diff(leaf[order], prepend=-1))
+    return order, np.append(first, len(p)), np.minimum.reduceat(p[order], first), np.maximum.reduceat(p[order], first)
+
+
 def _search(tree: Tree, k: int, factor: float, dim: int):
-    """Of a group's rows and queries: each query's k best, verified in projected order."""
+    """Of a group's rows and queries: each query's k best, verified leaf by leaf in projected order."""
     kinds = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
@@ -130,14 +144,18 @@ def _search(tree: Tree, k: int, factor: float, dim: int):
         if rows.num_rows and queries.num_rows:
             ids, x, q = rows.column("vec_id").to_numpy(), _matrix(rows.column("vec"), dim), _matrix(queries.column("vec"), dim)
             px, pq = tree.project(x), tree.project(q)
+            order, begin, low, high = _leaves(px)
+            ids, x, px = ids[order], x[order], px[order]
             for i, (qid, bound) in enumerate(zip(queries.column("query_id").to_pylist(), queries.column("bound").to_pylist(), strict=True)):
-                p2 = ((px - pq[i]) ** 2).sum(1)
-                order = np.flatnonzero(p2 <= factor * bound * bound * (1 + 1e-12)) if np.isfinite(bound) else np.arange(len(ids))
-                order = order[np.argsort(p2[order], kind="stable")]
-                best_d, best_id, at = np.zeros(0), np.zeros(0, np.int64), 0
-                while at < len(order) and not p2[order[at]] > factor * bound * bound * (1 + 1e-12):
-                    step = order[at : at + 256]
+                box = (np.maximum(np.maximum(low - pq[i], pq[i] - high), 0) ** 2).sum(1)
+                nearest = np.argsort(box, kind="stable")
+                best_d, best_id, at, many = np.zeros(0), np.zeros(0, np.int64), 0, 2
+                while at < len(nearest) and not box[nearest[at]] > factor * bound * bound * (1 + 1e-12):
+                    leaves = nearest[at : at + many]
+                    step = np.concatenate([np.arange(begin[j], begin[j + 1]) for j in leaves.tolist()])
                     step = step[ids[step] != qid]
+                    if np.isfinite(bound):
+                        step = step[((px[step] - pq[i]) ** 2).sum(1) <= factor * bound * bound * (1 + 1e-12)]
                     d = np.sqrt(((x[step] - q[i]) ** 2).sum(1))
                     best_d, best_id = np.concatenate([best_d, d]), np.concatenate([best_id, ids[step]])
                     keep = np.lexsort((best_id, best_d))
@@ -146,7 +164,7 @@ def _search(tree: Tree, k: int, factor: float, dim: int):
                     best_d, best_id = best_d[keep], best_id[keep]
                     if len(best_d) == k:
                         bound = min(bound, float(best_d[-1]))
-                    at += 256
+                    at, many = at + many, min(2 * many, 16)
                 out.append((np.full(len(best_d), qid), best_id, best_d))
         return pa.Table.from_arrays([pa.array(np.concatenate([o[j] for o in out]) if out else [], f.type) for j, f in enumerate(kinds)], schema=kinds)
 
@@ -159,16 +177,23 @@ def neighbours(df: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_c
     score is the Euclidean distance in double precision; ties go to the smaller
     id, and a query is no candidate of its own. Rows with a null id, or a vector
     that is null, empty, zero, or has a null or non-finite component, take no
-    part; neither do vectors whose length is not the most common one. Rows that
+    part. Vectors of different lengths have no distance: each length is searched by
+    itself, and a query that has several lengths gives results for each. Rows that
     repeat an id count once: the nearest as candidates, the smallest vector as
     queries. Fewer candidates than k are all returned; empty tables give no rows.
     """
-    spark = df.sparkSession
     vec = F.col(vec_col).cast("array<double>")
     rows = df.where(usable(F.col(vec_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
-    sizes = rows.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    dim, total = (sizes[0]["dim"], sizes[0]["count"]) if sizes else (1, 0)
-    rows = rows.where(F.size("vec") == dim)
+    sizes = rows.groupBy(F.size("vec").alias("dim")).count().orderBy("dim").collect() or [(1, 0)]  # a row a length
+    found = [_of_length(rows.where(F.size("vec") == dim), dim, total, k, dims, confidence, cell_rows, query_rows, sample, seed) for dim, total in sizes]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _of_length(rows: DataFrame, dim: int, total: int, k: int, dims: int, confidence: float, cell_rows: int, query_rows: int, sample: int, seed: int) -> DataFrame:
+    """neighbours() of vectors of one length: vec_id, vec, is_query."""
     weights = _weights(dim, dims, seed)
     factor = chi2_quantile(confidence, dims)
 
@@ -176,8 +201,9 @@ def neighbours(df: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_c
         for b in batches:
             yield pa.RecordBatch.from_pydict({"p": pa.array(list(_matrix(b.column(0), dim) @ weights), pa.list_(pa.float64()))})
 
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec").mapInArrow(projected, "p array<double>").collect()
-    tree = fit_tree(np.array([r.p for r in drawn]).reshape(-1, dims), total, cell_rows, weights)
+    points = min(sample, max(1024, 2 * _A_CELL * -(-total // cell_rows)))
+    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(points).select("vec").mapInArrow(projected, "p array<double>").toArrow()
+    tree = fit_tree(_matrix(drawn["p"], dims), total, cell_rows, weights)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -211,8 +237,8 @@ def neighbours(df: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_c
                 yield pa.RecordBatch.from_arrays([pa.array(cells[a : a + 5000]), part.column("query_id"), part.column("vec"), part.column("bound")], names=["cell", "query_id", "vec", "bound"])
 
     found = "cell int, query_id long, vec array<double>, bound double"
-    indexed = rows.select("vec_id", "vec").mapInArrow(index, "cell int, vec_id long, vec array<double>")
-    queries = rows.where("is_query").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vec").alias("vec"))
+    indexed = stored(rows.select("vec_id", "vec").mapInArrow(index, "cell int, vec_id long, vec array<double>"), "index")
+    queries = stored(rows.where("is_query").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vec").alias("vec")), "queries")
     per_cell = {r.cell: r["count"] for r in indexed.groupBy("cell").count().collect()}  # a row for each cell of the bounded tree
 
     def search(wanted: DataFrame) -> DataFrame:
@@ -242,9 +268,10 @@ def neighbours(df: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_c
         keys = ("cell", "part", "block")
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(tree, k, factor, dim), "query_id long, vec_id long, score double")
 
-    first = search(queries.mapInArrow(home, found))
+    first = stored(search(queries.mapInArrow(home, found)), "first")
     kth = first.groupBy("query_id").agg(F.sort_array(F.collect_list("score")).alias("s")).select("query_id", F.when(F.size("s") >= k, F.element_at("s", k)).otherwise(float("inf")).alias("bound"))
-    second = search(queries.join(kth, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))).mapInArrow(others, found))
+    wider = queries.join(kth, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))).mapInArrow(others, found)
+    second = search(stored(wider, "wider"))
     merged = first.unionByName(second).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return merged.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import stored
+from .shared import discard, fresh, stored
 from .wordhash import LOWER, NON_ALNUM, SPACE, U64, Words, mix, slices, split
 
 #: Of each of two tables.
@@ -187,6 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, good: str = GOOD, id_col: str = "
         yield pa.RecordBatch.from_arrays([pa.array((key[0].as_py() * size + at).astype(np.int32)), pa.array(log[at])], names=["bucket", "log"])
 
     found = sums.where("chunk >= 0").groupBy("chunk").applyInArrow(contrast, "bucket int, log double").toArrow()
+    discard(sums)
     log = np.zeros(2 * buckets)
     log[found["bucket"].to_numpy()] = found["log"].to_numpy()
     return Ratios(log.astype(np.float32).reshape(2, buckets), sharpness, seed)
@@ -195,7 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, good: str = GOOD, id_col: str = "
 def score(docs: DataFrame, ratios: Ratios, *, keep: dict[str, Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Adds to the columns `keep`: log_weight and gumbel_key (what top-k sorts by).
 
-    Null and empty texts have no n-gram and weight 0. Equal rows get equal keys.
+    Null and empty texts have no n-gram and weight 0. Equal rows get equal keys. Where
+    `keep` has one of the new names, the new one gets underscores in front.
     """
     held = docs.sparkSession.sparkContext.broadcast(ratios)
     noise = F.xxhash64(F.lit(ratios.seed), F.col(id_col), F.col(text_col))
@@ -217,7 +219,7 @@ def score(docs: DataFrame, ratios: Ratios, *, keep: dict[str, Column], id_col: s
                 key = r.sharpness * w - np.log(-np.log(u / 2.0**53))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(w), pa.array(key)], names=schema.names)
 
-    return rows.mapInArrow(weigh, schema).select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keep)), "log_weight", "gumbel_key")
+    return rows.mapInArrow(weigh, schema).toDF(*keep, *fresh(keep, "log_weight", "gumbel_key"))
 
 
 def _ordered(key: Column) -> Column:
@@ -248,10 +250,18 @@ def resample(docs: DataFrame, ratios: Ratios, *, k: int | None = None, keep: dic
     """Every row with log_weight, gumbel_key and selected, the Gumbel top-k.
 
     Rows whose key ties with the k-th are all selected. An empty table gives no rows.
+    Where `keep` has one of the new names, the new one gets underscores in front.
     """
+    weight, key, chosen = fresh(keep, "log_weight", "gumbel_key", "selected")
     scored = stored(score(docs, ratios, keep=keep, **columns), "scored")
-    keys = scored.select("log_weight", "gumbel_key")
+    keys = scored.select(F.col(weight).alias("log_weight"), F.col(key).alias("gumbel_key"))
     if k is None:
         k = round(keys.agg(F.sum(F.least(F.lit(1.0), F.exp(F.col("log_weight") * ratios.sharpness)))).first()[0] or 0)
     cut = threshold(keys, k) if k > 0 else None
-    return scored.withColumn("selected", _ordered(F.col("gumbel_key")) <= F.lit(cut).cast("long") if cut is not None else F.lit(False))
+    return scored.withColumn(chosen, _ordered(F.col(key)) <= F.lit(cut).cast("long") if cut is not None else F.lit(False))
+
+
+def select(docs: DataFrame, ratios: Ratios, **options) -> DataFrame:
+    """The rows of docs that resample() selects, with their columns, whatever these are called."""
+    kept = resample(docs, ratios, keep={c: F.col(f"`{c}`") for c in docs.columns}, **options)
+    return kept.where(F.col(kept.columns[-1])).select(*docs.columns)
