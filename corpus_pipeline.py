@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's docs.
+
+In every stage null and empty texts are rows like others that nothing but the first
+stage can reject, null ids and columns of any name are allowed, and an empty table
+gives no rows. Rows with equal ids and texts share every decision; the second stage
+leaves one of them.
 """
 
 from __future__ import annotations
@@ -16,9 +21,7 @@ from postlark.session import ship
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that importance resampling selects."""
-    ratios = quality.fit(docs, table(ship(spark), sf_dir, "labels"))
-    kept = quality.resample(docs, ratios, keep={c: F.col(c) for c in docs.columns})
-    return kept.where("selected").select(*docs.columns)
+    return quality.select(docs, quality.fit(docs, table(ship(spark), sf_dir, "labels")))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,13 +33,13 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes passages of 50 words or more out of all but the first document with them."""
     ship(spark)
-    return substring_dedup.dedup(docs).select(*(F.col(c) if c != "n_chars" else F.char_length("text").cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
+    n = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return substring_dedup.dedup(docs).withColumn("n_chars", n).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with a window of a benchmark item."""
-    found = decontaminate.decontaminate(docs, table(ship(spark), sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return found.where(F.size("items") == 0).select(*docs.columns)
+    return decontaminate.clean(docs, table(ship(spark), sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
