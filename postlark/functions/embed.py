@@ -14,19 +14,26 @@ DIM = 128
 SEED, PRIME = 2166136261, 16777619  # fixed values
 
 
-def hash_vector(text: str | None) -> list[float]:
-    """Counts of hashed words by place, with length one."""
-    v = np.zeros(DIM)
-    for place, term in enumerate(re.split(r"\s+", unicodedata.normalize("NFKC", text or "").lower())):
-        h = SEED
-        for c in term:
-            h = ((h ^ ord(c)) * PRIME) & 0xFFFFFFFF
-        if term and h >= 1 << 31:  # a product wraps to a signed number
-            h -= 1 << 32
-        v[abs(h + place) % DIM] += 1
-    return (v / (np.linalg.norm(v) or 1)).tolist()
+def term_hash(term: str) -> int:
+    """A 32-bit hash of a word's characters, signed if there is one (fixed behaviour)."""
+    h = SEED
+    for c in term:
+        h = ((h ^ ord(c)) * PRIME) & 0xFFFFFFFF
+    return h - (1 << 32) if term and h >= 1 << 31 else h
+
+
+def hash_vector(text: str | None, seen: dict[str, int] | None = None) -> list[float]:
+    """Counts of hashed words by place, with length one; seen keeps the hashes of words."""
+    seen = {} if seen is None else seen
+    terms = re.split(r"\s+", unicodedata.normalize("NFKC", text or "").lower())
+    for t in set(terms).difference(seen):
+        seen[t] = term_hash(t)
+    place = np.abs(np.array([seen[t] for t in terms], np.int64) + np.arange(len(terms))) % DIM
+    v = np.bincount(place, minlength=DIM).astype(float)
+    return (v / np.linalg.norm(v)).tolist()
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
 def hash_embed(text: pd.Series) -> pd.Series:
-    return text.map(hash_vector)
+    seen: dict[str, int] = {}  # of this batch
+    return text.map(lambda t: hash_vector(t, seen))

@@ -1,15 +1,23 @@
-"""Column functions for identities, subjects, bodies, categories and tokens; no Python UDFs."""
+"""Column functions for identities, subjects, bodies, categories and tokens.
+
+Only nfkc() and redact_json() are Python, over Arrow batches.
+"""
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 NUL = "\x00"
 CHUNK_CHARS = 2400
-_BLANK = r"[\s ﻿]"
+#: What a trim strips, white space of all scripts and byte order marks; \x85 is none of it.
+_BLANK = r"[\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
 #: Latin letters with accents and their base letters, by Unicode decomposition.
 _ACCENTED = [c for c in map(chr, range(0xC0, 0x250)) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0].isascii()]
@@ -28,10 +36,12 @@ def trim(c: Column) -> Column:
 
 
 def normalize_subject(c: Column) -> Column:
-    return F.lower(trim(F.regexp_replace(c, r"(?i)^(?:(?:re|fw|fwd)\s*:\s*)+", "")))
+    """Without marks of replies and forwards (fixed values), trimmed, in lower case."""
+    return F.lower(trim(F.regexp_replace(c, rf"(?i)^(?:(?:re|fw|fwd){_BLANK}*:{_BLANK}*)+", "")))
 
 
 def normalize_category(c: Column) -> Column:
+    """Trimmed, in lower case, without the prefixes (fixed values) that providers give."""
     return F.regexp_replace(F.regexp_replace(F.lower(trim(c)), "^category[_-]", ""), "^label[_-]", "")
 
 
@@ -49,19 +59,25 @@ def _quote_at(lines: Column) -> Column:
 
 
 def split_quoted(c: Column) -> tuple[Column, Column]:
-    """The latest text and the quoted rest of a body, both trimmed."""
-    lines = F.split(c, "\r?\n")
+    """The latest text, as it is, and the quoted rest of a body, in lines; both trimmed."""
+    raw = F.split(c, "\n")
+    lines = F.transform(raw, lambda x: F.regexp_replace(x, r"\r\z", ""))
     at = F.coalesce(_quote_at(lines), F.size(lines))
-    latest = F.array_join(F.slice(lines, F.lit(1), at), "\n")
+    latest = F.array_join(F.slice(raw, F.lit(1), at), "\n")
     quoted = F.array_join(F.slice(lines, at + 1, F.greatest(F.size(lines) - at, F.lit(0))), "\n")
     return trim(latest), trim(quoted)
 
 
 def split_text(c: Column, size: int = CHUNK_CHARS) -> Column:
-    """Paragraphs cut into pieces of at most `size` characters, trimmed, without empty ones."""
-    paras = F.filter(F.transform(F.split(c, r"\n\s*\n"), trim), lambda p: p != "")
-    cut = F.transform(paras, lambda p: F.transform(F.sequence(F.lit(0), ((F.char_length(p) - 1) / size).cast("int")), lambda i: trim(F.substring(p, i * size + 1, F.lit(size)))))
-    return F.filter(F.flatten(cut), lambda p: p != "")
+    """Paragraphs cut into pieces of at most `size` characters, trimmed, without empty ones.
+
+    White space with two line feeds or more separates paragraphs, so only the ends of
+    the whole text and of pieces that are cut need a trim.
+    """
+    paras = F.filter(F.split(trim(c), rf"{_BLANK}*\n{_BLANK}*\n{_BLANK}*"), lambda p: p != "")
+    cut = lambda p: F.transform(F.sequence(F.lit(0), ((F.char_length(p) - 1) / size).cast("int")), lambda i: trim(F.substring(p, i * size + 1, F.lit(size))))
+    pieces = F.flatten(F.transform(paras, lambda p: F.when(F.char_length(p) <= size, F.array(p)).otherwise(cut(p))))
+    return F.filter(pieces, lambda p: p != "")
 
 
 def snippet(c: Column, query: str, size: int = 240) -> Column:
@@ -72,7 +88,7 @@ def snippet(c: Column, query: str, size: int = 240) -> Column:
 
 
 #: The scripts that select an analyzer.
-SCRIPTS = {"ko": r"[\x{ac00}-\x{d7af}]", "ja": r"[\x{3040}-\x{30ff}]", "zh": r"[\x{4e00}-\x{9fff}]", "ar": r"[\x{0600}-\x{06ff}]"}
+SCRIPTS = {"ko": r"[\x{ac00}-\x{d7a3}]", "ja": r"[\x{3040}-\x{30ff}]", "zh": r"[\x{4e00}-\x{9fff}]", "ar": r"[\x{0600}-\x{06ff}]"}
 
 
 def languages(c: Column) -> Column:
@@ -90,20 +106,26 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(fold(c), F.lit(r"([\p{L}\p{N}\p{Co}]+)"), F.lit(1))
 
 
+@F.pandas_udf(StringType())
+def nfkc(c: pd.Series) -> pd.Series:
+    """Compatibility composition; texts of ASCII alone are returned as they are."""
+    return c.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+
+
 def tokens_arabic(c: Column) -> Column:
-    """Arabic words, each also without one prefix."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"([\x{0600}-\x{06ff}]+)"), F.lit(1))
+    """Arabic words, each also without one prefix (fixed values)."""
+    words = F.regexp_extract_all(F.lower(nfkc(c)), F.lit(r"([\x{0600}-\x{06ff}]+)"), F.lit(1))
     both = F.flatten(F.transform(words, lambda w: F.array(w, F.regexp_replace(w, "^(?:وال|فال|بال|كال|ال|لل|و|ف|ب|ك|ل)", ""))))
     return F.filter(both, lambda w: w != "")
 
 
 def tokens_cjk(c: Column) -> Column:
     """Runs of letters and digits as they are, without segmentation."""
-    return F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    return F.regexp_extract_all(nfkc(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
 #: Analyzers by language; without dictionaries, Korean is folded and Japanese and Chinese are not segmented.
-ANALYZERS = {"ko": lambda c: tokens_cjk(F.lower(c)), "ja": tokens_cjk, "zh": tokens_cjk, "ar": tokens_arabic}
+ANALYZERS = {"ko": lambda c: F.transform(tokens_cjk(c), F.lower), "ja": tokens_cjk, "zh": tokens_cjk, "ar": tokens_arabic}
 
 
 #: What diagnostics must not show.
@@ -118,3 +140,33 @@ def redact(c: Column) -> Column:
     for pattern, to in REDACTIONS:
         c = F.regexp_replace(c, pattern, to)
     return c
+
+
+_HIDDEN = (re.compile(r"([?&](?:token|password|secret|key)=)[^&\s]+", re.I), re.compile(r"(?<![?&])\b(?:token|password|secret|key|credential)\s*[=:]\s*[^,\s]+", re.I), re.compile(r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", re.I))
+_SECRET = re.compile("password|secret|token|credential", re.I)  # names of members, fixed values
+
+
+def redacted(value):
+    """A value of parsed JSON: texts as redact() does, members with a secret's name hidden, at any depth."""
+    if isinstance(value, str):
+        for pattern, to in zip(_HIDDEN, (r"\1[REDACTED]", "[REDACTED]", "[EMAIL]"), strict=True):
+            value = pattern.sub(to, value)
+        return value
+    if isinstance(value, list):
+        return [redacted(x) for x in value]
+    if isinstance(value, dict):
+        return {k: "[REDACTED]" if _SECRET.search(k) else redacted(x) for k, x in value.items()}
+    return value
+
+
+@F.pandas_udf(StringType())
+def redact_json(c: pd.Series) -> pd.Series:
+    """redacted() of JSON texts; what is no JSON is redacted as a text, null stays."""
+
+    def one(x):
+        try:
+            return json.dumps(redacted(json.loads(x)), ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            return redacted(x)
+
+    return c.map(lambda x: None if x is None else one(x))

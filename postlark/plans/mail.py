@@ -158,7 +158,7 @@ SCRIPTS = [("en", "Contract renewal"), ("ko", "계약 갱신"), ("ja", "契約 
 _S = ", ".join(f"('{k}', '{v}')" for k, v in SCRIPTS)
 
 
-@query(rf"""SELECT k, array_to_string(list_filter([CASE WHEN regexp_matches(t, '[\x{{ac00}}-\x{{d7af}}]') THEN 'ko' END, CASE WHEN regexp_matches(t, '[\x{{3040}}-\x{{30ff}}]') THEN 'ja' END,
+@query(rf"""SELECT k, array_to_string(list_filter([CASE WHEN regexp_matches(t, '[\x{{ac00}}-\x{{d7a3}}]') THEN 'ko' END, CASE WHEN regexp_matches(t, '[\x{{3040}}-\x{{30ff}}]') THEN 'ja' END,
 CASE WHEN regexp_matches(t, '[\x{{4e00}}-\x{{9fff}}]') THEN 'zh' END, CASE WHEN regexp_matches(t, '[\x{{0600}}-\x{{06ff}}]') THEN 'ar' END], lambda x: x IS NOT NULL), ',') AS langs FROM (VALUES {_S}) v(k, t)""")
 def lang_detect(spark, d):
     return spark.createDataFrame(SCRIPTS, "k string, t string").select("k", F.array_join(T.languages(F.col("t")), ",").alias("langs"))

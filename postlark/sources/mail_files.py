@@ -93,6 +93,12 @@ def split_mbox(data: bytes) -> list[tuple[str, bytes]] | None:
     return out
 
 
+def gmail_labels(value: str) -> list[str]:
+    """Comma-separated labels, quoted ones with backslash escapes; categories as the provider's API names them."""
+    found = ((q or w).strip() for q, w in re.findall(r'"((?:[^"\\]|\\.)*)"|([^,]+)', value))
+    return [f"CATEGORY_{x[9:].strip().upper()}" if x.lower().startswith("category ") else x for x in found if x]
+
+
 def parse(path: str, label: str, raw: bytes, envelope: str = "") -> tuple:
     """One row of SCHEMA for a raw message."""
     blank = (None,) * 10
@@ -116,7 +122,7 @@ def parse(path: str, label: str, raw: bytes, envelope: str = "") -> tuple:
             kind = a.get_content_type()
             text = held.decode(a.get_content_charset("utf-8"), "replace") if kind.startswith("text/") and len(held) <= MAX_TEXT else None
             files.append((a.get_filename() or "unnamed", kind, len(held), text))
-        labels = [f"CATEGORY_{x[9:].upper()}" if x.startswith("Category ") else x for x in (q or w.strip() for q, w in re.findall(r'"([^"]*)"|([^,"]+)', str(m["x-gmail-labels"] or ""))) if x]
+        labels = gmail_labels(str(m["x-gmail-labels"] or ""))
         sender = (people("from") or [""])[0]
         return (path, label, key, ident or None, reply and reply[0], str(m["subject"] or ""), sender, people("to") + people("cc"), _date(m["date"] and str(m["date"]), envelope), body[:MAX_TEXT], labels, files, None)
     except (LookupError, ValueError, AttributeError, TypeError) as e:

@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from postlark.operators import archive
 
+ROWS, BATCHES = "rows", "batches"
+
 
 class Snapshots:
-    """Versioned Parquet directories below `root`, on any file system Spark writes to.
+    """Versions of one or several Parquet tables below `root`, on any file system Spark writes to.
 
-    A version is visible once its folder is renamed to `v=<n>`; readers take the highest.
+    A version is a folder `v=<n>` with a folder for each table; all of them are visible
+    once it is renamed to that name, readers take the highest. A table `batches` tells
+    which batches of which streams a version has, so it is published with their rows.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -30,29 +35,56 @@ class Snapshots:
         names = [s.getPath().getName() for s in self._fs.listStatus(top)]
         return max((int(n[2:]) for n in names if n.startswith("v=")), default=0)
 
-    def read(self) -> DataFrame | None:
-        v = self.version()
-        return self.spark.read.parquet(f"{self.root}/v={v}") if v else None
+    def read(self, table: str = ROWS, version: int | None = None) -> DataFrame | None:
+        """A table of a version (the newest), or None where it is not there."""
+        v = self.version() if version is None else version
+        path = f"{self.root}/v={v}/{table}"
+        return self.spark.read.parquet(path) if v and self._fs.exists(self._path(path)) else None
+
+    def publish(self, tables: DataFrame | Mapping[str, DataFrame], version: int | None = None) -> int:
+        """Writes the next version (or `version`, which must not exist) and makes it visible.
 
-    def publish(self, df: DataFrame, version: int | None = None) -> int:
-        """Writes the next version (or `version`, which must not exist) and makes it visible."""
-        v = version or self.version() + 1
+        Tables that are not given are copied from the version before. Of two writers of
+        one version the one that makes its lock file is the only one to rename.
+        """
+        given = {ROWS: tables} if isinstance(tables, DataFrame) else dict(tables)
+        last = self.version()
+        v = version or last + 1
         tmp = f"{self.root}/_new-{uuid.uuid4().hex}"
-        df.write.parquet(tmp)
-        if self._fs.exists(self._path(f"{self.root}/v={v}")) or not self._fs.rename(self._path(tmp), self._path(f"{self.root}/v={v}")):
+        if last:
+            for s in self._fs.listStatus(self._path(f"{self.root}/v={last}")):
+                name = s.getPath().getName()
+                if name not in given and not name.startswith("_"):
+                    given[name] = self.read(name, last)
+        for name, df in given.items():
+            df.write.parquet(f"{tmp}/{name}")
+        target, lock = self._path(f"{self.root}/v={v}"), self._path(f"{self.root}/_lock-{v}")
+        if self._fs.exists(target) or not self._fs.createNewFile(lock):
             self._fs.delete(self._path(tmp), True)
             raise RuntimeError(f"version {v} was published by another writer")
+        self._fs.rename(self._path(tmp), target)
         return v
 
-    def upsert(self, new: DataFrame, keys: Sequence[str], batch: int | None = None) -> int:
-        """Merges `new`; a batch that was merged before (it has version batch + 1) does nothing."""
-        if batch is not None and self.version() > batch:
-            return self.version()
-        old = self.read()
-        last = new.dropDuplicates(list(keys))
-        return self.publish(last if old is None else archive.merge(old, last, keys))
+    def upsert(self, new: DataFrame, keys: Sequence[str], batch: int | None = None, stream: str = "", order: Sequence[str] = ()) -> int:
+        """Merges `new`; a batch of a stream that a version has already does nothing.
+
+        Of several rows with one key the last by `order` stays, then by all columns.
+        """
+        v = self.version()
+        done = self.read(BATCHES, v) if batch is not None else None
+        if done is not None and not done.where((F.col("stream") == stream) & (F.col("batch") == batch)).isEmpty():
+            return v
+        rest = [c for c in new.columns if c not in keys and c not in order]
+        best = new.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_best"))
+        last = best.select(*keys, "_best.*").select(*new.columns)
+        old = self.read(ROWS, v)
+        tables = {ROWS: last if old is None else archive.merge(old, last, keys)}
+        if batch is not None:
+            mine = self.spark.createDataFrame([(stream, batch)], "stream string, batch long")
+            tables[BATCHES] = mine if done is None else done.where(F.col("stream") != stream).unionByName(mine)
+        return self.publish(tables, v + 1)
 
 
-def stream(source: DataFrame, into: Snapshots, keys: Sequence[str], checkpoint: str) -> StreamingQuery:
-    """Starts merging a stream of rows into snapshots, exactly once for each batch."""
-    return source.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, i: into.upsert(df, keys, i) and None).trigger(availableNow=True).start()
+def stream(source: DataFrame, into: Snapshots, keys: Sequence[str], checkpoint: str, order: Sequence[str] = ()) -> StreamingQuery:
+    """Starts merging a stream of rows into snapshots, exactly once for each batch of its checkpoint."""
+    return source.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, i: into.upsert(df, keys, i, checkpoint, order) and None).trigger(availableNow=True).start()

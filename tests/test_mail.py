@@ -4,12 +4,14 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from postlark.functions import text as T
 from postlark.functions.embed import hash_vector
 from postlark.operators import archive, search, semantic
 from postlark.plans import mail
 from postlark.sources import envelopes
-from postlark.sources.mail_files import html_text, read_mail, scan, split_mbox
+from postlark.sources.mail_files import gmail_labels, html_text, read_mail, scan, split_mbox
 from postlark.streaming.ingest import Snapshots, stream
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -138,4 +140,33 @@ def test_stream_merges_batches_once(spark, tmp_path):
         stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), into := Snapshots(spark, str(tmp_path / "out")), ["id"], str(tmp_path / "cp")).awaitTermination()
         assert into.version() == i + 1
     assert sorted(tuple(r) for r in into.read().collect()) == [(1, "a"), (2, "c"), (3, "d")]
-    assert into.upsert(spark.createDataFrame([(9, "z")], schema), ["id"], 0) == 2
+    assert into.upsert(spark.createDataFrame([(9, "z")], schema), ["id"], 1, str(tmp_path / "cp")) == 2
+
+
+def test_streams_and_publishing_by_hand_keep_every_row(spark, tmp_path):
+    schema = "id int, text string"
+    into = Snapshots(spark, str(tmp_path / "out"))
+    for name, rows in (("a", [(1, "a")]), ("b", [(2, "b")])):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name))
+        stream(spark.readStream.schema(schema).parquet(str(tmp_path / name)), into, ["id"], str(tmp_path / f"cp-{name}")).awaitTermination()
+    into.publish(into.read().union(spark.createDataFrame([(3, "c")], schema)))
+    spark.createDataFrame([(4, "d"), (4, "e")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "a"))
+    stream(spark.readStream.schema(schema).parquet(str(tmp_path / "a")), into, ["id"], str(tmp_path / "cp-a")).awaitTermination()
+    assert sorted(tuple(r) for r in into.read().collect()) == [(1, "a"), (2, "b"), (3, "c"), (4, "e")]
+    with pytest.raises(RuntimeError, match="another writer"):
+        into.publish(into.read(), 2)
+
+
+def test_text_rules(spark):
+    def of(f, *texts):
+        return [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(f(F.col("t"))).collect()]
+
+    assert of(T.trim, "\u3000\u2003a\u00a0b\u202f\ufeff", "\x85a") == ["a\u00a0b", "\x85a"]
+    assert of(lambda c: T.split_quoted(c)[0], "a\r\nb\r\n\r\nOn Tue, x wrote:\r\n> q") == ["a\r\nb"]
+    assert of(lambda c: T.split_quoted(c)[1], "a\r\n> q\r\n> r") == ["> q\n> r"]
+    assert of(T.split_text, " a \n\u3000\n b\nc \n\n\n", "", "x" * 2400 + " y") == [["a", "b\nc"], [], ["x" * 2400, "y"]]
+    assert of(T.languages, "\ud7a3", "\ud7b0") == [["ko"], []]
+    assert of(T.ANALYZERS["ko"], "ＡＢ계약") == [["ab계약"]] and of(T.ANALYZERS["ja"], "ｶﾅ") == [["カナ"]]
+    assert of(T.tokens_arabic, "\ufedf\ufe8e") == [["لا", "ا"]]
+    assert of(T.redact_json, '{"a":["x@y.zz",{"apiToken":"s","n":1}],"b":"key=1, ok"}', "token: t", None) == ['{"a":["[EMAIL]",{"apiToken":"[REDACTED]","n":1}],"b":"[REDACTED], ok"}', "[REDACTED]", None]
+    assert gmail_labels('Inbox,category  Promotions ,"a, \\"b\\"", ') == ["Inbox", "CATEGORY_PROMOTIONS", 'a, \\"b\\"']
