@@ -64,34 +64,44 @@ def corpus(docs: DataFrame, columns: Sequence[str] = ("text",), key: str = "chun
     return lengths(docs, columns, key, analyze).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def _phrases(spark: SparkSession, query: str) -> DataFrame:
-    """The query's terms as rows (phrase, size, i, term); as many as the query has tokens."""
-    words = [w for w in query.split() if w]
+def phrases(spark: SparkSession, query: str, analyze: Analyzer = T.tokens) -> list[list[str]]:
+    """The tokens of each word of a query; words without a token are left out."""
+    words = query.split()
     if not words:
         raise ValueError("empty query")
-    held = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "phrase int, word string")
-    return held.withColumn("ts", T.tokens("word")).where(F.size("ts") > 0).select("phrase", F.size("ts").alias("size"), F.posexplode("ts").alias("i", "term"))
+    held = spark.range(1).select(F.array(*(analyze(F.lit(w)) for w in words)).alias("ts")).first()[0]
+    return [ts for ts in held if ts]
 
 
-def bm25(index: DataFrame, stats: DataFrame, query: str, key: str = "chunk_id") -> DataFrame:
+def bm25(index: DataFrame, stats: DataFrame, query: str | Sequence[Sequence[str]], key: str = "chunk_id") -> DataFrame:
     """key and score (higher is better) of rows with every phrase of the query.
 
-    Only postings of the query's terms are read; the phrases are broadcast as
-    they are no more than the query's tokens, the stats as they are one row.
+    Only postings of the query's terms are read. Positions are compared for phrases of
+    several tokens alone. What is broadcast is one row a phrase, and the one row of stats.
     """
-    ph = _phrases(index.sparkSession, query)
-    terms = [r.term for r in ph.select("term").distinct().collect()]
-    n_phrases = ph.agg(F.countDistinct("phrase")).first()[0]
-    hits = index.where(F.col("term").isin(terms)).join(F.broadcast(ph), "term")
-    starts = hits.select(key, "dl", "phrase", "size", "i", F.explode("positions").alias("p")).groupBy(key, "dl", "phrase", "size", (F.col("p") - F.col("i")).alias("at"))
-    whole = starts.agg(F.count("*").alias("have")).where(F.col("have") == F.col("size"))
-    tf = whole.groupBy("phrase", key, "dl").agg(F.count("*").alias("tf"))
+    wanted = phrases(index.sparkSession, query) if isinstance(query, str) else query
+    lists = []
+    for n, words in enumerate(wanted):
+        hits = index.where(F.col("term").isin(*words))
+        if len(words) == 1:
+            tf = hits.select(key, "dl", "tf")
+        else:
+            places = F.map_from_arrays(F.array(*(F.lit(w) for w in dict.fromkeys(words))), F.array(*(F.array(*(F.lit(i) for i, x in enumerate(words) if x == w)) for w in dict.fromkeys(words))))
+            starts = hits.select(key, "dl", F.explode("positions").alias("p"), places[F.col("term")].alias("at")).select(key, "dl", "p", F.explode("at").alias("i"))
+            whole = starts.groupBy(key, "dl", (F.col("p") - F.col("i")).alias("at")).agg(F.count("*").alias("have")).where(F.col("have") == len(words))
+            tf = whole.groupBy(key, "dl").agg(F.count("*").alias("tf"))
+        lists.append(tf.select(F.lit(n).alias("phrase"), key, "dl", "tf"))
+    if not lists:
+        return index.where(F.lit(False)).select(key, F.lit(0.0).alias("score"))
+    tf = lists[0]
+    for more in lists[1:]:
+        tf = tf.unionByName(more)
     df = tf.groupBy("phrase").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("dl") / F.col("avgdl")))
     scored = tf.join(F.broadcast(df), "phrase").join(F.broadcast(stats))  # one row a phrase; one row
-    return scored.groupBy(key).agg(F.sum(weight).alias("score"), F.count("*").alias("have")).where(F.col("have") == n_phrases).drop("have")
+    return scored.groupBy(key).agg(F.sum(weight).alias("score"), F.count("*").alias("have")).where(F.col("have") == len(lists)).drop("have")
 
 
 def top(scored: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
@@ -117,24 +127,115 @@ def fuse(lists: Sequence[DataFrame], k: int, key: str = "chunk_id") -> DataFrame
     return top(both.groupBy(key).agg(F.sum(1 / (RRF + F.col("rank"))).alias("score")), k, key)
 
 
-def _analyzed(query: str, language: str, spark: SparkSession) -> list[str]:
-    """The query's tokens by a language's analyzer."""
-    return spark.range(1).select(T.ANALYZERS[language](F.lit(query)).alias("ts")).first()[0]
+#: Of analyzers and tokenizer; an index by another version is stale for queries in their scripts.
+VERSION = "2"
+PARTS = 64
+#: What an entry of the index shows and filters by, besides what is searched.
+SHOWN = ("message_id", "thread_id", "account_id", "mailbox", "subject", "from_address", "to_addresses", "date")
+#: Fields of an entry, each a column of its own for phrases.
+FIELDS = ("subject", "from_address", "to_text", "thread_subject", "text")
 
 
-def search(docs: DataFrame, query: str, k: int, columns: Sequence[str] = ("text",), key: str = "chunk_id") -> DataFrame:
-    """Fused rank of the list for all scripts and one for each language of the query.
+def entries(chunked: DataFrame, messages: DataFrame) -> DataFrame:
+    """A row for each chunk with its text and what its message is searched and filtered by, as it is now."""
+    m = messages.select(*SHOWN, F.concat_ws(" ", "to_addresses").alias("to_text"), T.normalize_subject(F.coalesce("subject", F.lit(""))).alias("thread_subject"))
+    return chunked.select("chunk_id", "message_id", "section", "ordinal", "text", "content_hash").join(m, "message_id")
 
-    A language's list holds the rows with its script, analyzed as its analyzer
-    does, and has its own statistics.
-    """
-    spark = docs.sparkSession
-    lists = [top(bm25(postings(docs, columns, key), corpus(docs, columns, key), query, key), 2 * k, key)]
-    whole = F.concat_ws(" ", *columns)
-    for language in spark.range(1).select(T.languages(F.lit(query)).alias("ls")).first()[0]:
-        words = _analyzed(query, language, spark)
-        if words:
-            held = docs.where(F.array_contains(T.languages(whole), language))
-            analyze = T.ANALYZERS[language]
-            lists.append(top(bm25(postings(held, columns, key, analyze), corpus(held, columns, key, analyze), " ".join(words), key), 2 * k, key))
-    return fuse(lists, k, key)
+
+def _postings_of(held: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Postings of the list for all scripts, and of one for each language that occurs."""
+    lists = [postings(held, fields).withColumn("lang", F.lit("all"))]
+    script = T.languages(F.concat_ws(" ", *fields))
+    for lang, analyze in T.ANALYZERS.items():
+        lists.append(postings(held.where(F.array_contains(script, lang)), fields, analyze=analyze).withColumn("lang", F.lit(lang)))
+    out = lists[0]
+    for more in lists[1:]:
+        out = out.unionByName(more)
+    return out.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int"))
+
+
+@dataclass(frozen=True)
+class Index:
+    """A stored inverted index: entries, postings by language and part of the terms, statistics of each list."""
+
+    entries: DataFrame
+    postings: DataFrame
+    stats: DataFrame
+
+    @staticmethod
+    def write(held: DataFrame, path: str, fields: Sequence[str] = FIELDS) -> None:
+        """Builds the index of entries() below path; a rebuild is a write to another path.
+
+        Files of a part are sorted by term, so a query reads the row groups of its terms.
+        """
+        spark = held.sparkSession
+        held.write.parquet(f"{path}/entries")
+        held = spark.read.parquet(f"{path}/entries")
+        dealt = _postings_of(held, fields).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), PARTS // 4), "lang", "part")
+        dealt.sortWithinPartitions("lang", "part", "term").write.partitionBy("lang", "part").parquet(f"{path}/postings")
+        n = F.count("*").alias("n")
+        lists = [corpus(held, fields).withColumn("lang", F.lit("all"))]
+        sizes = spark.read.parquet(f"{path}/postings").where("lang != 'all'").groupBy("lang", "chunk_id").agg(F.max("dl").alias("dl")).groupBy("lang").agg(n, F.avg("dl").alias("avgdl"))
+        lists[0].unionByName(sizes, allowMissingColumns=True).withColumn("version", F.lit(VERSION)).coalesce(1).write.parquet(f"{path}/stats")
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Index:
+        kind = "chunk_id string, dl int, term string, tf long, positions array<long>, lang string, part int"
+        return cls(spark.read.parquet(f"{path}/entries"), spark.read.schema(kind).parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
+
+    def of(self, lang: str) -> DataFrame:
+        return self.postings.where(F.col("lang") == lang)
+
+    def top(self, lang: str, wanted: list[list[str]], k: int, filters: Filters | None = None) -> DataFrame:
+        """The k best of one list; statistics are of the whole list, filters apply before the limit."""
+        spark = self.entries.sparkSession
+        terms = sorted({w for ws in wanted for w in ws})
+        parts = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(PARTS)).cast("int")).distinct().collect()] if terms else []
+        read = self.of(lang).where(F.col("part").isin(*parts)) if parts else self.of(lang).where(F.lit(False))
+        scored = bm25(read, self.stats.where(F.col("lang") == lang).select("n", "avgdl"), wanted)
+        if filters:
+            scored = scored.join(self.entries.where(filters.predicate()).select("chunk_id"), "chunk_id", "left_semi")
+        return top(scored, k)
+
+    def keyword(self, query: str, k: int, filters: Filters | None = None) -> DataFrame:
+        """Fused rank of the list for all scripts and of one for each language of the query."""
+        spark = self.entries.sparkSession
+        lists = [self.top("all", phrases(spark, query), 2 * k, filters)]
+        langs = spark.range(1).select(T.languages(F.lit(query)).alias("ls")).first()[0]
+        if langs and self.stats.where(F.col("version") != VERSION).count():
+            raise ValueError("the index was made by other analyzers; rebuild it")
+        for lang in langs:
+            words = spark.range(1).select(T.ANALYZERS[lang](F.lit(query)).alias("ts")).first()[0]
+            lists.append(self.top(lang, [[w] for w in words], 2 * k, filters))
+        return fuse(lists, k)
+
+    def semantic(self, vector: Sequence[float], vectors: DataFrame, k: int, filters: Filters | None = None) -> DataFrame:
+        """Exact cosine top-k of vectors (chunk_id, content_hash, vector) whose chunk still has that content."""
+        live = self.entries.where(filters.predicate()) if filters else self.entries
+        held = vectors.join(live.select("chunk_id", "content_hash"), ["chunk_id", "content_hash"], "left_semi")
+        return cosine_top(held, vector, k)
+
+    def hits(self, ranked: DataFrame, query: str, mode: str) -> DataFrame:
+        """Ranked chunks with what a hit shows; ranked has no more rows than were asked for."""
+        out = self.entries.join(F.broadcast(ranked), "chunk_id")
+        return out.select("chunk_id", *SHOWN, T.snippet(F.col("text"), query).alias("snippet"), "score", F.lit(mode).alias("mode"), "rank")
+
+    def search(self, query: str, k: int = 10, mode: str = "bm25", filters: Filters | None = None, vectors: DataFrame | None = None, embed: Callable[[str], Sequence[float]] | None = None) -> DataFrame:
+        """Hits of one search: bm25 (also keyword and fts), semantic or hybrid.
+
+        Without vectors the semantic list is empty, so hybrid has the keyword list alone.
+        An empty query or another mode is an error.
+        """
+        if not query.strip():
+            raise ValueError("empty query")
+        if mode in ("bm25", "keyword", "fts"):
+            return self.hits(self.keyword(query, k, filters), query, "bm25")
+        if mode not in ("semantic", "hybrid"):
+            raise ValueError(f"unsupported mode {mode}")
+        near = None
+        if vectors is not None and embed is not None:
+            near = self.semantic(embed(query), vectors, k if mode == "semantic" else 2 * k, filters)
+        if mode == "semantic":
+            return self.hits(near if near is not None else self.keyword(query, k).where(F.lit(False)), query, mode)
+        lists = [self.keyword(query, 2 * k, filters), *([near] if near is not None else [])]
+        return self.hits(fuse(lists, k), query, mode)

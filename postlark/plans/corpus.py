@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlark.functions import text as T
-from postlark.operators import archive
+from postlark.operators import archive, search
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +56,20 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.chunks(messages(spark, sf_dir))
 
 
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> search.Index:
+    """The index of sf_dir's chunks, in the warehouse; the first query of an application builds it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        path = f"{spark.conf.get('spark.sql.warehouse.dir')}/postlark-index-{uuid.uuid4().hex}"
+        m = messages(spark, sf_dir)
+        search.Index.write(search.entries(archive.chunks(m), m), path, ("text",))
+        _BUILT[key] = path
+    return search.Index.read(spark, _BUILT[key])
+
+
 #: The same as SQL, for use as WITH <M>, <C>, <TOK> SELECT ...
 M = r"""
 lab AS (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -176,21 +177,16 @@ def tokenize_arabic(spark, d):
 
 @query(f"WITH {M}, {C}, {TOK} SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS cf FROM tok GROUP BY term")
 def postings_stats(spark, d):
-    return search.postings(corpus.chunks(spark, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return corpus.index(spark, d).of("all").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query(f"WITH {M}, {C}, {TOK} SELECT n, round(avgdl, 6) AS avgdl FROM st")
 def corpus_stats(spark, d):
-    return search.corpus(corpus.chunks(spark, d)).select("n", F.round("avgdl", 6).alias("avgdl"))
+    return corpus.index(spark, d).stats.where("lang = 'all'").select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 def _bm25(spark, d, text, k=10, filters=None):
-    c = corpus.chunks(spark, d)
-    scored = search.bm25(search.postings(c), search.corpus(c), text)
-    if filters:
-        m = corpus.messages(spark, d).where(filters.predicate())
-        scored = scored.join(c.join(m, "message_id", "left_semi").select("chunk_id"), "chunk_id", "left_semi")
-    return search.top(scored, k)
+    return corpus.index(spark, d).top("all", search.phrases(spark, text), k, filters)
 
 
 def _bm25_sql(phrases: list[list[str]], k: int = 10, where: str = "true") -> str:
@@ -231,15 +227,6 @@ for _n, _f, _w in (
     _bm25_query(f"bm25_filtered_{_n}", "thon", [["thon"]], _f, _w)
 
 
-def search_bm25(spark, d, text, k=10, filters=None):
-    """Hits by fused rank, with their messages."""
-    hits = search.fuse([_bm25(spark, d, text, 2 * k, filters)], k)
-    c = corpus.chunks(spark, d).select("chunk_id", "message_id", "text")
-    m = corpus.messages(spark, d).select("message_id", "account_id", "mailbox", "subject", "from_address", "date")
-    out = c.join(F.broadcast(hits), "chunk_id").join(m, "message_id")  # hits are k rows
-    return out.select("chunk_id", "message_id", "account_id", "mailbox", "subject", "from_address", "date", T.snippet(F.col("text"), text).alias("snippet"), F.round("score", 6).alias("score"), "rank")
-
-
 @query(
     "WITH "
     + _bm25_sql([["thon"], ["ther"]], 20)
@@ -248,7 +235,8 @@ CASE WHEN length(c.text) <= 240 THEN c.text ELSE substr(c.text, greatest(strpos(
 FROM best JOIN c USING (chunk_id) JOIN m USING (message_id) WHERE rank <= 10"""
 )
 def search_bm25_rrf(spark, d):
-    return search_bm25(spark, d, "thon ther")
+    out = corpus.index(spark, d).search("thon ther", 10)
+    return out.select("chunk_id", "message_id", "account_id", "mailbox", "subject", "from_address", "date", "snippet", F.round("score", 6).alias("score"), "rank")
 
 
 _COS = "v AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS score FROM embeddings WHERE %s)"
@@ -358,8 +346,10 @@ def import_vectors(spark, d):
 @query("SELECT 'ko' AS chunk_id, round(2.0 / 61, 6)::DOUBLE AS score, 1 AS rank")
 def multilingual_rrf(spark, d):
     """Two lists find the Korean text, the one for all scripts and the Korean one."""
-    held = spark.createDataFrame(SCRIPTS, "chunk_id string, text string")
-    return search.search(held, "계약", 10).select("chunk_id", F.round("score", 6).alias("score"), "rank")
+    held = spark.createDataFrame(SCRIPTS, "chunk_id string, text string").withColumns({c: F.lit("") for c in search.SHOWN if c != "to_addresses"} | {"to_addresses": F.array(F.lit("")), "content_hash": F.lit("")})
+    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/postlark-index-{uuid.uuid4().hex}"
+    search.Index.write(held, path, ("text",))
+    return search.Index.read(spark, path).keyword("계약", 10).select("chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("""SELECT event_id, user_id::VARCHAR AS provider_key FROM events WHERE event_id % 3 <> 0""")
@@ -398,11 +388,12 @@ f AS (SELECT chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM lists GROUP
 SELECT chunk_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM f QUALIFY rank <= 10"""
 )
 def hybrid_rrf(spark, d):
-    near = _cosine(spark, d, 20)
-    firsts = corpus.chunks(spark, d).where("ordinal = 0").select("chunk_id", "message_id")
-    owner = corpus.messages(spark, d).join(F.broadcast(near), F.col("doc_id") == F.col("vec_id")).select("message_id", "rank")  # near is 20 rows
-    semantic = firsts.join(owner, "message_id").select("chunk_id", "rank")
-    return search.fuse([_bm25(spark, d, "thon", 20), semantic], 10).select("chunk_id", F.round("score", 6).alias("score"), "rank")
+    e = corpus.read(spark, d, "embeddings")
+    q = e.where("vec_id = 0").select("embedding").first()
+    index, m = corpus.index(spark, d), corpus.messages(spark, d).select("message_id", F.col("doc_id").alias("vec_id"))
+    owners = index.entries.where("ordinal = 0").select("chunk_id", "content_hash", "message_id").join(m, "message_id").join(e, "vec_id")
+    out = index.search("thon", 10, "hybrid", vectors=owners.select("chunk_id", "content_hash", F.col("embedding").alias("vector")), embed=lambda _: q[0] if q else [])
+    return out.select("chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 _LIST = "CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END"
