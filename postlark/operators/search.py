@@ -218,7 +218,7 @@ class Index:
     def hits(self, ranked: DataFrame, query: str, mode: str) -> DataFrame:
         """Ranked chunks with what a hit shows; ranked has no more rows than were asked for."""
         out = self.entries.join(F.broadcast(ranked), "chunk_id")
-        return out.select("chunk_id", *SHOWN, T.snippet(F.col("text"), query).alias("snippet"), "score", F.lit(mode).alias("mode"), "rank")
+        return out.select("chunk_id", *SHOWN, T.snippet(F.col("text"), query).alias("snippet"), "score", F.lit(mode).alias("mode"), "rank").orderBy("rank")
 
     def search(self, query: str, k: int = 10, mode: str = "bm25", filters: Filters | None = None, vectors: DataFrame | None = None, embed: Callable[[str], Sequence[float]] | None = None) -> DataFrame:
         """Hits of one search: bm25 (also keyword and fts), semantic or hybrid.

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from postlark.functions import text as T
 from postlark.functions.embed import hash_embed
-from postlark.operators import archive, search, semantic
+from postlark.operators import archive, search, semantic, sync
 from postlark.plans import corpus
 from postlark.plans.corpus import TOK, C, M
 from postlark.sources import envelopes
 from postlark.sources.mail_files import html_to_text, read_mail
+from postlark.streaming.ingest import Snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -402,8 +403,24 @@ _LIST = "CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END"
 @query(f"WITH {M} SELECT message_id || ':' || i AS attachment_id, message_id, 'file' || i AS name FROM m, LATERAL (SELECT unnest(range({_LIST})) AS i) WHERE mailbox = 'en'")
 def attachments_list(spark, d):
     m = corpus.messages(spark, d).where("mailbox = 'en'")
-    files = F.transform(F.sequence(F.lit(0), F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)), lambda i: F.concat(F.lit("file"), i))
-    return m.select("message_id", F.posexplode(files).alias("i", "name")).select(F.concat_ws(":", "message_id", "i").alias("attachment_id"), "message_id", "name").orderBy("attachment_id")
+    files = F.transform(F.sequence(F.lit(0), F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)), lambda i: F.struct(F.concat(F.lit("file"), i).alias("name"), *(F.lit(None).cast(t).alias(n) for n, t in (("mimeType", "string"), ("size", "long"), ("text", "string"), ("contentHash", "string")))))
+    return sync.list_attachments(sync.attachments(m.withColumn("attachments", files))).select("attachment_id", "message_id", "name")
+
+
+@query(f"""WITH {M}, ok AS (SELECT * FROM m WHERE len(categories) = 0), n AS (SELECT *, CASE WHEN doc_id % 6 = 0 THEN 'added' WHEN doc_id % 7 = 0 AND trim(latest_text, chr(9) || chr(10) || chr(13) || ' ') <> '' THEN 'updated' ELSE 'unchanged' END AS change FROM ok WHERE doc_id % 5 <> 0)
+SELECT count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'updated') AS updated, count(*) FILTER (change = 'unchanged') AS unchanged, 0 AS deleted, (SELECT count(*) FROM m WHERE len(categories) > 0 AND doc_id % 5 <> 0) AS excluded,
+count(DISTINCT thread_id) FILTER (change <> 'unchanged') AS touched_threads, (SELECT count(*) FILTER (list_contains(categories, 'spam')) FROM m WHERE doc_id % 5 <> 0) AS spam FROM n""")
+def sync_report(spark, d):
+    """Two syncs of the documents as messages; the second one's counters."""
+    m = corpus.messages(spark, d)
+    nothing = F.lit(None).cast("string")
+    body = F.col("latest_text")
+    mail = lambda rows, text: rows.select(F.col("account_id").alias("accountId"), "mailbox", F.col("provider_key").alias("providerKey"), *(nothing.alias(c) for c in ("messageId", "threadId", "inReplyTo", "html", "rawMime", "sourceHash")), "subject", F.col("from_address").alias("from"), F.col("to_addresses").alias("to"), "date", text.alias("text"), "classifications", *(F.lit(None).cast("array<string>").alias(c) for c in ("cc", "labels", "flags")), F.lit(None).cast(envelopes.ATTACHMENTS).alias("attachments"))
+    into = Snapshots(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/postlark-sync-{uuid.uuid4().hex}")
+    sync.sync(into, mail(m.where("doc_id % 6 != 0"), body))
+    changed = F.when((F.col("doc_id") % 7 == 0) & (T.trim(body) != ""), F.concat(body, F.lit("!"))).otherwise(body)
+    out = sync.sync(into, mail(m.where("doc_id % 5 != 0"), changed))
+    return out.select("added", "updated", "unchanged", "deleted", "excluded", "touched_threads", F.coalesce(F.col("excluded_by_reason")["spam"], F.lit(0)).alias("spam"))
 
 
 #: A mailbox with a quoted separator and a label list, and one without a separator.

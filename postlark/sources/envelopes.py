@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ATTACHMENTS = "array<struct<name:string,mimeType:string,size:long,text:string,contentHash:string>>"
 MAIL = (
-    "accountId string, mailbox string, providerKey string, messageId string, inReplyTo string, subject string, `from` string, `to` array<string>, cc array<string>, "
+    "accountId string, mailbox string, providerKey string, messageId string, threadId string, inReplyTo string, subject string, `from` string, `to` array<string>, cc array<string>, "
     "date string, text string, html string, labels array<string>, flags array<string>, classifications array<string>, rawMime string, sourceHash string, "
-    "attachments array<struct<name:string,mimeType:string,size:long,text:string,contentHash:string>>"
+    f"attachments {ATTACHMENTS}"
 )
 EPOCH = "1970-01-01T00:00:00.000Z"
 

@@ -6,6 +6,7 @@ scan prunes `content` where only sizes and times are asked for.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ _ESCAPED = re.compile(rb"^>(?=>*From )", re.M)
 
 SCHEMA = (
     "path string, label string, provider_key string, message_id string, in_reply_to string, subject string, sender string, "
-    "recipients array<string>, date string, body string, labels array<string>, attachments array<struct<name:string,mime_type:string,size:bigint,text:string>>, error string"
+    "recipients array<string>, date string, body string, labels array<string>, attachments array<struct<name:string,mime_type:string,size:bigint,text:string,content_hash:string>>, error string, truncated boolean"
 )
 
 
@@ -99,34 +100,46 @@ def gmail_labels(value: str) -> list[str]:
     return [f"CATEGORY_{x[9:].strip().upper()}" if x.lower().startswith("category ") else x for x in found if x]
 
 
+def _parts(m) -> tuple[str, list[tuple]]:
+    """Text of a parsed message, and its attachments: name, type, size, text of small text parts, hash of the base64 content."""
+    part = m.get_body(("plain", "html"))
+    body = part.get_content() if part else ""
+    body = html_text(body) if part and part.get_content_subtype() == "html" else body
+    files = []
+    for a in m.iter_attachments():
+        held = a.get_payload(decode=True) or b""
+        kind = a.get_content_type()
+        text = held.decode("utf-8", "replace") if kind.startswith("text/") and len(held) <= MAX_TEXT else None
+        files.append((a.get_filename() or "unnamed", kind, len(held), text, hashlib.sha256(base64.b64encode(held)).hexdigest()))
+    return body, files
+
+
+def mime_parts(raw: bytes) -> tuple[str, list[dict]]:
+    """Text and attachments of a raw message."""
+    body, files = _parts(message_from_bytes(raw, policy=policy.default))
+    return body, [dict(zip(("name", "mimeType", "size", "text", "contentHash"), f, strict=True)) for f in files]
+
+
 def parse(path: str, label: str, raw: bytes, envelope: str = "") -> tuple:
     """One row of SCHEMA for a raw message."""
     blank = (None,) * 10
     if len(raw) > MAX_BYTES:
-        return (path, label, *blank, f"message exceeds {MAX_BYTES} bytes")
+        return (path, label, *blank, f"message exceeds {MAX_BYTES} bytes", None)
     try:
         m = message_from_bytes(raw, policy=policy.default)
         if not m.keys():
-            return (path, label, *blank, "malformed message: no headers")
+            return (path, label, *blank, "malformed message: no headers", None)
         ident = str(m["message-id"] or "").strip()
         ident = "" if ident == "<>" else ident
         key = f"message-id:{ident}" if ident else f"sha256:{hashlib.sha256(raw).hexdigest()}"
         reply = re.search(r"<[^>]+>|\S+", str(m["in-reply-to"] or ""))
         people = lambda h: [a for _, a in getaddresses([str(x) for x in m.get_all(h, [])]) if a]
-        part = m.get_body(("plain", "html"))
-        body = part.get_content() if part else ""
-        body = html_text(body) if part and part.get_content_subtype() == "html" else body
-        files = []
-        for a in m.iter_attachments():
-            held = a.get_payload(decode=True) or b""
-            kind = a.get_content_type()
-            text = held.decode(a.get_content_charset("utf-8"), "replace") if kind.startswith("text/") and len(held) <= MAX_TEXT else None
-            files.append((a.get_filename() or "unnamed", kind, len(held), text))
+        body, files = _parts(m)
         labels = gmail_labels(str(m["x-gmail-labels"] or ""))
         sender = (people("from") or [""])[0]
-        return (path, label, key, ident or None, reply and reply[0], str(m["subject"] or ""), sender, people("to") + people("cc"), _date(m["date"] and str(m["date"]), envelope), body[:MAX_TEXT], labels, files, None)
+        return (path, label, key, ident or None, reply and reply[0], str(m["subject"] or ""), sender, people("to") + people("cc"), _date(m["date"] and str(m["date"]), envelope), body[:MAX_TEXT], labels, files, None, len(body) > MAX_TEXT)
     except (LookupError, ValueError, AttributeError, TypeError) as e:
-        return (path, label, *blank, f"malformed message: {type(e).__name__}")
+        return (path, label, *blank, f"malformed message: {type(e).__name__}", None)
 
 
 def entries(path: str, content: bytes) -> Iterator[tuple]:
@@ -136,7 +149,7 @@ def entries(path: str, content: bytes) -> Iterator[tuple]:
         return
     found = split_mbox(content)
     if found is None:
-        yield (path, name, *(None,) * 10, "not an mbox file: content before the first separator")
+        yield (path, name, *(None,) * 10, "not an mbox file: content before the first separator", None)
     for i, (envelope, raw) in enumerate(found or (), 1):
         yield parse(path, f"{name}#{i}", raw, envelope)
 
@@ -145,11 +158,11 @@ def read_mail(files: DataFrame) -> DataFrame:
     """Rows of SCHEMA for a frame with path and content; failures are rows with an error."""
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = "path label provider_key message_id in_reply_to subject sender recipients date body labels attachments error".split()
+        names = "path label provider_key message_id in_reply_to subject sender recipients date body labels attachments error truncated".split()
         for b in batches:
             rows = [r for p, c in zip(b["path"], b["content"], strict=True) for r in entries(p, bytes(c))]
             out = pd.DataFrame(rows, columns=names, dtype=object)
-            out["attachments"] = [None if a is None else [dict(zip(("name", "mime_type", "size", "text"), x, strict=True)) for x in a] for a in out["attachments"]]
+            out["attachments"] = [None if a is None else [dict(zip(("name", "mime_type", "size", "text", "content_hash"), x, strict=True)) for x in a] for a in out["attachments"]]
             yield out
 
     return files.select("path", "content").mapInPandas(parsed, SCHEMA)
