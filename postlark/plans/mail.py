@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from postlark.functions import text as T
 from postlark.functions.embed import hash_embed
-from postlark.operators import archive, search, semantic, sync
+from postlark.operators import archive, maintain, search, semantic, sync
 from postlark.plans import corpus
 from postlark.plans.corpus import TOK, C, M
 from postlark.sources import envelopes
@@ -314,6 +314,15 @@ def status_counts(spark, d):
     return counts[0].join(counts[1]).join(counts[2])  # one row each
 
 
+@query(f"""WITH {_V} SELECT chunk_id, 'reuse' AS action FROM c SEMI JOIN vec USING (chunk_id, content_hash)
+UNION ALL SELECT chunk_id, 'embed' FROM c ANTI JOIN vec USING (chunk_id, content_hash)""")
+def semantic_index_plan(spark, d):
+    """What an index of vectors takes over and what it embeds."""
+    c = corpus.chunks(spark, d)
+    kept, missing = maintain.to_index(c, _vectors(c))
+    return kept.select("chunk_id", F.lit("reuse").alias("action")).unionByName(missing.select("chunk_id", F.lit("embed").alias("action")))
+
+
 @query(f"""WITH {_V}, n AS (SELECT (SELECT count(*) FROM vec) AS stored, (SELECT count(*) FROM c SEMI JOIN vec USING (chunk_id, content_hash)) AS complete, (SELECT count(*) FROM c) AS chunks)
 SELECT 'no identity' AS kind, 'rebuild-required' AS status, stored, complete, chunks - complete AS backlog FROM n
 UNION ALL SELECT 'other embedder', 'rebuild-required', stored, complete, chunks - complete FROM n
