@@ -18,6 +18,7 @@ NUL = "\x00"
 CHUNK_CHARS = 2400
 #: What a trim strips, white space of all scripts and byte order marks; \x85 is none of it.
 _BLANK = r"[\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+_BLANKS = "".join(map(chr, (*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))  # the same, one by one
 
 #: Latin letters with accents and their base letters, by Unicode decomposition.
 _ACCENTED = [c for c in map(chr, range(0xC0, 0x250)) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0].isascii()]
@@ -32,7 +33,7 @@ def make_id(*parts: Column) -> Column:
 
 def trim(c: Column) -> Column:
     """Strips all white space, no-break spaces and byte order marks."""
-    return F.regexp_replace(c, f"^{_BLANK}+|{_BLANK}+$", "")
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def normalize_subject(c: Column) -> Column:
