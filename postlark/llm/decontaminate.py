@@ -3,13 +3,15 @@
 Every benchmark item is cut into windows of consecutive words. A window is the
 set of its word shingles, and a document contains it only if it has all of them,
 so one prefix token is enough: the window's rarest shingle, by counts over all
-documents. Documents look up their shingles among these prefix tokens, each hit
+documents. Documents' shingles are joined with these prefix tokens, each match
 fixes where the window would lie (positional bound), windows that would leave
 the document go (length bound), and the rest are compared word by word.
 
-The windows are the small side. They are cut into blocks of a fixed number, each
-block is broadcast, and documents pass all blocks one after another, so their
-number has no limit and documents are never shuffled.
+Up to `block` windows are broadcast and documents are not shuffled. More windows
+are joined: one pass counts shingles in hashed buckets, a second one sends the
+places of documents whose shingle may be a prefix token, by a table of bits over
+all of these, with the words around, to the token's windows. The number of passes
+does not follow the number of windows.
 """
 
 from __future__ import annotations
@@ -22,10 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh, stored
+from .shared import fresh, packed_counts, stored, total_counts
 from .wordhash import LOWER, NON_ALNUM, U64, Words, shingles, signed, slices, split
 
 SHINGLE = 3  # words; windows of fewer are one shingle
+BUCKETS = 1 << 20  # of counts in the join
+_CHUNK = 1024
+_MOST_BITS = 1 << 27  # of the table of prefix tokens; beyond, more places pass it
+_SALTS = 8  # parts of the documents that have one prefix token
 
 
 def _words(w: Words, i: int) -> tuple[list[bytes], np.ndarray]:
@@ -71,9 +77,8 @@ class Index:
         self.keys, self.of, self.place = (np.concatenate(x) if x else np.zeros(0, d) for x, d in ((keys, U64), (of, np.int64), (place, np.int64)))
         self.sizes = sorted({int(min(SHINGLE, n)) for n in self.size})
 
-    def keep_rarest(self, counts: dict[int, int]) -> None:
-        """Leaves each window its prefix: the shingle with the smallest (count, hash), at its first place."""
-        n = np.array([counts.get(int(k), 0) for k in self.keys.tolist()], np.int64)
+    def keep_rarest(self, n: np.ndarray) -> None:
+        """Leaves each window its prefix: the shingle with the smallest (count, hash), at its first place; n are the counts of keys."""
         order = np.lexsort((self.place, self.keys, n, self.of))
         at = order[np.unique(self.of[order], return_index=True)[1]]
         at = at[np.argsort(self.keys[at], kind="stable")]
@@ -92,8 +97,8 @@ class Index:
 SAME_CASE = np.arange(256, dtype=np.uint8)
 
 
-def _count(docs: DataFrame, index) -> dict[int, int]:
-    """How often all documents have each shingle of the block."""
+def _count(docs: DataFrame, index, keys: np.ndarray) -> np.ndarray:
+    """How often all documents have each of the block's shingles."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
@@ -110,8 +115,116 @@ def _count(docs: DataFrame, index) -> dict[int, int]:
         here = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"k": pa.array(signed(keys[here]), pa.int64()), "n": pa.array(total[here], pa.int64())})
 
-    rows = docs.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    return {r.k & 0xFFFFFFFFFFFFFFFF: r.n for r in rows}
+    got = docs.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    distinct = np.unique(keys)
+    total = np.zeros(len(distinct), np.int64)
+    total[np.searchsorted(distinct, got["k"].to_numpy().view(U64))] = got["n"].to_numpy()
+    return total[np.searchsorted(distinct, keys)]
+
+
+def _bucket(s: np.ndarray, n: int) -> np.ndarray:
+    """The top bits of hashes; n is a power of two."""
+    return (s >> U64(65 - n.bit_length())).astype(np.int64)
+
+
+def _bucket_counts(docs: DataFrame, sizes: list[int]) -> np.ndarray:
+    """How often all documents have the shingles of each bucket."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for part in slices(b, "text"):
+                w = split(part.column("text"), NON_ALNUM, LOWER)
+                for k in sizes:
+                    total += np.bincount(_bucket(shingles(w.hashes, k) ^ U64(k), BUCKETS), minlength=BUCKETS)
+        at, packed = packed_counts(total, _CHUNK)
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(at, pa.int32()), "counts": pa.array(packed, pa.binary())})
+
+    return total_counts(docs.select("text").mapInArrow(count, "chunk int, counts binary"), BUCKETS, _CHUNK)
+
+
+def _tokens(wins: DataFrame, counts) -> DataFrame:
+    """Each window with its prefix token (key) and where in the window that is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ix = Index(b.column("win").to_pylist(), b.column("items").to_pylist())
+            ix.keep_rarest(counts.value[_bucket(ix.keys, BUCKETS)])
+            of = pa.array(ix.of)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(ix.keys), pa.int64()), pa.array(ix.place, pa.int32()), pa.array(ix.size[ix.of], pa.int32()), b.column("win").take(of).cast(pa.string()), b.column("items").take(of)],
+                names=["key", "place", "size", "win", "items"],
+            )
+
+    return wins.select("win", "items").mapInArrow(run, "key long, place int, size int, win string, items array<string>")
+
+
+def _bits(tokens: DataFrame, n: int) -> np.ndarray:
+    """A table of n bits with those of all prefix tokens set."""
+    at = F.shiftrightunsigned("key", 65 - n.bit_length())
+    words = tokens.select(F.shiftright(at, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("b"))
+    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(n // 64, U64)
+    out[got["w"].to_numpy()] = got["b"].to_numpy().view(U64)
+    return out
+
+
+def _places(docs: DataFrame, bits, n: int, sizes: list[int], window: int) -> DataFrame:
+    """Places of documents whose shingle may be a prefix token, with all words that a window there could have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b, "text"):
+                w = split(part.column("text"), NON_ALNUM, LOWER)
+                text_of = w.text_of()
+                for k in sizes:
+                    s = shingles(w.hashes, k) ^ U64(k)
+                    bit = _bucket(s, n)
+                    ok = (bits.value[bit >> 6] >> (bit & 63).astype(U64) & U64(1)).astype(bool)
+                    at = np.flatnonzero(ok)
+                    of = text_of[at]
+                    at, of = (x[at + k <= w.first[of + 1]] for x in (at, of))
+                    for i in range(0, len(at), 8192):
+                        here, doc = at[i : i + 8192], of[i : i + 8192]
+                        lo, hi = np.maximum(w.first[doc], here - (window - k)), np.minimum(w.first[doc + 1], here + window)
+                        around = [b" ".join(LOWER[w.data[x:y]].tobytes() for x, y in zip(w.starts[p:q], w.ends[p:q], strict=True)) for p, q in zip(lo.tolist(), hi.tolist(), strict=True)]
+                        yield pa.RecordBatch.from_arrays(
+                            [*(part.column(c).take(pa.array(doc)) for c in ("r1", "r2")), pa.array(signed(s[here]), pa.int64()), pa.array(here - w.first[doc], pa.int32()), pa.array(here - lo, pa.int32()), pa.array(around, pa.binary()).cast(pa.string())],
+                            names=["r1", "r2", "key", "at", "before", "around"],
+                        )
+
+    return docs.select("r1", "r2", "text").mapInArrow(run, "r1 long, r2 long, key long, at int, before int, around string")
+
+
+def _joined(docs: DataFrame, wins: DataFrame, total: int, window: int) -> DataFrame:
+    """The join for any number of windows: r1, r2 of documents, their spans and items, where there are any."""
+    spark = docs.sparkSession
+    count = F.least(F.lit(SHINGLE), F.size(F.split(F.col("win").cast("string"), " ")))
+    sizes = sorted(r[0] for r in wins.select(count).distinct().collect())  # 1 to SHINGLE
+    counts = spark.sparkContext.broadcast(_bucket_counts(docs, sizes))
+    tokens = stored(_tokens(wins, counts), "tokens")
+    n = min(_MOST_BITS, max(1 << 16, 1 << (16 * total).bit_length()))
+    bits = spark.sparkContext.broadcast(_bits(tokens, n))
+    places = _places(docs, bits, n, sizes, window).dropDuplicates(["r1", "r2", "key", "at"])
+    salted = tokens.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    start = F.col("before") - F.col("place")
+    words = F.split("around", " ")
+    hits = (
+        places.withColumn("salt", F.pmod("r1", F.lit(_SALTS)).cast("int"))
+        .join(salted, ["key", "salt"])
+        .where((start >= 0) & (start + F.col("size") <= F.size(words)))
+        .where(F.array_join(F.slice(words, F.greatest(start, F.lit(0)) + 1, F.col("size")), " ") == F.col("win"))
+        .select("r1", "r2", (F.col("at") - F.col("place")).alias("from"), (F.col("at") - F.col("place") + F.col("size")).alias("to"), "items")
+    )
+    found = hits.groupBy("r1", "r2").agg(F.collect_set(F.struct("from", "to")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    schema = found.schema
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = [[{"from": a, "to": z} for a, z in _merged([(x["from"], x["to"]) for x in row])] for row in b.column("spans").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("r1"), b.column("r2"), pa.array(spans, _SPANS), b.column("items")], names=schema.names)
+
+    return found.mapInArrow(merge, "r1 long, r2 long, spans array<struct<from:int,to:int>>, items array<string>")
 
 
 def _matches(ix: Index, w: Words, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,6 +249,9 @@ def _matches(ix: Index, w: Words, i: int) -> tuple[np.ndarray, np.ndarray]:
     return start[same], win[same]
 
 
+_SPANS = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -156,51 +272,63 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     words; items with a null id or no word have no window; an empty benchmark
     hits nothing. Long texts are read whole. Repeated items and windows count
     once for each item id. Where `keep` has one of the new names, the new one gets
-    underscores in front.
+    underscores in front. Up to `block` windows are broadcast, more are joined; both
+    give the same rows.
     """
-    spark = docs.sparkSession
     wins = stored(item_windows(items, item_col=item_col, text_col=item_text_col, window=window), "windows")
     total = wins.count()
-    n_blocks = max(1, -(-total // block))
     kept = keep if keep is not None else (id_col,)
-    base = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(kept)), F.col(text_col).cast("string").alias("text"))
-    at = base.withColumns({"n_words": F.lit(None).cast("long"), "spans": F.lit(None).cast("array<struct<from:int,to:int>>"), "items": F.lit(None).cast("array<string>")})
-    schema = at.schema
-    for n in range(n_blocks):
-        rows = (wins if n_blocks == 1 else wins.where(F.pmod(F.xxhash64("win"), F.lit(n_blocks)) == n)).collect()
-        index = Index([bytes(r.win) for r in rows], [r["items"] for r in rows])
-        if total:
-            held = spark.sparkContext.broadcast(index)
-            index.keep_rarest(_count(base, held))
-            held.unpersist()
+    text, named = F.col(text_col).cast("string"), [F.col(c).alias(f"k{i}") for i, c in enumerate(kept)]
+    ends = ["n_words", "spans", "items"]
+    if total <= block:
+        found = _looked_up(docs.select(*named, text.alias("text")), wins)
+    else:
+        kind = F.when(F.col(id_col).isNull(), 1).otherwise(0) + F.when(text.isNull(), 2).otherwise(0)  # a null hashes as nothing
+        keys = [F.xxhash64(F.lit(x), kind, F.col(id_col), text).alias(f"r{x}") for x in (1, 2)]  # 128 bits; equal for repeated rows alone
+        hits = _joined(docs.select(*keys, text.alias("text")), wins, total, window)
+        n_words = F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words")
+        found = docs.select(*keys, *named, n_words).join(hits, ["r1", "r2"], "left").withColumns({c: F.coalesce(F.col(c), F.array().cast(hits.schema[c].dataType)) for c in ends[1:]})
+    return found.select(*(f"k{i}" for i in range(len(kept))), *ends).toDF(*kept, *fresh(kept, *ends))
+
+
+def _looked_up(docs: DataFrame, wins: DataFrame) -> DataFrame:
+    """The join with a block of windows that is broadcast: the columns of docs, n_words, spans, items."""
+    spark = docs.sparkSession
+    rows = wins.toArrow()
+    index = Index(rows["win"].to_pylist(), rows["items"].to_pylist())
+    if len(index.keys):
         held = spark.sparkContext.broadcast(index)
+        index.keep_rarest(_count(docs, held, index.keys))
+        held.unpersist()
+    held = spark.sparkContext.broadcast(index)
+    schema = T.StructType(docs.schema.fields[:-1] + T.StructType.fromDDL("n_words long, spans array<struct<from:int,to:int>>, items array<string>").fields)
 
-        def match(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ix = held.value
-            for b in batches:
-                for part in slices(b, "text"):
-                    w = split(part.column("text"), NON_ALNUM, LOWER)
-                    old_spans, old_items = part.column("spans").to_pylist(), part.column("items").to_pylist()
-                    spans, items = [], []
-                    hit = np.zeros(len(w.hashes) + 1, bool)
-                    if len(ix.keys):
-                        for found, _ in ix.probes(w.hashes):
-                            hit[found] = True
-                    any_hit = np.add.reduceat(hit, np.minimum(w.first[:-1], len(hit) - 1)) * (w.counts() > 0) if part.num_rows else []
-                    for i in range(part.num_rows):
-                        mine = [(s["from"], s["to"]) for s in old_spans[i] or ()]
-                        ids = set(old_items[i] or ())
-                        if any_hit[i]:
-                            start, win = _matches(ix, w, i)
-                            mine = _merged(mine + [(int(s), int(s + ix.size[v])) for s, v in zip(start, win, strict=True)])
-                            ids.update(x for v in set(win.tolist()) for x in ix.items[v])
-                        spans.append([{"from": a, "to": z} for a, z in mine])
-                        items.append(sorted(ids))
-                    kinds = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])), pa.list_(pa.string())
-                    yield pa.RecordBatch.from_arrays([*part.columns[:-3], pa.array(w.counts(), pa.int64()), pa.array(spans, kinds[0]), pa.array(items, kinds[1])], names=schema.names)
-
-        at = at.mapInArrow(match, schema)
-    return at.drop("text").toDF(*kept, *fresh(kept, "n_words", "spans", "items"))
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = held.value
+        for b in batches:
+            for part in slices(b, "text"):
+                w = split(part.column("text"), NON_ALNUM, LOWER)
+                spans, items = [], []
+                hit = np.zeros(len(w.hashes) + 1, bool)
+                if len(ix.keys):
+                    for found, _ in ix.probes(w.hashes):
+                        hit[found] = True
+                any_hit = np.add.reduceat(hit, np.minimum(w.first[:-1], len(hit) - 1)) * (w.counts() > 0) if part.num_rows else []
+                for i in range(part.num_rows):
+                    mine, ids = [], set()
+                    if any_hit[i]:
+                        start, win = _matches(ix, w, i)
+                        mine = _merged([(int(s), int(s + ix.size[v])) for s, v in zip(start, win, strict=True)])
+                        ids.update(x for v in set(win.tolist()) for x in ix.items[v])
+                    spans.append([{"from": a, "to": z} for a, z in mine])
+                    items.append(sorted(ids))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(w.counts(), pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], names=schema.names)
+
+    return docs.mapInArrow(match, schema)
+
+
+#: A word, for counting: letters and digits of ASCII, and all beyond it.
+_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

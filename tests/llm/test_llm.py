@@ -5,8 +5,10 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from postlark.llm import decontaminate as dec
 from postlark.llm import queries as q
 from postlark.llm import toolcalls
 
@@ -118,6 +120,19 @@ def test_decontamination(spark, some_dir):
     assert sorted(map(tuple, got)) == sorted(brute_decontaminate(pairs(spark, some_dir, "documents"), pairs(spark, some_dir, "benchmark")))
 
 
+def test_decontamination_by_join(spark, some_dir):
+    """More windows than a block: the join gives the rows of brute force, spans, ids and repeated rows included."""
+    docs, items = (spark.read.parquet(f"{some_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    again = docs.unionByName(docs.limit(3)).unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    got = dec.decontaminate(again, items, block=0).select("doc_id", "n_words", dec.n_hit(), F.size("items").cast("long"), F.sha2(F.concat_ws(",", "items"), 256), dec.n_hit() > 0).collect()
+    want = list(brute_decontaminate([(r.doc_id, r.text) for r in again.collect()], pairs(spark, some_dir, "benchmark")))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert any(w[-1] for w in want)
+    few, many = (dec.decontaminate(again, items, block=n) for n in (1 << 20, 0))
+    assert few.schema.simpleString() == many.schema.simpleString()
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+
+
 def test_ngram_join(spark, some_dir):
     got = q.op7_ngram_jaccard_join(spark, some_dir).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got)) == brute_join(pairs(spark, some_dir, "documents"))
