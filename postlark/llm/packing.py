@@ -1,7 +1,8 @@
 """Packs tokenised documents into sequences of a fixed capacity (best-two-fit).
 
 A bin is filled greedily with the longest pieces that still fit. Then its
-smallest piece is taken out if two unpacked pieces fill the larger gap better.
+smallest piece is taken out if two unpacked pieces fill the larger gap better; of
+equally good pairs that with the shortest longer piece goes in.
 
 Only lengths matter, and there are at most `capacity` of them, so bins are
 planned on the driver over a histogram of lengths: a pattern of lengths is
@@ -118,9 +119,11 @@ class Tokens:
         for at in range(0, len(rest), 4096):
             for w, ids in zip(rest[at : at + 4096], self.encode(rest[at : at + 4096]), strict=True):
                 (self.held if len(w) <= 64 else now)[w] = ids
-        table = self.held | now if now else self.held
+        self.held.update(now)
         for ws in words:
-            yield b"".join(map(table.__getitem__, ws))
+            yield b"".join(map(self.held.__getitem__, ws))
+        for w in now:
+            del self.held[w]
 
 
 _TOKENS: dict[str, Tokens] = {}  # of this worker, for all its tasks
