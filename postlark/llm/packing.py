@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import stored
+from .wordhash import slices
 
 CAPACITY = 4096
 END_ID = 1
+_SLICE = 3 << 20  # bytes of text that are looked up together
 
 
 def _byte_letters() -> dict[int, int]:
@@ -54,10 +56,12 @@ class Tokens:
     Parts repeat; those of up to 64 bytes are kept in two tables of at most `most`
     parts: when one is full it becomes the old one, and what is still met there
     moves on to the new one. A part of letters, with full stops and commas behind,
-    is two units for the model at most and goes to it at once; any other goes
-    through the tokenizer.
+    is two units for the model at most and goes to it at once; others go through
+    the tokenizer together, with a mark between them that is one token.
     """
 
+    MARK = b"~"
+
     def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
@@ -66,6 +70,8 @@ class Tokens:
         self.held: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.tails: dict[bytes, bytes] = {b"": b""}
+        ids = self.model.encode(self.MARK.decode(), add_special_tokens=False).ids
+        self.mark = ids[0] if len(ids) == 1 else None
 
     def unit(self, text: str) -> bytes:
         """Ids of one run of letters or of symbols, in lower case."""
@@ -99,9 +105,25 @@ class Tokens:
             self.tails[tail] = self.unit(tail.decode())
         return ids + self.tails[tail]
 
-    def encode(self, parts: list[bytes]) -> list[bytes]:
-        texts = [p.decode("utf-8") for p in parts]
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, parts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Each part with its ids; parts are told apart by marks, those that may hold one go one by one."""
+        alone, joined = [], []
+        for p in parts:
+            (alone if self.mark is None or self.MARK in p or not p.isascii() else joined).append(p)
+        if joined:
+            text = (b" " + self.MARK + b" ").join(joined).decode()
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            if len(ends) == len(joined):
+                raw, at = ids.tobytes(), 0
+                for p, end in zip(joined, ends, strict=True):
+                    yield p, raw[4 * at : 4 * end]
+                    at = end + 1
+            else:
+                alone += joined
+        texts = [p.decode("utf-8") for p in alone]
+        for p, e in zip(alone, self.model.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            yield p, np.array(e.ids, "<u4").tobytes()
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         if len(self.held) > self.most:
@@ -117,7 +139,7 @@ class Tokens:
             else:
                 rest.append(w)
         for at in range(0, len(rest), 4096):
-            for w, ids in zip(rest[at : at + 4096], self.encode(rest[at : at + 4096]), strict=True):
+            for w, ids in self.encode(rest[at : at + 4096]):
                 (self.held if len(w) <= 64 else now)[w] = ids
         self.held.update(now)
         for ws in words:
@@ -201,10 +223,10 @@ def pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
         tokens = _TOKENS[path]
         task, ranks = TaskContext.get().partitionId(), Counter()
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                texts = b.column(1).slice(at, 256).cast(pa.large_binary()).to_pylist()
+            for some in slices(b, "text", _SLICE):
+                texts = some.column("text").cast(pa.large_binary()).to_pylist()
                 of, rows = [], []
-                for i, ids in enumerate(tokens.of([t or b"" for t in texts]), at):
+                for i, ids in enumerate(tokens.of([t or b"" for t in texts])):
                     ids += end
                     for k in range(0, len(ids), step):
                         part = ids[k : k + step]
@@ -214,9 +236,9 @@ def pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
                         ranks[n] += 1
                 kinds = pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()
                 cols = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True))[: len(schema) - 1], kinds, strict=False)]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), *cols], names=schema.names)
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(of)), *cols], names=schema.names)
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, path: str, *, capacity: int = CAPACITY, **options) -> DataFrame:
