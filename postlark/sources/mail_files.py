@@ -1,7 +1,8 @@
 """Reads .eml and .mbox files: one row for each message or failure.
 
-Files come through Spark's binaryFile source, so any file system works and the
-scan prunes `content` where only sizes and times are asked for.
+Files come through Spark's sources, so any file system works. binaryFile prunes
+`content` where only sizes and times are asked for; read_mboxes() reads mailboxes of
+any size by blocks.
 """
 
 from __future__ import annotations
@@ -16,13 +17,14 @@ from email.utils import getaddresses, parsedate_to_datetime
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 MAX_BYTES = 50 << 20
 MAX_TEXT = 1_000_000
 EPOCH = "1970-01-01T00:00:00.000Z"
+NOT_MBOX = "not an mbox file: content before the first separator"
 _SEPARATOR = re.compile(rb"(?:\A(?:\r?\n)?|(?<=\n\n)|(?<=\n\r\n))From ([^\n]*)(?:\n|\Z)")
 _ESCAPED = re.compile(rb"^>(?=>*From )", re.M)
 
@@ -88,12 +90,17 @@ def split_mbox(data: bytes) -> list[tuple[str, bytes]] | None:
     ends = [m.start() for m in at[1:]] + [len(data)] if at else []
     out = []
     for m, end in zip(at, ends, strict=True):
-        raw = _ESCAPED.sub(b"", data[m.end() : end])
-        framing = 2 if raw.endswith(b"\r\n\r\n") else 1 if raw.endswith(b"\n\n") else 0
-        out.append((m[1].decode("latin1").strip(), raw[: len(raw) - framing]))
+        out.append((m[1].decode("latin1").strip(), _unframed(data[m.end() : end])))
     return out
 
 
+def _unframed(raw: bytes) -> bytes:
+    """A message of a mailbox without the escapes of its lines and the blank line behind it."""
+    raw = _ESCAPED.sub(b"", raw)
+    framing = 2 if raw.endswith(b"\r\n\r\n") else 1 if raw.endswith(b"\n\n") else 0
+    return raw[: len(raw) - framing]
+
+
 def gmail_labels(value: str) -> list[str]:
     """Comma-separated labels, quoted ones with backslash escapes; categories as the provider's API names them."""
     found = ((q or w).strip() for q, w in re.findall(r'"((?:[^"\\]|\\.)*)"|([^,]+)', value))
@@ -149,33 +156,138 @@ def entries(path: str, content: bytes) -> Iterator[tuple]:
         return
     found = split_mbox(content)
     if found is None:
-        yield (path, name, *(None,) * 10, "not an mbox file: content before the first separator", None)
+        yield (path, name, *(None,) * 10, NOT_MBOX, None)
     for i, (envelope, raw) in enumerate(found or (), 1):
         yield parse(path, f"{name}#{i}", raw, envelope)
 
 
+def _numbered(path: str, i: int, held: bytes) -> tuple:
+    """The row of a mailbox's i-th message, from behind its `From ` to the next one."""
+    envelope, _, raw = held.partition(b"\n")
+    return parse(path, f"{path.rsplit('/', 1)[-1]}#{i}", _unframed(raw), envelope.decode("latin1").strip())
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    names = "path label provider_key message_id in_reply_to subject sender recipients date body labels attachments error truncated".split()
+    out = pd.DataFrame(rows, columns=names, dtype=object)
+    held = [None if a is None else [dict(zip(("name", "mime_type", "size", "text", "content_hash"), x, strict=True)) for x in a] for a in out["attachments"]]
+    return out.assign(attachments=pd.Series(held, dtype=object))
+
+
 def read_mail(files: DataFrame) -> DataFrame:
     """Rows of SCHEMA for a frame with path and content; failures are rows with an error."""
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = "path label provider_key message_id in_reply_to subject sender recipients date body labels attachments error truncated".split()
         for b in batches:
-            rows = [r for p, c in zip(b["path"], b["content"], strict=True) for r in entries(p, bytes(c))]
-            out = pd.DataFrame(rows, columns=names, dtype=object)
-            out["attachments"] = [None if a is None else [dict(zip(("name", "mime_type", "size", "text", "content_hash"), x, strict=True)) for x in a] for a in out["attachments"]]
-            yield out
+            yield _frame([r for p, c in zip(b["path"], b["content"], strict=True) for r in entries(p, bytes(c))])
 
     return files.select("path", "content").mapInPandas(parsed, SCHEMA)
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
+_MESSAGES, _MAILBOXES = "*.[eE][mM][lL]", "*.[mM][bB][oO][xX],*.[mM][bB][xX],mbox"
+
+
+def _bundled(path: Column) -> Column:
+    """Whether a file named `mbox` is the one of a bundle; true for all others."""
+    return ~path.endswith("/mbox") | path.rlike(r"(?i)[^/]\.mbox/mbox$")
+
+
+def scan(spark: SparkSession, path: str, names: str = f"{{{_MESSAGES},{_MAILBOXES}}}") -> DataFrame:
     """path, modificationTime, length, content of every mail file below a folder.
 
     Mail files end in .eml, .mbox or .mbx in any case, or are the `mbox` of a bundle `X.mbox`.
     """
-    names = "{*.[eE][mM][lL],*.[mM][bB][oO][xX],*.[mM][bB][xX],mbox}"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(path)
-    return files.where(~F.col("path").endswith("/mbox") | F.col("path").rlike(r"(?i)[^/]\.mbox/mbox$"))
+    return files.where(_bundled(F.col("path")))
+
+
+_PIECE = "path string, block long, n int, last boolean, blank boolean, raw binary"
+
+
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pieces of _PIECE from records between line ends followed by `From `, which come in order within a block.
+
+    n counts the messages that start in a block from 1. 0 is what stands in it before the
+    first sure start: the rest of a message of an earlier block, or a message if the record
+    before it ended with a blank line. -1 marks text before a file's first separator.
+    `blank` tells of a block's last piece whether a message may follow it.
+    """
+    at: tuple[str, int] | None = None
+    n, parts, ended, junk = 0, [], True, False
+
+    def piece(last: bool) -> tuple:
+        raw = b"\nFrom ".join(parts)
+        return (*at, -1 if junk else n, last, ended, raw if last else raw + b"\n")
+
+    for b in batches:
+        out = []
+        for path, block, record in zip(b["path"], b["block"], b["record"], strict=True):
+            record = bytes(record)
+            if at != (path, block):
+                if at and parts:
+                    out.append(piece(True))
+                at, n, parts, junk = (path, int(block)), 0, [], False
+                if not block:
+                    record = record.removeprefix(b"\xef\xbb\xbf")
+                    if record.startswith(b"From "):
+                        n, record = 1, record[5:]
+                    else:
+                        junk = bool(record.strip(b"\r\n"))
+                        ended = record in (b"", b"\r") or record.endswith((b"\n", b"\n\r"))
+                        parts = [b""] if junk else []
+                        continue
+            elif ended:
+                if parts:
+                    out.append(piece(False))
+                n, parts, junk = n + 1, [], False
+            if junk or not (n or block):
+                junk, parts = True, [b""]  # none of it is a message
+            else:
+                parts.append(record)
+            ended = record.endswith((b"\n", b"\n\r"))
+        yield pd.DataFrame(out, columns=["path", "block", "n", "last", "blank", "raw"])
+    if at and parts:
+        yield pd.DataFrame([piece(True)], columns=["path", "block", "n", "last", "blank", "raw"])
+
+
+def read_mboxes(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of SCHEMA for mailboxes of any size below a folder, read by blocks.
+
+    The rows are those of read_mail(). A file's blocks are split by its separators in
+    different tasks and dealt out once by block; a message that goes on in later blocks
+    is put together by its number. Only a list of blocks is put in the order of a file.
+    A separator that ends a file, with nothing behind it, gives no row.
+    """
+    lines = spark.read.option("lineSep", "\nFrom ").option("recursiveFileLookup", True).option("pathGlobFilter", f"{{{_MAILBOXES}}}").text(path)
+    name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))  # as binaryFile gives it
+    records = lines.select(name.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("record"))
+    pieces = records.where(_bundled(F.col("path"))).mapInPandas(_pieces, _PIECE)
+    blocks = pieces.groupBy("path", "block").agg(F.max("n").alias("top"), F.min("n").alias("low"), F.max_by("blank", F.struct("last", "n")).alias("blank"))
+    order = Window.partitionBy("path").orderBy("block")
+    starts = (F.col("low") == 0) & F.coalesce(F.lag("blank").over(order), F.lit(True))  # what stands first in a block is a message
+    blocks = blocks.withColumn("shift", starts.cast("int"))
+    before = F.sum(F.greatest("top", F.lit(0)) + F.col("shift")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    follows = F.coalesce(F.lead("shift").over(order), F.lit(0)) == 1
+    blocks = blocks.select("path", "block", "shift", follows.alias("follows"), F.coalesce(before, F.lit(0)).alias("before"), (F.min("low").over(Window.partitionBy("path")) < 0).alias("bad"))
+    placed = pieces.join(blocks, ["path", "block"]).where(~F.col("bad")).withColumn("number", F.col("before") + F.when(F.col("n") == 0, F.col("shift")).otherwise(F.col("n") + F.col("shift")))
+    placed = placed.withColumn("raw", F.when(F.col("last") & F.col("follows"), F.concat("raw", F.lit(b"\n"))).otherwise(F.col("raw")))
+    edge = F.col("last") | (F.col("n") == 0)
+    held = F.array_sort(F.collect_list(F.struct("block", "n", "raw")))
+    joined = placed.where(edge).groupBy("path", "number").agg(held.alias("held")).select("path", "number", F.aggregate(F.slice("held", 2, F.greatest(F.size("held") - 1, F.lit(0))), F.col("held")[0]["raw"], lambda a, x: F.concat(a, F.lit(b"\nFrom "), x["raw"])).alias("raw"))
+    whole = placed.where(~edge).select("path", "number", "raw").unionByName(joined)
+
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield _frame([_numbered(p, i, bytes(raw)) for p, i, raw in zip(b["path"], b["number"], b["raw"], strict=True)])
+
+    bad = blocks.where("bad").select("path").distinct()
+    failed = bad.select("path", F.element_at(F.split("path", "/"), -1).alias("label"), F.lit(NOT_MBOX).alias("error"))
+    return whole.mapInPandas(parsed, SCHEMA).unionByName(failed, allowMissingColumns=True)
+
+
+def read_folder(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of SCHEMA for all mail files below a folder."""
+    return read_mail(scan(spark, path, _MESSAGES)).unionByName(read_mboxes(spark, path))
 
 
 def changed(scanned: DataFrame, known: DataFrame) -> DataFrame:
