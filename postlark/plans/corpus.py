@@ -52,6 +52,29 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.join(before, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", body.alias("body"), subject.alias("subject"))
 
 
+#: Words in the scripts that have an analyzer of their own, behind each text of a language.
+WORDS = {"en": "合同 更新", "fr": "계약 갱신", "de": "契約 更新 の 条件", "es": "تجديد العقد"}
+
+
+def scripted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a word in another script behind each text."""
+    word = F.coalesce(*(F.when(F.col("lang") == k, v) for k, v in WORDS.items()), F.lit(""))
+    return read(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), word).alias("t"))
+
+
+S = "s AS (SELECT doc_id, coalesce(text, '') || ' ' || CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in WORDS.items()) + " ELSE '' END AS t FROM documents)"
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as messages of one thread a conversation, a minute after one another."""
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
+    date = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("turn") * 60), "yyyy-MM-dd'T'HH:mm:ss'.000Z'")
+    return c.select(F.concat(F.lit("talk-"), "conv_id").alias("thread_id"), F.concat_ws(":", "conv_id", "turn").alias("message_id"), date.alias("date"))
+
+
+TURNS = "m AS (SELECT DISTINCT 'talk-' || conv_id AS thread_id, conv_id || ':' || turn AS message_id, strftime(TIMESTAMP '2024-01-01' + to_minutes(turn), '%Y-%m-%dT%H:%M:%S.000Z') AS date FROM conversations)"
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.chunks(messages(spark, sf_dir))
 

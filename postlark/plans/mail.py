@@ -155,15 +155,10 @@ def archive_revision(spark, d):
     return archive.revision(corpus.chunks(spark, d))
 
 
-#: Short texts in the scripts that have an analyzer of their own.
-SCRIPTS = [("en", "Contract renewal"), ("ko", "계약 갱신"), ("ja", "契約 更新 の 条件"), ("zh", "合同 更新"), ("ar", "تجديد العقد")]
-_S = ", ".join(f"('{k}', '{v}')" for k, v in SCRIPTS)
-
-
-@query(rf"""SELECT k, array_to_string(list_filter([CASE WHEN regexp_matches(t, '[\x{{ac00}}-\x{{d7a3}}]') THEN 'ko' END, CASE WHEN regexp_matches(t, '[\x{{3040}}-\x{{30ff}}]') THEN 'ja' END,
-CASE WHEN regexp_matches(t, '[\x{{4e00}}-\x{{9fff}}]') THEN 'zh' END, CASE WHEN regexp_matches(t, '[\x{{0600}}-\x{{06ff}}]') THEN 'ar' END], lambda x: x IS NOT NULL), ',') AS langs FROM (VALUES {_S}) v(k, t)""")
+@query(rf"""WITH {corpus.S} SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(t, '[\x{{ac00}}-\x{{d7a3}}]') THEN 'ko' END, CASE WHEN regexp_matches(t, '[\x{{3040}}-\x{{30ff}}]') THEN 'ja' END,
+CASE WHEN regexp_matches(t, '[\x{{4e00}}-\x{{9fff}}]') THEN 'zh' END, CASE WHEN regexp_matches(t, '[\x{{0600}}-\x{{06ff}}]') THEN 'ar' END], lambda x: x IS NOT NULL), ',') AS langs FROM s""")
 def lang_detect(spark, d):
-    return spark.createDataFrame(SCRIPTS, "k string, t string").select("k", F.array_join(T.languages(F.col("t")), ",").alias("langs"))
+    return corpus.scripted(spark, d).select("doc_id", F.array_join(T.languages(F.col("t")), ",").alias("langs"))
 
 
 @query(r"SELECT doc_id, array_to_string(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\p{L}\p{N}]+'), ' ') AS tokens FROM documents")
@@ -171,9 +166,9 @@ def tokenize_unicode(spark, d):
     return corpus.read(spark, d, "documents").select("doc_id", F.array_join(T.tokens(F.coalesce("text", F.lit(""))), " ").alias("tokens"))
 
 
-@query("SELECT 'ar' AS k, 'تجديد تجديد العقد عقد' AS tokens")
+@query(rf"""WITH {corpus.S} SELECT doc_id, array_to_string(list_filter(flatten([[w, regexp_replace(w, '^(?:وال|فال|بال|كال|ال|لل|و|ف|ب|ك|ل)', '')] FOR w IN regexp_extract_all(lower(t), '[\x{{0600}}-\x{{06ff}}]+')]), lambda x: x <> ''), ' ') AS tokens FROM s""")
 def tokenize_arabic(spark, d):
-    return spark.createDataFrame(SCRIPTS, "k string, t string").where("k = 'ar'").select("k", F.array_join(T.tokens_arabic(F.col("t")), " ").alias("tokens"))
+    return corpus.scripted(spark, d).select("doc_id", F.array_join(T.tokens_arabic(F.col("t")), " ").alias("tokens"))
 
 
 @query(f"WITH {M}, {C}, {TOK} SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS cf FROM tok GROUP BY term")
@@ -288,17 +283,28 @@ def vector_orphans(spark, d):
     return archive.orphans(_vectors(c), c).select("chunk_id")
 
 
-@query(f"WITH {M} SELECT message_id, date FROM m WHERE thread_id = (SELECT max(thread_id) FROM m)")
+_LONGEST = "(SELECT thread_id FROM m GROUP BY thread_id ORDER BY count(*) DESC, thread_id LIMIT 1)"
+
+
+def _longest(m: DataFrame) -> str | None:
+    row = m.groupBy("thread_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "thread_id").first()
+    return row and row.thread_id
+
+
+@query(f"WITH {corpus.TURNS} SELECT message_id, date FROM m WHERE thread_id = {_LONGEST}")
 def thread_messages(spark, d):
-    m = corpus.messages(spark, d)
-    return archive.thread(m, m.agg(F.max("thread_id")).first()[0]).select("message_id", "date")
+    m = corpus.turns(spark, d)
+    return archive.thread(m, _longest(m)).select("message_id", "date")
 
 
-@query(f"""WITH {M}, t AS (SELECT * FROM m WHERE thread_id = (SELECT max(thread_id) FROM m))
-SELECT message_id, CASE WHEN row_number() OVER (ORDER BY date, message_id) = 1 THEN 'current' ELSE 'next' END AS place FROM t""")
+@query(f"""WITH {corpus.TURNS}, t AS (SELECT *, row_number() OVER (ORDER BY date, message_id) AS i FROM m WHERE thread_id = {_LONGEST})
+SELECT message_id, CASE WHEN i < 2 THEN 'previous' WHEN i = 2 THEN 'current' ELSE 'next' END AS place FROM t""")
 def thread_context(spark, d):
-    m = corpus.messages(spark, d)
-    return archive.thread_context(m, m.agg(F.max("thread_id")).first()[0]).select("message_id", "place")
+    """The longest conversation around its second message."""
+    m = corpus.turns(spark, d)
+    longest = _longest(m)
+    second = archive.thread(m, longest).limit(2).agg(F.max(F.struct("date", "message_id"))["message_id"]).first()[0]
+    return archive.thread_context(m, longest, second).select("message_id", "place")
 
 
 @query(f"""WITH {M}, {C} SELECT chunk_id, lag(chunk_id) OVER w AS previous_id, lead(chunk_id) OVER w AS next_id FROM c
@@ -353,10 +359,20 @@ def import_vectors(spark, d):
     return semantic.import_vectors(older, c).select("chunk_id", "thread_id", F.length("content_hash").alias("n"))
 
 
-@query("SELECT 'ko' AS chunk_id, round(2.0 / 61, 6)::DOUBLE AS score, 1 AS rank")
+@query(rf"""WITH {corpus.S}, tok AS (
+  SELECT 'all' AS l, doc_id, regexp_extract_all(strip_accents(lower(t)), '[\p{{L}}\p{{N}}]+') AS ts FROM s
+  UNION ALL SELECT 'ko', doc_id, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+') FROM s WHERE regexp_matches(t, '[\x{{ac00}}-\x{{d7a3}}]')),
+st AS (SELECT l, count(*) AS n, avg(len(ts)) AS avgdl FROM tok GROUP BY l),
+hit AS (SELECT l, doc_id, len(ts) AS dl, len(list_filter(ts, lambda x: x = '계약')) AS tf FROM tok WHERE list_contains(ts, '계약')),
+df AS (SELECT l, count(*) AS df FROM hit GROUP BY l),
+sc AS (SELECT l, 'doc-' || doc_id AS chunk_id, CASE WHEN df < n / 2.0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS score FROM hit JOIN st USING (l) JOIN df USING (l)),
+lists AS (SELECT chunk_id, row_number() OVER (PARTITION BY l ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM sc QUALIFY rank <= 20),
+f AS (SELECT chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM lists GROUP BY chunk_id)
+SELECT chunk_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM f QUALIFY rank <= 10""")
 def multilingual_rrf(spark, d):
-    """Two lists find the Korean text, the one for all scripts and the Korean one."""
-    held = spark.createDataFrame(SCRIPTS, "chunk_id string, text string").withColumns({c: F.lit("") for c in search.SHOWN if c != "to_addresses"} | {"to_addresses": F.array(F.lit("")), "content_hash": F.lit("")})
+    """Documents with words in other scripts: the list for all scripts and the Korean one, fused."""
+    texts = corpus.scripted(spark, d).select(F.concat(F.lit("doc-"), "doc_id").alias("chunk_id"), F.col("t").alias("text"))
+    held = texts.withColumns({c: F.lit("") for c in search.SHOWN if c != "to_addresses"} | {"to_addresses": F.array(F.lit("")), "content_hash": F.lit("")})
     path = f"{spark.conf.get('spark.sql.warehouse.dir')}/postlark-index-{uuid.uuid4().hex}"
     search.Index.write(held, path, ("text",))
     return search.Index.read(spark, path).keyword("계약", 10).select("chunk_id", F.round("score", 6).alias("score"), "rank")
@@ -386,14 +402,14 @@ def html_pages_text(spark, d):
     return corpus.read(spark, d, "pages").select("page_id", html_to_text("html").alias("text"))
 
 
-#: The first chunks of each document stand for the embeddings with the same id.
+#: All chunks of a document stand for the embedding with the same id.
 @query(
     "WITH "
     + _bm25_sql([["thon"]], 20)
     + ", "
     + _COS % "true"
-    + r""", near AS (SELECT vec_id, row_number() OVER (ORDER BY round(score, 9) DESC, vec_id) AS rank FROM v QUALIFY rank <= 20),
-lists AS (SELECT chunk_id, rank FROM best UNION ALL SELECT c.chunk_id, near.rank FROM near JOIN m ON m.doc_id = near.vec_id JOIN c ON c.message_id = m.message_id WHERE ordinal = 0),
+    + r""", near AS (SELECT chunk_id, row_number() OVER (ORDER BY round(v.score, 9) DESC, chunk_id) AS rank FROM v JOIN m ON m.doc_id = v.vec_id JOIN c USING (message_id) WHERE v.score IS NOT NULL QUALIFY rank <= 20),
+lists AS (SELECT chunk_id, rank FROM best UNION ALL SELECT chunk_id, rank FROM near),
 f AS (SELECT chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM lists GROUP BY chunk_id)
 SELECT chunk_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM f QUALIFY rank <= 10"""
 )
@@ -401,7 +417,7 @@ def hybrid_rrf(spark, d):
     e = corpus.read(spark, d, "embeddings")
     q = e.where("vec_id = 0").select("embedding").first()
     index, m = corpus.index(spark, d), corpus.messages(spark, d).select("message_id", F.col("doc_id").alias("vec_id"))
-    owners = index.entries.where("ordinal = 0").select("chunk_id", "content_hash", "message_id").join(m, "message_id").join(e, "vec_id")
+    owners = index.entries.select("chunk_id", "content_hash", "message_id").join(m, "message_id").join(e, "vec_id")
     out = index.search("thon", 10, "hybrid", vectors=owners.select("chunk_id", "content_hash", F.col("embedding").alias("vector")), embed=lambda _: q[0] if q else [])
     return out.select("chunk_id", F.round("score", 6).alias("score"), "rank")
 
@@ -409,9 +425,9 @@ def hybrid_rrf(spark, d):
 _LIST = "CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END"
 
 
-@query(f"WITH {M} SELECT message_id || ':' || i AS attachment_id, message_id, 'file' || i AS name FROM m, LATERAL (SELECT unnest(range({_LIST})) AS i) WHERE mailbox = 'en'")
+@query(f"WITH {M} SELECT message_id || ':' || i AS attachment_id, message_id, 'file' || i AS name FROM m, LATERAL (SELECT unnest(range({_LIST})) AS i)")
 def attachments_list(spark, d):
-    m = corpus.messages(spark, d).where("mailbox = 'en'")
+    m = corpus.messages(spark, d)
     files = F.transform(F.sequence(F.lit(0), F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)), lambda i: F.struct(F.concat(F.lit("file"), i).alias("name"), *(F.lit(None).cast(t).alias(n) for n, t in (("mimeType", "string"), ("size", "long"), ("text", "string"), ("contentHash", "string")))))
     return sync.list_attachments(sync.attachments(m.withColumn("attachments", files))).select("attachment_id", "message_id", "name")
 
@@ -432,11 +448,19 @@ def sync_report(spark, d):
     return out.select("added", "updated", "unchanged", "deleted", "excluded", "touched_threads", F.coalesce(F.col("excluded_by_reason")["spam"], F.lit(0)).alias("spam"))
 
 
-#: A mailbox with a quoted separator and a label list, and one without a separator.
+#: A mailbox with a quoted separator and a label list.
 MBOX = b"From a@example.com Wed Aug 26 10:00:00 2026\nMessage-ID: <1@example.com>\nFrom: A <a@example.com>\nTo: b@example.com\nSubject: One\nX-Gmail-Labels: Inbox,Category updates\n\nHello\n>From here\n\nFrom b@example.com Wed Aug 26 11:00:00 2026\nSubject: Two\n\nBye\n"
+_HEAD = "From a@example.com Wed Aug 26 10:00:00 2026\nMessage-ID: <", "@example.com>\nFrom: A <a@example.com>\nTo: b@example.com\nSubject: One\nX-Gmail-Labels: Inbox,Category updates\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"
+_REST = "\n\nFrom b@example.com Wed Aug 26 11:00:00 2026\nSubject: Two\n\nBye\n"
 
 
-@query()
+@query("""WITH b AS (SELECT 'x/' || coalesce(conv_id::VARCHAR, '') || '.' || coalesce(turn::VARCHAR, '') AS p, coalesce(text, '') AS t FROM conversations)
+SELECT p || '.mbox' AS path, p[3:] || '.mbox#1' AS label, 'message-id:<' || p[3:] || '@example.com>' AS provider_key, 'One' AS subject, 'a@example.com' AS sender, '2026-08-26T10:00:00.000Z' AS date, t || chr(10) AS body, 'Inbox,CATEGORY_UPDATES' AS labels FROM b
+UNION ALL SELECT p || '.mbox', p[3:] || '.mbox#2', 'sha256:' || sha256('Subject: Two' || chr(10) || chr(10) || 'Bye' || chr(10)), 'Two', '', '2026-08-26T11:00:00.000Z', 'Bye' || chr(10), '' FROM b""")
 def mbox_split(spark, d):
-    rows = [("x/one.mbox", bytearray(MBOX)), ("x/bad.mbox", bytearray(b"junk\n")), ("x/a.eml", bytearray(b"Subject: Solo\n\nBody\n"))]
-    return read_mail(spark.createDataFrame(rows, "path string, content binary"))
+    """Turns of conversations, each as a mailbox of two messages whose text has its separators escaped."""
+    name = F.concat_ws(".", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("conv_id", "turn")))
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "(?md)^(>*From )", ">$1")
+    content = F.encode(F.concat(F.lit(_HEAD[0]), name, F.lit(_HEAD[1]), text, F.lit(_REST)), "UTF-8")
+    boxes = corpus.read(spark, d, "conversations").select(F.concat(F.lit("x/"), name, F.lit(".mbox")).alias("path"), content.alias("content"))
+    return read_mail(boxes).select("path", "label", "provider_key", "subject", "sender", "date", "body", F.array_join("labels", ",").alias("labels"))

@@ -31,7 +31,7 @@ def held(rows):
     return sorted(repr(tuple(round(v, 6) if isinstance(v, float) else v for v in r)) for r in rows)
 
 
-FAST = ["ids_make_id", "quoted_split", "chunk_split", "sync_merge_snapshot", "dedup_first_wins", "reconcile_released", "identity_violations", "archive_revision", "bm25_phrase", "vector_topk", "semantic_health", "semantic_index_plan", "import_vectors", "multilingual_rrf", "envelopes_to_read"]
+FAST = ["ids_make_id", "quoted_split", "chunk_split", "sync_merge_snapshot", "dedup_first_wins", "reconcile_released", "identity_violations", "archive_revision", "bm25_phrase", "vector_topk", "semantic_health", "semantic_index_plan", "import_vectors", "multilingual_rrf", "envelopes_to_read", "lang_detect", "tokenize_arabic", "thread_messages", "thread_context", "hybrid_rrf", "attachments_list", "mbox_split"]
 
 
 @pytest.mark.parametrize("name", FAST)
