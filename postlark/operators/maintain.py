@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import astuple, dataclass
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlark.functions.embed import DIM, hash_embed, hash_vector
+from postlark.functions.text import redacted
 from postlark.operators import archive, semantic
 from postlark.operators.search import VERSION, Index, entries
 from postlark.operators.semantic import Identity
@@ -133,6 +135,21 @@ def repair(into: Snapshots, store: Snapshots, by: Embedder, index_path: str | No
     return done
 
 
+def drop_vectors(store: Snapshots) -> int:
+    """Publishes a version without vectors and identity, so that the next index makes all anew."""
+    return store.publish({}, drop=(VECTORS, IDENTITY))
+
+
+def diagnosis(error: BaseException) -> str:
+    """An error as JSON that may be shown: kind and message, without addresses and secrets."""
+    return json.dumps({"error": redacted(str(error)), "kind": type(error).__name__}, ensure_ascii=False)
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """A JSON object a row, nulls included, for output."""
+    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def require_readable(found: DataFrame, unchanged: int = 0) -> None:
     """Raises if a look at mail files (rows with `error`) gave failures alone and no file was left as it was."""
     n = found.agg(F.count("error").alias("bad"), F.count("*").alias("all")).first()

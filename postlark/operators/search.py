@@ -228,6 +228,8 @@ class Index:
         """
         if not query.strip():
             raise ValueError("empty query")
+        if k < 1:
+            raise ValueError("a limit must be a positive integer")
         if mode in ("bm25", "keyword", "fts"):
             return self.hits(self.keyword(query, k, filters), query, "bm25")
         if mode not in ("semantic", "hybrid"):

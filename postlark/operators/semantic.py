@@ -35,6 +35,11 @@ def upsert(vectors: DataFrame, new: DataFrame, dimension: int) -> DataFrame:
     return archive.merge(vectors, checked, ["chunk_id"])
 
 
+def delete(vectors: DataFrame, gone: DataFrame) -> DataFrame:
+    """The snapshot without the vectors of some chunks (chunk_id)."""
+    return archive.remove(vectors, gone, ["chunk_id"])
+
+
 def import_vectors(older: DataFrame, chunked: DataFrame) -> DataFrame:
     """Vectors kept as JSON whose chunk still has the content they were made of.
 

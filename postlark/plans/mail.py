@@ -386,6 +386,16 @@ def envelopes_to_read(spark, d):
     return envelopes.to_read(listed, listed.where("event_id % 3 = 0").withColumn("policy", F.lit("spam")), "spam").select("event_id", "provider_key")
 
 
+@query("SELECT event_id, user_id::VARCHAR AS provider_key FROM events UNION ALL SELECT event_id, 'e' || event_id FROM events")
+def envelope_pages(spark, d):
+    """Each event as a page of two envelopes, in a list or below a name."""
+    one = lambda v: F.struct(v.cast("string").alias("id"))
+    pair = F.array(one(F.col("user_id")), one(F.concat(F.lit("e"), "event_id")))
+    page = F.when(F.col("event_id") % 2 == 0, F.to_json(pair)).otherwise(F.to_json(F.struct(pair.alias("envelopes"))))
+    pages = corpus.read(spark, d, "events").select("event_id", page.alias("value"))
+    return envelopes.messages(envelopes.unpack(pages), "a", "INBOX").select("event_id", "provider_key")
+
+
 @query("SELECT user_id, max(ts) AS ts, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
 def events_incremental(spark, d):
     e = corpus.read(spark, d, "events")

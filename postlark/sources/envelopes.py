@@ -38,6 +38,17 @@ def _addresses(v: Column) -> Column:
     return F.filter(F.when(_is(v, "ARRAY"), F.transform(several, _address)).otherwise(one), lambda x: x != "")
 
 
+def unpack(pages: DataFrame, json_col: str = "value") -> DataFrame:
+    """A row for each envelope of pages, which are a list or an object with a list `envelopes`; other columns stay.
+
+    Pages that are neither, or no JSON, give no row.
+    """
+    v = F.try_parse_json(json_col)
+    listed = F.when(_is(v, "ARRAY"), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.try_variant_get(v, "$.envelopes", "array<variant>"))
+    rest = [c for c in pages.columns if c != json_col]
+    return pages.select(*rest, F.explode(listed).alias(json_col)).withColumn(json_col, F.to_json(json_col))
+
+
 def messages(envelopes: DataFrame, account: str, mailbox: str, json_col: str = "value") -> DataFrame:
     """Provider envelopes (a JSON object a row) as messages; other columns stay.
 

@@ -187,7 +187,7 @@ def read_mail(files: DataFrame) -> DataFrame:
 _MESSAGES, _MAILBOXES = "*.[eE][mM][lL]", "*.[mM][bB][oO][xX],*.[mM][bB][xX],mbox"
 
 
-def _bundled(path: Column) -> Column:
+def bundled(path: Column) -> Column:
     """Whether a file named `mbox` is the one of a bundle; true for all others."""
     return ~path.endswith("/mbox") | path.rlike(r"(?i)[^/]\.mbox/mbox$")
 
@@ -198,7 +198,7 @@ def scan(spark: SparkSession, path: str, names: str = f"{{{_MESSAGES},{_MAILBOXE
     Mail files end in .eml, .mbox or .mbx in any case, or are the `mbox` of a bundle `X.mbox`.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(path)
-    return files.where(_bundled(F.col("path")))
+    return files.where(bundled(F.col("path")))
 
 
 _PIECE = "path string, block long, n int, last boolean, blank boolean, raw binary"
@@ -261,7 +261,7 @@ def read_mboxes(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.option("lineSep", "\nFrom ").option("recursiveFileLookup", True).option("pathGlobFilter", f"{{{_MAILBOXES}}}").text(path)
     name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))  # as binaryFile gives it
     records = lines.select(name.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("record"))
-    pieces = records.where(_bundled(F.col("path"))).mapInPandas(_pieces, _PIECE)
+    pieces = records.where(bundled(F.col("path"))).mapInPandas(_pieces, _PIECE)
     blocks = pieces.groupBy("path", "block").agg(F.max("n").alias("top"), F.min("n").alias("low"), F.max_by("blank", F.struct("last", "n")).alias("blank"))
     order = Window.partitionBy("path").orderBy("block")
     starts = (F.col("low") == 0) & F.coalesce(F.lag("blank").over(order), F.lit(True))  # what stands first in a block is a message
@@ -285,6 +285,12 @@ def read_mboxes(spark: SparkSession, path: str) -> DataFrame:
     return whole.mapInPandas(parsed, SCHEMA).unionByName(failed, allowMissingColumns=True)
 
 
+def strict(found: DataFrame) -> DataFrame:
+    """Rows of SCHEMA as they are; a failure among them fails the job."""
+    failed = F.raise_error(F.concat_ws(": ", "label", "error")).cast("boolean")
+    return found.where(F.when(F.col("error").isNull(), True).otherwise(failed))
+
+
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
     """Rows of SCHEMA for all mail files below a folder."""
     return read_mail(scan(spark, path, _MESSAGES)).unionByName(read_mboxes(spark, path))

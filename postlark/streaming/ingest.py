@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from postlark.operators import archive
 
@@ -41,10 +42,10 @@ class Snapshots:
         path = f"{self.root}/v={v}/{table}"
         return self.spark.read.parquet(path) if v and self._fs.exists(self._path(path)) else None
 
-    def publish(self, tables: DataFrame | Mapping[str, DataFrame], version: int | None = None) -> int:
+    def publish(self, tables: DataFrame | Mapping[str, DataFrame], version: int | None = None, drop: Sequence[str] = ()) -> int:
         """Writes the next version (or `version`, which must not exist) and makes it visible.
 
-        Tables that are not given are copied from the version before. Of two writers of
+        Tables that are neither given nor dropped are copied from the version before. Of two writers of
         one version the one that makes its lock file is the only one to rename.
         """
         given = {ROWS: tables} if isinstance(tables, DataFrame) else dict(tables)
@@ -54,8 +55,9 @@ class Snapshots:
         if last:
             for s in self._fs.listStatus(self._path(f"{self.root}/v={last}")):
                 name = s.getPath().getName()
-                if name not in given and not name.startswith("_"):
+                if name not in given and name not in drop and not name.startswith("_"):
                     given[name] = self.read(name, last)
+        self._fs.mkdirs(self._path(tmp))
         for name, df in given.items():
             df.write.parquet(f"{tmp}/{name}")
         target, lock = self._path(f"{self.root}/v={v}"), self._path(f"{self.root}/_lock-{v}")
@@ -65,6 +67,23 @@ class Snapshots:
         self._fs.rename(self._path(tmp), target)
         return v
 
+    def migrate(self, schemas: Mapping[str, str]) -> int:
+        """Publishes tables of an older layout with the columns that their schema (DDL) adds, null, and in its types.
+
+        Columns that a schema does not name stay; a value that does not fit a new type
+        fails the job. Does nothing if all tables have their columns.
+        """
+        v, changed = self.version(), {}
+        for name, ddl in schemas.items():
+            df = self.read(name, v)
+            if df is None:
+                continue
+            held = {f.name: f.dataType for f in df.schema}
+            wanted = {f.name: f.dataType for f in StructType.fromDDL(ddl)}
+            if any(held.get(c) != t for c, t in wanted.items()):
+                changed[name] = df.select(*(F.col(c).cast(wanted.get(c, t)).alias(c) for c, t in held.items()), *(F.lit(None).cast(t).alias(c) for c, t in wanted.items() if c not in held))
+        return self.publish(changed, v + 1) if changed else v
+
     def upsert(self, new: DataFrame, keys: Sequence[str], batch: int | None = None, stream: str = "", order: Sequence[str] = ()) -> int:
         """Merges `new`; a batch of a stream that a version has already does nothing.
 
