@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postlark.functions import text as T
 
 K1, B, IDF_FLOOR, RRF = 1.2, 0.75, 1e-6, 60
+_ROWS = 1000  # whose tokens are sorted at once
 _GAP = 1 << 40  # between positions of two columns, so that no phrase spans them
 Analyzer = Callable[[Column], Column]
 
@@ -46,12 +50,34 @@ def _placed(column: str, base: int, analyze: Analyzer) -> Column:
     return F.transform(analyze(F.coalesce(F.col(column), F.lit(""))), lambda t, i: F.struct(t.alias("term"), (i.cast("long") + base).alias("pos")))
 
 
+def _by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tokens of each row (key, list of term and pos), put together by term."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, _ROWS):
+            b = whole.slice(at, _ROWS)
+            dl = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+            flat = b.column(1).flatten()
+            term = flat.field("term").dictionary_encode()
+            row, code, pos = np.repeat(np.arange(b.num_rows), dl), term.indices.to_numpy(), flat.field("pos").to_numpy()
+            order = np.lexsort((pos, code, row))
+            row, code = row[order], code[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (code[1:] != code[:-1])
+            first = np.flatnonzero(new)
+            ends = np.append(first, len(row))
+            positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pos[order]))
+            of = pa.array(row[first])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), pa.array(dl[row[first]], pa.int32()), term.dictionary.take(pa.array(code[first])), pa.array(np.diff(ends), pa.int64()), positions], [b.schema.names[0], "dl", "term", "tf", "positions"])
+
+
 def postings(docs: DataFrame, columns: Sequence[str] = ("text",), key: str = "chunk_id", analyze: Analyzer = T.tokens) -> DataFrame:
-    """term, key, tf, dl and positions; one shuffle, by row and term."""
+    """term, key, tf, dl and positions, a row for each term of a row of docs.
+
+    All tokens of a row are in it, so they are put together in Arrow batches; nothing is shuffled.
+    """
     all_tokens = F.concat(*(_placed(c, n * _GAP, analyze) for n, c in enumerate(columns)))
-    held = docs.select(key, all_tokens.alias("ts")).withColumn("dl", F.size("ts"))
-    each = held.select(key, "dl", F.explode("ts").alias("t")).groupBy(key, "dl", F.col("t.term").alias("term"))
-    return each.agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("t.pos")).alias("positions"))
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, all_tokens.alias("ts")).mapInArrow(_by_term, f"`{key}` {kind}, dl int, term string, tf long, positions array<long>")
 
 
 def lengths(docs: DataFrame, columns: Sequence[str] = ("text",), key: str = "chunk_id", analyze: Analyzer = T.tokens) -> DataFrame:
@@ -130,6 +156,7 @@ def fuse(lists: Sequence[DataFrame], k: int, key: str = "chunk_id") -> DataFrame
 #: Of analyzers and tokenizer; an index by another version is stale for queries in their scripts.
 VERSION = "2"
 PARTS = 64
+_POSTINGS = "chunk_id string, dl int, term string, tf long, positions array<long>, lang string, part int"
 #: What an entry of the index shows and filters by, besides what is searched.
 SHOWN = ("message_id", "thread_id", "account_id", "mailbox", "subject", "from_address", "to_addresses", "date")
 #: Fields of an entry, each a column of its own for phrases.
@@ -174,14 +201,15 @@ class Index:
         dealt = _postings_of(held, fields).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), PARTS // 4), "lang", "part")
         dealt.sortWithinPartitions("lang", "part", "term").write.partitionBy("lang", "part").parquet(f"{path}/postings")
         n = F.count("*").alias("n")
-        lists = [corpus(held, fields).withColumn("lang", F.lit("all"))]
-        sizes = spark.read.parquet(f"{path}/postings").where("lang != 'all'").groupBy("lang", "chunk_id").agg(F.max("dl").alias("dl")).groupBy("lang").agg(n, F.avg("dl").alias("avgdl"))
+        made = spark.read.schema(_POSTINGS).parquet(f"{path}/postings")
+        tokens = made.where("lang = 'all'").agg(F.sum("tf").alias("tokens"))
+        lists = [held.agg(n).crossJoin(tokens).select("n", F.try_divide(F.coalesce("tokens", F.lit(0)), F.col("n")).alias("avgdl")).withColumn("lang", F.lit("all"))]  # one row each
+        sizes = made.where("lang != 'all'").groupBy("lang", "chunk_id").agg(F.max("dl").alias("dl")).groupBy("lang").agg(n, F.avg("dl").alias("avgdl"))
         lists[0].unionByName(sizes, allowMissingColumns=True).withColumn("version", F.lit(VERSION)).coalesce(1).write.parquet(f"{path}/stats")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Index:
-        kind = "chunk_id string, dl int, term string, tf long, positions array<long>, lang string, part int"
-        return cls(spark.read.parquet(f"{path}/entries"), spark.read.schema(kind).parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
+        return cls(spark.read.parquet(f"{path}/entries"), spark.read.schema(_POSTINGS).parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
 
     def of(self, lang: str) -> DataFrame:
         return self.postings.where(F.col("lang") == lang)

@@ -170,3 +170,19 @@ def test_text_rules(spark):
     assert of(T.tokens_arabic, "\ufedf\ufe8e") == [["لا", "ا"]]
     assert of(T.redact_json, '{"a":["x@y.zz",{"apiToken":"s","n":1}],"b":"key=1, ok"}', "token: t", None) == ['{"a":["[EMAIL]",{"apiToken":"[REDACTED]","n":1}],"b":"[REDACTED], ok"}', "[REDACTED]", None]
     assert gmail_labels('Inbox,category  Promotions ,"a, \\"b\\"", ') == ["Inbox", "CATEGORY_PROMOTIONS", 'a, \\"b\\"']
+
+
+def test_postings_by_term(spark):
+    docs = spark.createDataFrame([("1", "b a b"), ("2", None), ("3", ""), ("4", "a")], "chunk_id string, text string")
+    got = sorted((r.chunk_id, r.term, r.tf, r.dl, r.positions) for r in search.postings(docs).collect())
+    assert got == [("1", "a", 1, 3, [1]), ("1", "b", 2, 3, [0, 2]), ("4", "a", 1, 1, [0])]
+    assert search.postings(docs.limit(0)).count() == 0
+
+
+def test_index_of_nothing(spark, tmp_path):
+    text = spark.createDataFrame([], "chunk_id string, text string, content_hash string, to_addresses array<string>")
+    search.Index.write(text.withColumns({c: F.lit("") for c in search.SHOWN if c != "to_addresses"}), str(tmp_path / "i"), ("text",))
+    index = search.Index.read(spark, str(tmp_path / "i"))
+    assert index.search("word", 3).count() == 0 and index.stats.first().n == 0
+    with pytest.raises(ValueError, match="positive"):
+        index.search("word", 0)
