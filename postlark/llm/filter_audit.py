@@ -113,9 +113,9 @@ def audit(docs: DataFrame, labels: DataFrame, *, filters: str = FILTERS, id_col:
     marked = masks(docs, id_col=id_col, text_col=text_col, part_col=part_col)
     counted = stored(counters(marked, labels, label_id=label_id), "counters")
     discard(marked)
-    bit = {x: 1 << i for i, x in enumerate(filters)}
-    steps = [(o, i + 1, bit[x], sum(bit[y] for y in o[:i])) for o in map("".join, permutations(filters)) for i, x in enumerate(o)]
-    every = F.array(*(F.struct(F.lit(o).alias("filter_order"), F.lit(s).alias("step"), F.lit(b).alias("bit"), F.lit(p).alias("before")) for o, s, b, p in steps))
+    bit = lambda i: F.call_function("shiftleft", F.lit(1), F.instr(F.lit(filters), F.substring(F.col("filter_order"), i, F.lit(1))) - 1)
+    before = F.aggregate(F.expr("slice(sequence(0, step), 2, step - 1)"), F.lit(0), lambda s, i: s.bitwiseOR(bit(i)))
+    steps = counted.withColumn("filter_order", F.explode(F.lit(["".join(o) for o in permutations(filters)]))).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(len(filters)))))
     m = F.col("mask")
     fails, earlier = m.bitwiseAND(F.col("bit")) != 0, m.bitwiseAND(F.col("before")) != 0
     of = lambda c, when: F.sum(F.when(when, F.col(c)).otherwise(0)).alias("_")
@@ -125,4 +125,4 @@ def audit(docs: DataFrame, labels: DataFrame, *, filters: str = FILTERS, id_col:
         "good_lost": of("good", fails & ~earlier), "toxic_lost": of("toxic", fails & ~earlier),
         "shapley": F.sum(F.when(fails, F.col("n") * (orders / F.bit_count("mask")).cast("long")).otherwise(0)),  # of k filters that it fails each is first in 1 of k orders
     }
-    return counted.select("*", F.explode(every).alias("s")).select("part", "mask", "n", "good", "toxic", "s.*").groupBy("part", "filter_order", "step").agg(*(c.alias(k) for k, c in sums.items()))
+    return steps.withColumns({"bit": bit(F.col("step")), "before": before}).groupBy("part", "filter_order", "step").agg(*(c.alias(k) for k, c in sums.items()))
