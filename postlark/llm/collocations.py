@@ -37,6 +37,8 @@ _BETWEEN[[0x20, 0x09]] = True
 #: Bits of a set for each phrase in it, and the most that one has (32 MB).
 _BITS_EACH, _MOST_BITS = 64, 1 << 28
 _CHUNK = 1 << 16
+#: Bytes of text whose n-grams are numbered at once.
+_SLICE = 2 << 20
 _COUNTED = "lang string, phrase string, f long"
 
 
@@ -94,7 +96,7 @@ def _level(texts: DataFrame, n: int, bits: np.ndarray | None, least: int) -> Dat
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b, "text"):
+            for part in slices(b, "text", _SLICE):
                 yield _grams(part, n, None if held is None else held.value)
 
     sums = texts.mapInArrow(count, _COUNTED).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
