@@ -2,78 +2,289 @@
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from postlark.operators import archive
-
 ROWS, BATCHES = "rows", "batches"
+_BUCKET = "_bucket"
+
+
+@dataclass(frozen=True)
+class Change:
+    """What becomes of a table kept in hash buckets of `keys`: rows with the keys of `gone`, or of `rows`, leave and `rows` come."""
+
+    keys: tuple[str, ...]
+    rows: DataFrame | None = None
+    gone: DataFrame | None = None
+
+
+@dataclass(frozen=True)
+class Segment:
+    """Rows that come to a table of immutable segments, in folders of the columns `by`, in place of the segments `merged`.
+
+    A segment has the number of the version it came with, a merged one the highest of
+    those it replaces. `note` is kept with it.
+    """
+
+    rows: DataFrame
+    by: tuple[str, ...]
+    merged: tuple[str, ...] = ()
+    note: int = 0
 
 
 class Snapshots:
-    """Versions of one or several Parquet tables below `root`, on any file system Spark writes to.
+    """Versions of one or several tables below `root`, on any file system Spark writes to.
 
-    A version is a folder `v=<n>` with a folder for each table; all of them are visible
-    once it is renamed to that name, readers take the highest. A table `batches` tells
-    which batches of which streams a version has, so it is published with their rows.
+    A version is one file `v=<n>.json` that names the folders of each table: one for a
+    table written whole, one for each bucket of a table that changes by key, one for each
+    segment of a table that only grows. The file comes into being by a rename that fails
+    if it is there, so of two writers of a version one fails; folders that a version does
+    not change are shared with the one before. A table `batches` tells which batches of
+    which streams a version has, so it is published with their rows.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark._jvm
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs = self._path(self.root).getFileSystem(conf)
+        self._files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
+        self._never_over = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        self._lease: tuple[str, float] | None = None
+
+    # Small files of the driver.
+
+    def _names(self, folder: str = "") -> list[str]:
+        top = self._path(f"{self.root}/{folder}")
+        return [s.getPath().getName() for s in self._fs.listStatus(top)] if self._fs.exists(top) else []
+
+    def _load(self, name: str) -> dict:
+        stream = self._fs.open(self._path(f"{self.root}/{name}"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _write(self, name: str, value: dict, over: bool = False) -> None:
+        stream = self._fs.create(self._path(f"{self.root}/{name}"), over)
+        stream.write(bytearray(json.dumps(value), "utf-8"))
+        stream.close()
+
+    def _put(self, name: str, value: dict) -> bool:
+        """Makes a small file with its content at once; False if it is there."""
+        new = f"_new-{uuid.uuid4().hex}"
+        self._write(new, value)
+        try:
+            return self._moved(new, name)
+        finally:
+            self._fs.delete(self._path(f"{self.root}/{new}"), True)
+
+    def _moved(self, name: str, to: str) -> bool:
+        """Renames a file; False if the target is there or the source is gone. Any other failure raises."""
+        try:
+            self._files.rename(self._path(f"{self.root}/{name}"), self._path(f"{self.root}/{to}"), self._never_over)
+        except Py4JJavaError as e:
+            if any(x in e.java_exception.getClass().getName() for x in ("FileAlreadyExists", "FileNotFound")):
+                return False
+            raise
+        return True
+
+    # Writers.
+
+    @contextmanager
+    def lease(self, seconds: float = 900.0) -> Iterator[Snapshots]:
+        """Holds the right to write; each publish prolongs it, and raises if it was lost.
+
+        A lease that has ended, as its writer died, is taken over. Clocks of writers
+        should agree to well below `seconds`.
+        """
+        owner = uuid.uuid4().hex
+        mine = {"owner": owner, "until": time.time() + seconds}
+        if not self._put("_lease", mine):
+            held = self._load("_lease")
+            if held["until"] > time.time():
+                raise RuntimeError(f"another writer holds the archive until {held['until']:.0f}")
+            ended = f"_ended-{uuid.uuid4().hex}"
+            if self._moved("_lease", ended) and self._load(ended)["owner"] != held["owner"]:
+                self._moved(ended, "_lease")  # a third writer was faster
+            self._fs.delete(self._path(f"{self.root}/{ended}"), True)
+            if not self._put("_lease", mine):
+                raise RuntimeError("another writer took the archive over")
+        self._lease = owner, seconds
+        try:
+            yield self
+        finally:
+            self._lease = None
+            if "_lease" in self._names() and self._load("_lease")["owner"] == owner:
+                self._fs.delete(self._path(f"{self.root}/_lease"), True)
+
+    def _prolong(self) -> None:
+        if self._lease:
+            owner, seconds = self._lease
+            if "_lease" not in self._names() or self._load("_lease")["owner"] != owner:
+                raise RuntimeError("the lease has ended and another writer took over")
+            self._write("_lease", {"owner": owner, "until": time.time() + seconds}, over=True)
+
+    # Versions and tables.
 
     def version(self) -> int:
-        top = self._path(self.root)
-        if not self._fs.exists(top):
-            return 0
-        names = [s.getPath().getName() for s in self._fs.listStatus(top)]
-        return max((int(n[2:]) for n in names if n.startswith("v=")), default=0)
-
-    def read(self, table: str = ROWS, version: int | None = None) -> DataFrame | None:
-        """A table of a version (the newest), or None where it is not there."""
+        return max((int(n[2:-5]) for n in self._names() if n.startswith("v=") and n.endswith(".json")), default=0)
+
+    def manifest(self, version: int | None = None) -> dict:
+        """What each table of a version consists of."""
         v = self.version() if version is None else version
-        path = f"{self.root}/v={v}/{table}"
-        return self.spark.read.parquet(path) if v and self._fs.exists(self._path(path)) else None
+        return self._load(f"v={v}.json") if v else {}
+
+    def bucket(self, keys: Sequence[str], n: int) -> Column:
+        return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
+
+    def _of(self, name: str, table: dict, parts: list[dict]) -> DataFrame:
+        schema = StructType.fromJson(json.loads(table["schema"]))
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        reader = self.spark.read.schema(schema)
+        if "segment" in parts[0]:
+            reader = reader.option("basePath", f"{self.root}/data/{name}")
+        return reader.parquet(*(f"{self.root}/{p['path']}" for p in parts))
+
+    def read(self, table: str = ROWS, version: int | None = None, near: DataFrame | None = None) -> DataFrame | None:
+        """A table of a version (the newest), or None where it is not there.
+
+        With `near`, of a table in buckets only the buckets of its keys are read.
+        """
+        held = self.manifest(version).get(table)
+        if held is None:
+            return None
+        parts = held["parts"]
+        if near is not None and "keys" in held:
+            hit = self._hit(held["keys"], held["buckets"], near)
+            parts = [p for p in parts if p["bucket"] in hit]
+        return self._of(table, held, parts)
 
-    def publish(self, tables: DataFrame | Mapping[str, DataFrame], version: int | None = None, drop: Sequence[str] = ()) -> int:
+    def _hit(self, keys: Sequence[str], n: int, *rows: DataFrame | None) -> set[int]:
+        """The buckets of rows' keys, n at most."""
+        return {r[0] for df in rows if df is not None for r in df.select(self.bucket(keys, n)).distinct().collect()}
+
+    def staged(self, df: DataFrame) -> DataFrame:
+        """Writes df below the root and reads it back, so that what is made of it several times is computed once; sweep() deletes it."""
+        path = f"{self.root}/staging/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _whole(self, name: str, df: DataFrame) -> dict:
+        path = f"data/{name}/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{path}")
+        return {"schema": df.schema.json(), "parts": [{"path": path}]}
+
+    def _changed(self, name: str, held: dict | None, c: Change) -> dict | None:
+        """The table after a change; only buckets of its keys are read and written."""
+        if held is None or "keys" not in held:
+            if c.rows is None:
+                return held
+            old, parts, keys, n = None if held is None else self._of(name, held, held["parts"]), [], list(c.keys), self.buckets
+            hit = set()
+        else:
+            keys, n = held["keys"], held["buckets"]
+            hit = self._hit(keys, n, c.rows, c.gone)
+            if not hit:
+                return held
+            old, parts = self._of(name, held, [p for p in held["parts"] if p["bucket"] in hit]), [p for p in held["parts"] if p["bucket"] not in hit]
+        out = c.rows
+        if old is not None:
+            for gone in (c.rows, c.gone):
+                old = old if gone is None else old.join(gone.select(*c.keys).distinct(), list(c.keys), "left_anti").select(*old.columns)
+            out = old if out is None else old.unionByName(out, allowMissingColumns=True)
+        path = f"data/{name}/{uuid.uuid4().hex}"
+        dealt = out.withColumn(_BUCKET, self.bucket(keys, n))
+        dealt.hint("rebalance", _BUCKET).write.partitionBy(_BUCKET).parquet(f"{self.root}/{path}")
+        made = [{"path": f"{path}/{x}", "bucket": int(x.split("=")[1])} for x in self._names(path) if x.startswith(_BUCKET)]
+        return {"schema": out.schema.json(), "keys": keys, "buckets": n, "parts": parts + made}
+
+    def _grown(self, name: str, held: dict | None, s: Segment, v: int) -> dict:
+        old = [] if held is None else held["parts"]
+        gone = [p for p in old if p["path"].rsplit("=", 1)[1] in s.merged]
+        number = max((p["segment"] for p in gone), default=v)
+        seg = f"{number}-{uuid.uuid4().hex}"
+        path = f"data/{name}/seg={seg}"
+        s.rows.write.partitionBy(*s.by).parquet(f"{self.root}/{path}")
+        made = [{"path": path, "segment": number, "note": s.note}] if any("=" in x for x in self._names(path)) else []
+        schema = StructType([*(f for f in s.rows.schema if f.name not in s.by), *StructType.fromDDL("seg string"), *(s.rows.schema[c] for c in s.by)])
+        return {"schema": schema.json(), "parts": [p for p in old if p not in gone] + made}
+
+    def publish(self, tables: DataFrame | Mapping[str, DataFrame | Change | Segment], version: int | None = None, drop: Sequence[str] = ()) -> int:
         """Writes the next version (or `version`, which must not exist) and makes it visible.
 
-        Tables that are neither given nor dropped are copied from the version before. Of two writers of
-        one version the one that makes its lock file is the only one to rename.
+        Tables that are neither given nor dropped stay as they are. What a writer that
+        fails has written is no part of any version, until sweep() deletes it.
         """
         given = {ROWS: tables} if isinstance(tables, DataFrame) else dict(tables)
         last = self.version()
         v = version or last + 1
-        tmp = f"{self.root}/_new-{uuid.uuid4().hex}"
-        if last:
-            for s in self._fs.listStatus(self._path(f"{self.root}/v={last}")):
-                name = s.getPath().getName()
-                if name not in given and name not in drop and not name.startswith("_"):
-                    given[name] = self.read(name, last)
-        self._fs.mkdirs(self._path(tmp))
-        for name, df in given.items():
-            df.write.parquet(f"{tmp}/{name}")
-        target, lock = self._path(f"{self.root}/v={v}"), self._path(f"{self.root}/_lock-{v}")
-        if self._fs.exists(target) or not self._fs.createNewFile(lock):
-            self._fs.delete(self._path(tmp), True)
-            raise RuntimeError(f"version {v} was published by another writer")
-        self._fs.rename(self._path(tmp), target)
+        taken = RuntimeError(f"version {v} was published by another writer")
+        if v <= last:
+            raise taken
+        self._prolong()
+        held = {k: t for k, t in self.manifest(last).items() if k not in drop}
+        for name, what in given.items():
+            if isinstance(what, DataFrame):
+                held[name] = self._whole(name, what)
+            elif isinstance(what, Segment):
+                held[name] = self._grown(name, held.get(name), what, v)
+            elif (made := self._changed(name, held.get(name), what)) is not None:
+                held[name] = made
+        self._prolong()
+        self._fs.mkdirs(self._path(self.root))
+        if not self._put(f"v={v}.json", held):
+            raise taken
         return v
 
+    def sweep(self, keep: int = 2, older: float = 86_400.0) -> int:
+        """Deletes versions but the last `keep`, and files of no kept version that are `older` seconds old; how many folders went.
+
+        `older` must exceed the time that a writer takes, as its files are in no version yet.
+        """
+        versions = sorted(int(n[2:-5]) for n in self._names() if n.startswith("v="))
+        kept = versions[-keep:] if keep else []
+        used = {p["path"] for v in kept for t in self.manifest(v).values() for p in t["parts"]}
+        for v in versions[: len(versions) - len(kept)]:
+            self._fs.delete(self._path(f"{self.root}/v={v}.json"), True)
+        before, gone = (time.time() - older) * 1000, 0
+        folders = [f"data/{t}/{x}" for t in self._names("data") for x in self._names(f"data/{t}")] + [f"staging/{x}" for x in self._names("staging")]
+        for f in folders:
+            inner = [f"{f}/{x}" for x in self._names(f) if x.startswith(_BUCKET)]
+            for x in [f] if f in used else inner if any(i in used for i in inner) else [f]:
+                path = self._path(f"{self.root}/{x}")
+                if x not in used and self._fs.getFileStatus(path).getModificationTime() <= before:
+                    self._fs.delete(path, True)
+                    gone += 1
+        return gone
+
+    def rebucket(self, table: str, n: int) -> int:
+        """Publishes a table in n buckets, as it has grown; the one job that rewrites it whole."""
+        held = self.manifest()[table]
+        kept, self.buckets = self.buckets, n
+        try:
+            return self.publish({table: Change(tuple(held["keys"]), self.read(table))}, drop=(table,))
+        finally:
+            self.buckets = kept
+
     def migrate(self, schemas: Mapping[str, str]) -> int:
         """Publishes tables of an older layout with the columns that their schema (DDL) adds, null, and in its types.
 
         Columns that a schema does not name stay; a value that does not fit a new type
         fails the job. Does nothing if all tables have their columns.
         """
-        v, changed = self.version(), {}
+        v, changed, every = self.version(), {}, self.manifest()
         for name, ddl in schemas.items():
             df = self.read(name, v)
             if df is None:
@@ -81,13 +292,15 @@ class Snapshots:
             held = {f.name: f.dataType for f in df.schema}
             wanted = {f.name: f.dataType for f in StructType.fromDDL(ddl)}
             if any(held.get(c) != t for c, t in wanted.items()):
-                changed[name] = df.select(*(F.col(c).cast(wanted.get(c, t)).alias(c) for c, t in held.items()), *(F.lit(None).cast(t).alias(c) for c, t in wanted.items() if c not in held))
-        return self.publish(changed, v + 1) if changed else v
+                new = df.select(*(F.col(c).cast(wanted.get(c, t)).alias(c) for c, t in held.items()), *(F.lit(None).cast(t).alias(c) for c, t in wanted.items() if c not in held))
+                changed[name] = Change(tuple(every[name]["keys"]), new) if "keys" in every[name] else new
+        return self.publish(changed, v + 1, drop=tuple(changed)) if changed else v
 
     def upsert(self, new: DataFrame, keys: Sequence[str], batch: int | None = None, stream: str = "", order: Sequence[str] = ()) -> int:
         """Merges `new`; a batch of a stream that a version has already does nothing.
 
-        Of several rows with one key the last by `order` stays, then by all columns.
+        Of several rows with one key the last by `order` stays, then by all columns. Only
+        buckets with a key of `new` are rewritten.
         """
         v = self.version()
         done = self.read(BATCHES, v) if batch is not None else None
@@ -96,8 +309,7 @@ class Snapshots:
         rest = [c for c in new.columns if c not in keys and c not in order]
         best = new.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_best"))
         last = best.select(*keys, "_best.*").select(*new.columns)
-        old = self.read(ROWS, v)
-        tables = {ROWS: last if old is None else archive.merge(old, last, keys)}
+        tables: dict[str, DataFrame | Change] = {ROWS: Change(tuple(keys), last)}
         if batch is not None:
             mine = self.spark.createDataFrame([(stream, batch)], "stream string, batch long")
             tables[BATCHES] = mine if done is None else done.where(F.col("stream") != stream).unionByName(mine)
