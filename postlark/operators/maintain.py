@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from postlark.functions.embed import DIM, hash_embed, hash_vector
 from postlark.functions.text import redacted
-from postlark.operators import archive, semantic
-from postlark.operators.search import VERSION, Index, entries
+from postlark.operators import archive, semantic, sync
+from postlark.operators.search import STATS, VERSION, Index, entries
 from postlark.operators.semantic import Identity
 from postlark.streaming.ingest import Snapshots
 
@@ -92,8 +92,9 @@ def index_semantic(into: Snapshots, store: Snapshots, by: Embedder, rebuild: boo
 def status(into: Snapshots, store: Snapshots, by: Embedder, index: Index | None = None) -> DataFrame:
     """One row on an archive, which is only read, also where there is none.
 
-    The keyword index is healthy if it is of these analyzers and has an entry for each
-    chunk, else stale. Vectors that cannot be read make semantic_status corrupt.
+    The keyword index, the archive's own if none is given, is healthy if it is of these
+    analyzers and its entries are of the same chunks and contents, else stale. Vectors
+    that cannot be read make semantic_status corrupt.
     """
     names = "present boolean, messages long, chunks long, backlog long, vectors long, archive_revision string, keyword_status string, keyword_rows long, semantic_status string"
     at = into.version()
@@ -101,8 +102,10 @@ def status(into: Snapshots, store: Snapshots, by: Embedder, index: Index | None
     if chunked is None:
         return into.spark.createDataFrame([(False, 0, 0, 0, 0, None, "missing", 0, "missing")], names)
     total, revision = chunked.count(), archive.revision(chunked).first()[0]
+    if index is None and into.read(STATS, at) is not None:
+        index = Index.of(into, at)
     rows = 0 if index is None else index.entries.count()
-    current = index is not None and index.stats.where(F.col("version") != VERSION).isEmpty()
+    current = index is not None and index.stats.where(F.col("version") != VERSION).isEmpty() and archive.revision(index.entries).first()[0] == revision
     try:
         version = store.version()
         vectors = store.read(VECTORS, version)
@@ -111,7 +114,7 @@ def status(into: Snapshots, store: Snapshots, by: Embedder, index: Index | None
         found = (h.backlog, h.stored, h.status)
     except PySparkException:
         found = (total, 0, "corrupt")
-    row = (True, into.read("messages", at).count(), total, *found[:2], revision, "healthy" if current and rows == total else "stale", rows, found[2])
+    row = (True, into.read("messages", at).count(), total, *found[:2], revision, "healthy" if current else "missing" if index is None else "stale", rows, found[2])
     return into.spark.createDataFrame([row], names)
 
 
@@ -121,10 +124,10 @@ def doctor(into: Snapshots, store: Snapshots, by: Embedder, index: Index | None
     return status(into, store, by, index).withColumn("recommendation", F.when(ready, "vectors are complete").otherwise("sync, then index the vectors before semantic searches"))
 
 
-def repair(into: Snapshots, store: Snapshots, by: Embedder, index_path: str | None = None, vectors: bool = False) -> dict[str, DataFrame | Index]:
-    """Makes all vectors anew if asked to, then the keyword index below index_path, a new folder, if one is given."""
-    if not vectors and index_path is None:
-        raise ValueError("nothing to repair: ask for vectors or give a path for the keyword index")
+def repair(into: Snapshots, store: Snapshots, by: Embedder, index_path: str | None = None, vectors: bool = False, keyword: bool = False) -> dict[str, DataFrame | Index]:
+    """Makes anew what is asked for: all vectors, the archive's own keyword index, or one below index_path, a new folder."""
+    if not vectors and not keyword and index_path is None:
+        raise ValueError("nothing to repair: ask for vectors or the keyword index, or give a path for one")
     done: dict[str, DataFrame | Index] = {}
     if vectors:
         done["vectors"] = index_semantic(into, store, by, rebuild=True)
@@ -132,6 +135,8 @@ def repair(into: Snapshots, store: Snapshots, by: Embedder, index_path: str | No
         at = into.version()
         Index.write(entries(into.read("chunks", at), into.read("messages", at)), index_path)
         done["keyword"] = Index.read(into.spark, index_path)
+    if keyword:
+        done["keyword"] = Index.of(into, sync.reindex(into))
     return done
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+import unicodedata
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postlark.functions import text as T
+from postlark.streaming.ingest import Change, Segment, Snapshots
 
 K1, B, IDF_FLOOR, RRF = 1.2, 0.75, 1e-6, 60
 _ROWS = 1000  # whose tokens are sorted at once
@@ -153,14 +158,23 @@ def fuse(lists: Sequence[DataFrame], k: int, key: str = "chunk_id") -> DataFrame
     return top(both.groupBy(key).agg(F.sum(1 / (RRF + F.col("rank"))).alias("score")), k, key)
 
 
-#: Of analyzers and tokenizer; an index by another version is stale for queries in their scripts.
-VERSION = "2"
-PARTS = 64
-_POSTINGS = "chunk_id string, dl int, term string, tf long, positions array<long>, lang string, part int"
 #: What an entry of the index shows and filters by, besides what is searched.
 SHOWN = ("message_id", "thread_id", "account_id", "mailbox", "subject", "from_address", "to_addresses", "date")
 #: Fields of an entry, each a column of its own for phrases.
 FIELDS = ("subject", "from_address", "to_text", "thread_subject", "text")
+ENTRIES, POSTINGS, DELETED, STATS = INDEX = ("entries", "postings", "deleted", "stats")
+#: Tokens of a part of the terms, and of what one task sorts of it; segments of one size that are merged.
+_PART, _TASK, _MERGE = 1 << 20, 1 << 22, 8
+
+
+def _version() -> str:
+    """A digest of what makes tokens; an index by others is stale."""
+    made = [inspect.getsource(f) for f in (T.fold, T.tokens, T.nfkc.func, T.tokens_arabic, T.tokens_cjk, T.languages)]
+    held = [str(T.SCRIPTS), sorted(T.ANALYZERS), T._BASES, unicodedata.unidata_version]
+    return hashlib.sha256(repr((made, held)).encode()).hexdigest()[:16]
+
+
+VERSION = _version()
 
 
 def entries(chunked: DataFrame, messages: DataFrame) -> DataFrame:
@@ -169,57 +183,164 @@ def entries(chunked: DataFrame, messages: DataFrame) -> DataFrame:
     return chunked.select("chunk_id", "message_id", "section", "ordinal", "text", "content_hash").join(m, "message_id")
 
 
-def _postings_of(held: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Postings of the list for all scripts, and of one for each language that occurs."""
-    lists = [postings(held, fields).withColumn("lang", F.lit("all"))]
+def measured(held: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
+    """Entries with `lens`: the number of their tokens in the list for all scripts, and in that of each language that occurs."""
     script = T.languages(F.concat_ws(" ", *fields))
+    count = lambda analyze: sum((F.size(analyze(F.coalesce(F.col(c), F.lit("")))) for c in fields), F.lit(0))
+    lists = [F.struct(F.lit("all").alias("lang"), count(T.tokens).alias("n"))]
+    lists += [F.when(F.array_contains(script, lang), F.struct(F.lit(lang).alias("lang"), count(analyze).alias("n"))) for lang, analyze in T.ANALYZERS.items()]
+    kept = F.filter(F.array_compact(F.array(*lists)), lambda x: (x["n"] > 0) | (x["lang"] == "all"))
+    return held.withColumn("lens", F.map_from_entries(kept))
+
+
+def _sums(held: DataFrame) -> DataFrame:
+    """lang, n and tokens of measured entries."""
+    return held.select(F.explode("lens").alias("lang", "dl")).groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.col("dl").cast("long")).alias("tokens"))
+
+
+def _part(term: Column, parts: Column) -> Column:
+    return F.pmod(F.xxhash64(term), parts).cast("int")
+
+
+def _segment(held: DataFrame, tokens: int, fields: Sequence[str] = FIELDS) -> Segment:
+    """Postings of entries: of the list for all scripts, and of one for each language that occurs.
+
+    The terms are dealt into parts, more where there are more tokens; a part is dealt to
+    several tasks by chunk, so a long list is in many files. Files are sorted by term.
+    """
+    lists = [postings(held, fields).withColumn("lang", F.lit("all"))]
     for lang, analyze in T.ANALYZERS.items():
-        lists.append(postings(held.where(F.array_contains(script, lang)), fields, analyze=analyze).withColumn("lang", F.lit(lang)))
-    out = lists[0]
-    for more in lists[1:]:
-        out = out.unionByName(more)
-    return out.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int"))
+        lists.append(postings(held.where(F.map_contains_key("lens", F.lit(lang))), fields, analyze=analyze).withColumn("lang", F.lit(lang)))
+    return _laid(reduce(DataFrame.unionByName, lists), tokens)
+
+
+def _laid(rows: DataFrame, tokens: int) -> Segment:
+    spark = rows.sparkSession
+    parts = 1 << max(0, min(12, (tokens // _PART).bit_length()))
+    spread = max(1, -(-tokens // (parts * _TASK)))
+    tasks = max(min(parts * spread, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), 1)
+    out = rows.withColumn("part", _part(F.col("term"), F.lit(parts)))
+    dealt = out.repartition(max(tasks, min(parts, 8)), "lang", "part", F.pmod(F.xxhash64("chunk_id"), F.lit(spread)))
+    return Segment(dealt.sortWithinPartitions("lang", "part", "term", "chunk_id"), ("lang", "part"), note=parts)
+
+
+def changes(into: Snapshots, version: int, new: DataFrame | None, gone: DataFrame | None, fields: Sequence[str] = FIELDS) -> dict[str, DataFrame | Change | Segment]:
+    """What an index becomes with new entries, and without the chunks `gone` (chunk_id), as tables of the next version.
+
+    Postings of new entries make a segment. Chunks that go, or come anew, are noted as
+    deleted up to the segments there are; statistics are the old ones with and without them.
+    """
+    spark = into.spark
+    old = into.read(STATS, version)
+    tables: dict[str, DataFrame | Change | Segment] = {}
+    came = None if new is None else into.staged(measured(new, fields))
+    out = [x.select("chunk_id") for x in (gone, came) if x is not None]
+    left = None
+    if old is not None and out:
+        ids = into.staged(reduce(DataFrame.union, out).distinct())
+        left = into.read(ENTRIES, version, near=ids).join(ids, "chunk_id", "left_semi")
+        tables[DELETED] = Change(("chunk_id",), left.select("chunk_id", F.lit(version).cast("long").alias("upto")))
+        tables[ENTRIES] = Change(("chunk_id",), came, ids)
+    elif came is not None:
+        tables[ENTRIES] = Change(("chunk_id",), came)
+    sums = [] if old is None else [old.select("lang", "n", "tokens")]
+    sums += [] if came is None else [_sums(came)]
+    sums += [] if left is None else [_sums(left).select("lang", (-F.col("n")).alias("n"), (-F.col("tokens")).alias("tokens"))]
+    if sums:
+        added = reduce(DataFrame.unionByName, sums).groupBy("lang").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).where("n > 0 OR lang = 'all'")
+        rows = [(r.lang, r.n, r.tokens, VERSION) for r in added.collect()]  # a row a language
+        tables[STATS] = spark.createDataFrame(rows or [("all", 0, 0, VERSION)], "lang string, n long, tokens long, version string").coalesce(1)
+    if came is not None:
+        tokens = _sums(came).agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+        tables[POSTINGS] = _segment(came, tokens, fields)
+    return tables
+
+
+def current(into: Snapshots, version: int) -> bool:
+    """Whether an archive's index can follow it: there is one by these analyzers, or nothing to index yet."""
+    held = into.read(STATS, version)
+    if held is None:
+        return into.read("chunks", version) is None
+    return held.where(F.col("version") != VERSION).isEmpty()
+
+
+def merge_segments(into: Snapshots, fan: int = _MERGE) -> int:
+    """Publishes the archive with `fan` segments or more of one size as one, without what was deleted; the version.
+
+    Sizes are alike if their parts are equal in number, so each posting is rewritten a
+    logarithmic number of times. When all segments become one, nothing is deleted any more.
+    """
+    version = into.version()
+    held = into.manifest(version).get(POSTINGS, {"parts": []})["parts"]
+    tiers: dict[int, list[dict]] = {}
+    for p in held:
+        tiers.setdefault(p["note"], []).append(p)
+    for note, some in sorted(tiers.items()):
+        if len(some) < fan:
+            continue
+        segs = [p["path"].rsplit("=", 1)[1] for p in some]
+        index = Index.of(into, version)
+        live = index.postings.where(F.col("seg").isin(*segs)).drop("seg", "part")
+        tokens = index.stats.agg(F.sum("tokens")).first()[0] if len(some) == len(held) else note * _PART * len(some)
+        into.publish({POSTINGS: replace(_laid(live, tokens), merged=tuple(segs))} | ({DELETED: into.read(DELETED, version).limit(0)} if len(some) == len(held) and into.read(DELETED, version) is not None else {}), version + 1)
+        return merge_segments(into, fan)
+    return version
 
 
 @dataclass(frozen=True)
 class Index:
-    """A stored inverted index: entries, postings by language and part of the terms, statistics of each list."""
+    """An index in an archive's tables: entries in buckets of chunk_id, live postings by language and part of the terms, statistics of each list."""
 
+    into: Snapshots
+    version: int
     entries: DataFrame
     postings: DataFrame
     stats: DataFrame
 
     @staticmethod
     def write(held: DataFrame, path: str, fields: Sequence[str] = FIELDS) -> None:
-        """Builds the index of entries() below path; a rebuild is a write to another path.
-
-        Files of a part are sorted by term, so a query reads the row groups of its terms.
-        """
-        spark = held.sparkSession
-        held.write.parquet(f"{path}/entries")
-        held = spark.read.parquet(f"{path}/entries")
-        dealt = _postings_of(held, fields).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), PARTS // 4), "lang", "part")
-        dealt.sortWithinPartitions("lang", "part", "term").write.partitionBy("lang", "part").parquet(f"{path}/postings")
-        n = F.count("*").alias("n")
-        made = spark.read.schema(_POSTINGS).parquet(f"{path}/postings")
-        tokens = made.where("lang = 'all'").agg(F.sum("tf").alias("tokens"))
-        lists = [held.agg(n).crossJoin(tokens).select("n", F.try_divide(F.coalesce("tokens", F.lit(0)), F.col("n")).alias("avgdl")).withColumn("lang", F.lit("all"))]  # one row each
-        sizes = made.where("lang != 'all'").groupBy("lang", "chunk_id").agg(F.max("dl").alias("dl")).groupBy("lang").agg(n, F.avg("dl").alias("avgdl"))
-        lists[0].unionByName(sizes, allowMissingColumns=True).withColumn("version", F.lit(VERSION)).coalesce(1).write.parquet(f"{path}/stats")
+        """Builds the index of entries() below path, a new folder."""
+        into = Snapshots(held.sparkSession, path)
+        into.publish(changes(into, 0, held, None, fields))
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Index:
-        return cls(spark.read.parquet(f"{path}/entries"), spark.read.schema(_POSTINGS).parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
+        return cls.of(Snapshots(spark, path))
 
-    def of(self, lang: str) -> DataFrame:
+    @classmethod
+    def of(cls, into: Snapshots, version: int | None = None) -> Index:
+        """The index of an archive's version; postings of chunks deleted since their segment came are left out."""
+        v = into.version() if version is None else version
+        stats = into.read(STATS, v)
+        if stats is None:
+            raise ValueError("there is no keyword index; repair the archive")
+        posts = into.read(POSTINGS, v)
+        if posts is None:
+            posts = into.spark.createDataFrame([], "chunk_id string, dl int, term string, tf long, positions array<long>, seg string, lang string, part int")
+        gone = into.read(DELETED, v)
+        if gone is not None and into.manifest(v)[DELETED]["parts"]:
+            gone = gone.select(F.col("chunk_id").alias("_gone"), "upto")
+            posts = posts.join(gone, (F.col("chunk_id") == F.col("_gone")) & (F.substring_index("seg", "-", 1).cast("long") <= F.col("upto")), "left_anti")
+        avg = F.try_divide(F.col("tokens"), F.col("n")).alias("avgdl")
+        return cls(into, v, into.read(ENTRIES, v), posts, stats.select("lang", "n", "tokens", avg, "version"))
+
+    def of_list(self, lang: str) -> DataFrame:
         return self.postings.where(F.col("lang") == lang)
 
+    def of_terms(self, lang: str, terms: Sequence[str]) -> DataFrame:
+        """Postings of a list in the parts of some terms, by what each segment was dealt into."""
+        out = F.lit(False)
+        segments = self.into.manifest(self.version).get(POSTINGS, {"parts": []})["parts"]
+        spark = self.into.spark
+        hashes = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(F.xxhash64("t")).collect()] if terms else []
+        for note in {p["note"] for p in segments}:
+            segs = [p["path"].rsplit("=", 1)[1] for p in segments if p["note"] == note]
+            out |= F.col("seg").isin(*segs) & F.col("part").isin(*sorted({h % note for h in hashes}))
+        return self.of_list(lang).where(out & F.col("term").isin(*terms))
+
     def top(self, lang: str, wanted: list[list[str]], k: int, filters: Filters | None = None) -> DataFrame:
         """The k best of one list; statistics are of the whole list, filters apply before the limit."""
-        spark = self.entries.sparkSession
-        terms = sorted({w for ws in wanted for w in ws})
-        parts = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(PARTS)).cast("int")).distinct().collect()] if terms else []
-        read = self.of(lang).where(F.col("part").isin(*parts)) if parts else self.of(lang).where(F.lit(False))
+        read = self.of_terms(lang, sorted({w for ws in wanted for w in ws}))
         scored = bm25(read, self.stats.where(F.col("lang") == lang).select("n", "avgdl"), wanted)
         if filters:
             scored = scored.join(self.entries.where(filters.predicate()).select("chunk_id"), "chunk_id", "left_semi")
@@ -244,8 +365,9 @@ class Index:
         return cosine_top(held, vector, k)
 
     def hits(self, ranked: DataFrame, query: str, mode: str) -> DataFrame:
-        """Ranked chunks with what a hit shows; ranked has no more rows than were asked for."""
-        out = self.entries.join(F.broadcast(ranked), "chunk_id")
+        """Ranked chunks with what a hit shows, from the buckets that hold them; ranked has no more rows than were asked for."""
+        ranked = self.into.spark.createDataFrame(ranked.select("chunk_id", "score", "rank").collect(), "chunk_id string, score double, rank int")
+        out = self.into.read(ENTRIES, self.version, near=ranked).join(F.broadcast(ranked), "chunk_id")
         return out.select("chunk_id", *SHOWN, T.snippet(F.col("text"), query).alias("snippet"), "score", F.lit(mode).alias("mode"), "rank").orderBy("rank")
 
     def search(self, query: str, k: int = 10, mode: str = "bm25", filters: Filters | None = None, vectors: DataFrame | None = None, embed: Callable[[str], Sequence[float]] | None = None) -> DataFrame:

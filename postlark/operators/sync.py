@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from postlark.functions import text as T
-from postlark.operators import archive
+from postlark.operators import archive, search
 from postlark.sources.mail_files import mime_parts
-from postlark.streaming.ingest import Snapshots
+from postlark.streaming.ingest import Change, Snapshots
 
 POLICY = ("spam", "promotions")
 FILE = ["root_key", "rel_path"]
@@ -210,49 +210,80 @@ _HELD = {
 
 
 def sync(into: Snapshots, mail: DataFrame, policy: Sequence[str] = POLICY, scan: Scan | None = None) -> DataFrame:
-    """Merges a batch of messages into the archive's tables as one new version; one row of counters.
+    """Merges a batch of messages into the archive's tables and its keyword index as one new version; one row of counters.
 
-    Excluded messages, and those whose last file is gone, leave with their chunks and
-    attachments. Chunks are made anew only for messages whose hash has changed.
+    Excluded messages, and those whose last file is gone, leave with their chunks,
+    attachments and words. Chunks are made anew only for messages whose hash, thread or
+    date has changed. Tables are kept in buckets, by message, by provider key or by chunk;
+    those without a message of the batch are neither read nor written. An index by
+    other analyzers is made anew.
     """
     spark = into.spark
-    batch = normalize(mail).persist()  # parsed once; lost parts are computed again
-    before = into.version()
-    old = {t: into.read(t, before) for t in ("messages", "chunks", "attachments", "states")}
-    check_identities(batch, old["messages"])
-    out = archive.excluded(F.col("categories"), policy)
-    included, excluded = batch.where(~out), batch.where(out)
-    held = old["messages"] if old["messages"] is not None else included.limit(0)
-    diffed = archive.diff(held, included)
-    changed = diffed.where("change != 'unchanged'").drop("change")
-    gone = excluded.select("provider_key")
-    tables: dict[str, DataFrame] = {}
-    deleted = None
-    if scan is not None:
-        kept = [into.read(t, before) for t in _HELD]
-        state, released = reconcile(Held(*(k if k is not None else spark.createDataFrame([], s) for k, s in zip(kept, _HELD.values(), strict=True))), scan, policy_key(policy))
-        tables |= {"links": state.links, "files": state.files, "roots": state.roots}
-        everything = held.select("provider_key").union(included.select("provider_key")).distinct()
-        deleted = released.join(everything, "provider_key", "left_semi")
-        gone = gone.union(released)
-    messages = archive.remove(archive.merge(held, included, ["message_id"]), gone, ["provider_key"])
-    live = messages.select("message_id")
-    pieces, files = archive.chunks(changed), attachments(included)
-    tables["messages"] = messages
-    tables["chunks"] = (pieces if old["chunks"] is None else archive.remove(old["chunks"], changed, ["message_id"]).unionByName(pieces)).join(live, "message_id", "left_semi")
-    tables["attachments"] = (files if old["attachments"] is None else archive.remove(old["attachments"], included, ["message_id"]).unionByName(files)).join(live, "message_id", "left_semi")
-    states = batch.where("source_hash IS NOT NULL").select("provider_key", "source_hash", F.lit(policy_key(policy)).alias("policy"))
-    tables["states"] = states if old["states"] is None else archive.merge(old["states"], states, ["provider_key"])
-    counts = archive.changes(diffed).crossJoin(diffed.where("change != 'unchanged'").agg(F.countDistinct("thread_id").alias("touched_threads")))  # one row each
-    row = counts.first().asDict() | {"excluded": excluded.count(), "deleted": deleted.count() if deleted is not None else 0}
-    reasons = {r.reason: r.n for r in archive.excluded_by_reason(excluded, policy).collect()}  # a row a category
-    version = into.publish(tables, before + 1)
+    with into.lease():
+        batch = into.staged(normalize(mail))
+        before = into.version()
+        held_keys = into.read("keys", before, near=batch.select("provider_key"))
+        check_identities(batch, held_keys)
+        out = archive.excluded(F.col("categories"), policy)
+        included, excluded = batch.where(~out), batch.where(out)
+        held = into.read("messages", before, near=included.select("message_id"))
+        held = included.limit(0) if held is None else held.join(included.select("message_id"), "message_id", "left_semi")
+        shown = F.struct("thread_id", "date")
+        places = held.select("provider_key", shown.alias("_shown"))
+        diffed = archive.diff(held, included).join(places, "provider_key", "left")
+        diffed = into.staged(diffed.withColumn("remade", (F.col("change") != "unchanged") | ~F.col("_shown").eqNullSafe(shown)).drop("_shown"))
+        remade = diffed.where("remade").drop("change", "remade")
+        gone = excluded.select("provider_key")
+        tables: dict[str, DataFrame | Change] = {}
+        deleted = None
+        if scan is not None:
+            kept = [into.read(t, before) for t in _HELD]
+            state, released = reconcile(Held(*(k if k is not None else spark.createDataFrame([], s) for k, s in zip(kept, _HELD.values(), strict=True))), scan, policy_key(policy))
+            tables |= {"links": state.links, "files": state.files, "roots": state.roots}
+            released = into.staged(released)
+            known = into.read("keys", before, near=released)
+            everything = included.select("provider_key") if known is None else known.select("provider_key").union(included.select("provider_key")).distinct()
+            deleted = released.join(everything, "provider_key", "left_semi")
+            gone = gone.union(released)
+        gone = into.staged(gone.distinct())
+        owners = into.read("keys", before, near=gone)
+        leaving = spark.createDataFrame([], "message_id string") if owners is None else owners.join(gone, "provider_key", "left_semi").select("message_id").join(included.join(gone, "provider_key", "left_anti").select("message_id"), "message_id", "left_anti")
+        kept_rows = included.join(gone, "provider_key", "left_anti")
+        moved = held.join(included.select("message_id", F.col("provider_key").alias("_now")), "message_id").where("_now != provider_key").select("provider_key")
+        stale = into.staged(remade.select("message_id").union(leaving).distinct())
+        lost = into.read("chunks", before, near=stale)
+        lost = None if lost is None else into.staged(lost.join(stale, "message_id", "left_semi").select("chunk_id"))
+        live = remade.join(gone, "provider_key", "left_anti")
+        pieces = into.staged(archive.chunks(live))
+        tables |= {
+            "messages": Change(("message_id",), kept_rows, leaving),
+            "keys": Change(("provider_key",), kept_rows.select("provider_key", "message_id"), gone.union(moved)),
+            "chunks": Change(("message_id",), pieces, stale),
+            "attachments": Change(("message_id",), attachments(kept_rows), leaving.union(included.select("message_id"))),
+            "states": Change(("provider_key",), batch.where("source_hash IS NOT NULL").select("provider_key", "source_hash", F.lit(policy_key(policy)).alias("policy"))),
+        }
+        new = search.entries(pieces, live)
+        current = search.current(into, before)
+        if current:
+            tables |= search.changes(into, before, new, lost)
+        row = archive.changes(diffed).first().asDict() | {"excluded": excluded.count(), "deleted": deleted.count() if deleted is not None else 0}
+        row["touched_threads"] = diffed.where("change != 'unchanged'").agg(F.countDistinct("thread_id")).first()[0]
+        reasons = {r.reason: r.n for r in archive.excluded_by_reason(excluded, policy).collect()}  # a row a category
+        version = into.publish(tables, before + 1)
+        if not current:
+            version = reindex(into)
     row["chunks"] = into.read("chunks", version).count()
-    batch.unpersist()
     names = ["added", "updated", "unchanged", "deleted", "excluded", "touched_threads", "chunks"]
     return spark.createDataFrame([(*(int(row[n]) for n in names), reasons)], ", ".join(f"{n} long" for n in names) + ", excluded_by_reason map<string,long>")
 
 
+def reindex(into: Snapshots) -> int:
+    """Publishes the archive with a keyword index made anew from its chunks; the version."""
+    at = into.version()
+    held = search.entries(into.read("chunks", at), into.read("messages", at))
+    return into.publish(search.changes(into, 0, held, None), at + 1, drop=search.INDEX)
+
+
 def roll_up(reports: DataFrame) -> DataFrame:
     """One report of several batches: sums of counters and of reasons; chunks are those of the last state."""
     sums = [F.sum(n).alias(n) for n in ("added", "updated", "unchanged", "deleted", "excluded", "touched_threads")]

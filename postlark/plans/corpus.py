@@ -79,14 +79,35 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.chunks(messages(spark, sf_dir))
 
 
-_BUILT: dict[tuple[str, str], str] = {}
+_BUILT: dict[tuple[str, ...], str] = {}
+
+
+def folder(spark: SparkSession, what: str) -> str:
+    """A new folder in the one that driver and executors share (spark.checkpoint.dir)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = spark.conf.get("spark.sql.warehouse.dir")  # one machine
+    return f"{shared.rstrip('/')}/postlark-{what}-{uuid.uuid4().hex}"
+
+
+def state(spark: SparkSession, sf_dir: str, *names: str) -> tuple[str, ...]:
+    """An application and what files of tables it finds, and when they were changed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    out = []
+    for name in names:
+        p = path(f"{sf_dir}/{name}.parquet")
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        out += [f"{s.getPath()}:{s.getLen()}:{s.getModificationTime()}" for s in (fs.listStatus(p) if fs.exists(p) else [])]
+    return (spark.sparkContext.applicationId, sf_dir, *sorted(out))
 
 
 def index(spark: SparkSession, sf_dir: str) -> search.Index:
-    """The index of sf_dir's chunks, in the warehouse; the first query of an application builds it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The index of sf_dir's chunks; the first query of an application builds it, as does one after the tables changed."""
+    key = state(spark, sf_dir, "documents", "labels")
     if key not in _BUILT:
-        path = f"{spark.conf.get('spark.sql.warehouse.dir')}/postlark-index-{uuid.uuid4().hex}"
+        path = folder(spark, "index")
         m = messages(spark, sf_dir)
         search.Index.write(search.entries(archive.chunks(m), m), path, ("text",))
         _BUILT[key] = path

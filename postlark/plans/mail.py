@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -173,7 +172,7 @@ def tokenize_arabic(spark, d):
 
 @query(f"WITH {M}, {C}, {TOK} SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS cf FROM tok GROUP BY term")
 def postings_stats(spark, d):
-    return corpus.index(spark, d).of("all").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return corpus.index(spark, d).of_list("all").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query(f"WITH {M}, {C}, {TOK} SELECT n, round(avgdl, 6) AS avgdl FROM st")
@@ -373,7 +372,7 @@ def multilingual_rrf(spark, d):
     """Documents with words in other scripts: the list for all scripts and the Korean one, fused."""
     texts = corpus.scripted(spark, d).select(F.concat(F.lit("doc-"), "doc_id").alias("chunk_id"), F.col("t").alias("text"))
     held = texts.withColumns({c: F.lit("") for c in search.SHOWN if c != "to_addresses"} | {"to_addresses": F.array(F.lit("")), "content_hash": F.lit("")})
-    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/postlark-index-{uuid.uuid4().hex}"
+    path = corpus.folder(spark, "index")
     search.Index.write(held, path, ("text",))
     return search.Index.read(spark, path).keyword("계약", 10).select("chunk_id", F.round("score", 6).alias("score"), "rank")
 
@@ -447,15 +446,69 @@ SELECT count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'u
 count(DISTINCT thread_id) FILTER (change <> 'unchanged') AS touched_threads, (SELECT count(*) FILTER (list_contains(categories, 'spam')) FROM m WHERE doc_id % 5 <> 0) AS spam FROM n""")
 def sync_report(spark, d):
     """Two syncs of the documents as messages; the second one's counters."""
+    out = _synced_twice(spark, d)[1]
+    return out.select("added", "updated", "unchanged", "deleted", "excluded", "touched_threads", F.coalesce(F.col("excluded_by_reason")["spam"], F.lit(0)).alias("spam"))
+
+
+_SYNCED: dict[tuple[str, ...], tuple[Snapshots, DataFrame, int]] = {}
+
+
+def _synced_twice(spark, d):
+    """The archive, the second report and the version of two syncs of documents as messages: a sixth comes new, a seventh changed, the second without a fifth."""
     m = corpus.messages(spark, d)
+    key = corpus.state(spark, d, "documents", "labels")
+    if key in _SYNCED:
+        return _SYNCED[key]
     nothing = F.lit(None).cast("string")
     body = F.col("latest_text")
     mail = lambda rows, text: rows.select(F.col("account_id").alias("accountId"), "mailbox", F.col("provider_key").alias("providerKey"), *(nothing.alias(c) for c in ("messageId", "threadId", "inReplyTo", "html", "rawMime", "sourceHash")), "subject", F.col("from_address").alias("from"), F.col("to_addresses").alias("to"), "date", text.alias("text"), "classifications", *(F.lit(None).cast("array<string>").alias(c) for c in ("cc", "labels", "flags")), F.lit(None).cast(envelopes.ATTACHMENTS).alias("attachments"))
-    into = Snapshots(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/postlark-sync-{uuid.uuid4().hex}")
+    into = Snapshots(spark, corpus.folder(spark, "sync"), buckets=8)
     sync.sync(into, mail(m.where("doc_id % 6 != 0"), body))
-    changed = F.when((F.col("doc_id") % 7 == 0) & (T.trim(body) != ""), F.concat(body, F.lit("!"))).otherwise(body)
-    out = sync.sync(into, mail(m.where("doc_id % 5 != 0"), changed))
-    return out.select("added", "updated", "unchanged", "deleted", "excluded", "touched_threads", F.coalesce(F.col("excluded_by_reason")["spam"], F.lit(0)).alias("spam"))
+    changed = F.when((F.col("doc_id") % 7 == 0) & (T.trim(body) != ""), F.concat(body, F.lit("!\n\nrenewed thon"))).otherwise(body)
+    report = sync.sync(into, mail(m.where("doc_id % 5 != 0"), changed))
+    _SYNCED[key] = into, report, into.version()
+    return _SYNCED[key]
+
+
+_RENEWED = M.replace("coalesce(text, '') AS latest_text", "coalesce(text, '') || CASE WHEN d.doc_id % 5 <> 0 AND d.doc_id % 7 = 0 AND trim(coalesce(text, ''), chr(9) || chr(10) || chr(13) || ' ') <> '' THEN '!' || chr(10) || chr(10) || 'renewed thon' ELSE '' END AS latest_text").replace("FROM documents d LEFT JOIN lab ON lab.doc_id = d.doc_id", "FROM documents d LEFT JOIN lab ON lab.doc_id = d.doc_id WHERE (d.doc_id % 6 <> 0 OR d.doc_id % 5 <> 0) AND coalesce(toxic, 0) <> 1 AND coalesce(quality, 1) <> 0")
+_FIVE = r"""
+toks AS (
+  SELECT chunk_id, list_filter(regexp_extract_all(strip_accents(lower(concat_ws(' ', subject, from_address, array_to_string(to_addresses, ' '), regexp_replace(subject, '^((re|fw|fwd)\s*:\s*)+', '', 'i'), text))), '[\p{L}\p{N}]+'), lambda x: x <> '') AS ts
+  FROM c JOIN m USING (message_id)),
+tok AS (
+  SELECT chunk_id, unnest(ts) AS term, unnest(range(len(ts))) AS pos, len(ts) AS dl FROM toks),
+st AS (
+  SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM toks)"""
+
+
+def _renewed_sql(words: list[str]) -> str:
+    full = _bm25_sql([[w] for w in words], 10)
+    return "WITH " + _RENEWED + ", " + C + ", " + _FIVE + full[full.index(", tfs AS ("):] + _BEST
+
+
+@query(_renewed_sql(["renewed"]))
+def index_follows_sync(spark, d):
+    """A word that only the second sync brought, in an index of five fields that each sync carried on."""
+    into, _, version = _synced_twice(spark, d)
+    index = search.Index.of(into, version)
+    return index.top("all", [["renewed"]], 10).select("chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(_renewed_sql(["thon", "example"]))
+def index_after_merge(spark, d):
+    """Words of the text and of an address, after the segments of both syncs became one."""
+    into = _synced_twice(spark, d)[0]
+    search.merge_segments(into, 2)
+    return search.Index.of(into).top("all", [["thon"], ["example"]], 10).select("chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("WITH " + _RENEWED + ", " + C + ", " + _FIVE + " SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS cf, (SELECT n FROM st) AS n, (SELECT round(avgdl, 6) FROM st) AS avgdl FROM tok GROUP BY term")
+def index_stats_after_sync(spark, d):
+    """Every term's counts and the statistics of the list, from both syncs' segments without what was deleted."""
+    into, _, version = _synced_twice(spark, d)
+    index = search.Index.of(into, version)
+    stats = index.stats.where("lang = 'all'").select("n", F.round("avgdl", 6).alias("avgdl"))
+    return index.of_list("all").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).join(F.broadcast(stats))  # one row
 
 
 #: A mailbox with a quoted separator and a label list.

@@ -61,6 +61,7 @@ class Snapshots:
         self._files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
         self._never_over = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
         self._lease: tuple[str, float] | None = None
+        self._staging: list[str] = []
 
     # Small files of the driver.
 
@@ -176,9 +177,10 @@ class Snapshots:
         return {r[0] for df in rows if df is not None for r in df.select(self.bucket(keys, n)).distinct().collect()}
 
     def staged(self, df: DataFrame) -> DataFrame:
-        """Writes df below the root and reads it back, so that what is made of it several times is computed once; sweep() deletes it."""
+        """Writes df below the root and reads it back, so that what is made of it several times is computed once; the next publish deletes it."""
         path = f"{self.root}/staging/{uuid.uuid4().hex}"
         df.write.parquet(path)
+        self._staging.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _whole(self, name: str, df: DataFrame) -> dict:
@@ -246,6 +248,9 @@ class Snapshots:
         self._fs.mkdirs(self._path(self.root))
         if not self._put(f"v={v}.json", held):
             raise taken
+        for path in self._staging:
+            self._fs.delete(self._path(path), True)
+        self._staging.clear()
         return v
 
     def sweep(self, keep: int = 2, older: float = 86_400.0) -> int:

@@ -3,9 +3,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from postlark.functions.embed import hash_vector
-from postlark.operators import maintain, sync
+from postlark.operators import maintain, search, sync
 from postlark.operators.semantic import Identity
 from postlark.sources.envelopes import MAIL
 from postlark.streaming.ingest import Snapshots
@@ -28,7 +29,7 @@ def test_vectors_follow_chunks(spark, tmp_path):
     assert report() == (2, 0, False)
     assert report() == (0, 2, False)
     got = maintain.doctor(into, store, HASH).first()
-    assert (got.semantic_status, got.keyword_status, got.backlog, got.vectors, got.recommendation) == ("healthy", "stale", 0, 2, "vectors are complete")
+    assert (got.semantic_status, got.keyword_status, got.backlog, got.vectors, got.recommendation) == ("healthy", "healthy", 0, 2, "vectors are complete")
     sync.sync(into, mail(spark, one="changed", three="third"))
     got = maintain.doctor(into, store, HASH).first()
     assert (got.semantic_status, got.backlog) == ("interrupted", 2) and got.recommendation.startswith("sync")
@@ -68,3 +69,59 @@ def test_all_failed(spark):
         maintain.require_readable(rows("bad", "bad"))
     with pytest.raises(ValueError, match="unknown embedder"):
         maintain.embedder("none")
+
+
+def found(into, word):
+    return sorted(r.snippet for r in search.Index.of(into).search(word).collect())
+
+
+def test_the_index_follows_each_sync(spark, tmp_path):
+    into, store = Snapshots(spark, str(tmp_path / "mail"), buckets=4), Snapshots(spark, str(tmp_path / "v"))
+    status = lambda **how: maintain.status(into, store, HASH, **how).first()
+    sync.sync(into, mail(spark, one="first text", two="second text", three="third text"))
+    frozen = str(tmp_path / "frozen")
+    search.Index.write(search.entries(into.read("chunks"), into.read("messages")), frozen)
+    old = search.Index.read(spark, frozen)
+    assert found(into, "text") == ["first text", "second text", "third text"] and status(index=old).keyword_status == "healthy"
+    first = {p["path"] for p in into.manifest()["postings"]["parts"]}
+    spam = mail(spark, three="third text").withColumn("classifications", F.array(F.lit("CATEGORY_SPAM")))
+    sync.sync(into, mail(spark, one="changed words").unionByName(spam))
+    assert found(into, "first") == found(into, "third") == [] and found(into, "changed") == ["changed words"] and found(into, "text") == ["second text"]
+    assert status().keyword_status == "healthy" and status(index=old).keyword_status == "stale"
+    parts = into.manifest()["postings"]["parts"]
+    assert first < {p["path"] for p in parts} and len(parts) == 2
+    written = {r.chunk_id for r in into.read("postings").where(~F.col("seg").isin(*(p.rsplit("=", 1)[1] for p in first))).collect()}
+    assert written == {r.chunk_id for r in into.read("chunks").where("text = 'changed words'").collect()}
+    sync.sync(into, mail(spark, one="first text"))  # the same chunk again, deleted once
+    assert found(into, "first") == ["first text"] and found(into, "changed") == []
+    live = search.Index.of(into)
+    n, tokens = live.stats.where("lang = 'all'").select("n", "tokens").first()
+    assert n == 2 and tokens == live.entries.select(F.col("lens")["all"].alias("n")).agg(F.sum("n")).first()[0]
+    before = sorted((r.term, r.tf, r.chunk_id) for r in live.of_list("all").collect())
+    search.merge_segments(into, 2)
+    assert len(into.manifest()["postings"]["parts"]) == 1 and into.read("deleted").count() == 0
+    after = search.Index.of(into)
+    assert sorted((r.term, r.tf, r.chunk_id) for r in after.of_list("all").collect()) == before
+    assert maintain.repair(into, store, HASH, keyword=True)["keyword"].search("first").count() == 1
+
+
+def test_dates_and_threads_of_entries_follow_too(spark, tmp_path):
+    into = Snapshots(spark, str(tmp_path / "mail"), buckets=4)
+    one = mail(spark, one="first text").withColumn("date", F.lit("2024-01-01"))
+    sync.sync(into, one)
+    assert sync.sync(into, one.withColumn("date", F.lit("2025-01-01"))).first().unchanged == 1
+    hits = search.Index.of(into).search("first", filters=search.Filters(after="2024-06-01")).collect()
+    assert [h.date for h in hits] == ["2025-01-01"]
+
+
+def test_an_index_by_other_analyzers(spark, tmp_path, monkeypatch):
+    into, store = Snapshots(spark, str(tmp_path / "mail"), buckets=4), Snapshots(spark, str(tmp_path / "v"))
+    monkeypatch.setattr(search, "VERSION", "older")
+    sync.sync(into, mail(spark, one="first text 계약"))
+    monkeypatch.undo()
+    index = search.Index.of(into)
+    assert index.search("first").count() == 1 and maintain.status(into, store, HASH).first().keyword_status == "stale"
+    with pytest.raises(ValueError, match="other analyzers"):
+        index.search("계약")
+    sync.sync(into, mail(spark, two="second text 계약"))
+    assert maintain.status(into, store, HASH).first().keyword_status == "healthy" and search.Index.of(into).search("계약").count() == 2
