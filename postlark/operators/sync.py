@@ -248,8 +248,9 @@ def sync(into: Snapshots, mail: DataFrame, policy: Sequence[str] = POLICY, scan:
         gone = into.staged(gone.distinct())
         owners = into.read("keys", before, near=gone)
         leaving = spark.createDataFrame([], "message_id string") if owners is None else owners.join(gone, "provider_key", "left_semi").select("message_id").join(included.join(gone, "provider_key", "left_anti").select("message_id"), "message_id", "left_anti")
+        leaving = into.staged(leaving.distinct())
         kept_rows = included.join(gone, "provider_key", "left_anti")
-        moved = held.join(included.select("message_id", F.col("provider_key").alias("_now")), "message_id").where("_now != provider_key").select("provider_key")
+        moved = into.staged(held.join(included.select("message_id", F.col("provider_key").alias("_now")), "message_id").where("_now != provider_key").select("provider_key").union(gone))
         stale = into.staged(remade.select("message_id").union(leaving).distinct())
         lost = into.read("chunks", before, near=stale)
         lost = None if lost is None else into.staged(lost.join(stale, "message_id", "left_semi").select("chunk_id"))
@@ -257,7 +258,7 @@ def sync(into: Snapshots, mail: DataFrame, policy: Sequence[str] = POLICY, scan:
         pieces = into.staged(archive.chunks(live))
         tables |= {
             "messages": Change(("message_id",), kept_rows, leaving),
-            "keys": Change(("provider_key",), kept_rows.select("provider_key", "message_id"), gone.union(moved)),
+            "keys": Change(("provider_key",), kept_rows.select("provider_key", "message_id"), moved),
             "chunks": Change(("message_id",), pieces, stale),
             "attachments": Change(("message_id",), attachments(kept_rows), leaving.union(included.select("message_id"))),
             "states": Change(("provider_key",), batch.where("source_hash IS NOT NULL").select("provider_key", "source_hash", F.lit(policy_key(policy)).alias("policy"))),

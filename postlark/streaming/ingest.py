@@ -6,6 +6,7 @@ import json
 import time
 import uuid
 from collections.abc import Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -17,6 +18,7 @@ from pyspark.sql.types import StructType
 
 ROWS, BATCHES = "rows", "batches"
 _BUCKET = "_bucket"
+_AT_ONCE = 4
 
 
 @dataclass(frozen=True)
@@ -237,13 +239,16 @@ class Snapshots:
             raise taken
         self._prolong()
         held = {k: t for k, t in self.manifest(last).items() if k not in drop}
-        for name, what in given.items():
+
+        def made(name: str) -> dict | None:
+            what = given[name]
             if isinstance(what, DataFrame):
-                held[name] = self._whole(name, what)
-            elif isinstance(what, Segment):
-                held[name] = self._grown(name, held.get(name), what, v)
-            elif (made := self._changed(name, held.get(name), what)) is not None:
-                held[name] = made
+                return self._whole(name, what)
+            return self._grown(name, held.get(name), what, v) if isinstance(what, Segment) else self._changed(name, held.get(name), what)
+
+        with ThreadPoolExecutor(_AT_ONCE) as pool:  # jobs of several tables
+            new = dict(zip(given, pool.map(made, given), strict=True))
+        held |= {k: t for k, t in new.items() if t is not None}
         self._prolong()
         self._fs.mkdirs(self._path(self.root))
         if not self._put(f"v={v}.json", held):
