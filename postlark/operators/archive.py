@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from postlark.functions import text as T
 
@@ -89,6 +94,22 @@ def released(stored: DataFrame, present: DataFrame, unlisted: Sequence[str], lin
     return lost.join(held, "provider_key", "left_anti")
 
 
+def ancestors(path: Column) -> Column:
+    """A path's folders from the root (empty) down, and itself."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+
+
+def below(paths: DataFrame, tops: DataFrame) -> DataFrame:
+    """The paths (root_key, rel_path) at or below one of the folders `tops` of their root.
+
+    Each path is looked up by each of its folders, so it is an equi-join on root and
+    folder: no root is one group, and no path is compared with all folders.
+    """
+    each = paths.select("root_key", "rel_path", F.explode(F.when(F.col("rel_path") == "", F.array(F.lit(""))).otherwise(ancestors(F.col("rel_path")))).alias("_top"))
+    return each.join(tops.select("root_key", F.col("rel_path").alias("_top")).distinct(), ["root_key", "_top"], "left_semi").select("root_key", "rel_path").distinct()
+
+
 def revision(chunked: DataFrame) -> DataFrame:
     """A digest of the set of (chunk_id, content_hash).
 
@@ -118,10 +139,58 @@ def thread_context(messages: DataFrame, thread_id: str, message_id: str | None =
     return held.join(F.broadcast(at)).withColumn("place", place).drop("_at")  # one row
 
 
-def chunk_context(chunked: DataFrame) -> DataFrame:
-    """The chunks before and behind each one in its thread."""
-    w = Window.partitionBy("thread_id").orderBy("started_at", "message_id", "section", "ordinal", "chunk_id")
-    return chunked.withColumn("previous_id", F.lag("chunk_id").over(w)).withColumn("next_id", F.lead("chunk_id").over(w))
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to sorted rows the ids before and behind each in its thread, a task's number, and at its ends true in _first or _last."""
+    task, held, start, none = TaskContext.get().partitionId(), None, True, pa.nulls(1, pa.string())
+
+    def shown(b: pa.RecordBatch, before: pa.RecordBatch | None, behind: pa.RecordBatch | None) -> pa.RecordBatch:
+        edge = lambda x, last: (none, none) if x is None else tuple(x.column(c).slice(x.num_rows - 1 if last else 0, 1) for c in ("thread_id", "chunk_id"))
+        n, ends = b.num_rows, (edge(before, True), edge(behind, False))
+        thread = pa.concat_arrays([ends[0][0].cast(pa.string()), b.column("thread_id").cast(pa.string()), ends[1][0].cast(pa.string())])
+        ids = pa.concat_arrays([ends[0][1].cast(pa.string()), b.column("chunk_id").cast(pa.string()), ends[1][1].cast(pa.string())])
+        same = pc.fill_null(pc.equal(thread.slice(1), thread.slice(0, n + 1)), False).to_numpy(zero_copy_only=False)
+        previous, following = (ids.take(pa.array(np.arange(n) + at, mask=~same[at // 2 : at // 2 + n])) for at in (0, 2))
+        first, last = np.zeros(n, bool), np.zeros(n, bool)
+        first[0], last[-1] = before is None, behind is None
+        names = [*b.schema.names, "previous_id", "next_id", "_task", "_first", "_last"]
+        return pa.RecordBatch.from_arrays([*b.columns, previous, following, pa.array(np.full(n, task, np.int32)), pa.array(first), pa.array(last)], names=names)
+
+    before = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held is not None:
+            yield shown(held, before, b)
+            before = held
+        held = b
+    if held is not None:
+        yield shown(held, before, None)
+
+
+def chunk_context(chunked: DataFrame, path: str) -> DataFrame:
+    """The chunks before and behind each one in its thread, as previous_id and next_id.
+
+    Rows are dealt out by ranges of thread and place in it, so a thread may span any
+    number of tasks, and written sorted below path, a new folder that all tasks share.
+    Neighbours within a task are the rows beside each; those over a border follow from
+    one row at each end of a task. Chunks without a thread have no neighbours.
+    """
+    spark = chunked.sparkSession
+    order = ["thread_id", "started_at", "message_id", "section", "ordinal", "chunk_id"]
+    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    schema = StructType([*chunked.schema, *StructType.fromDDL("previous_id string, next_id string, _task int, _first boolean, _last boolean")])
+    chunked.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_beside, schema).write.parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    ends = sorted(out.where("_first OR _last").select("_task", "_first", "_last", "thread_id", "chunk_id").collect(), key=lambda r: (r["_task"], not r["_first"]))  # two rows a task
+    over = []
+    for a, b in zip((r for r in ends if r["_last"]), [r for r in ends if r["_first"]][1:], strict=False):
+        if a.thread_id is not None and a.thread_id == b.thread_id:
+            over += [(a["_task"], a.chunk_id, True, b.chunk_id), (b["_task"], b.chunk_id, False, a.chunk_id)]
+    border = spark.createDataFrame(over, "_task int, chunk_id string, _end boolean, _other string")
+    for end, flag, name in ((True, "_last", "next_id"), (False, "_first", "previous_id")):
+        mine = border.where(F.col("_end") == end).select("_task", "chunk_id", F.col("_other").alias("_o"), F.lit(True).alias(flag))
+        out = out.join(F.broadcast(mine), ["_task", "chunk_id", flag], "left").withColumn(name, F.coalesce("_o", name)).drop("_o")
+    return out.select(*chunked.columns, "previous_id", "next_id")
 
 
 def to_embed(chunked: DataFrame, vectors: DataFrame) -> DataFrame:

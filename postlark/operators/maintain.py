@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
-from dataclasses import astuple, dataclass
+from dataclasses import astuple, dataclass, replace
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
@@ -19,7 +19,7 @@ from postlark.streaming.ingest import Snapshots
 
 VECTORS, IDENTITY = "vectors", "identity"
 _KEPT = ["chunk_id", "content_hash", "account_id", "mailbox", "thread_id", "message_id", "vector"]
-_IDENTITY = "provider string, model string, dimension int, revision string"
+_IDENTITY = "provider string, model string, dimension int, revision string, query_prefix string, passage_prefix string, build string"
 
 
 @dataclass(frozen=True)
@@ -30,10 +30,26 @@ class Embedder:
     documents: Callable[[Column], Column]
     query: Callable[[str], Sequence[float]]
 
+    def passages(self, texts: Column) -> Column:
+        """Vectors of texts with the identity's prefix before each."""
+        prefix = self.identity.passage_prefix
+        return self.documents(F.concat(F.lit(prefix), texts) if prefix else texts)
+
+    def asked(self, text: str) -> Sequence[float]:
+        """The vector of a query with the identity's prefix before it."""
+        return self.query((self.identity.query_prefix or "") + text)
+
 
 EMBEDDERS = {"hash": Embedder(Identity("mock", "hash-128", DIM), hash_embed, hash_vector)}
 
 
+def register(name: str, by: Embedder) -> None:
+    """Makes an embedder known by name; a name stays with who took it."""
+    if not name.strip() or EMBEDDERS.get(name, by) != by:
+        raise ValueError(f"an embedder needs a name of its own, not {name!r}")
+    EMBEDDERS[name] = by
+
+
 def embedder(name: str) -> Embedder:
     if name not in EMBEDDERS:
         raise ValueError(f"unknown embedder {name}; there are {', '.join(sorted(EMBEDDERS))}")
@@ -44,7 +60,7 @@ def held_identity(store: Snapshots, version: int | None = None) -> Identity | No
     """Whose vectors a store has; None where nothing tells."""
     held = store.read(IDENTITY, version)
     row = None if held is None else held.first()
-    return row and Identity(*row)
+    return row and Identity(**row.asDict())
 
 
 def must_rebuild(held: Identity | None, stored: bool, wanted: Identity, asked: bool = False) -> bool:
@@ -79,11 +95,11 @@ def index_semantic(into: Snapshots, store: Snapshots, by: Embedder, rebuild: boo
     elif held is None and older is not None and older[1].same_embedder(by.identity):
         vectors = semantic.import_vectors(older[0], chunked)
     kept, missing = to_index(chunked, vectors)
-    made = missing.withColumn("vector", by.documents(F.col("text"))).select(*_KEPT)
+    made = missing.withColumn("vector", by.passages(F.col("text"))).select(*_KEPT)
     reused = 0 if kept is None else kept.count()
     base = made.limit(0) if kept is None else kept.select(*_KEPT)
     revision = archive.revision(chunked).first()[0]
-    mine = into.spark.createDataFrame([(*astuple(by.identity)[:3], revision)], _IDENTITY)
+    mine = into.spark.createDataFrame([astuple(replace(by.identity, revision=revision))], _IDENTITY)
     done = store.publish({VECTORS: semantic.upsert(base, made, by.identity.dimension), IDENTITY: mine}, version + 1)
     embedded = store.read(VECTORS, done).count() - reused
     return into.spark.createDataFrame([(embedded, reused, rebuilt, revision)], "embedded long, reused long, rebuilt boolean, archive_revision string")

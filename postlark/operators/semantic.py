@@ -12,20 +12,30 @@ from postlark.operators import archive
 
 @dataclass(frozen=True)
 class Identity:
-    """Which embedder made the vectors, and of which archive revision."""
+    """Which embedder made the vectors, of which archive revision, what stands before queries and passages, and by which build."""
 
     provider: str
     model: str
     dimension: int
     revision: str | None = None
+    query_prefix: str | None = None
+    passage_prefix: str | None = None
+    build: str | None = None
+
+    def space(self) -> tuple[str, str, int, str, str]:
+        """What vectors must share to be compared; neither revision nor build; no prefix is an empty one."""
+        return self.provider, self.model, self.dimension, self.query_prefix or "", self.passage_prefix or ""
 
     def same_embedder(self, other: Identity) -> bool:
-        return (self.provider, self.model, self.dimension) == (other.provider, other.model, other.dimension)
+        return self.space() == other.space()
+
+    def label(self) -> str:
+        return f"{self.provider}:{self.model}:{self.dimension}"
 
     def require(self, other: Identity) -> None:
         """Queries by another embedder would compare unlike vectors."""
         if not self.same_embedder(other):
-            raise ValueError(f"vectors are by {self.provider}:{self.model}:{self.dimension}; rebuild them for {other.provider}:{other.model}:{other.dimension}")
+            raise ValueError(f"vectors are by {self.label()}; rebuild them for {other.label()}" + ("" if self.label() != other.label() else ", whose prefixes differ"))
 
 
 def upsert(vectors: DataFrame, new: DataFrame, dimension: int) -> DataFrame:

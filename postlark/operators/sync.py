@@ -44,7 +44,7 @@ def normalize(mail: DataFrame) -> DataFrame:
     """Messages as sources give them (envelopes.MAIL) with scoped identities, sections, categories and hash.
 
     A raw message replaces text and attachments. The hash covers what is searched
-    or classified, so neither date nor thread.
+    or classified, so neither date nor thread. `truncated` tells that a source cut the text.
     """
     none = F.array().cast("array<string>")
     parts = _mime(F.col("rawMime"))
@@ -79,6 +79,7 @@ def normalize(mail: DataFrame) -> DataFrame:
         T.categories(F.col("classifications"), F.col("labels"), F.col("flags")).alias("categories"),
         files.alias("attachments"),
         F.col("sourceHash").alias("source_hash"),
+        (F.col("truncated") if "truncated" in mail.columns else F.lit(False)).alias("truncated"),
     )
     hashed = F.struct("subject", "from_address", "to_addresses", "cc_addresses", "latest_text", "quoted_text", "labels", "flags", "classifications", "attachments")
     return out.withColumn("normalized_hash", F.sha2(F.to_json(hashed), 256))
@@ -171,9 +172,8 @@ def reconcile(held: Held, scan: Scan, policy: str) -> tuple[Held, DataFrame]:
     state. An authoritative scan without any failure releases the account's other roots.
     """
     paths = _union(held.links.select(*FILE), held.files.select(*FILE)).distinct()
-    hidden = scan.unlisted.select(F.col("root_key").alias("_root"), F.col("rel_path").alias("_path"))
-    below = (F.col("root_key") == F.col("_root")) & ((F.col("_path") == "") | (F.col("rel_path") == F.col("_path")) | F.col("rel_path").startswith(F.concat("_path", F.lit("/"))))
-    gone = paths.where(F.col("root_key").isin(*scan.roots)).join(scan.files.select(*FILE), FILE, "left_anti").join(hidden, below, "left_anti")
+    covered = archive.below(paths, scan.unlisted)
+    gone = paths.where(F.col("root_key").isin(*scan.roots)).join(scan.files.select(*FILE), FILE, "left_anti").join(covered, FILE, "left_anti")
     links = held.links.join(gone, FILE, "left_anti")
     released = [held.links.join(gone, FILE, "left_semi")]
 
@@ -268,13 +268,14 @@ def sync(into: Snapshots, mail: DataFrame, policy: Sequence[str] = POLICY, scan:
         if current:
             tables |= search.changes(into, before, new, lost)
         row = archive.changes(diffed).first().asDict() | {"excluded": excluded.count(), "deleted": deleted.count() if deleted is not None else 0}
+        row["truncated"] = included.where("truncated").count()
         row["touched_threads"] = diffed.where("change != 'unchanged'").agg(F.countDistinct("thread_id")).first()[0]
         reasons = {r.reason: r.n for r in archive.excluded_by_reason(excluded, policy).collect()}  # a row a category
         version = into.publish(tables, before + 1)
         if not current:
             version = reindex(into)
     row["chunks"] = into.read("chunks", version).count()
-    names = ["added", "updated", "unchanged", "deleted", "excluded", "touched_threads", "chunks"]
+    names = ["added", "updated", "unchanged", "deleted", "excluded", "touched_threads", "truncated", "chunks"]
     return spark.createDataFrame([(*(int(row[n]) for n in names), reasons)], ", ".join(f"{n} long" for n in names) + ", excluded_by_reason map<string,long>")
 
 
@@ -287,7 +288,7 @@ def reindex(into: Snapshots) -> int:
 
 def roll_up(reports: DataFrame) -> DataFrame:
     """One report of several batches: sums of counters and of reasons; chunks are those of the last state."""
-    sums = [F.sum(n).alias(n) for n in ("added", "updated", "unchanged", "deleted", "excluded", "touched_threads")]
+    sums = [F.sum(n).alias(n) for n in ("added", "updated", "unchanged", "deleted", "excluded", "touched_threads", "truncated")]
     reasons = reports.select(F.explode("excluded_by_reason").alias("reason", "n")).groupBy("reason").agg(F.sum("n").alias("n"))
     mapped = reasons.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("excluded_by_reason"))
     return reports.agg(*sums, F.max("chunks").alias("chunks")).crossJoin(mapped)  # one row each
@@ -311,5 +312,5 @@ def from_files(entries: DataFrame, account: str, mailbox: str | None = None) ->
     nothing = F.lit(None).cast("string")
     return first.select(
         F.lit(account).alias("accountId"), "mailbox", F.col("provider_key").alias("providerKey"), F.col("message_id").alias("messageId"), nothing.alias("threadId"), F.col("in_reply_to").alias("inReplyTo"), "subject", F.col("sender").alias("from"),
-        F.col("recipients").alias("to"), F.lit(None).cast("array<string>").alias("cc"), "date", F.col("body").alias("text"), nothing.alias("html"), "labels", F.lit(None).cast("array<string>").alias("flags"), F.lit(None).cast("array<string>").alias("classifications"), nothing.alias("rawMime"), nothing.alias("sourceHash"), files.alias("attachments"),
+        F.col("recipients").alias("to"), "cc", "date", F.col("body").alias("text"), nothing.alias("html"), "labels", F.lit(None).cast("array<string>").alias("flags"), F.lit(None).cast("array<string>").alias("classifications"), nothing.alias("rawMime"), nothing.alias("sourceHash"), files.alias("attachments"), F.coalesce("truncated", F.lit(False)).alias("truncated"),
     )

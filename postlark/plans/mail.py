@@ -141,6 +141,48 @@ def reconcile_released(spark, d):
     return archive.released(stored, links.where("doc_id % 50 < 30").select("rel_path"), ["fr"], links.select("rel_path", "provider_key"))
 
 
+_LOOK = f"""{M}, l AS (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS root_key, mailbox || '/' || (doc_id % 50) AS rel_path, doc_id % 50 AS num, doc_id % 4 <> 0 OR doc_id % 50 % 6 = 4 AS still, 'k' || (doc_id % 300) AS provider_key FROM m)"""
+
+
+def _look(spark, d):
+    """Documents as links of fifty files a mailbox, in two roots, and one look at root a; a third of its files is complete, partial or unreadable."""
+    doc, num = F.col("doc_id"), F.col("doc_id") % 50
+    path = F.concat_ws("/", "mailbox", num.cast("string"))
+    links = corpus.messages(spark, d).select(F.when(doc % 2 == 0, "a").otherwise("b").alias("root_key"), path.alias("rel_path"), num.alias("num"), ((doc % 4 != 0) | (num % 6 == 4)).alias("still"), F.concat(F.lit("k"), (doc % 300).cast("string")).alias("provider_key"))
+    status = F.when(F.col("num") % 3 == 0, "complete").when(F.col("num") % 3 == 1, "partial").otherwise("unreadable")
+    keys = F.collect_set(F.when(F.col("still") & (status != "unreadable"), F.col("provider_key")))
+    files = links.where("root_key = 'a' AND num < 30").groupBy("root_key", "rel_path", "num").agg(keys.alias("keys")).withColumn("status", status)
+    failed = F.when(F.col("status") == "complete", F.array().cast("array<string>")).otherwise(F.array("rel_path"))
+    files = files.select("root_key", "rel_path", F.lit(1).cast("long").alias("size"), F.lit(1.0).alias("mtime_ms"), F.lit(True).alias("changed"), "status", failed.alias("failures"), failed.alias("failed_entries"), "keys")
+    links = links.select("root_key", "rel_path", "provider_key").distinct()
+    known = links.select("root_key", "rel_path").distinct().select("*", F.lit("me").alias("account_id"), F.lit(1).cast("long").alias("size"), F.lit(1.0).alias("mtime_ms"), F.lit("").alias("policy"), *(F.array().cast("array<string>").alias(c) for c in ("failures", "failed_entries")))
+    roots = spark.createDataFrame([("a", "me"), ("b", "me")], "root_key string, account_id string")
+    return sync.Held(links, known, roots), files
+
+
+@query(f"""WITH {_LOOK}, gone AS (SELECT DISTINCT root_key, rel_path FROM l WHERE root_key = 'a' AND num >= 30 AND NOT starts_with(rel_path, 'fr/')),
+cur AS (SELECT DISTINCT root_key, rel_path, provider_key FROM l WHERE root_key = 'a' AND num < 30 AND still AND num % 3 <> 2), held AS (SELECT DISTINCT root_key, rel_path, num, provider_key FROM l ANTI JOIN gone USING (root_key, rel_path)),
+lacking AS (SELECT DISTINCT root_key, rel_path FROM held ANTI JOIN cur USING (root_key, rel_path, provider_key) WHERE root_key = 'a' AND num < 30 AND num % 3 = 1),
+repl AS (SELECT DISTINCT root_key, rel_path FROM l WHERE root_key = 'a' AND num < 30 AND num % 3 <> 2 EXCEPT SELECT * FROM lacking),
+after AS (SELECT root_key, rel_path, provider_key FROM held ANTI JOIN repl USING (root_key, rel_path) UNION SELECT * FROM cur),
+lost AS (SELECT provider_key FROM l SEMI JOIN gone USING (root_key, rel_path) UNION SELECT provider_key FROM held SEMI JOIN repl USING (root_key, rel_path))
+SELECT 'link' AS kind, root_key, rel_path, provider_key FROM after UNION ALL SELECT 'released', NULL, NULL, provider_key FROM lost ANTI JOIN after USING (provider_key)""")
+def reconcile_look(spark, d):
+    """Links and released keys after a look with partial and unreadable files and a folder that could not be listed."""
+    held, files = _look(spark, d)
+    after, released = sync.reconcile(held, sync.Scan("me", ["a"], files, spark.createDataFrame([("a", "fr")], "root_key string, rel_path string")), "")
+    return after.links.select(F.lit("link").alias("kind"), "root_key", "rel_path", "provider_key").unionByName(released.select(F.lit("released").alias("kind"), *(F.lit(None).cast("string").alias(c) for c in ("root_key", "rel_path")), "provider_key"))
+
+
+@query(f"""WITH {_LOOK}, after AS (SELECT DISTINCT rel_path, provider_key FROM l WHERE root_key = 'a' AND num < 30 AND still AND num % 3 = 0)
+SELECT DISTINCT provider_key FROM l ANTI JOIN after USING (provider_key)""")
+def reconcile_authoritative(spark, d):
+    """What a look at one root releases that found complete files alone and counts for the whole account."""
+    held, files = _look(spark, d)
+    nothing = spark.createDataFrame([], "root_key string, rel_path string")
+    return sync.reconcile(held, sync.Scan("me", ["a"], files.where("status = 'complete'"), nothing, authoritative=True), "")[1]
+
+
 @query(f"""WITH {M}, b AS (SELECT normalized_hash AS provider_key, message_id FROM m)
 SELECT 'duplicate provider_key' AS violation, provider_key AS value, count(*) AS n FROM b GROUP BY 2 HAVING count(*) > 1
 UNION ALL SELECT 'duplicate message_id', message_id, count(*) FROM b GROUP BY 2 HAVING count(*) > 1""")
@@ -309,7 +351,7 @@ def thread_context(spark, d):
 @query(f"""WITH {M}, {C} SELECT chunk_id, lag(chunk_id) OVER w AS previous_id, lead(chunk_id) OVER w AS next_id FROM c
 WINDOW w AS (PARTITION BY thread_id ORDER BY started_at, message_id, section, ordinal, chunk_id)""")
 def chunk_context(spark, d):
-    return archive.chunk_context(corpus.chunks(spark, d)).select("chunk_id", "previous_id", "next_id")
+    return archive.chunk_context(corpus.chunks(spark, d), corpus.folder(spark, "context")).select("chunk_id", "previous_id", "next_id")
 
 
 @query(f"WITH {_V} SELECT (SELECT count(*) FROM m) AS messages, (SELECT count(*) FROM c) AS chunks, (SELECT count(*) FROM c ANTI JOIN vec USING (chunk_id, content_hash)) AS backlog")

@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 from datetime import UTC, datetime
 from email import message_from_bytes, policy
-from email.utils import getaddresses, parsedate_to_datetime
+from email.utils import parsedate_to_datetime
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -30,7 +30,7 @@ _ESCAPED = re.compile(rb"^>(?=>*From )", re.M)
 
 SCHEMA = (
     "path string, label string, provider_key string, message_id string, in_reply_to string, subject string, sender string, "
-    "recipients array<string>, date string, body string, labels array<string>, attachments array<struct<name:string,mime_type:string,size:bigint,text:string,content_hash:string>>, error string, truncated boolean"
+    "recipients array<string>, cc array<string>, date string, body string, labels array<string>, attachments array<struct<name:string,mime_type:string,size:bigint,text:string,content_hash:string>>, error string, truncated boolean"
 )
 
 
@@ -73,12 +73,24 @@ def iso(when: datetime) -> str:
     return when.strftime("%Y-%m-%dT%H:%M:%S.") + f"{when.microsecond // 1000:03d}Z"
 
 
+def _envelope_date(envelope: str) -> str:
+    """The date of a separator in UTC; a zone, as an offset before or behind the year or as GMT or UTC, counts; what is no date is the epoch."""
+    found = re.search(r"([A-Z][a-z]{2}) +([A-Z][a-z]{2}) +(\d{1,2}) +(\d\d:\d\d:\d\d)(?: +([+-]\d{4}|[A-Z]{3,4}))? +(\d{4})(?: +([+-]\d{4}))?", envelope)
+    if not found:
+        return EPOCH
+    _, month, day, at, zone, year, behind = found.groups()
+    offset = next((z for z in (zone, behind) if z and z[0] in "+-"), "+0000")
+    try:
+        return iso(datetime.strptime(f"{month} {day} {at} {year} {offset}", "%b %d %H:%M:%S %Y %z"))
+    except ValueError:
+        return EPOCH
+
+
 def _date(header: str | None, envelope: str) -> str:
     try:
         return iso(parsedate_to_datetime(header or ""))
     except (ValueError, TypeError):
-        found = re.search(r"[A-Z][a-z]{2} [A-Z][a-z]{2} +\d+ \d\d:\d\d:\d\d \d{4}", envelope)
-        return iso(datetime.strptime(found[0], "%a %b %d %H:%M:%S %Y")) if found else EPOCH
+        return _envelope_date(envelope)
 
 
 def split_mbox(data: bytes) -> list[tuple[str, bytes]] | None:
@@ -129,7 +141,7 @@ def mime_parts(raw: bytes) -> tuple[str, list[dict]]:
 
 def parse(path: str, label: str, raw: bytes, envelope: str = "") -> tuple:
     """One row of SCHEMA for a raw message."""
-    blank = (None,) * 10
+    blank = (None,) * 11
     if len(raw) > MAX_BYTES:
         return (path, label, *blank, f"message exceeds {MAX_BYTES} bytes", None)
     try:
@@ -140,11 +152,11 @@ def parse(path: str, label: str, raw: bytes, envelope: str = "") -> tuple:
         ident = "" if ident == "<>" else ident
         key = f"message-id:{ident}" if ident else f"sha256:{hashlib.sha256(raw).hexdigest()}"
         reply = re.search(r"<[^>]+>|\S+", str(m["in-reply-to"] or ""))
-        people = lambda h: [a for _, a in getaddresses([str(x) for x in m.get_all(h, [])]) if a]
+        people = lambda h: [a.addr_spec for x in m.get_all(h, []) for a in getattr(x, "addresses", ()) if a.addr_spec not in ("", "<>")]
         body, files = _parts(m)
         labels = gmail_labels(str(m["x-gmail-labels"] or ""))
         sender = (people("from") or [""])[0]
-        return (path, label, key, ident or None, reply and reply[0], str(m["subject"] or ""), sender, people("to") + people("cc"), _date(m["date"] and str(m["date"]), envelope), body[:MAX_TEXT], labels, files, None, len(body) > MAX_TEXT)
+        return (path, label, key, ident or None, reply and reply[0], str(m["subject"] or ""), sender, people("to"), people("cc"), _date(m["date"] and str(m["date"]), envelope), body[:MAX_TEXT], labels, files, None, len(body) > MAX_TEXT)
     except (LookupError, ValueError, AttributeError, TypeError) as e:
         return (path, label, *blank, f"malformed message: {type(e).__name__}", None)
 
@@ -156,7 +168,7 @@ def entries(path: str, content: bytes) -> Iterator[tuple]:
         return
     found = split_mbox(content)
     if found is None:
-        yield (path, name, *(None,) * 10, NOT_MBOX, None)
+        yield (path, name, *(None,) * 11, NOT_MBOX, None)
     for i, (envelope, raw) in enumerate(found or (), 1):
         yield parse(path, f"{name}#{i}", raw, envelope)
 
@@ -168,7 +180,7 @@ def _numbered(path: str, i: int, held: bytes) -> tuple:
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    names = "path label provider_key message_id in_reply_to subject sender recipients date body labels attachments error truncated".split()
+    names = "path label provider_key message_id in_reply_to subject sender recipients cc date body labels attachments error truncated".split()
     out = pd.DataFrame(rows, columns=names, dtype=object)
     held = [None if a is None else [dict(zip(("name", "mime_type", "size", "text", "content_hash"), x, strict=True)) for x in a] for a in out["attachments"]]
     return out.assign(attachments=pd.Series(held, dtype=object))
