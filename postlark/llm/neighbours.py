@@ -199,10 +199,12 @@ def _of_length(rows: DataFrame, dim: int, total: int, k: int, dims: int, confide
 
     def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"p": pa.array(list(_matrix(b.column(0), dim) @ weights), pa.list_(pa.float64()))})
+            yield pa.RecordBatch.from_pydict({"vec_id": b.column(0), "p": pa.array(list(_matrix(b.column(1), dim) @ weights), pa.list_(pa.float64()))})
 
     points = min(sample, max(1024, 2 * _A_CELL * -(-total // cell_rows)))
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(points).select("vec").mapInArrow(projected, "p array<double>").toArrow()
+    share = int((1 << 30) * min(1.0, points / max(total, 1)))
+    some = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < share)  # about `points` rows, by their ids
+    drawn = some.select("vec_id", "vec").mapInArrow(projected, "vec_id long, p array<double>").groupBy("vec_id").agg(F.min("p").alias("p")).select("p").toArrow()  # one an id
     tree = fit_tree(_matrix(drawn["p"], dims), total, cell_rows, weights)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
