@@ -110,7 +110,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
         F.count("*").alias("n_calls"), F.min(body).alias("c"), F.max(F.struct("name", "arguments")).alias("c1"), F.min(F.struct("name", "arguments")).alias("c0")
     )
     answer = results.groupBy(*keys).agg(F.count("*").alias("n_results"), F.min(F.struct("turn", "content")).alias("r"), F.min("content").alias("r0"), F.max("content").alias("r1"))
-    both = one.hint("shuffle_hash").join(answer, keys, "full_outer")
+    both = one.join(answer, keys, "full_outer")
     both = both.select(
         *keys,
         F.coalesce("c.turn", "r.turn").alias("turn"),
