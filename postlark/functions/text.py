@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,7 +19,7 @@ NUL = "\x00"
 CHUNK_CHARS = 2400
 #: What a trim strips, white space of all scripts and byte order marks; \x85 is none of it.
 _BLANK = r"[\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
-_BLANKS = "".join(map(chr, (*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))  # the same, one by one
+_BLANKS = "".join(c for c in map(chr, range(0x10000)) if re.match(re.sub(r"\\x\{(\w+)\}", lambda m: f"\\u{m[1]:0>4}", _BLANK), c))  # the same, one by one
 
 #: Latin letters with accents and their base letters, by Unicode decomposition.
 _ACCENTED = [c for c in map(chr, range(0xC0, 0x250)) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0].isascii()]
@@ -125,8 +126,32 @@ def tokens_cjk(c: Column) -> Column:
     return F.regexp_extract_all(nfkc(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
-#: Analyzers by language; without dictionaries, Korean is folded and Japanese and Chinese are not segmented.
-ANALYZERS = {"ko": lambda c: F.transform(tokens_cjk(c), F.lower), "ja": tokens_cjk, "zh": tokens_cjk, "ar": tokens_arabic}
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\x{30fc}"
+
+
+def tokens_pairs(c: Column) -> Column:
+    """Words of texts in which Chinese and Japanese stand without blanks.
+
+    A run of their characters gives every two that follow each other, so that a word is
+    found inside a sentence without a dictionary; a character by itself is a token, and
+    so is a run of other letters and digits.
+    """
+    runs = F.regexp_extract_all(nfkc(c), F.lit(rf"([{_UNSPACED}]+|[\p{{L}}\p{{N}}&&[^{_UNSPACED}]]+)"), F.lit(1))
+    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.char_length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
+    return F.flatten(F.transform(runs, lambda r: F.when((F.char_length(r) > 1) & r.rlike(f"^[{_UNSPACED}]"), pairs(r)).otherwise(F.array(r))))
+
+
+#: Analyzers by language, without dictionaries: Korean is folded.
+ANALYZERS = {"ko": lambda c: F.transform(tokens_cjk(c), F.lower), "ja": tokens_pairs, "zh": tokens_pairs, "ar": tokens_arabic}
+#: Languages in which the tokens of a query's word must follow each other.
+PHRASED = ("ja", "zh")
+
+
+def register_analyzer(lang: str, pattern: str, analyze: Callable[[Column], Column]) -> None:
+    """Makes known how texts with a character that `pattern` matches are analyzed; indexes made before are stale."""
+    if lang in SCRIPTS or lang == "all":
+        raise ValueError(f"{lang} has an analyzer")
+    SCRIPTS[lang], ANALYZERS[lang] = pattern, analyze
 
 
 #: What diagnostics must not show.
@@ -143,14 +168,14 @@ def redact(c: Column) -> Column:
     return c
 
 
-_HIDDEN = (re.compile(r"([?&](?:token|password|secret|key)=)[^&\s]+", re.I), re.compile(r"(?<![?&])\b(?:token|password|secret|key|credential)\s*[=:]\s*[^,\s]+", re.I), re.compile(r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", re.I))
+_HIDDEN = tuple((re.compile(pattern.replace("(?iu)", ""), re.I), re.sub(r"\$(\d)", r"\\\1", to)) for pattern, to in REDACTIONS)
 _SECRET = re.compile("password|secret|token|credential", re.I)  # names of members, fixed values
 
 
 def redacted(value):
     """A value of parsed JSON: texts as redact() does, members with a secret's name hidden, at any depth."""
     if isinstance(value, str):
-        for pattern, to in zip(_HIDDEN, (r"\1[REDACTED]", "[REDACTED]", "[EMAIL]"), strict=True):
+        for pattern, to in _HIDDEN:
             value = pattern.sub(to, value)
         return value
     if isinstance(value, list):

@@ -169,7 +169,7 @@ _PART, _TASK, _MERGE = 1 << 20, 1 << 22, 8
 
 def _version() -> str:
     """A digest of what makes tokens; an index by others is stale."""
-    made = [inspect.getsource(f) for f in (T.fold, T.tokens, T.nfkc.func, T.tokens_arabic, T.tokens_cjk, T.languages)]
+    made = [inspect.getsource(f) for f in (T.fold, T.tokens, T.nfkc.func, T.tokens_arabic, T.tokens_cjk, T.tokens_pairs, T.languages)]
     held = [str(T.SCRIPTS), sorted(T.ANALYZERS), T._BASES, unicodedata.unidata_version]
     return hashlib.sha256(repr((made, held)).encode()).hexdigest()[:16]
 
@@ -354,8 +354,8 @@ class Index:
         if langs and self.stats.where(F.col("version") != VERSION).count():
             raise ValueError("the index was made by other analyzers; rebuild it")
         for lang in langs:
-            words = spark.range(1).select(T.ANALYZERS[lang](F.lit(query)).alias("ts")).first()[0]
-            lists.append(self.top(lang, [[w] for w in words], 2 * k, filters))
+            words = phrases(spark, query, T.ANALYZERS[lang])
+            lists.append(self.top(lang, words if lang in T.PHRASED else [[w] for ws in words for w in ws], 2 * k, filters))
         return fuse(lists, k)
 
     def semantic(self, vector: Sequence[float], vectors: DataFrame, k: int, filters: Filters | None = None) -> DataFrame:

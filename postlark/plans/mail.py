@@ -419,6 +419,56 @@ def multilingual_rrf(spark, d):
     return search.Index.read(spark, path).keyword("계약", 10).select("chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+#: A sentence in another script behind each text of a language, and how many tokens its analyzer makes of it.
+SENTENCES = {"en": ("请确认合同更新条件", 8), "de": ("契約の更新を確認してください", 13), "es": ("تجديد العقد", 4)}
+
+
+def _sentence_sql(word: str, langs: tuple[str, ...], within: tuple[str, ...]) -> str:
+    """SQL of a search for one word of two characters or more in the lists of langs; documents in `within` hold it."""
+    sentence = " ".join(f"WHEN '{k}' THEN '{v}'" for k, (v, _) in SENTENCES.items())
+    tokens = " ".join(f"WHEN '{k}' THEN {n}" for k, (_, n) in SENTENCES.items())
+    scripts = {"zh": ("en", "de"), "ja": ("de",), "ar": ("es",)}
+    lists = " UNION ALL ".join(f"SELECT '{x}' AS l, doc_id, lang, {'n' if x == 'ar' else f'CASE WHEN lang IN {within!r} OR lang IN {scripts[x]!r} THEN words + n END'} AS dl FROM d WHERE lang IN {scripts[x] + ('-',)!r}" for x in langs)
+    return rf"""WITH d AS (SELECT doc_id, lang, CASE lang {tokens} ELSE 0 END AS n, len(regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}]+')) AS words, CASE lang {sentence} ELSE '' END AS tail FROM documents),
+tok AS ({lists}),
+st AS (SELECT l, count(*) AS n, avg(dl) AS avgdl FROM tok GROUP BY l),
+hit AS (SELECT * FROM tok WHERE lang IN {within + ('-',)!r}),
+df AS (SELECT l, count(*) AS df FROM hit GROUP BY l),
+sc AS (SELECT l, 'doc-' || doc_id AS chunk_id, CASE WHEN df < n / 2.0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * 2.2 / (1 + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS score FROM hit JOIN st USING (l) JOIN df USING (l)),
+lists AS (SELECT chunk_id, row_number() OVER (PARTITION BY l ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM sc QUALIFY rank <= 20),
+f AS (SELECT chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM lists GROUP BY chunk_id)
+SELECT chunk_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM f QUALIFY rank <= 10"""
+
+
+def _sentence_query(name: str, word: str, langs: tuple[str, ...], within: tuple[str, ...]) -> None:
+    def f(spark, d):
+        tail = F.coalesce(*(F.when(F.col("lang") == k, v) for k, (v, _) in SENTENCES.items()), F.lit(""))
+        texts = corpus.read(spark, d, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("chunk_id"), F.concat(F.coalesce("text", F.lit("")), F.lit(" "), tail).alias("text"))
+        held = texts.withColumns({c: F.lit("") for c in search.SHOWN if c != "to_addresses"} | {"to_addresses": F.array(F.lit("")), "content_hash": F.lit("")})
+        path = corpus.folder(spark, "index")
+        search.Index.write(held, path, ("text",))
+        return search.Index.read(spark, path).keyword(word, 10).select("chunk_id", F.round("score", 6).alias("score"), "rank")
+
+    f.__name__ = name
+    query(_sentence_sql(word, langs, within))(f)
+
+
+_sentence_query("search_chinese", "合同", ("zh",), ("en",))
+_sentence_query("search_arabic", "عقد", ("ar",), ("es",))
+_sentence_query("search_japanese", "契約の更新", ("ja", "zh"), ("de",))
+
+
+@query("WITH " + M + ", " + C + ", " + _COS % "true" + r""", near AS (SELECT chunk_id, round(v.score, 6) AS score, row_number() OVER (ORDER BY round(v.score, 9) DESC, chunk_id) AS rank
+FROM v JOIN m ON m.doc_id = v.vec_id JOIN c USING (message_id) WHERE v.score IS NOT NULL AND m.mailbox = 'en' AND date >= '2024-01-01T01' QUALIFY rank <= 10) SELECT * FROM near""")
+def semantic_filtered(spark, d):
+    """Nearest chunks by the vector of their document, of one mailbox and from a date on."""
+    e = corpus.read(spark, d, "embeddings")
+    q = e.where("vec_id = 0").select("embedding").first()
+    index, m = corpus.index(spark, d), corpus.messages(spark, d).select("message_id", F.col("doc_id").alias("vec_id"))
+    owners = index.entries.select("chunk_id", "content_hash", "message_id").join(m, "message_id").join(e, "vec_id").select("chunk_id", "content_hash", F.col("embedding").alias("vector"))
+    return index.semantic(q[0] if q else [], owners, 10, search.Filters(mailbox="en", after="2024-01-01T01")).select("chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("""SELECT event_id, user_id::VARCHAR AS provider_key FROM events WHERE event_id % 3 <> 0""")
 def envelopes_to_read(spark, d):
     """Events as a provider's envelopes; every third was read before, under the same policy."""

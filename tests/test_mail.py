@@ -172,6 +172,30 @@ def test_text_rules(spark):
     assert gmail_labels('Inbox,category  Promotions ,"a, \\"b\\"", ') == ["Inbox", "CATEGORY_PROMOTIONS", 'a, \\"b\\"']
 
 
+def test_pairs_of_characters(spark, monkeypatch):
+    of = lambda *texts: [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.tokens_pairs(F.col("t"))).collect()]
+    assert of("请确认合同 v2", "契約の更新。", "契", "コーヒー", "A1契約B", "", "ab 12") == [["请确", "确认", "认合", "合同", "v2"], ["契約", "約の", "の更", "更新"], ["契"], ["コー", "ーヒ", "ヒー"], ["A1", "契約", "B"], [], ["ab", "12"]]
+    assert of(None) == [None]
+    with pytest.raises(ValueError, match="has an analyzer"):
+        T.register_analyzer("ko", "x", T.tokens)
+    monkeypatch.setattr(T, "SCRIPTS", dict(T.SCRIPTS))
+    monkeypatch.setattr(T, "ANALYZERS", dict(T.ANALYZERS))
+    before = search._version()
+    T.register_analyzer("th", r"[\x{0e00}-\x{0e7f}]", T.tokens)
+    assert search._version() != before
+    assert spark.range(1).select(T.languages(F.lit("\u0e01 \u5951"))).first()[0] == ["zh", "th"]
+
+
+def test_words_inside_sentences(spark, tmp_path):
+    """Pairs must follow each other in Chinese and Japanese."""
+    rows = [("1", "请确认合同更新条件。"), ("2", "同合"), ("3", "契約の更新を確認してください。"), ("4", "更新と契約")]
+    held = spark.createDataFrame(rows, "chunk_id string, text string").withColumns({c: F.lit("") for c in search.SHOWN if c != "to_addresses"} | {"to_addresses": F.array(F.lit("")), "content_hash": F.lit("")})
+    search.Index.write(held, str(tmp_path / "i"), ("text",))
+    index = search.Index.read(spark, str(tmp_path / "i"))
+    found = lambda q: {r.chunk_id for r in index.search(q).collect()}
+    assert found("合同") == {"1"} and found("更新") == {"1", "3", "4"} and found("契約の更新") == {"3"} and found("契約 更新") == {"3", "4"}
+
+
 def test_postings_by_term(spark):
     docs = spark.createDataFrame([("1", "b a b"), ("2", None), ("3", ""), ("4", "a")], "chunk_id string, text string")
     got = sorted((r.chunk_id, r.term, r.tf, r.dl, r.positions) for r in search.postings(docs).collect())
