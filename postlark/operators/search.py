@@ -164,7 +164,7 @@ SHOWN = ("message_id", "thread_id", "account_id", "mailbox", "subject", "from_ad
 FIELDS = ("subject", "from_address", "to_text", "thread_subject", "text")
 ENTRIES, POSTINGS, DELETED, STATS = INDEX = ("entries", "postings", "deleted", "stats")
 #: Tokens of a part of the terms, and of what one task sorts of it; segments of one size that are merged.
-_PART, _TASK, _MERGE = 1 << 20, 1 << 22, 8
+_PART, _TASK, _MERGE = 1 << 16, 1 << 22, 8
 
 
 def _version() -> str:
@@ -183,14 +183,22 @@ def entries(chunked: DataFrame, messages: DataFrame) -> DataFrame:
     return chunked.select("chunk_id", "message_id", "section", "ordinal", "text", "content_hash").join(m, "message_id")
 
 
-def measured(held: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
-    """Entries with `lens`: the number of their tokens in the list for all scripts, and in that of each language that occurs."""
+def _lists(held: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Postings of the list for all scripts, and of one for each language that occurs."""
     script = T.languages(F.concat_ws(" ", *fields))
-    count = lambda analyze: sum((F.size(analyze(F.coalesce(F.col(c), F.lit("")))) for c in fields), F.lit(0))
-    lists = [F.struct(F.lit("all").alias("lang"), count(T.tokens).alias("n"))]
-    lists += [F.when(F.array_contains(script, lang), F.struct(F.lit(lang).alias("lang"), count(analyze).alias("n"))) for lang, analyze in T.ANALYZERS.items()]
-    kept = F.filter(F.array_compact(F.array(*lists)), lambda x: (x["n"] > 0) | (x["lang"] == "all"))
-    return held.withColumn("lens", F.map_from_entries(kept))
+    lists = [postings(held, fields).withColumn("lang", F.lit("all"))]
+    for lang, analyze in T.ANALYZERS.items():
+        lists.append(postings(held.where(F.array_contains(script, lang)), fields, analyze=analyze).withColumn("lang", F.lit(lang)))
+    return reduce(DataFrame.unionByName, lists)
+
+
+def _measured(held: DataFrame, posts: DataFrame) -> DataFrame:
+    """Entries with `lens`: the number of their tokens in the list for all scripts, and in that of each language that occurs."""
+    each = posts.groupBy("chunk_id", "lang").agg(F.max("dl").alias("dl"))  # a chunk's postings are beside each other, so a task gives a row for each
+    lens = each.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("lang", "dl"))).alias("lens"))
+    none = F.create_map(F.lit("all"), F.lit(0))
+    whole = F.when(F.col("lens").isNull(), none).when(F.map_contains_key("lens", F.lit("all")), F.col("lens")).otherwise(F.map_concat("lens", none))
+    return held.join(lens, "chunk_id", "left").withColumn("lens", whole)
 
 
 def _sums(held: DataFrame) -> DataFrame:
@@ -202,19 +210,12 @@ def _part(term: Column, parts: Column) -> Column:
     return F.pmod(F.xxhash64(term), parts).cast("int")
 
 
-def _segment(held: DataFrame, tokens: int, fields: Sequence[str] = FIELDS) -> Segment:
-    """Postings of entries: of the list for all scripts, and of one for each language that occurs.
+def _laid(rows: DataFrame, tokens: int) -> Segment:
+    """Postings as a segment.
 
     The terms are dealt into parts, more where there are more tokens; a part is dealt to
     several tasks by chunk, so a long list is in many files. Files are sorted by term.
     """
-    lists = [postings(held, fields).withColumn("lang", F.lit("all"))]
-    for lang, analyze in T.ANALYZERS.items():
-        lists.append(postings(held.where(F.map_contains_key("lens", F.lit(lang))), fields, analyze=analyze).withColumn("lang", F.lit(lang)))
-    return _laid(reduce(DataFrame.unionByName, lists), tokens)
-
-
-def _laid(rows: DataFrame, tokens: int) -> Segment:
     spark = rows.sparkSession
     parts = 1 << max(0, min(12, (tokens // _PART).bit_length()))
     spread = max(1, -(-tokens // (parts * _TASK)))
@@ -233,8 +234,12 @@ def changes(into: Snapshots, version: int, new: DataFrame | None, gone: DataFram
     spark = into.spark
     old = into.read(STATS, version)
     tables: dict[str, DataFrame | Change | Segment] = {}
-    came = None if new is None else into.staged(measured(new, fields))
-    out = [x.select("chunk_id") for x in (gone, came) if x is not None]
+    came = posts = held = None
+    if new is not None:
+        held = into.staged(new)
+        posts = into.staged(_lists(held, fields))
+        came = _measured(held, posts)
+    out = [x.select("chunk_id") for x in (gone, held) if x is not None]
     left = None
     if old is not None and out:
         ids = into.staged(reduce(DataFrame.union, out).distinct())
@@ -244,15 +249,15 @@ def changes(into: Snapshots, version: int, new: DataFrame | None, gone: DataFram
     elif came is not None:
         tables[ENTRIES] = Change(("chunk_id",), came)
     sums = [] if old is None else [old.select("lang", "n", "tokens")]
-    sums += [] if came is None else [_sums(came)]
+    fresh = [] if came is None else _sums(came.select("lens")).collect()  # a row a language
+    sums += [] if came is None else [spark.createDataFrame(fresh, "lang string, n long, tokens long")]
     sums += [] if left is None else [_sums(left).select("lang", (-F.col("n")).alias("n"), (-F.col("tokens")).alias("tokens"))]
     if sums:
         added = reduce(DataFrame.unionByName, sums).groupBy("lang").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).where("n > 0 OR lang = 'all'")
         rows = [(r.lang, r.n, r.tokens, VERSION) for r in added.collect()]  # a row a language
         tables[STATS] = spark.createDataFrame(rows or [("all", 0, 0, VERSION)], "lang string, n long, tokens long, version string").coalesce(1)
     if came is not None:
-        tokens = _sums(came).agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-        tables[POSTINGS] = _segment(came, tokens, fields)
+        tables[POSTINGS] = _laid(posts, sum(r.tokens for r in fresh))
     return tables
 
 
