@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,9 +90,10 @@ def folder(spark: SparkSession, what: str) -> str:
     """A new folder in the one that driver and executors share (spark.checkpoint.dir)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        shared = spark.conf.get("spark.sql.warehouse.dir")  # one machine
+        shared = tempfile.mkdtemp(prefix="postlark-")  # one machine
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
     return f"{shared.rstrip('/')}/postlark-{what}-{uuid.uuid4().hex}"
 
 
