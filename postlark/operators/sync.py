@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote, urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from postlark.functions import text as T
 from postlark.operators import archive, search
-from postlark.sources.mail_files import mime_parts
+from postlark.sources.mail_files import NOT_READ, mime_parts, read_files
+from postlark.sources.walk import resolve_root, walk
 from postlark.streaming.ingest import Change, Snapshots
 
 POLICY = ("spam", "promotions")
@@ -121,6 +123,7 @@ class Scan:
     files: root_key, rel_path, size, mtime_ms, changed, status (complete, partial or
     unreadable), failures and failed_entries (array<string>), and keys, the scoped
     provider keys it holds. unlisted: root_key, rel_path of what could not be listed.
+    held: root_key, rel_path, provider_key in place of keys, for files of any number of messages.
     """
 
     account_id: str
@@ -128,6 +131,7 @@ class Scan:
     files: DataFrame
     unlisted: DataFrame
     authoritative: bool = False
+    held: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -144,13 +148,18 @@ def file_status(entries: DataFrame, known: DataFrame) -> DataFrame:
 
     entries: path, label, error (null for a message) as read_mail() gives them; known:
     path, failed_entries of the last time. A file without any entry that could be
-    told apart is unreadable; failures that are all known leave it complete.
+    told apart is unreadable; failures that are all known leave it complete, as does a
+    message that fills an .eml file and is malformed. Failed entries are known again by their
+    provider key where there is one, else by label.
     """
-    entry = F.col("label").contains("#")
+    keyed = "provider_key" in entries.columns
+    entry = F.col("provider_key").isNotNull() if keyed else F.col("label").contains("#")
+    known_by = F.col("provider_key" if keyed else "label")
+    alone = F.col("path").rlike(r"(?i)\.eml$") & (F.col("error") != NOT_READ)
     each = entries.groupBy("path").agg(
-        F.count_if(F.col("error").isNotNull() & ~entry).alias("whole"),
+        F.count_if(F.col("error").isNotNull() & ~entry & ~alone).alias("whole"),
         F.coalesce(F.collect_list(F.when(F.col("error").isNotNull(), F.concat_ws(": ", "label", "error"))), F.array()).alias("failures"),
-        F.coalesce(F.collect_set(F.when(F.col("error").isNotNull() & entry, F.col("label"))), F.array()).alias("failed_entries"),
+        F.coalesce(F.collect_set(F.when(F.col("error").isNotNull() & entry, known_by)), F.array()).alias("failed_entries"),
     )
     both = each.join(known.select("path", F.col("failed_entries").alias("_known")), "path", "left")
     fresh = F.size(F.array_except("failed_entries", F.coalesce("_known", F.array().cast("array<string>"))))
@@ -178,7 +187,7 @@ def reconcile(held: Held, scan: Scan, policy: str) -> tuple[Held, DataFrame]:
     released = [held.links.join(gone, FILE, "left_semi")]
 
     changed = scan.files.where("changed")
-    current = changed.select(*FILE, F.explode("keys").alias("provider_key")).distinct()
+    current = (changed.select(*FILE, F.explode("keys").alias("provider_key")) if scan.held is None else scan.held.select(*FILE, "provider_key")).distinct()
     partial = changed.where("status = 'partial'").select(*FILE)
     lacking = links.join(partial, FILE, "left_semi").join(current, [*FILE, "provider_key"], "left_anti").select(*FILE).distinct()
     replaced = _union(changed.where("status = 'complete'").select(*FILE), partial.join(lacking, FILE, "left_anti"))
@@ -218,62 +227,67 @@ def sync(into: Snapshots, mail: DataFrame, policy: Sequence[str] = POLICY, scan:
     those without a message of the batch are neither read nor written. An index by
     other analyzers is made anew.
     """
-    spark = into.spark
     with into.lease():
-        batch = into.staged(normalize(mail))
-        before = into.version()
-        held_keys = into.read("keys", before, near=batch.select("provider_key"))
-        check_identities(batch, held_keys)
-        out = archive.excluded(F.col("categories"), policy)
-        included, excluded = batch.where(~out), batch.where(out)
-        held = into.read("messages", before, near=included.select("message_id"))
-        held = included.limit(0) if held is None else held.join(included.select("message_id"), "message_id", "left_semi")
-        shown = F.struct("thread_id", "date")
-        places = held.select("provider_key", shown.alias("_shown"))
-        diffed = archive.diff(held, included).join(places, "provider_key", "left")
-        diffed = into.staged(diffed.withColumn("remade", (F.col("change") != "unchanged") | ~F.col("_shown").eqNullSafe(shown)).drop("_shown"))
-        remade = diffed.where("remade").drop("change", "remade")
-        gone = excluded.select("provider_key")
-        tables: dict[str, DataFrame | Change] = {}
-        deleted = None
-        if scan is not None:
-            kept = [into.read(t, before) for t in _HELD]
-            state, released = reconcile(Held(*(k if k is not None else spark.createDataFrame([], s) for k, s in zip(kept, _HELD.values(), strict=True))), scan, policy_key(policy))
-            tables |= {"links": state.links, "files": state.files, "roots": state.roots}
-            released = into.staged(released)
-            known = into.read("keys", before, near=released)
-            everything = included.select("provider_key") if known is None else known.select("provider_key").union(included.select("provider_key")).distinct()
-            deleted = released.join(everything, "provider_key", "left_semi")
-            gone = gone.union(released)
-        gone = into.staged(gone.distinct())
-        owners = into.read("keys", before, near=gone)
-        leaving = spark.createDataFrame([], "message_id string") if owners is None else owners.join(gone, "provider_key", "left_semi").select("message_id").join(included.join(gone, "provider_key", "left_anti").select("message_id"), "message_id", "left_anti")
-        leaving = into.staged(leaving.distinct())
-        kept_rows = included.join(gone, "provider_key", "left_anti")
-        moved = into.staged(held.join(included.select("message_id", F.col("provider_key").alias("_now")), "message_id").where("_now != provider_key").select("provider_key").union(gone))
-        stale = into.staged(remade.select("message_id").union(leaving).distinct())
-        lost = into.read("chunks", before, near=stale)
-        lost = None if lost is None else into.staged(lost.join(stale, "message_id", "left_semi").select("chunk_id"))
-        live = remade.join(gone, "provider_key", "left_anti")
-        pieces = into.staged(archive.chunks(live))
-        tables |= {
-            "messages": Change(("message_id",), kept_rows, leaving),
-            "keys": Change(("provider_key",), kept_rows.select("provider_key", "message_id"), moved),
-            "chunks": Change(("message_id",), pieces, stale),
-            "attachments": Change(("message_id",), attachments(kept_rows), leaving.union(included.select("message_id"))),
-            "states": Change(("provider_key",), batch.where("source_hash IS NOT NULL").select("provider_key", "source_hash", F.lit(policy_key(policy)).alias("policy"))),
-        }
-        new = search.entries(pieces, live)
-        current = search.current(into, before)
-        if current:
-            tables |= search.changes(into, before, new, lost)
-        row = archive.changes(diffed).first().asDict() | {"excluded": excluded.count(), "deleted": deleted.count() if deleted is not None else 0}
-        row["truncated"] = included.where("truncated").count()
-        row["touched_threads"] = diffed.where("change != 'unchanged'").agg(F.countDistinct("thread_id")).first()[0]
-        reasons = {r.reason: r.n for r in archive.excluded_by_reason(excluded, policy).collect()}  # a row a category
-        version = into.publish(tables, before + 1)
-        if not current:
-            version = reindex(into)
+        return _sync(into, mail, policy, scan, {})
+
+
+def _sync(into: Snapshots, mail: DataFrame, policy: Sequence[str], scan: Scan | None, also: Mapping[str, DataFrame]) -> DataFrame:
+    """sync() of a writer that has the lease; `also` are further tables of the version, written whole."""
+    spark = into.spark
+    batch = into.staged(normalize(mail))
+    before = into.version()
+    held_keys = into.read("keys", before, near=batch.select("provider_key"))
+    check_identities(batch, held_keys)
+    out = archive.excluded(F.col("categories"), policy)
+    included, excluded = batch.where(~out), batch.where(out)
+    held = into.read("messages", before, near=included.select("message_id"))
+    held = included.limit(0) if held is None else held.join(included.select("message_id"), "message_id", "left_semi")
+    shown = F.struct("thread_id", "date")
+    places = held.select("provider_key", shown.alias("_shown"))
+    diffed = archive.diff(held, included).join(places, "provider_key", "left")
+    diffed = into.staged(diffed.withColumn("remade", (F.col("change") != "unchanged") | ~F.col("_shown").eqNullSafe(shown)).drop("_shown"))
+    remade = diffed.where("remade").drop("change", "remade")
+    gone = excluded.select("provider_key")
+    tables: dict[str, DataFrame | Change] = dict(also)
+    deleted = None
+    if scan is not None:
+        kept = [into.read(t, before) for t in _HELD]
+        state, released = reconcile(Held(*(k if k is not None else spark.createDataFrame([], s) for k, s in zip(kept, _HELD.values(), strict=True))), scan, policy_key(policy))
+        tables |= {"links": state.links, "files": state.files, "roots": state.roots}
+        released = into.staged(released)
+        known = into.read("keys", before, near=released)
+        everything = included.select("provider_key") if known is None else known.select("provider_key").union(included.select("provider_key")).distinct()
+        deleted = released.join(everything, "provider_key", "left_semi")
+        gone = gone.union(released)
+    gone = into.staged(gone.distinct())
+    owners = into.read("keys", before, near=gone)
+    leaving = spark.createDataFrame([], "message_id string") if owners is None else owners.join(gone, "provider_key", "left_semi").select("message_id").join(included.join(gone, "provider_key", "left_anti").select("message_id"), "message_id", "left_anti")
+    leaving = into.staged(leaving.distinct())
+    kept_rows = included.join(gone, "provider_key", "left_anti")
+    moved = into.staged(held.join(included.select("message_id", F.col("provider_key").alias("_now")), "message_id").where("_now != provider_key").select("provider_key").union(gone))
+    stale = into.staged(remade.select("message_id").union(leaving).distinct())
+    lost = into.read("chunks", before, near=stale)
+    lost = None if lost is None else into.staged(lost.join(stale, "message_id", "left_semi").select("chunk_id"))
+    live = remade.join(gone, "provider_key", "left_anti")
+    pieces = into.staged(archive.chunks(live))
+    tables |= {
+        "messages": Change(("message_id",), kept_rows, leaving),
+        "keys": Change(("provider_key",), kept_rows.select("provider_key", "message_id"), moved),
+        "chunks": Change(("message_id",), pieces, stale),
+        "attachments": Change(("message_id",), attachments(kept_rows), leaving.union(included.select("message_id"))),
+        "states": Change(("provider_key",), batch.where("source_hash IS NOT NULL").select("provider_key", "source_hash", F.lit(policy_key(policy)).alias("policy"))),
+    }
+    new = search.entries(pieces, live)
+    current = search.current(into, before)
+    if current:
+        tables |= search.changes(into, before, new, lost)
+    row = archive.changes(diffed).first().asDict() | {"excluded": excluded.count(), "deleted": deleted.count() if deleted is not None else 0}
+    row["truncated"] = included.where("truncated").count()
+    row["touched_threads"] = diffed.where("change != 'unchanged'").agg(F.countDistinct("thread_id")).first()[0]
+    reasons = {r.reason: r.n for r in archive.excluded_by_reason(excluded, policy).collect()}  # a row a category
+    version = into.publish(tables, before + 1)
+    if not current:
+        version = reindex(into)
     row["chunks"] = into.read("chunks", version).count()
     names = ["added", "updated", "unchanged", "deleted", "excluded", "touched_threads", "truncated", "chunks"]
     return spark.createDataFrame([(*(int(row[n]) for n in names), reasons)], ", ".join(f"{n} long" for n in names) + ", excluded_by_reason map<string,long>")
@@ -294,19 +308,23 @@ def roll_up(reports: DataFrame) -> DataFrame:
     return reports.agg(*sums, F.max("chunks").alias("chunks")).crossJoin(mapped)  # one row each
 
 
+def _mailbox(given: str | None) -> Column:
+    """The mailbox of a mail file by its path."""
+    parts = F.split("path", "/")
+    name = F.element_at(parts, -1)
+    of_bundle = F.regexp_replace(F.when(F.lower(name) == "mbox", F.element_at(parts, -2)).otherwise(name), r"(?i)\.(mbox|mbx)$", "")
+    derived = F.when(name.rlike(r"(?i)\.eml$"), F.element_at(parts, -2)).otherwise(of_bundle)
+    return F.lit(given) if given is not None else F.coalesce(F.when(derived != "", derived), F.lit("files"))
+
+
 def from_files(entries: DataFrame, account: str, mailbox: str | None = None) -> DataFrame:
     """Messages of mail files (read_mail() rows without an error) as sources give them; other columns are null.
 
     The mailbox is the given one, else an .eml file's folder, or the name of an .mbox
     file or bundle. Of messages with one mailbox and key the first file's first entry wins.
     """
-    parts = F.split("path", "/")
-    name = F.element_at(parts, -1)
-    of_bundle = F.regexp_replace(F.when(F.lower(name) == "mbox", F.element_at(parts, -2)).otherwise(name), r"(?i)\.(mbox|mbx)$", "")
-    derived = F.when(name.rlike(r"(?i)\.eml$"), F.element_at(parts, -2)).otherwise(of_bundle)
-    box = F.lit(mailbox) if mailbox is not None else F.coalesce(F.when(derived != "", derived), F.lit("files"))
     number = F.coalesce(F.try_element_at(F.split("label", "#"), F.lit(2)).cast("long"), F.lit(0))
-    rows = entries.where("error IS NULL").withColumns({"mailbox": box, "number": number})
+    rows = entries.where("error IS NULL").withColumns({"mailbox": _mailbox(mailbox), "number": number})
     first = archive.first_wins(rows, ["mailbox", "provider_key"], ["path", "number"]).where("first")
     files = F.transform("attachments", lambda a: F.struct(a["name"].alias("name"), a["mime_type"].alias("mimeType"), a["size"].alias("size"), a["text"].alias("text"), a["content_hash"].alias("contentHash")))
     nothing = F.lit(None).cast("string")
@@ -314,3 +332,62 @@ def from_files(entries: DataFrame, account: str, mailbox: str | None = None) ->
         F.lit(account).alias("accountId"), "mailbox", F.col("provider_key").alias("providerKey"), F.col("message_id").alias("messageId"), nothing.alias("threadId"), F.col("in_reply_to").alias("inReplyTo"), "subject", F.col("sender").alias("from"),
         F.col("recipients").alias("to"), "cc", "date", F.col("body").alias("text"), nothing.alias("html"), "labels", F.lit(None).cast("array<string>").alias("flags"), F.lit(None).cast("array<string>").alias("classifications"), nothing.alias("rawMime"), nothing.alias("sourceHash"), files.alias("attachments"), F.coalesce("truncated", F.lit(False)).alias("truncated"),
     )
+
+
+def sync_folder(into: Snapshots, roots: Sequence[str], account: str | None = None, *, mailbox: str | None = None, policy: Sequence[str] = POLICY, strict: bool = False) -> DataFrame:
+    """Lists folders or files, reads what has changed and syncs it; one row of sync()'s and the files' counters.
+
+    A file is as before if size, time, policy and account are; its stored failures count
+    again. The account is the given one, which then also releases its other roots, or the
+    name of the first root. A root under another `mailbox` is another root. With `strict`
+    any failure raises before anything is written; so do failures alone, if no file was left
+    as it was. The table `problems` holds all failures of the last look: root_key, rel_path,
+    kind (unlisted, unreadable, partial, or failed for those of complete files), error.
+    Counters of files: files, files_read, files_unchanged, files_partial, files_unreadable,
+    unlisted, failures, duplicates (messages of which another copy was taken).
+    """
+    spark = into.spark
+    uris = list(dict.fromkeys(resolve_root(spark, r) for r in roots))
+    if not uris:
+        raise ValueError("a sync of folders needs a root")
+    name = account if account is not None else unquote(urlsplit(uris[0]).path).rstrip("/").rsplit("/", 1)[-1]
+    by_key = {u if mailbox is None else f"{u}#{mailbox}": u for u in uris}
+    path = lambda u: spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(u))
+    is_file = lambda u: path(u).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path(u)).isFile()
+    bases = spark.createDataFrame([(k, u, unquote(urlsplit(u).path).rstrip("/"), is_file(u)) for k, u in by_key.items()], "root_key string, uri string, base string, is_file boolean")
+    with into.lease():
+        look = into.staged(walk(spark, by_key))
+        unlisted = look.where("kind = 'unlisted'").select(*FILE)
+        known = into.read("files")
+        known = spark.createDataFrame([], _HELD["files"]) if known is None else known
+        before = known.select(*FILE, *(F.col(c).alias(f"_{c}") for c in ("account_id", "size", "mtime_ms", "policy", "failures", "failed_entries")))
+        same = (F.col("size") == F.col("_size")) & (F.col("mtime_ms") == F.col("_mtime_ms")) & (F.col("_policy") == policy_key(policy)) & (F.col("_account_id") == name)
+        at = F.when(F.col("is_file"), F.col("base")).otherwise(F.concat_ws("/", "base", "rel_path"))
+        files = look.where("kind = 'file'").join(F.broadcast(bases), "root_key").join(before, FILE, "left")  # a row a root
+        files = into.staged(files.select(*FILE, "uri", F.when(F.col("is_file"), "").otherwise(F.col("rel_path")).alias("rel"), at.alias("path"), "size", "mtime_ms", (~F.coalesce(same, F.lit(False))).alias("changed"), "_failures", "_failed_entries"))
+        new = files.where("changed")
+        found = into.staged(read_files(new.select("path", "uri", "rel", "size").dropDuplicates(["path"])))
+        nothing = F.array().cast("array<string>")
+        status = file_status(found, new.select("path", F.col("_failed_entries").alias("failed_entries")).dropDuplicates(["path"]))
+        looked = files.join(status, "path", "left")
+        held_on = lambda c: F.coalesce(F.when(F.col("changed"), F.col(c)).otherwise(F.col(f"_{c}")), nothing).alias(c)
+        looked = into.staged(looked.select(*FILE, "size", "mtime_ms", "changed", F.coalesce("status", F.lit("complete")).alias("status"), held_on("failures"), held_on("failed_entries")))
+        kind = F.when(F.col("status") == "complete", "failed").otherwise(F.col("status"))
+        problems = looked.select(*FILE, kind.alias("kind"), F.explode("failures").alias("error")).unionByName(unlisted.select(*FILE, F.lit("unlisted").alias("kind"), F.lit("cannot be listed").alias("error")))
+        problems = into.staged(problems)
+        first = problems.first() if strict else None
+        if first:
+            raise ValueError(f"{first.kind}: {first.rel_path}: {first.error}")
+        read = lambda c: F.count_if(F.col("changed") & c)
+        n = looked.agg(F.count("*").alias("files"), F.count_if("changed").alias("files_read"), F.count_if(~F.col("changed")).alias("files_unchanged"), read(F.col("status") == "partial").alias("files_partial"), read(F.col("status") == "unreadable").alias("files_unreadable")).first().asDict()
+        n["unlisted"], n["failures"] = unlisted.count(), problems.count()
+        each = found.where("error IS NULL")
+        good = each.count()
+        if n["failures"] and not good and not n["files_unchanged"]:
+            raise ValueError(f"no message could be read; {n['failures']} failures")
+        mail = into.staged(from_files(found, name, mailbox))
+        n["duplicates"] = good - mail.count()
+        keys = each.select("path", T.make_id(F.lit(name), _mailbox(mailbox), F.col("provider_key")).alias("provider_key")).join(new.select(*FILE, "path"), "path").select(*FILE, "provider_key")
+        scan = Scan(name, list(by_key), looked, unlisted, account is not None, keys)
+        report = _sync(into, mail, policy, scan, {"problems": problems})
+    return report.select("*", *(F.lit(int(v)).cast("long").alias(c) for c, v in n.items()))

@@ -13,7 +13,7 @@ from postlark.operators import archive, maintain, search, semantic, sync
 from postlark.plans import corpus
 from postlark.plans.corpus import TOK, C, M
 from postlark.sources import envelopes
-from postlark.sources.mail_files import html_to_text, read_mail
+from postlark.sources.mail_files import html_to_text, read_mail, write_mailboxes
 from postlark.streaming.ingest import Snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -619,3 +619,26 @@ def mbox_split(spark, d):
     content = F.encode(F.concat(F.lit(_HEAD[0]), name, F.lit(_HEAD[1]), text, F.lit(_REST)), "UTF-8")
     boxes = corpus.read(spark, d, "conversations").select(F.concat(F.lit("x/"), name, F.lit(".mbox")).alias("path"), content.alias("content"))
     return read_mail(boxes).select("path", "label", "provider_key", "subject", "sender", "date", "body", F.array_join("labels", ",").alias("labels"))
+
+
+@query("""WITH k AS (SELECT doc_id // 16 AS k, count(*) AS n FROM documents WHERE doc_id IS NOT NULL GROUP BY ALL)
+SELECT 0 AS added, coalesce(sum(n) FILTER (k % 7 = 0 AND k % 5 <> 0), 0)::BIGINT AS updated, coalesce(sum(n) FILTER (k % 5 = 0), 0)::BIGINT AS deleted, coalesce(sum(n) FILTER (k % 7 = 0 AND k % 5 <> 0), 0)::BIGINT AS touched_threads,
+count(*) FILTER (k % 5 <> 0) AS files, count(*) FILTER (k % 7 = 0 AND k % 5 <> 0) AS files_read, count(*) FILTER (k % 7 <> 0 AND k % 5 <> 0) AS files_unchanged, 0 AS failures FROM k""")
+def folder_looks(spark, d):
+    """Documents as mailboxes in a folder, looked at twice: between the looks one file of five goes and one of seven has other subjects."""
+    docs = corpus.read(spark, d, "documents").where("doc_id IS NOT NULL").select("doc_id", "text")
+    folder = corpus.folder(spark, "mailboxes")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    uri = fs.resolvePath(path).toUri().toString()
+    k = F.expr("doc_id div 16")
+    head = lambda subject: F.concat(F.lit("Message-ID: <"), F.col("doc_id"), F.lit(f"@example.com>\nSubject: {subject} "), F.col("doc_id"), F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"))
+    raw = lambda subject: F.encode(F.concat(head(subject), F.coalesce("text", F.lit(""))), "UTF-8")
+    rows = lambda of, raw: of.select(F.concat(F.lit("box"), k, F.lit(".mbox")).alias("name"), F.col("doc_id").alias("n"), raw.alias("raw"))
+    into = Snapshots(spark, corpus.folder(spark, "looks"), buckets=8)
+    write_mailboxes(rows(docs, raw("first")), uri)
+    sync.sync_folder(into, [uri], "me", policy=())
+    write_mailboxes(rows(docs.where((k % 7 == 0) | (k % 5 == 0)), F.when(k % 5 != 0, raw("second"))), uri)
+    report = sync.sync_folder(into, [uri], "me", policy=())
+    return report.select("added", "updated", "deleted", "touched_threads", "files", "files_read", "files_unchanged", "failures")

@@ -2,7 +2,7 @@
 
 Files come through Spark's sources, so any file system works. binaryFile prunes
 `content` where only sizes and times are asked for; read_mboxes() reads mailboxes of
-any size by blocks.
+any size by blocks. read_files() reads just the files of a table, in its tasks.
 """
 
 from __future__ import annotations
@@ -10,13 +10,18 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import time
 from collections.abc import Iterator
 from datetime import UTC, datetime
 from email import message_from_bytes, policy
 from email.utils import parsedate_to_datetime
 from html.parser import HTMLParser
+from typing import BinaryIO
+from urllib.parse import unquote, urlsplit
 
 import pandas as pd
+from pyarrow import ArrowException
+from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -25,6 +30,8 @@ MAX_BYTES = 50 << 20
 MAX_TEXT = 1_000_000
 EPOCH = "1970-01-01T00:00:00.000Z"
 NOT_MBOX = "not an mbox file: content before the first separator"
+NOT_READ = "file cannot be read"
+ATTEMPTS = 3  # to read a file or a block of it
 _SEPARATOR = re.compile(rb"(?:\A(?:\r?\n)?|(?<=\n\n)|(?<=\n\r\n))From ([^\n]*)(?:\n|\Z)")
 _ESCAPED = re.compile(rb"^>(?=>*From )", re.M)
 
@@ -140,8 +147,14 @@ def mime_parts(raw: bytes) -> tuple[str, list[dict]]:
 
 
 def parse(path: str, label: str, raw: bytes, envelope: str = "") -> tuple:
-    """One row of SCHEMA for a raw message."""
-    blank = (None,) * 11
+    """One row of SCHEMA for a raw message.
+
+    A failed message of a mailbox has a provider key too, of its separator or its content,
+    by which it is known again.
+    """
+    single = label.lower().endswith(".eml")
+    key = None if single else f"oversize:{envelope}" if len(raw) > MAX_BYTES else f"sha256:{hashlib.sha256(raw).hexdigest()}"
+    blank = (key, *(None,) * 10)
     if len(raw) > MAX_BYTES:
         return (path, label, *blank, f"message exceeds {MAX_BYTES} bytes", None)
     try:
@@ -221,11 +234,13 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     n counts the messages that start in a block from 1. 0 is what stands in it before the
     first sure start: the rest of a message of an earlier block, or a message if the record
-    before it ended with a blank line. -1 marks text before a file's first separator.
+    before it ended with a blank line. -1 marks text before a file's first separator, -2 a
+    block that could not be read (its record is null).
     `blank` tells of a block's last piece whether a message may follow it.
     """
     at: tuple[str, int] | None = None
     n, parts, ended, junk = 0, [], True, False
+    names = ["path", "block", "n", "last", "blank", "raw"]
 
     def piece(last: bool) -> tuple:
         raw = b"\nFrom ".join(parts)
@@ -234,6 +249,12 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
         for path, block, record in zip(b["path"], b["block"], b["record"], strict=True):
+            if record is None:
+                if at and parts:
+                    out.append(piece(True))
+                at, parts = None, []
+                out.append((path, int(block), -2, True, True, b""))
+                continue
             record = bytes(record)
             if at != (path, block):
                 if at and parts:
@@ -257,9 +278,9 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             else:
                 parts.append(record)
             ended = record.endswith((b"\n", b"\n\r"))
-        yield pd.DataFrame(out, columns=["path", "block", "n", "last", "blank", "raw"])
+        yield pd.DataFrame(out, columns=names)
     if at and parts:
-        yield pd.DataFrame([piece(True)], columns=["path", "block", "n", "last", "blank", "raw"])
+        yield pd.DataFrame([piece(True)], columns=names)
 
 
 def read_mboxes(spark: SparkSession, path: str) -> DataFrame:
@@ -273,14 +294,19 @@ def read_mboxes(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.option("lineSep", "\nFrom ").option("recursiveFileLookup", True).option("pathGlobFilter", f"{{{_MAILBOXES}}}").text(path)
     name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))  # as binaryFile gives it
     records = lines.select(name.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("record"))
-    pieces = records.where(bundled(F.col("path"))).mapInPandas(_pieces, _PIECE)
+    return _mailboxes(records.where(bundled(F.col("path"))))
+
+
+def _mailboxes(records: DataFrame) -> DataFrame:
+    """Rows of SCHEMA from path, block and record, in order within a block and one block after another."""
+    pieces = records.mapInPandas(_pieces, _PIECE)
     blocks = pieces.groupBy("path", "block").agg(F.max("n").alias("top"), F.min("n").alias("low"), F.max_by("blank", F.struct("last", "n")).alias("blank"))
     order = Window.partitionBy("path").orderBy("block")
     starts = (F.col("low") == 0) & F.coalesce(F.lag("blank").over(order), F.lit(True))  # what stands first in a block is a message
     blocks = blocks.withColumn("shift", starts.cast("int"))
     before = F.sum(F.greatest("top", F.lit(0)) + F.col("shift")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     follows = F.coalesce(F.lead("shift").over(order), F.lit(0)) == 1
-    blocks = blocks.select("path", "block", "shift", follows.alias("follows"), F.coalesce(before, F.lit(0)).alias("before"), (F.min("low").over(Window.partitionBy("path")) < 0).alias("bad"))
+    blocks = blocks.select("path", "block", "shift", follows.alias("follows"), F.coalesce(before, F.lit(0)).alias("before"), "low", (F.min("low").over(Window.partitionBy("path")) < 0).alias("bad"))
     placed = pieces.join(blocks, ["path", "block"]).where(~F.col("bad")).withColumn("number", F.col("before") + F.when(F.col("n") == 0, F.col("shift")).otherwise(F.col("n") + F.col("shift")))
     placed = placed.withColumn("raw", F.when(F.col("last") & F.col("follows"), F.concat("raw", F.lit(b"\n"))).otherwise(F.col("raw")))
     edge = F.col("last") | (F.col("n") == 0)
@@ -292,8 +318,8 @@ def read_mboxes(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             yield _frame([_numbered(p, i, bytes(raw)) for p, i, raw in zip(b["path"], b["number"], b["raw"], strict=True)])
 
-    bad = blocks.where("bad").select("path").distinct()
-    failed = bad.select("path", F.element_at(F.split("path", "/"), -1).alias("label"), F.lit(NOT_MBOX).alias("error"))
+    bad = blocks.where("bad").groupBy("path").agg(F.min("low").alias("low"))
+    failed = bad.select("path", F.element_at(F.split("path", "/"), -1).alias("label"), F.when(F.col("low") == -2, NOT_READ).otherwise(NOT_MBOX).alias("error"))
     return whole.mapInPandas(parsed, SCHEMA).unionByName(failed, allowMissingColumns=True)
 
 
@@ -308,6 +334,86 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
     return read_mail(scan(spark, path, _MESSAGES)).unionByName(read_mboxes(spark, path))
 
 
+def _open(uri: str, rel: str) -> BinaryIO:
+    """A file below a root; `rel` is empty if the root is the file."""
+    where = urlsplit(uri)
+    base = unquote(where.path)
+    full = f"{base.rstrip('/')}/{rel}" if rel else base
+    if where.scheme in ("", "file"):
+        return open(full, "rb")
+    system, path = arrow_fs.FileSystem.from_uri(where._replace(path=full).geturl())
+    return system.open_input_file(path)
+
+
+def _tried(read, *args):
+    """What read(*args) gives, or None if every attempt to read fails."""
+    for i in range(ATTEMPTS):
+        try:
+            return read(*args)
+        except (OSError, ArrowException):
+            time.sleep(0.05 * 2**i)
+    return None
+
+
+def _whole(uri: str, rel: str) -> bytes:
+    with _open(uri, rel) as f:
+        return f.read()
+
+
+_SPLIT = b"\nFrom "
+
+
+def _block(uri: str, rel: str, start: int, end: int) -> list[bytes]:
+    """Records that start from `start` up to `end`; the last one goes on to the next separator."""
+    lead = min(start, len(_SPLIT))
+    with _open(uri, rel) as f:
+        f.seek(start - lead)
+        data = bytearray(f.read(end - start + lead))
+        edge = len(data) - len(_SPLIT)  # a separator from here on starts a record of a later block
+        first = 0
+        if start:
+            at = data.find(_SPLIT)
+            if at < 0 or at >= edge:
+                return []
+            first = at + len(_SPLIT)
+        look = max(first, edge)
+        while (cut := data.find(_SPLIT, look)) < 0 and (more := f.read(1 << 20)):
+            look = max(first, len(data) - len(_SPLIT) + 1)
+            data += more
+    return bytes(data[first : cut if cut >= 0 else None]).split(_SPLIT)
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for path, uri, rel, start, end in b[["path", "uri", "rel", "block", "end"]].itertuples(index=False):
+            held = _tried(_block, uri, rel, int(start), int(end))
+            yield pd.DataFrame({"path": path, "block": start, "record": [None] if held is None else held})
+
+
+def _single(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for path, uri, rel, size in b[["path", "uri", "rel", "size"]].itertuples(index=False):
+            name = path.rsplit("/", 1)[-1]
+            raw = b"" if size > MAX_BYTES else _tried(_whole, uri, rel)
+            failed = f"message exceeds {MAX_BYTES} bytes" if size > MAX_BYTES else NOT_READ if raw is None else None
+            yield _frame([(path, name, *(None,) * 11, failed, None) if failed else parse(path, name, raw)])
+
+
+def read_files(files: DataFrame, block: int = 32 << 20) -> DataFrame:
+    """Rows of SCHEMA for mail files of a table: path (distinct), uri of a root, rel (the way below it; empty if it is the file), size.
+
+    Only these files are opened, mailboxes by blocks of `block` bytes, dealt out to tasks.
+    What cannot be read in ATTEMPTS is a row with the error NOT_READ.
+    """
+    total = files.agg(F.sum(F.col("size") + (1 << 20))).first()[0] or 0  # opening counts as 1 MB
+    tasks = int(min(200_000, max(files.sparkSession.sparkContext.defaultParallelism, total // block)))
+    eml = F.col("path").rlike(r"(?i)\.eml$")
+    single = files.where(eml).repartition(tasks, "path").mapInPandas(_single, SCHEMA)
+    cut = files.where(~eml).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)).cast("long"), F.lit(block).cast("long"))).alias("block"))
+    dealt = cut.withColumn("end", F.least(F.col("block") + block, "size")).repartition(tasks, "path", "block")
+    return single.unionByName(_mailboxes(dealt.mapInPandas(_blocks, "path string, block long, record binary")))
+
+
 def changed(scanned: DataFrame, known: DataFrame) -> DataFrame:
     """Files whose size or time differs from what is known (path, length, modificationTime)."""
     return scanned.join(known.select("path", "length", "modificationTime"), ["path", "length", "modificationTime"], "left_anti")
@@ -316,3 +422,37 @@ def changed(scanned: DataFrame, known: DataFrame) -> DataFrame:
 @F.pandas_udf(StringType())
 def html_to_text(html: pd.Series) -> pd.Series:
     return html.map(html_text)
+
+
+def write_mailboxes(rows: DataFrame, uri: str) -> None:
+    """Writes mailboxes below a folder that is there: name, n (the order in it), raw (a message, or null for none).
+
+    A mailbox is written by one task as its messages come, so none is held whole; one
+    whose messages are all null is deleted. Separators within messages are escaped.
+    """
+    where = urlsplit(uri)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, path = (arrow_fs.LocalFileSystem(), unquote(where.path)) if where.scheme in ("", "file") else arrow_fs.FileSystem.from_uri(uri)
+        name, out = None, None
+        for b in batches:
+            for here, raw in zip(b["name"], b["raw"], strict=True):
+                if here != name:
+                    if out:
+                        out.close()
+                    name, out = here, None
+                    full = f"{path.rstrip('/')}/{name}"
+                    if system.get_file_info(full).type != arrow_fs.FileType.NotFound:
+                        system.delete_file(full)
+                if raw is not None:
+                    out = out or system.open_output_stream(full)
+                    out.write(b"From - Thu Jan  1 00:00:00 2024\n" + _TO_ESCAPE.sub(rb">\1", bytes(raw)) + b"\n\n")
+        if out:
+            out.close()
+        yield pd.DataFrame({"done": [1]})
+
+    dealt = rows.select("name", "n", "raw").repartition("name").sortWithinPartitions("name", "n")
+    dealt.mapInPandas(write, "done int").write.format("noop").mode("overwrite").save()
+
+
+_TO_ESCAPE = re.compile(rb"^(>*From )", re.M)
