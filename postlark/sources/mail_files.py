@@ -406,7 +406,7 @@ def read_files(files: DataFrame, block: int = 32 << 20) -> DataFrame:
     What cannot be read in ATTEMPTS is a row with the error NOT_READ.
     """
     total = files.agg(F.sum(F.col("size") + (1 << 20))).first()[0] or 0  # opening counts as 1 MB
-    tasks = int(min(200_000, max(files.sparkSession.sparkContext.defaultParallelism, total // block)))
+    tasks = int(min(200_000, max(files.sparkSession.sparkContext.defaultParallelism, total // max(block, 32 << 20))))
     eml = F.col("path").rlike(r"(?i)\.eml$")
     single = files.where(eml).repartition(tasks, "path").mapInPandas(_single, SCHEMA)
     cut = files.where(~eml).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)).cast("long"), F.lit(block).cast("long"))).alias("block"))
