@@ -31,7 +31,7 @@ SHINGLE = 3  # words; windows of fewer are one shingle
 BUCKETS = 1 << 20  # of counts in the join
 _CHUNK = 1024
 _MOST_BITS = 1 << 27  # of the table of prefix tokens; beyond, more places pass it
-_SALTS = 8  # parts of the documents that have one prefix token
+PLACE_ROWS = 1 << 17  # places of one prefix token that travel as one group
 
 
 def _words(w: Words, i: int) -> tuple[list[bytes], np.ndarray]:
@@ -143,8 +143,13 @@ def _bucket_counts(docs: DataFrame, sizes: list[int]) -> np.ndarray:
     return total_counts(docs.select("text").mapInArrow(count, "chunk int, counts binary"), BUCKETS, _CHUNK)
 
 
-def _tokens(wins: DataFrame, counts) -> DataFrame:
-    """Each window with its prefix token (key) and where in the window that is."""
+def _groups(counts: np.ndarray, s: np.ndarray, place_rows: int) -> np.ndarray:
+    """Into how many groups the places of shingles are dealt: by the counts of their buckets, which are not too small."""
+    return np.maximum(1, -(-counts[_bucket(s, BUCKETS)] // place_rows))
+
+
+def _tokens(wins: DataFrame, counts, place_rows: int) -> DataFrame:
+    """Each window with its prefix token (key), where in the window that is and the groups of the token's places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -152,11 +157,11 @@ def _tokens(wins: DataFrame, counts) -> DataFrame:
             ix.keep_rarest(counts.value[_bucket(ix.keys, BUCKETS)])
             of = pa.array(ix.of)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(ix.keys), pa.int64()), pa.array(ix.place, pa.int32()), pa.array(ix.size[ix.of], pa.int32()), b.column("win").take(of).cast(pa.string()), b.column("items").take(of)],
-                names=["key", "place", "size", "win", "items"],
+                [pa.array(signed(ix.keys), pa.int64()), pa.array(ix.place, pa.int32()), pa.array(ix.size[ix.of], pa.int32()), b.column("win").take(of).cast(pa.string()), b.column("items").take(of), pa.array(_groups(counts.value, ix.keys, place_rows), pa.int64())],
+                names=["key", "place", "size", "win", "items", "groups"],
             )
 
-    return wins.select("win", "items").mapInArrow(run, "key long, place int, size int, win string, items array<string>")
+    return wins.select("win", "items").mapInArrow(run, "key long, place int, size int, win string, items array<string>, groups long")
 
 
 def _bits(tokens: DataFrame, n: int) -> np.ndarray:
@@ -169,8 +174,11 @@ def _bits(tokens: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def _places(docs: DataFrame, bits, n: int, sizes: list[int], window: int) -> DataFrame:
-    """Places of documents whose shingle may be a prefix token, with all words that a window there could have."""
+def _places(docs: DataFrame, bits, n: int, sizes: list[int], window: int, counts, place_rows: int) -> DataFrame:
+    """Places of documents whose shingle may be a prefix token, with all words that a window there could have, and one of its groups.
+
+    The group is drawn from the document and the place, so one long text fills several.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -188,30 +196,31 @@ def _places(docs: DataFrame, bits, n: int, sizes: list[int], window: int) -> Dat
                         here, doc = at[i : i + 8192], of[i : i + 8192]
                         lo, hi = np.maximum(w.first[doc], here - (window - k)), np.minimum(w.first[doc + 1], here + window)
                         around = [b" ".join(LOWER[w.data[x:y]].tobytes() for x, y in zip(w.starts[p:q], w.ends[p:q], strict=True)) for p, q in zip(lo.tolist(), hi.tolist(), strict=True)]
+                        key, place = s[here], here - w.first[doc]
+                        drawn = (part.column("r1").to_numpy().view(U64)[doc] + place.astype(U64)) % _groups(counts.value, key, place_rows).astype(U64)
                         yield pa.RecordBatch.from_arrays(
-                            [*(part.column(c).take(pa.array(doc)) for c in ("r1", "r2")), pa.array(signed(s[here]), pa.int64()), pa.array(here - w.first[doc], pa.int32()), pa.array(here - lo, pa.int32()), pa.array(around, pa.binary()).cast(pa.string())],
-                            names=["r1", "r2", "key", "at", "before", "around"],
+                            [*(part.column(c).take(pa.array(doc)) for c in ("r1", "r2")), pa.array(signed(key), pa.int64()), pa.array(place, pa.int32()), pa.array(here - lo, pa.int32()), pa.array(around, pa.binary()).cast(pa.string()), pa.array(drawn.astype(np.int64))],
+                            names=["r1", "r2", "key", "at", "before", "around", "group"],
                         )
 
-    return docs.select("r1", "r2", "text").mapInArrow(run, "r1 long, r2 long, key long, at int, before int, around string")
+    return docs.select("r1", "r2", "text").mapInArrow(run, "r1 long, r2 long, key long, at int, before int, around string, group long")
 
 
-def _joined(docs: DataFrame, wins: DataFrame, total: int, window: int) -> DataFrame:
+def _joined(docs: DataFrame, wins: DataFrame, total: int, window: int, place_rows: int) -> DataFrame:
     """The join for any number of windows: r1, r2 of documents, their spans and items, where there are any."""
     spark = docs.sparkSession
     count = F.least(F.lit(SHINGLE), F.size(F.split(F.col("win").cast("string"), " ")))
     sizes = sorted(r[0] for r in wins.select(count).distinct().collect())  # 1 to SHINGLE
     counts = spark.sparkContext.broadcast(_bucket_counts(docs, sizes))
-    tokens = stored(_tokens(wins, counts), "tokens")
+    tokens = stored(_tokens(wins, counts, place_rows), "tokens")
     n = min(_MOST_BITS, max(1 << 16, 1 << (16 * total).bit_length()))
     bits = spark.sparkContext.broadcast(_bits(tokens, n))
-    places = _places(docs, bits, n, sizes, window).dropDuplicates(["r1", "r2", "key", "at"])
-    salted = tokens.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    places = _places(docs, bits, n, sizes, window, counts, place_rows).dropDuplicates(["r1", "r2", "key", "at"])
+    dealt = tokens.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
     start = F.col("before") - F.col("place")
     words = F.split("around", " ")
     hits = (
-        places.withColumn("salt", F.pmod("r1", F.lit(_SALTS)).cast("int"))
-        .join(salted, ["key", "salt"])
+        places.join(dealt, ["key", "group"])
         .where((start >= 0) & (start + F.col("size") <= F.size(words)))
         .where(F.array_join(F.slice(words, F.greatest(start, F.lit(0)) + 1, F.col("size")), " ") == F.col("win"))
         .select("r1", "r2", (F.col("at") - F.col("place")).alias("from"), (F.col("at") - F.col("place") + F.col("size")).alias("to"), "items")
@@ -262,7 +271,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block: int = 100_000, keep: tuple[str, ...] | None = None) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block: int = 100_000, place_rows: int = PLACE_ROWS, keep: tuple[str, ...] | None = None) -> DataFrame:
     """Finds where whole windows of benchmark items occur in documents.
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased.
@@ -273,7 +282,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     hits nothing. Long texts are read whole. Repeated items and windows count
     once for each item id. Where `keep` has one of the new names, the new one gets
     underscores in front. Up to `block` windows are broadcast, more are joined; both
-    give the same rows.
+    give the same rows. In the join the places of one prefix token are dealt to groups of
+    about `place_rows`, however many there are.
     """
     wins = stored(item_windows(items, item_col=item_col, text_col=item_text_col, window=window), "windows")
     total = wins.count()
@@ -285,7 +295,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     else:
         kind = F.when(F.col(id_col).isNull(), 1).otherwise(0) + F.when(text.isNull(), 2).otherwise(0)  # a null hashes as nothing
         keys = [F.xxhash64(F.lit(x), kind, F.col(id_col), text).alias(f"r{x}") for x in (1, 2)]  # 128 bits; equal for repeated rows alone
-        hits = _joined(docs.select(*keys, text.alias("text")), wins, total, window)
+        hits = _joined(docs.select(*keys, text.alias("text")), wins, total, window, place_rows)
         n_words = F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words")
         found = docs.select(*keys, *named, n_words).join(hits, ["r1", "r2"], "left").withColumns({c: F.coalesce(F.col(c), F.array().cast(hits.schema[c].dataType)) for c in ends[1:]})
     return found.select(*(f"k{i}" for i in range(len(kept))), *ends).toDF(*kept, *fresh(kept, *ends))
