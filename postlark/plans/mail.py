@@ -14,6 +14,7 @@ from postlark.plans import corpus
 from postlark.plans.corpus import TOK, C, M
 from postlark.sources import envelopes
 from postlark.sources.mail_files import html_to_text, read_mail, write_mailboxes
+from postlark.streaming import changes as stream_changes
 from postlark.streaming.ingest import Snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -642,3 +643,23 @@ def folder_looks(spark, d):
     write_mailboxes(rows(docs.where((k % 7 == 0) | (k % 5 == 0)), F.when(k % 5 != 0, raw("second"))), uri)
     report = sync.sync_folder(into, [uri], "me", policy=())
     return report.select("added", "updated", "deleted", "touched_threads", "files", "files_read", "files_unchanged", "failures")
+
+
+@query("""WITH w AS (SELECT user_id, max(lpad(epoch_us(ts)::VARCHAR, 20, '0') || ':' || event_id) AS l, arg_max(event_type, lpad(epoch_us(ts)::VARCHAR, 20, '0') || ':' || event_id) AS h, count(*) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_id IS NOT NULL GROUP BY ALL),
+c AS (SELECT *, CASE WHEN user_id % 3 <> 0 THEN 'added' WHEN h IS NOT DISTINCT FROM 'click' THEN 'unchanged' ELSE 'updated' END AS change, user_id % 50 AS t FROM w)
+SELECT count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'updated') AS updated, count(*) FILTER (change = 'unchanged') AS unchanged, coalesce(sum(n - 1), 0)::BIGINT AS repeated, count(DISTINCT t) FILTER (change <> 'unchanged') AS touched_threads FROM c""")
+def stream_counters(spark, d):
+    """Events streamed in at least three batches, a key a user, a third of whom were there with a click; the counters of all batches."""
+    events = corpus.read(spark, d, "events")
+    place, n = f"{d}/events.parquet", len(events.inputFiles())
+    if n < 3:
+        place, n = corpus.folder(spark, "events"), 12
+        events.repartition(n).write.parquet(place)
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", -(-n // 3)).parquet(place)
+    at = F.concat_ws(":", F.lpad(F.unix_micros(F.col("ts").cast("timestamp")).cast("string"), 20, "0"), F.when(F.col("ts").isNotNull(), F.col("event_id").cast("string")))
+    source = source.where("ts IS NOT NULL AND event_id IS NOT NULL").select("user_id", at.alias("at"), "event_type", (F.col("user_id") % 50).alias("thread"))
+    stored = events.where("user_id % 3 = 0").select("user_id", F.lit("click").alias("event_type")).distinct()
+    into = Snapshots(spark, corpus.folder(spark, "changes"))
+    query = stream_changes.follow(stream_changes.changes(source, key="user_id", order="at", hash_col="event_type", thread="thread", stored=stored), into, corpus.folder(spark, "stream"))
+    query.awaitTermination()
+    return stream_changes.counters(into.read(stream_changes.CHANGES))
