@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlark.llm import decontaminate, ngram_join, packing, quality, substring_dedup
-from postlark.llm.shared import stored, table, tokenizer
+from postlark.llm.shared import discard, stored, table, tokenizer
 from postlark.session import ship
 
 
@@ -61,10 +61,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to the documents of sf_dir."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies all stages to the documents of sf_dir; what a stage kept goes when the next one's is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stored(docs, f"stage{i}")
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
