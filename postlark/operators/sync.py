@@ -334,7 +334,7 @@ def from_files(entries: DataFrame, account: str, mailbox: str | None = None) ->
     )
 
 
-def sync_folder(into: Snapshots, roots: Sequence[str], account: str | None = None, *, mailbox: str | None = None, policy: Sequence[str] = POLICY, strict: bool = False) -> DataFrame:
+def sync_folder(into: Snapshots, roots: Sequence[str], account: str | None = None, *, mailbox: str | None = None, policy: Sequence[str] = POLICY, strict: bool = False, lease: float = 900.0) -> DataFrame:
     """Lists folders or files, reads what has changed and syncs it; one row of sync()'s and the files' counters.
 
     A file is as before if size, time, policy and account are; its stored failures count
@@ -344,7 +344,8 @@ def sync_folder(into: Snapshots, roots: Sequence[str], account: str | None = Non
     as it was. The table `problems` holds all failures of the last look: root_key, rel_path,
     kind (unlisted, unreadable, partial, or failed for those of complete files), error.
     Counters of files: files, files_read, files_unchanged, files_partial, files_unreadable,
-    unlisted, failures, duplicates (messages of which another copy was taken).
+    unlisted, failures, duplicates (messages of which another copy was taken). The lease is
+    prolonged at each step; `lease` seconds must exceed the longest, the reading of files.
     """
     spark = into.spark
     uris = list(dict.fromkeys(resolve_root(spark, r) for r in roots))
@@ -355,7 +356,7 @@ def sync_folder(into: Snapshots, roots: Sequence[str], account: str | None = Non
     path = lambda u: spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(u))
     is_file = lambda u: path(u).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path(u)).isFile()
     bases = spark.createDataFrame([(k, u, unquote(urlsplit(u).path).rstrip("/"), is_file(u)) for k, u in by_key.items()], "root_key string, uri string, base string, is_file boolean")
-    with into.lease():
+    with into.lease(lease):
         look = into.staged(walk(spark, by_key))
         unlisted = look.where("kind = 'unlisted'").select(*FILE)
         known = into.read("files")

@@ -179,10 +179,11 @@ class Snapshots:
         return {r[0] for df in rows if df is not None for r in df.select(self.bucket(keys, n)).distinct().collect()}
 
     def staged(self, df: DataFrame) -> DataFrame:
-        """Writes df below the root and reads it back, so that what is made of it several times is computed once; the next publish deletes it."""
+        """Writes df below the root and reads it back, so that what is made of it several times is computed once; the next publish deletes it. Prolongs the lease."""
         path = f"{self.root}/staging/{uuid.uuid4().hex}"
         df.write.parquet(path)
         self._staging.append(path)
+        self._prolong()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _whole(self, name: str, df: DataFrame) -> dict:
