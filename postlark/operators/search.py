@@ -5,9 +5,13 @@ from __future__ import annotations
 import hashlib
 import inspect
 import unicodedata
-from collections.abc import Callable, Iterator, Sequence
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import accumulate
+from math import ceil, inf, log
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -104,11 +108,12 @@ def phrases(spark: SparkSession, query: str, analyze: Analyzer = T.tokens) -> li
     return [ts for ts in held if ts]
 
 
-def bm25(index: DataFrame, stats: DataFrame, query: str | Sequence[Sequence[str]], key: str = "chunk_id") -> DataFrame:
+def bm25(index: DataFrame, stats: DataFrame, query: str | Sequence[Sequence[str]], key: str = "chunk_id", known: Sequence[int] | None = None) -> DataFrame:
     """key and score (higher is better) of rows with every phrase of the query.
 
     Only postings of the query's terms are read. Positions are compared for phrases of
-    several tokens alone. What is broadcast is one row a phrase, and the one row of stats.
+    several tokens alone. `known` is the number of rows with each phrase, for an index that
+    holds only some of them. What is broadcast is one row a phrase, and the one row of stats.
     """
     wanted = phrases(index.sparkSession, query) if isinstance(query, str) else query
     lists = []
@@ -128,6 +133,8 @@ def bm25(index: DataFrame, stats: DataFrame, query: str | Sequence[Sequence[str]
     for more in lists[1:]:
         tf = tf.unionByName(more)
     df = tf.groupBy("phrase").agg(F.count("*").alias("df"))
+    if known is not None:
+        df = index.sparkSession.createDataFrame(list(enumerate(known)), "phrase int, df long")
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("dl") / F.col("avgdl")))
@@ -162,16 +169,19 @@ def fuse(lists: Sequence[DataFrame], k: int, key: str = "chunk_id") -> DataFrame
 SHOWN = ("message_id", "thread_id", "account_id", "mailbox", "subject", "from_address", "to_addresses", "date")
 #: Fields of an entry, each a column of its own for phrases.
 FIELDS = ("subject", "from_address", "to_text", "thread_subject", "text")
-ENTRIES, POSTINGS, DELETED, STATS = INDEX = ("entries", "postings", "deleted", "stats")
+ENTRIES, POSTINGS, DELETED, STATS, BLOCKS = INDEX = ("entries", "postings", "deleted", "stats", "blocks")
 #: Tokens of a part of the terms, and of what one task sorts of it; segments of one size that are merged.
 _PART, _TASK, _MERGE = 1 << 16, 1 << 22, 8
+#: Classes of lengths and of hashes that make the blocks of a list; postings from which a list's blocks
+#: are worth choosing; postings for each wanted hit that are read first.
+_LENGTHS, _HASHES, _LONG, _FIRST = 32, 16, 1 << 17, 8
 
 
 def _version() -> str:
     """A digest of what makes tokens; an index by others is stale."""
     made = [inspect.getsource(f) for f in (T.fold, T.tokens, T.nfkc.func, T.tokens_arabic, T.tokens_cjk, T.tokens_pairs, T.languages)]
     held = [str(T.SCRIPTS), sorted(T.ANALYZERS), T._BASES, unicodedata.unidata_version]
-    return hashlib.sha256(repr((made, held)).encode()).hexdigest()[:16]
+    return hashlib.sha256(repr((made, held, _LENGTHS, _HASHES)).encode()).hexdigest()[:16]
 
 
 VERSION = _version()
@@ -206,23 +216,42 @@ def _sums(held: DataFrame) -> DataFrame:
     return held.select(F.explode("lens").alias("lang", "dl")).groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.col("dl").cast("long")).alias("tokens"))
 
 
+def _least_tf(score: float, idf: float, size: float) -> int:
+    """The smallest tf with a score, where a posting is at least so long."""
+    share = score / (idf * (K1 + 1))
+    return 1 if share <= 0 else max(1, ceil(size * share / (1 - share) - 1e-6))
+
+
 def _part(term: Column, parts: Column) -> Column:
     return F.pmod(F.xxhash64(term), parts).cast("int")
 
 
+def _block() -> Column:
+    """The block of a posting: entries of about one length, dealt by a hash; the same in the lists of all terms."""
+    of_length = F.least(F.floor(F.log2(F.col("dl") + F.lit(1)) * 2), F.lit(_LENGTHS - 1))
+    return (of_length * _HASHES + F.pmod(F.xxhash64("chunk_id"), F.lit(_HASHES))).cast("int")
+
+
+def _bounds(rows: DataFrame) -> DataFrame:
+    """lang, term, block, n, tf, dl: of long lists the number, the largest tf and the smallest dl of each block's postings."""
+    many = rows.groupBy("lang", "term").count().where(F.col("count") >= _LONG).select("lang", "term")
+    mine = rows.select("lang", "term", _block().alias("block"), "tf", "dl").join(many, ["lang", "term"], "left_semi")
+    return mine.groupBy("lang", "term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("tf"), F.min("dl").alias("dl"))
+
+
 def _laid(rows: DataFrame, tokens: int) -> Segment:
     """Postings as a segment.
 
     The terms are dealt into parts, more where there are more tokens; a part is dealt to
-    several tasks by chunk, so a long list is in many files. Files are sorted by term.
+    several tasks by chunk, so a long list is in many files. Files are sorted by term, block and tf.
     """
     spark = rows.sparkSession
     parts = 1 << max(0, min(12, (tokens // _PART).bit_length()))
     spread = max(1, -(-tokens // (parts * _TASK)))
     tasks = max(min(parts * spread, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), 1)
-    out = rows.withColumn("part", _part(F.col("term"), F.lit(parts)))
+    out = rows.withColumns({"block": _block(), "part": _part(F.col("term"), F.lit(parts))})
     dealt = out.repartition(max(tasks, min(parts, 8)), "lang", "part", F.pmod(F.xxhash64("chunk_id"), F.lit(spread)))
-    return Segment(dealt.sortWithinPartitions("lang", "part", "term", "chunk_id"), ("lang", "part"), note=parts)
+    return Segment(dealt.sortWithinPartitions("lang", "part", "term", "block", "tf", "chunk_id"), ("lang", "part"), note=parts)
 
 
 def changes(into: Snapshots, version: int, new: DataFrame | None, gone: DataFrame | None, fields: Sequence[str] = FIELDS) -> dict[str, DataFrame | Change | Segment]:
@@ -258,6 +287,7 @@ def changes(into: Snapshots, version: int, new: DataFrame | None, gone: DataFram
         tables[STATS] = spark.createDataFrame(rows or [("all", 0, 0, VERSION)], "lang string, n long, tokens long, version string").coalesce(1)
     if came is not None:
         tables[POSTINGS] = _laid(posts, sum(r.tokens for r in fresh))
+        tables[BLOCKS] = Segment(_bounds(posts), ("lang",))
     return tables
 
 
@@ -284,23 +314,27 @@ def merge_segments(into: Snapshots, fan: int = _MERGE) -> int:
         if len(some) < fan:
             continue
         segs = [p["path"].rsplit("=", 1)[1] for p in some]
+        numbers = [p["segment"] for p in some]
         index = Index.of(into, version)
-        live = index.postings.where(F.col("seg").isin(*segs)).drop("seg", "part")
+        live = index.postings.where(F.col("seg").isin(*segs)).drop("seg", "part", "block")
+        bounds = [p["path"].rsplit("=", 1)[1] for p in into.manifest(version).get(BLOCKS, {"parts": []})["parts"] if p["segment"] in numbers]
         tokens = index.stats.agg(F.sum("tokens")).first()[0] if len(some) == len(held) else note * _PART * len(some)
-        into.publish({POSTINGS: replace(_laid(live, tokens), merged=tuple(segs))} | ({DELETED: into.read(DELETED, version).limit(0)} if len(some) == len(held) and into.read(DELETED, version) is not None else {}), version + 1)
+        tables = {POSTINGS: replace(_laid(live, tokens), merged=tuple(segs)), BLOCKS: Segment(_bounds(live), ("lang",), tuple(bounds), number=max(numbers))}
+        into.publish(tables | ({DELETED: into.read(DELETED, version).limit(0)} if len(some) == len(held) and into.read(DELETED, version) is not None else {}), version + 1)
         return merge_segments(into, fan)
     return version
 
 
 @dataclass(frozen=True)
 class Index:
-    """An index in an archive's tables: entries in buckets of chunk_id, live postings by language and part of the terms, statistics of each list."""
+    """An index in an archive's tables: entries in buckets of chunk_id, live postings by language and part of the terms, statistics of each list, bounds of long lists' blocks."""
 
     into: Snapshots
     version: int
     entries: DataFrame
     postings: DataFrame
     stats: DataFrame
+    blocks: DataFrame | None = None
 
     @staticmethod
     def write(held: DataFrame, path: str, fields: Sequence[str] = FIELDS) -> None:
@@ -321,13 +355,13 @@ class Index:
             raise ValueError("there is no keyword index; repair the archive")
         posts = into.read(POSTINGS, v)
         if posts is None:
-            posts = into.spark.createDataFrame([], "chunk_id string, dl int, term string, tf long, positions array<long>, seg string, lang string, part int")
+            posts = into.spark.createDataFrame([], "chunk_id string, dl int, term string, tf long, positions array<long>, block int, seg string, lang string, part int")
         gone = into.read(DELETED, v)
         if gone is not None and into.manifest(v)[DELETED]["parts"]:
             gone = gone.select(F.col("chunk_id").alias("_gone"), "upto")
             posts = posts.join(gone, (F.col("chunk_id") == F.col("_gone")) & (F.substring_index("seg", "-", 1).cast("long") <= F.col("upto")), "left_anti")
         avg = F.try_divide(F.col("tokens"), F.col("n")).alias("avgdl")
-        return cls(into, v, into.read(ENTRIES, v), posts, stats.select("lang", "n", "tokens", avg, "version"))
+        return cls(into, v, into.read(ENTRIES, v), posts, stats.select("lang", "n", "tokens", avg, "version"), into.read(BLOCKS, v))
 
     def of_list(self, lang: str) -> DataFrame:
         return self.postings.where(F.col("lang") == lang)
@@ -343,13 +377,74 @@ class Index:
             out |= F.col("seg").isin(*segs) & F.col("part").isin(*sorted({h % note for h in hashes}))
         return self.of_list(lang).where(out & F.col("term").isin(*terms))
 
-    def top(self, lang: str, wanted: list[list[str]], k: int, filters: Filters | None = None) -> DataFrame:
-        """The k best of one list; statistics are of the whole list, filters apply before the limit."""
-        read = self.of_terms(lang, sorted({w for ws in wanted for w in ws}))
-        scored = bm25(read, self.stats.where(F.col("lang") == lang).select("n", "avgdl"), wanted)
+    def reading(self, lang: str, wanted: list[list[str]], k: int, filters: Filters | None = None) -> tuple[DataFrame, list[int] | None]:
+        """Postings among which the k best of a list are, and the number of rows with each word, where not all are among them.
+
+        A posting scores at most what the largest tf and the smallest dl of its block do. Blocks
+        of the highest sums of these are read first. Then, of each block, postings are read whose
+        tf is large enough to reach the k-th score found if all other words score their most.
+        Phrases need all postings, as their number is not known. What the driver gets is a row
+        for each block, of which a list has 512 a segment at most, and k scores.
+        """
+        terms = sorted({w for ws in wanted for w in ws})
+        read = self.of_terms(lang, terms)
+        if self.blocks is None or not wanted or any(len(ws) > 1 for ws in wanted):
+            return read, None
+        number = F.substring_index("seg", "-", 1).cast("long").alias("segment")
+        held = self.blocks.where((F.col("lang") == lang) & F.col("term").isin(*terms)).select(number, "term", "block", "n", "tf", "dl").collect()
+        if not held:
+            return read, None
+        long: dict[str, set[int]] = defaultdict(set)
+        for r in held:
+            long[r.term].add(r.segment)
+        known = reduce(or_, ((F.col("term") == t) & F.col("segment").isin(*segs) for t, segs in long.items()))
+        held += read.select("*", number).where(~known).groupBy("segment", "term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("tf"), F.min("dl").alias("dl")).collect()
+        have = dict.fromkeys(terms, 0)
+        if self.into.manifest(self.version).get(DELETED, {"parts": []})["parts"]:
+            have |= {r.term: r["count"] for r in read.groupBy("term").count().collect()}
+        else:
+            for r in held:
+                have[r.term] += r.n
+        n, avgdl = self.stats.where(F.col("lang") == lang).select("n", "avgdl").first()
+        words = [ws[0] for ws in wanted]
+        counts = [have[w] for w in words]
+        idf = {t: words.count(t) * max(log((n - m + 0.5) / (m + 0.5)), 0) or words.count(t) * IDF_FLOOR for t, m in have.items()}
+        blocks: dict[tuple[int, int], dict[str, tuple]] = defaultdict(dict)  # word to rows, highest score, and what tf is added to
+        for r in held:
+            size = K1 * ((1 - B) + B * r.dl / avgdl)
+            blocks[r.segment, r.block][r.term] = r.n, idf[r.term] * r.tf * (K1 + 1) / (r.tf + size), size
+        best = sorted(((sum(x[1] for x in of.values()), at) for at, of in blocks.items() if len(of) == len(terms)), reverse=True)
+        rows = accumulate(min(x[0] for x in blocks[at].values()) for _, at in best)
+        cut = next((i + 1 for i, m in enumerate(rows) if m >= _FIRST * k), len(best))
+        first = self._in(read, ((at, t, 1) for _, at in best[:cut] for t in terms))
+        if cut == len(best):
+            return first, counts
+        found = top(self._scored(first, lang, wanted, filters, counts), k).select("score").collect()
+        least = min(r.score for r in found) - 2e-9 if len(found) == k else -inf
+        return self._in(read, ((at, t, _least_tf(least - most + x[1], idf[t], x[2])) for most, at in best if most >= least for t, x in blocks[at].items())), counts
+
+    @staticmethod
+    def _in(read: DataFrame, wanted: Iterable[tuple[tuple[int, int], str, int]]) -> DataFrame:
+        """Postings of words in blocks, (segment, block), from a tf on; the files see a range of blocks."""
+        by: dict[tuple[int, str, int], list[int]] = defaultdict(list)
+        for (segment, block), term, tf in wanted:
+            by[segment, term, tf].append(block)
+        if not by:
+            return read.where(F.lit(False))
+        every = [b for bs in by.values() for b in bs]
+        of = reduce(or_, (F.col("seg").startswith(f"{s}-") & (F.col("term") == t) & (F.col("tf") >= tf) & F.col("block").isin(*sorted(bs)) for (s, t, tf), bs in sorted(by.items())))
+        return read.where(F.col("block").between(min(every), max(every)) & (F.col("tf") >= min(tf for _, _, tf in by)) & of)
+
+    def _scored(self, read: DataFrame, lang: str, wanted: list[list[str]], filters: Filters | None, known: list[int] | None) -> DataFrame:
+        scored = bm25(read, self.stats.where(F.col("lang") == lang).select("n", "avgdl"), wanted, known=known)
         if filters:
             scored = scored.join(self.entries.where(filters.predicate()).select("chunk_id"), "chunk_id", "left_semi")
-        return top(scored, k)
+        return scored
+
+    def top(self, lang: str, wanted: list[list[str]], k: int, filters: Filters | None = None) -> DataFrame:
+        """The k best of one list; statistics are of the whole list, filters apply before the limit."""
+        read, known = self.reading(lang, wanted, k, filters)
+        return top(self._scored(read, lang, wanted, filters, known), k)
 
     def keyword(self, query: str, k: int, filters: Filters | None = None) -> DataFrame:
         """Fused rank of the list for all scripts and of one for each language of the query."""

@@ -35,13 +35,14 @@ class Segment:
     """Rows that come to a table of immutable segments, in folders of the columns `by`, in place of the segments `merged`.
 
     A segment has the number of the version it came with, a merged one the highest of
-    those it replaces. `note` is kept with it.
+    those it replaces, or `number` where that is given. `note` is kept with it.
     """
 
     rows: DataFrame
     by: tuple[str, ...]
     merged: tuple[str, ...] = ()
     note: int = 0
+    number: int | None = None
 
 
 class Snapshots:
@@ -218,7 +219,7 @@ class Snapshots:
     def _grown(self, name: str, held: dict | None, s: Segment, v: int) -> dict:
         old = [] if held is None else held["parts"]
         gone = [p for p in old if p["path"].rsplit("=", 1)[1] in s.merged]
-        number = max((p["segment"] for p in gone), default=v)
+        number = s.number or max((p["segment"] for p in gone), default=v)
         seg = f"{number}-{uuid.uuid4().hex}"
         path = f"data/{name}/seg={seg}"
         s.rows.write.partitionBy(*s.by).parquet(f"{self.root}/{path}")
