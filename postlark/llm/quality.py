@@ -258,10 +258,20 @@ def resample(docs: DataFrame, ratios: Ratios, *, k: int | None = None, keep: dic
     if k is None:
         k = round(keys.agg(F.sum(F.least(F.lit(1.0), F.exp(F.col("log_weight") * ratios.sharpness)))).first()[0] or 0)
     cut = threshold(keys, k) if k > 0 else None
-    return scored.withColumn(chosen, _ordered(F.col(key)) <= F.lit(cut).cast("long") if cut is not None else F.lit(False))
+    out = scored.withColumn(chosen, _ordered(F.col(key)) <= F.lit(cut).cast("long") if cut is not None else F.lit(False))
+    out.stored_at = scored.stored_at
+    return out
 
 
-def select(docs: DataFrame, ratios: Ratios, **options) -> DataFrame:
-    """The rows of docs that resample() selects, with their columns, whatever these are called."""
-    kept = resample(docs, ratios, keep={c: F.col(f"`{c}`") for c in docs.columns}, **options)
-    return kept.where(F.col(kept.columns[-1])).select(*docs.columns)
+def select(docs: DataFrame, ratios: Ratios, *, k: int | None = None, **columns: str) -> DataFrame:
+    """The rows of docs that resample() selects, with their columns, whatever these are called.
+
+    Rows are scored twice: once to find the k-th key, when keys alone are stored, and
+    again as they are read, so that texts are neither stored nor shuffled.
+    """
+    keys = resample(docs, ratios, k=k, keep={}, **columns)
+    last = keys.where("selected").agg(F.max(_ordered(F.col("gumbel_key")))).first()[0]
+    discard(keys)
+    scored = score(docs, ratios, keep={c: F.col(f"`{c}`") for c in docs.columns}, **columns)
+    key = scored.columns[-1]
+    return scored.where(_ordered(F.col(f"`{key}`")) <= F.lit(last).cast("long")).select(*(F.col(f"`{c}`") for c in docs.columns))
