@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 from postlark.functions import text as T
 from postlark.operators import archive, search
+from postlark.sources import envelopes, provider
 from postlark.sources.mail_files import NOT_READ, mime_parts, read_files
 from postlark.sources.walk import resolve_root, walk
 from postlark.streaming.ingest import Change, Snapshots
@@ -392,3 +393,40 @@ def sync_folder(into: Snapshots, roots: Sequence[str], account: str | None = Non
         scan = Scan(name, list(by_key), looked, unlisted, account is not None, keys)
         report = _sync(into, mail, policy, scan, {"problems": problems})
     return report.select("*", *(F.lit(int(v)).cast("long").alias(c) for c, v in n.items()))
+
+
+def sync_provider(into: Snapshots, uri: str, account: str, mailbox: str = "INBOX", *, policy: Sequence[str] = POLICY, limit: int | None = None, attempts: int = 3, delay_ms: float = 250.0, strict: bool = False, lease: float = 900.0) -> DataFrame:
+    """Reads a provider's envelopes and the raw messages of those that are new or changed, and syncs them; one row of counters.
+
+    An envelope is as before if its text and the policy are. Of a key on several pages the
+    first counts. What could not be read goes to the table `dead_letters` (provider_key,
+    attempts, error) of the last look and is tried again at the next; with `strict` it raises
+    before anything is written, and so it does if nothing was read and nothing was unchanged.
+    Counters besides sync()'s: listed, read, skipped (unchanged envelopes), failures.
+    """
+    spark = into.spark
+    root = resolve_root(spark, uri)
+    with into.lease(lease):
+        each = envelopes.messages(envelopes.unpack(provider.pages(spark, root, limit=limit)), account, mailbox)
+        rest = [c for c in each.columns if c not in ("provider_key", "value")]
+        keyed = each.where("provider_key IS NOT NULL").groupBy("provider_key").agg(F.min_by(F.struct(*rest), F.struct("file", "page", "source_hash")).alias("_e")).select("provider_key", "_e.*")
+        listed = into.staged(keyed.unionByName(each.where("provider_key IS NULL").select("provider_key", *rest)))
+        scoped = listed.select("provider_key", "source_hash", T.make_id(F.lit(account), F.lit(mailbox), F.col("provider_key")).alias("_id"))
+        states = into.read("states", near=scoped.select(F.col("_id").alias("provider_key")))
+        known = scoped.limit(0) if states is None else scoped.join(states.where(F.col("policy") == policy_key(policy)).select(F.col("provider_key").alias("_id"), "source_hash"), ["_id", "source_hash"], "left_semi")
+        wanted = into.staged(scoped.join(known.select("_id"), "_id", "left_anti").select("provider_key"))
+        n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        got = into.staged(provider.fetch(wanted.repartition(n_parts), root, attempts=attempts, delay_ms=delay_ms))
+        dead = into.staged(got.where("error IS NOT NULL").select("provider_key", "attempts", "error"))
+        n = {"listed": listed.count(), "read": got.count()}
+        n |= {"skipped": n["listed"] - n["read"], "failures": dead.count()}
+        first = dead.first() if strict else None
+        if first:
+            raise ValueError(f"{first.error}, after {first.attempts} attempts")
+        if n["failures"] and n["failures"] == n["read"] and not n["skipped"]:
+            raise ValueError(f"no message could be read; {n['failures']} failures")
+        named = {"account_id": "accountId", "provider_key": "providerKey", "message_id": "messageId", "in_reply_to": "inReplyTo", "from_address": "from", "to_addresses": "to", "cc_addresses": "cc", "source_hash": "sourceHash", "raw": "rawMime"}
+        mail = listed.join(got.where("error IS NULL").select("provider_key", "raw"), "provider_key").drop("file", "page").withColumnsRenamed(named)
+        mail = mail.withColumns({c: F.lit(None).cast("string") for c in ("threadId", "html")} | {"attachments": F.lit(None).cast(envelopes.ATTACHMENTS)})
+        report = _sync(into, mail, policy, None, {"dead_letters": dead})
+    return report.select("*", *(F.lit(int(v)).cast("long").alias(c) for c, v in n.items()))

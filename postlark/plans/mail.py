@@ -12,7 +12,7 @@ from postlark.functions.embed import hash_embed
 from postlark.operators import archive, maintain, search, semantic, sync
 from postlark.plans import corpus
 from postlark.plans.corpus import TOK, C, M
-from postlark.sources import envelopes
+from postlark.sources import envelopes, provider
 from postlark.sources.mail_files import html_to_text, read_mail, write_mailboxes
 from postlark.streaming import changes as stream_changes
 from postlark.streaming.ingest import Snapshots
@@ -645,6 +645,30 @@ def folder_looks(spark, d):
     return report.select("added", "updated", "deleted", "touched_threads", "files", "files_read", "files_unchanged", "failures")
 
 
+@query("""WITH k AS (SELECT DISTINCT conv_id AS k FROM conversations WHERE conv_id IS NOT NULL)
+SELECT count(*) AS listed, count(*) FILTER (k % 10 = 0 OR k % 3 = 0) AS "read", count(*) FILTER (k % 10 <> 0 AND k % 3 <> 0) AS skipped, count(*) FILTER (k % 20 = 10) AS failures, (3 * count(*) FILTER (k % 20 = 10))::BIGINT AS attempts,
+count(*) FILTER (k % 20 = 0) AS added, count(*) FILTER (k % 10 <> 0 AND k % 3 = 0) AS updated, 0::BIGINT AS unchanged FROM k""")
+def provider_looks(spark, d):
+    """Conversations as a provider's messages, looked at twice: of one of ten the raw message lacks, of half of these it comes between the looks; one envelope of three changes."""
+    rows = corpus.read(spark, d, "conversations").where("conv_id IS NOT NULL")
+    said = rows.groupBy(F.col("conv_id").alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), "\n").alias("body"))
+    folder = corpus.folder(spark, "provider")
+    raw = F.concat(F.lit("Subject: talk "), F.col("k"), F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), F.col("body"))
+    put = lambda of: provider.write_raw(said.where(of).select(F.col("k").cast("string").alias("provider_key"), raw.alias("raw")), folder)
+    envelope = lambda flags: F.to_json(F.struct(F.array(F.struct(F.col("k").alias("id"), F.concat(F.lit("talk "), "k").alias("subject"), flags.alias("flags"))).alias("envelopes")))
+    none = F.array().cast("array<string>")
+    paged = lambda flags: said.select(envelope(flags)).write.mode("overwrite").text(f"{folder}/pages")
+    into = Snapshots(spark, corpus.folder(spark, "looks"), buckets=8)
+    put("k % 10 != 0")
+    paged(none)
+    sync.sync_provider(into, folder, "me", policy=(), delay_ms=1)
+    put("k % 20 = 0")
+    paged(F.when(F.col("k") % 3 == 0, F.array(F.lit("seen"))).otherwise(none))
+    report = sync.sync_provider(into, folder, "me", policy=(), delay_ms=1)
+    tried = into.read("dead_letters").agg(F.coalesce(F.sum("attempts"), F.lit(0)).alias("attempts"))
+    return report.select("listed", "read", "skipped", "failures", "added", "updated", "unchanged").join(F.broadcast(tried))  # one row each
+
+
 @query("""WITH w AS (SELECT user_id, max(lpad(epoch_us(ts)::VARCHAR, 20, '0') || ':' || event_id) AS l, arg_max(event_type, lpad(epoch_us(ts)::VARCHAR, 20, '0') || ':' || event_id) AS h, count(*) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_id IS NOT NULL GROUP BY ALL),
 c AS (SELECT *, CASE WHEN user_id % 3 <> 0 THEN 'added' WHEN h IS NOT DISTINCT FROM 'click' THEN 'unchanged' ELSE 'updated' END AS change, user_id % 50 AS t FROM w)
 SELECT count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'updated') AS updated, count(*) FILTER (change = 'unchanged') AS unchanged, coalesce(sum(n - 1), 0)::BIGINT AS repeated, count(DISTINCT t) FILTER (change <> 'unchanged') AS touched_threads FROM c""")
