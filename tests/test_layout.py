@@ -25,3 +25,23 @@ def test_pieces_are_entries(spark):
     got, want = search.shown(search.pieces(m)), search.entries(archive.chunks(m), m)
     assert sorted(got.columns) == sorted(want.columns)
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_a_sync_stores_texts_twice_at_most(spark, tmp_path, monkeypatch):
+    """As normalized messages and as chunks, before the tables; no table of texts is dealt out."""
+    from postlark.operators.sync import sync
+    from postlark.sources import envelopes
+
+    wide, dealt = [], []
+    staged, hint = Snapshots.staged, type(spark.range(0)).hint
+    monkeypatch.setattr(Snapshots, "staged", lambda self, df: wide.append({"latest_text", "text"} & set(df.columns)) or staged(self, df))
+    monkeypatch.setattr(type(spark.range(0)), "hint", lambda self, name, *a: dealt.append({"latest_text", "text"} & set(self.columns)) or hint(self, name, *a))
+    rows = spark.createDataFrame([(f"k{i}", f"word{i} text") for i in range(20)], "providerKey string, text string")
+    mail = rows.withColumns({c: F.lit(None).cast(t) for c, t in ((f.split(" ")[0], f.split(" ", 1)[1]) for f in ("messageId string", "threadId string", "inReplyTo string", "html string", "rawMime string", "sourceHash string", "from string", "date string", "to array<string>", "cc array<string>", "labels array<string>", "flags array<string>", "classifications array<string>"))})
+    mail = mail.withColumns({"accountId": F.lit("a"), "mailbox": F.lit("b"), "subject": F.lit("s"), "attachments": F.lit(None).cast(envelopes.ATTACHMENTS)})
+    into = Snapshots(spark, str(tmp_path / "s"), buckets=2)
+    for text in (F.col("text"), F.concat("text", F.lit(" more"))):
+        wide.clear()
+        report = sync(into, mail.withColumn("text", text)).first()
+        assert sum(map(bool, wide)) == 2 and not any(dealt)
+    assert report.updated == 20 and search.Index.of(into).search("more word7").count() == 1
