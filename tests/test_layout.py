@@ -45,3 +45,22 @@ def test_a_sync_stores_texts_twice_at_most(spark, tmp_path, monkeypatch):
         report = sync(into, mail.withColumn("text", text)).first()
         assert sum(map(bool, wide)) == 2 and not any(dealt)
     assert report.updated == 20 and search.Index.of(into).search("more word7").count() == 1
+
+
+def test_staged_files_can_go_before_the_version(spark, tmp_path):
+    into = Snapshots(spark, str(tmp_path / "s"))
+    one, two = into.staged(spark.range(3)), into.staged(spark.range(2))
+    into.unstaged(one)
+    into.unstaged(spark.range(1))  # was not staged
+    assert len(into._names("staging")) == 1 and two.count() == 2
+    into.publish(two)
+    assert into._names("staging") == [] and into.read().count() == 2
+
+
+def test_vectors_of_a_batch_are_arrays():
+    import numpy as np
+
+    from postlark.functions import embed
+
+    got = embed._vector("one two one", {})
+    assert isinstance(got, np.ndarray) and got.tolist() == embed.hash_vector("one two one")
