@@ -32,20 +32,21 @@ def _combined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """The state of a key after more rows; a batch at a time is held."""
-    held = state.get if state.exists else None
-    base = held[5] if held else None
-    rows = None if held is None else pd.DataFrame([(key[0], *held[:5])], columns=["key", "first", "last", "hash", "thread", "n"])
-    for b in batches:
-        if held is None and rows is None:
-            base = b["base"].iloc[0]
-        b = b.drop(columns="base")
-        rows = _combine(b if rows is None else pd.concat([rows, b]))
-    r = rows.iloc[0]
     none = lambda v: None if pd.isna(v) else v
-    base = none(base)
-    state.update((r["first"], r["last"], none(r["hash"]), none(r["thread"]), int(r["n"]), base))
-    change = "added" if base is None else "unchanged" if base == r["hash"] else "updated"
-    yield pd.DataFrame([(key[0], change, none(r["thread"]), r["first"], r["last"], int(r["n"]))], columns=["key", "change", "thread", "first", "last", "n"])
+    order = lambda last, *rest: (last, *((v is not None, v or "") for v in rest))  # noqa: E731  (null before all texts)
+    held = state.get if state.exists else None
+    first, best, n, base = (held[0], tuple(held[1:4]), held[4], held[5]) if held else (None, None, 0, None)
+    for b in batches:  # few rows, combined before, so plain values cost less than a frame's operations
+        base = none(b["base"].iloc[0]) if best is None else base
+        for f, *place, m in zip(b["first"], b["last"], b["hash"], b["thread"], b["n"], strict=True):
+            place = tuple(map(none, place))
+            first = f if first is None or f < first else first
+            best = place if best is None or order(*place) >= order(*best) else best
+            n += int(m)
+    last, hashed, thread = best
+    state.update((first, last, hashed, thread, n, base))
+    change = "added" if base is None else "unchanged" if base == hashed else "updated"
+    yield pd.DataFrame({"key": [key[0]], "change": [change], "thread": [thread], "first": [first], "last": [last], "n": [n]})
 
 
 def changes(source: DataFrame, *, key: str, order: str, hash_col: str, thread: str, stored: DataFrame | None = None) -> DataFrame:

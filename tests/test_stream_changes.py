@@ -45,3 +45,25 @@ def test_any_number_of_batches(spark, tmp_path, parts):
 def test_nothing_streamed(spark, tmp_path):
     empty = spark.createDataFrame([], "key string, change string, thread string, first string, last string, n long")
     assert tuple(counters(empty).first()) == (0, 0, 0, 0, 0)
+
+
+def test_a_key_advances_without_operations_on_frames(monkeypatch):
+    """A stream of many keys with few rows each spent its time on frames of one row."""
+    import pandas as pd
+
+    from postlark.streaming import changes as module
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    monkeypatch.setattr(module, "_combine", lambda rows: pytest.fail("a frame was combined"))
+    batch = lambda *rows: pd.DataFrame([("k", *r) for r in rows], columns=["key", "first", "last", "hash", "thread", "n", "base"])
+    state = State()
+    advance = lambda *batches: next(module._advance(("k",), iter(batches), state)).iloc[0].to_dict()
+    assert advance(batch(("2", "5", None, "t", 2, "x"), ("3", "5", "x", None, 1, "x")), batch(("4", "4", "z", "u", 1, "x"))) == {"key": "k", "change": "unchanged", "thread": None, "first": "2", "last": "5", "n": 4}
+    assert advance(batch(("1", "1", "y", "u", 1, "x"))) == {"key": "k", "change": "unchanged", "thread": None, "first": "1", "last": "5", "n": 5}
+    assert advance(batch(("5", "5", "x", "v", 3, "x"))) == {"key": "k", "change": "unchanged", "thread": "v", "first": "1", "last": "5", "n": 8}
+    assert advance(batch(("6", "6", None, None, 1, "x")))["change"] == "updated" and state.get == ("1", "6", None, None, 9, "x")
