@@ -131,9 +131,9 @@ def write_raw(rows: DataFrame, uri: str) -> None:
         system, path = _system(uri)
         system.create_dir(f"{path.rstrip('/')}/messages", recursive=True)
         for b in batches:
-            for key, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                with system.open_output_stream(f"{path.rstrip('/')}/messages/{quote(key, safe='')}") as f:
-                    f.write(raw.encode())
+            for key, raw in zip(b.column(0), b.column(1), strict=True):  # one at a time is an object of Python
+                with system.open_output_stream(f"{path.rstrip('/')}/messages/{quote(key.as_py(), safe='')}") as f:
+                    f.write(raw.as_py().encode())
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
 
     rows.select("provider_key", "raw").mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
